@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +18,60 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recurva.llm.packing import pack
+
+    pieces = pack(_table(spark, sf_dir, "documents"), _vocabulary())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recurva.llm import secrets
+
+    spans = secrets.joined(F.col("found"))
+    counts = [F.size(F.filter("found", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secrets.RULES)]
+    return secrets.scan(_table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def op3_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recurva.llm.topk import impact_top_k
+
+    return impact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_int8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recurva.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recurva.llm.mixing import mix
+
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken)
+
+
 def op6_ids_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recurva.llm.ids_file import round_trip
 
     return round_trip(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recurva.llm.ngram_join import similar_groups
+
+    return similar_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_impact_top_k": op3_impact_top_k,
+    "op4_int8_neighbours": op4_int8_neighbours,
+    "op5_source_mix": op5_source_mix,
     "op6_ids_file": op6_ids_file,
+    "op9_ngram_join": op9_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
