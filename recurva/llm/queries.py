@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,10 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _of_kind(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recurva.llm.packing import pack
 
@@ -29,7 +33,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recurva.llm import secrets
 
     spans = secrets.joined(F.col("found"))
-    counts = [F.size(F.filter("found", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(secrets.RULES)]
+    counts = [_of_kind("found", i).alias(f"n_{r.kind}") for i, r in enumerate(secrets.RULES)]
     return secrets.scan(_table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
@@ -64,6 +68,14 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recurva.llm import pii
+
+    counts = [_of_kind("base", i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secret_scan": op2_secret_scan,
@@ -72,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
     "op6_ids_file": op6_ids_file,
     "op9_ngram_join": op9_ngram_join,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {}
