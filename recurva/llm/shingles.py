@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 #: Bytes of text hashed at once; a longer text is a piece of its own.
 PIECE = 4_000_000
@@ -30,16 +31,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII bytes that are neither letters nor digits.
+NOT_LETTERS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
-_BYTE[_SPACE] = 0
 
 
-def words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, bounds, hashes): the word hashes of text first + i are hashes[bounds[i]:bounds[i+1]].
-    Words are maximal runs without ASCII white space, A-Z lowered. Null texts have none."""
-    texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
-    texts = pa.compute.fill_null(texts, b"")
+def word_spans(texts: pa.Array, apart: np.ndarray = _SPACE) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, Callable]]:
+    """(first text, bounds, starts, ends, hashed): word w of text first + i, bounds[i] <= w < bounds[i+1], lies from
+    starts[w] to ends[w]; hashed(starts, ends) gives a 64-bit hash of any such stretches, A-Z lowered. Words are
+    maximal runs without the bytes marked in `apart`. Null texts have none."""
+    texts = pa.compute.fill_null(texts.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     i = 0
@@ -48,24 +50,28 @@ def words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         raw = data[offsets[i] : offsets[j]]
         at = offsets[i : j + 1] - offsets[i]
         edge = np.ones(len(raw) + 1, bool)
-        edge[:-1] = _SPACE[raw]
-        gap = np.concatenate(([True], edge[:-1]))
-        gap[at] = True  # a word ends with its text
-        starts = np.flatnonzero(~edge[:-1] & gap[:-1])
+        edge[:-1] = apart[raw]
+        before = np.concatenate(([True], edge[:-1]))
+        before[at] = True  # a word ends with its text
+        starts = np.flatnonzero(~edge[:-1] & before[:-1])
         stop = edge.copy()
         stop[at] = True
-        ends = np.flatnonzero(stop)
-        ends = ends[np.searchsorted(ends, starts, "right")] if len(starts) else starts
+        stops = np.flatnonzero(stop)
+        ends = stops[np.searchsorted(stops, starts, "right")]
         power, inverse = _powers(max(len(raw), 1))
         total = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[raw] * power[: len(raw)], dtype=np.uint64)))
-        hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD)
-        yield i, np.searchsorted(starts, at), hashes
+
+        def hashed(s: np.ndarray, e: np.ndarray, total: np.ndarray = total, inverse: np.ndarray = inverse) -> np.ndarray:
+            return mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64) * _ODD)
+
+        yield i, np.searchsorted(starts, at), starts, ends, hashed
         i = j
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """Of each text the sorted hashes of its distinct shingles of n words; fewer words make one shingle, none none."""
-    for _, bounds, hashes in words(texts):
+    for _, bounds, starts, ends, hashed in word_spans(texts):
+        hashes = hashed(starts, ends)
         own = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
         for k in range(n):
             own = mix(own * _ODD + hashes[k : k + len(own)])
