@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recurva.llm.common import staged
@@ -90,10 +90,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return by.select("key", "source_size", F.least("cap", "dealt").alias("target"))
 
 
+def size_of(text: Column) -> Column:
+    """Words of a text, 0 for null."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """A row per document: doc_id, size, source_size and target of its source, copies (times it is taken)."""
-    size = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    sized = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"))
+    """A row per document: doc_id, source, size, source_size and target of its source, copies (times it is taken)."""
+    sized = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), size_of(docs["text"]).alias("size"))
     sized = sized.withColumn("hash", F.xxhash64("doc_id", F.lit(seed))).withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     sized = staged(sized.withColumn("bucket", F.shiftrightunsigned("hash", 54).cast("int")), "mix-sizes")
     goals = staged(targets(sized, weights, share, most), "mix-targets")
@@ -119,4 +123,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     cut = wanted.where("room < n").withColumn("extra", F.when(F.row_number().over(order) <= F.col("room"), 1).otherwise(0))
     # One row per source: its size is checked when the plan runs.
     out = sure.unionByName(cut).join(goals, "key")
-    return out.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("base") + F.col("extra")).otherwise(0).cast("long").alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("base") + F.col("extra")).otherwise(0).cast("long").alias("copies"))

@@ -63,9 +63,10 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
     return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """A row per document: doc_id, sha (of its text) and found, its spans (start, kind, end) by start, then kind.
-    ledger is a folder; without one, a new one is made in the shared folder. kind is the rule's place in rules."""
+def findings(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """(paths, found): paths has doc_id and sha of every document's text; found has sha and its spans (start, kind,
+    end) by start, then kind, for texts with any. ledger is a folder; without one, a new one is made in the shared
+    folder. kind is the rule's place in rules."""
     spark = docs.sparkSession
     ledger = ledger or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
     texts = texts_of(docs).withColumn("sha", F.unhex(F.sha2("text", 256))).withColumn("row", F.coalesce("doc_id", F.lit(-(2**63))))
@@ -87,11 +88,16 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
     found = todo.select("sha", F.explode(F.filter(each, lambda x: F.size(x["spans"]) > 0)).alias("x")).select("sha", "x.rule", "x.spans")
     found.write.mode("append").parquet(f"{ledger}/found")
     due.select("sha", F.explode("rules").alias("rule")).write.mode("append").parquet(f"{ledger}/scanned")
-    findings = spark.read.schema(found.schema).parquet(f"{ledger}/found").where(F.col("rule").isin([r.name for r in rules]))
+    found = spark.read.schema(found.schema).parquet(f"{ledger}/found").where(F.col("rule").isin([r.name for r in rules]))
     # A rule's row may have been written twice if a text stands in several rows of one id.
-    findings = findings.dropDuplicates(["sha", "rule"]).groupBy("sha").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"))
-    findings = staged(findings, "secret-found")
-    out = paths.join(findings, "sha", "left")
+    found = found.dropDuplicates(["sha", "rule"]).groupBy("sha").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"))
+    return paths.select("doc_id", "sha"), staged(found, "secret-found")
+
+
+def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """A row per document: doc_id, sha (of its text) and found, its spans."""
+    paths, found = findings(docs, ledger, rules)
+    out = paths.join(found, "sha", "left")
     return out.select("doc_id", F.lower(F.hex("sha")).alias("sha"), F.coalesce("found", F.array().cast(f"array<{SPAN}>")).alias("found"))
 
 
