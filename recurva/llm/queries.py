@@ -62,6 +62,18 @@ def op6_ids_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recurva.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recurva.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recurva.llm.ngram_join import similar_groups
 
@@ -83,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_int8_neighbours": op4_int8_neighbours,
     "op5_source_mix": op5_source_mix,
     "op6_ids_file": op6_ids_file,
+    "op7_toxicity": op7_toxicity,
+    "op8_main_text": op8_main_text,
     "op9_ngram_join": op9_ngram_join,
     "op10_personal_data": op10_personal_data,
 }
