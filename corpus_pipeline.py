@@ -1,15 +1,79 @@
-"""A training-data pipeline over documents: each stage is one operator."""
+"""A training-data pipeline over documents. Each stage is one operator; all but the last return documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from recurva.llm import mixing, ngram_join, packing, secrets, toxicity
+from recurva.llm.common import staged
+from recurva.llm.queries import _vocabulary
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose severity grade is 0."""
+    docs = docs.select(COLUMNS)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.graded(docs, model).where("toxic = 0").select(COLUMNS)
+
+
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one that names it; documents without an id stay."""
+    docs = docs.select(COLUMNS)
+    named = docs.where("doc_id IS NOT NULL")
+    first = ngram_join.similar_groups(named).where("doc_id = component_id").select("doc_id").distinct()
+    kept = named.join(staged(first, "pipeline-first"), "doc_id").dropDuplicates(["doc_id"])
+    return kept.select(COLUMNS).unionByName(docs.where("doc_id IS NULL"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by a mark."""
+    docs = docs.select(COLUMNS)
+    _, found = secrets.findings(docs)
+    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    out = docs.withColumn("sha", sha).join(found, "sha", "left")
+    text = F.when(F.col("found").isNull(), F.col("text")).otherwise(secrets.masked(F.col("text"), F.col("found")))
+    n_chars = F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
+    return out.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as many times as the mix takes it, none if never; documents without words stay once."""
+    docs = docs.select(COLUMNS)
+    same = ["doc_id", "size", "source"]
+    copies = mixing.mix(docs).groupBy(*same).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    sized = docs.withColumn("size", mixing.size_of(docs["text"]))
+    both = sized.join(staged(copies, "pipeline-copies").select(*(F.col(c).alias(f"own_{c}") for c in same), "copies", "rows"), F.expr(" AND ".join(f"{c} <=> own_{c}" for c in same)))
+    order = Window.partitionBy(*same).orderBy(F.xxhash64("text"))
+    alone = both.where("rows = 1").withColumn("n", F.col("copies"))
+    # Rows that agree in id, source and size share their copies evenly, the first ones taking the rest.
+    shared = both.where("rows > 1").withColumn("n", F.floor(F.col("copies") / F.col("rows")) + (F.row_number().over(order) <= F.col("copies") % F.col("rows")).cast("long"))
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("n")).cast("int")
+    return alone.unionByName(shared).select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).select(COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of full windows, with their ids."""
+    return packing.pack(docs, _vocabulary())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", drop_similar),
+    ("secret_scan", mask_secrets),
+    ("source_mix", mix_sources),
+    ("packing", pack),
+]
+#: SQL can express neither the ordinal model nor the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = staged(docs, f"pipeline-{name}")
     return docs
