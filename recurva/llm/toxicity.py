@@ -61,12 +61,13 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, rounds: int = 300, rate: float = 0.3, shrink: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds): gradient ascent on the likelihood of all comparisons grade >= k, classes weighted alike."""
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, toxic_share: float = 0.5, rounds: int = 300, rate: float = 0.3, shrink: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds): gradient ascent on the likelihood of all comparisons grade >= k; the rows above grade 0
+    together weigh toxic_share, whatever their number in the sample."""
     n, d = x.shape
     weights, steps = np.zeros(d), np.zeros(GRADES)  # thresholds are sums of positive steps
     over = grade[:, None] >= np.arange(1, GRADES + 1)
-    share = np.where(grade > 0, 0.5 / max(1, (grade > 0).sum()), 0.5 / max(1, (grade == 0).sum()))[:, None]
+    share = np.where(grade > 0, toxic_share / max(1, (grade > 0).sum()), (1 - toxic_share) / max(1, (grade == 0).sum()))[:, None]
     seen_w, seen_s = np.full(d, 1e-8), np.full(GRADES, 1e-8)
     for _ in range(rounds):
         thresholds = np.cumsum(np.concatenate((steps[:1], np.exp(steps[1:]))))
@@ -105,6 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
     known = known.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
     known = known.where("toxic = most").select("doc_id", "toxic")
+    known = staged(known, "toxicity-labels")
+    all_labels = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     parts = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     # Twice `sample` rows at most.
     chosen = F.broadcast(staged(parts[0].union(parts[1]), "toxicity-sample"))
@@ -123,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     hits = x.sum(axis=1)
     cuts = np.quantile(hits[toxic == 1], [k / GRADES for k in range(1, GRADES)])
     grade = np.where(toxic == 1, 1 + (hits[:, None] > cuts).sum(axis=1), 0)
-    weights, thresholds = fit_ordinal(x.astype(np.float64), grade)
+    weights, thresholds = fit_ordinal(x.astype(np.float64), grade, all_labels[1] / (all_labels[0] + all_labels[1]))
     return Model(names, weights, thresholds)
 
 
