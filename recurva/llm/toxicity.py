@@ -1,8 +1,9 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
-A document's features are its words and their beginnings, hashed. P(grade >= k) = sigmoid(w.x - t_k): one weight
+A document's features are its words and their beginnings, hashed; a feature's value is how often it stands among a
+hundred words (of a text below LEAST_WORDS words, as if it had that many). P(grade >= k) = sigmoid(w.x - t_k): one weight
 vector serves all ordered thresholds t_1 < t_2 < ..., and the expected severity is the sum of these probabilities.
-The labels say toxic or not; among the toxic, how many telling features a document has sets its grade, in thirds.
+The labels say toxic or not; among the toxic, the values of its telling features together set the grade, in thirds.
 The model is fitted on a bounded sample of labelled documents (SAMPLE of each class) and scores every whole text.
 
 Defined results: a null or empty text scores by the thresholds alone; null doc_ids and repeated rows are kept, one
@@ -25,11 +26,12 @@ from recurva.llm.shingles import NOT_LETTERS, word_spans
 from recurva.llm.tokens import slices
 
 #: Labelled documents of each class that fit the model, at most; features it keeps; bytes of the beginnings; grades above 0.
-SAMPLE, KEPT, BEGINNINGS, GRADES = 3_000, 512, (4, 5, 6), 3
+SAMPLE, KEPT, BEGINNINGS, GRADES = 3_000, 256, (4, 5, 6), 3
+LEAST_WORDS, LEAST_TELLING = 20, 4.0
 
 
-def text_features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(texts, text numbers, 32-bit features) piece by piece, features of one text possibly repeated."""
+def text_features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(value of one occurrence in each text, text numbers, 32-bit features) piece by piece, an entry per occurrence."""
     for _, bounds, starts, ends, hashed in word_spans(texts, NOT_LETTERS):
         owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         got, own = [hashed(starts, ends)], [owner]
@@ -37,7 +39,7 @@ def text_features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
             long = ends - starts > n
             got.append(hashed(starts[long], starts[long] + n))
             own.append(owner[long])
-        yield len(bounds) - 1, np.concatenate(own), (np.concatenate(got) >> np.uint64(32)).astype(np.uint32)
+        yield 100 / np.maximum(np.diff(bounds), LEAST_WORDS), np.concatenate(own), (np.concatenate(got) >> np.uint64(32)).astype(np.uint32)
 
 
 @dataclass(frozen=True)
@@ -52,16 +54,14 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = []
-        for n, own, got in text_features(texts):
+        for share, own, got in text_features(texts):
             at = np.searchsorted(self.features, got)
             hit = self.features[np.minimum(at, len(self.features) - 1)] == got if len(self.features) else np.zeros(len(got), bool)
-            pairs = np.unique(own[hit] * np.int64(len(self.features) or 1) + at[hit])
-            own, at = np.divmod(pairs, len(self.features) or 1)
-            out.append(np.bincount(own, self.weights[at], n) if len(pairs) else np.zeros(n))
+            out.append(share * np.bincount(own[hit], self.weights[at[hit]], len(share)))
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, toxic_share: float = 0.5, rounds: int = 300, rate: float = 0.3, shrink: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, toxic_share: float = 0.5, rounds: int = 600, rate: float = 0.3, shrink: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds): gradient ascent on the likelihood of all comparisons grade >= k; the rows above grade 0
     together weigh toxic_share, whatever their number in the sample."""
     n, d = x.shape
@@ -83,13 +83,15 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, toxic_share: float = 0.5, roun
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for some in slices(batch, 500):
-            cells, first = [], 0
-            for n, own, got in text_features(some.column("text")):
+            names, values = [], []
+            for share, own, got in text_features(some.column("text")):
                 order = np.argsort(own, kind="stable")
-                bounds = np.searchsorted(own[order], np.arange(n + 1))
-                cells += [np.unique(got[order[a:b]]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                first += n
-            yield pa.record_batch({"toxic": some.column("toxic"), "features": pa.array(cells, pa.binary())})
+                bounds = np.searchsorted(own[order], np.arange(len(share) + 1)).tolist()
+                for each, a, b in zip(share.tolist(), bounds[:-1], bounds[1:], strict=True):
+                    distinct, n = np.unique(got[order[a:b]], return_counts=True)
+                    names.append(distinct.tobytes())
+                    values.append((each * n).astype(np.float32).tobytes())
+            yield pa.record_batch({"toxic": some.column("toxic"), "features": pa.array(names, pa.binary()), "shares": pa.array(values, pa.binary())})
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,30 +113,37 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     parts = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     # Twice `sample` rows at most.
     chosen = F.broadcast(staged(parts[0].union(parts[1]), "toxicity-sample"))
-    rows = staged(texts_of(docs).join(chosen, "doc_id").select("text", "toxic").mapInArrow(_distinct, "toxic int, features binary"), "toxicity-features", "zstd")
+    rows = staged(texts_of(docs).join(chosen, "doc_id").select("text", "toxic").mapInArrow(_distinct, "toxic int, features binary, shares binary"), "toxicity-features", "zstd")
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not size.get(0) or not size.get(1):
         return Model(np.zeros(0, np.uint32), np.zeros(0), np.full(GRADES, np.inf))
     counts = rows.mapInArrow(_counted, "feature long, bad long, n long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    telling = F.col("bad") * F.col("bad") / (F.col("bad") + (F.col("n") - F.col("bad")) * F.lit(3 * size[1] / size[0]) + 5)
-    top = counts.where("bad >= 3").orderBy(telling.desc(), "feature").limit(KEPT).collect()
+    # How far a feature's toxic documents outnumber what its documents would have by chance, in standard deviations.
+    chance = F.col("n") * F.lit(size[1] / (size[0] + size[1]))
+    telling = (F.col("bad") - chance) / F.sqrt(chance + 1)
+    top = counts.where("bad >= 5").where(telling >= LEAST_TELLING).orderBy(telling.desc(), "feature").limit(KEPT).collect()
     names = np.array(sorted(r["feature"] for r in top), np.uint32)
     # The sample's rows over KEPT features: bounded by both parameters.
-    held = rows.mapInArrow(_narrow(names), "toxic int, features binary").collect()
-    x = np.array([np.unpackbits(np.frombuffer(r["features"], np.uint8), count=len(names)) for r in held], np.float32).reshape(len(held), len(names))
+    held = rows.mapInArrow(_narrow(names), "toxic int, shares binary").collect()
+    x = np.array([np.frombuffer(r["shares"], np.float32) for r in held], np.float64).reshape(len(held), len(names))
     toxic = np.array([r["toxic"] for r in held])
     hits = x.sum(axis=1)
     cuts = np.quantile(hits[toxic == 1], [k / GRADES for k in range(1, GRADES)])
     grade = np.where(toxic == 1, 1 + (hits[:, None] > cuts).sum(axis=1), 0)
-    weights, thresholds = fit_ordinal(x.astype(np.float64), grade, all_labels[1] / (all_labels[0] + all_labels[1]))
+    weights, thresholds = fit_ordinal(x, grade, all_labels[1] / (all_labels[0] + all_labels[1]))
     return Model(names, weights, thresholds)
 
 
 def _narrow(names: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [np.packbits(np.isin(names, np.frombuffer(raw.as_py(), np.uint32))).tobytes() for raw in batch.column("features")]
-            yield pa.record_batch({"toxic": batch.column("toxic"), "features": pa.array(cells, pa.binary())})
+            cells = []
+            for features, shares in zip(batch.column("features"), batch.column("shares"), strict=True):
+                row, got = np.zeros(len(names), np.float32), np.frombuffer(features.as_py(), np.uint32)
+                known = np.isin(got, names)
+                row[np.searchsorted(names, got[known])] = np.frombuffer(shares.as_py(), np.float32)[known]
+                cells.append(row.tobytes())
+            yield pa.record_batch({"toxic": batch.column("toxic"), "shares": pa.array(cells, pa.binary())})
 
     return run
 
