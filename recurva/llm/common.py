@@ -37,18 +37,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     shared folder ends it; a round never lengthens a node's list beyond the edges it had. Null ends and
     loops are left out; an empty input gives an empty table."""
     pairs = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    pairs = staged(pairs.where("lo < hi").distinct(), name)
+    pairs, before = staged(pairs.where("lo < hi").distinct(), name), None
     while True:
-        both = pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+        both = pairs.union(pairs.select(F.col("hi").alias("lo"), F.col("lo").alias("hi"))).toDF("u", "v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
         large = staged(large.where("lo < hi").distinct(), name)
-        down = large.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-        least = staged(down.groupBy("u").agg(F.min("v").alias("m")), name)
-        moved = down.join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
-        own = least.select(F.col("m").alias("lo"), F.col("u").alias("hi"))
-        small = staged(moved.union(own).where("lo < hi").distinct(), name)
-        if small.count() == pairs.count() and small.exceptAll(pairs).isEmpty():
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        moved = large.join(least, "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
+        small = staged(moved.union(least.select("m", "hi")).where("lo < hi").distinct(), name)
+        now = small.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
+        if now == before:
             roots = small.select(F.col("lo").alias("node")).distinct()
             return small.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots.select("node", F.col("node").alias("component")))
-        pairs = small
+        pairs, before = small, now

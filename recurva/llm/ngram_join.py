@@ -32,7 +32,7 @@ from recurva.llm.tokens import slices
 
 #: Largest set that may count as light; bits of a set's parity bitmap; counters that travel together; members that meet in a block.
 LIGHT_MOST, WORDS, CHUNK, BLOCK = 64, 8, 16_384, 512
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 
 def set_id(own: np.ndarray, salt: int) -> int:
@@ -139,12 +139,30 @@ def _boundary(entries: DataFrame) -> int:
     return best
 
 
-def _pairs_linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of set ids those that link, after size and bitmap have dropped what they can."""
+def _survivors(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of set ids those that sizes and bitmaps allow to link."""
     bits = F.struct("n", "bitmap")
     left, right = (nodes.select(F.col("sid").alias(c), bits.alias(f"{c}_set")) for c in "ab")
-    both = staged(pairs.distinct(), "join-pairs").join(left, "a").join(right, "b").where(_may_link("a_set", "b_set", percent))
-    both = staged(both.select("a", "b"), "join-survivors")
+    both = pairs.distinct().join(left, "a").join(right, "b").where(_may_link("a_set", "b_set", percent))
+    return staged(both.select("a", "b"), "join-survivors")
+
+
+def _exact_sets(texts: DataFrame, firsts: DataFrame, n: int) -> DataFrame:
+    """(sid, members) of the set ids in firsts (sid, doc_id), one document's text each."""
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, 500):
+                cells = [own.astype("<u8").tobytes() for own in shingle_sets(some.column("text"), n)]
+                sids = [set_id(np.frombuffer(c, "<u8"), 0) for c in cells]
+                yield pa.record_batch({"sid": pa.array(sids, pa.int64()), "want": some.column("sid"), "members": pa.array(cells, pa.binary())})
+
+    sets = texts.join(firsts, "doc_id").select("text", "sid").mapInArrow(exact, "sid long, want long, members binary")
+    return staged(sets.where("sid = want").dropDuplicates(["sid"]).select("sid", "members"), "join-sets")
+
+
+def _linked(both: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of set ids those whose exact sets link."""
     both = both.join(sets.select(F.col("sid").alias("a"), F.col("members").alias("a_members")), "a")
     both = both.join(sets.select(F.col("sid").alias("b"), F.col("members").alias("b_members")), "b")
 
@@ -195,18 +213,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     edge = _boundary(entries)
     entries = entries.where(F.expr(f"IF(kind = 0, n * 100 >= {edge * percent}, n < {edge})")).select("key", "sid")
     label = F.coalesce("component", "sid")
-    involved = staged(entries.select("sid").distinct(), "join-involved")
-    firsts = staged(nodes.join(involved, "sid", "left_semi").select(F.col("first").alias("doc_id"), "sid"), "join-firsts")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in slices(batch, 500):
-                cells = [own.astype("<u8").tobytes() for own in shingle_sets(some.column("text"), n)]
-                sids = [set_id(np.frombuffer(c, "<u8"), 0) for c in cells]
-                yield pa.record_batch({"sid": pa.array(sids, pa.int64()), "want": some.column("sid"), "members": pa.array(cells, pa.binary())})
-
-    sets = texts.join(firsts, "doc_id").select("text", "sid").mapInArrow(exact, "sid long, want long, members binary")
-    sets = staged(sets.where("sid = want").dropDuplicates(["sid"]).select("sid", "members"), "join-sets")
+    sets = spark.createDataFrame([], "sid long, members binary")
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, component long")
     for k in range(STAR_ROUNDS + 1):
@@ -227,8 +234,12 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             pairs = hubs.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
         else:
             pairs = _across(named.select("key", "sid", "label", "members"), nodes, percent)
-        got = staged(_pairs_linked(pairs, nodes, sets, percent), "join-links")
-        if got.isEmpty() and k < STAR_ROUNDS:
+        pairs = _survivors(pairs, nodes, percent)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid"), "sid", "left_anti")
+        firsts = staged(nodes.join(ends, "sid", "left_semi").select(F.col("first").alias("doc_id"), "sid"), "join-firsts")
+        sets = sets.union(_exact_sets(texts, firsts, n))
+        got = staged(_linked(pairs, sets, percent), "join-links")
+        if got.isEmpty():
             continue
         links = links.union(got)
         labels = staged(components(links, "join-components"), "join-labels")
