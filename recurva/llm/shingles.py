@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 #: Bytes of text hashed at once; a longer text is a piece of its own.
-PIECE = 4_000_000
+PIECE = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
