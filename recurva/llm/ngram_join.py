@@ -19,7 +19,6 @@ empty result; other columns are left behind.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from recurva.llm.common import components, staged, texts_of
 from recurva.llm.shingles import mix, shingle_sets
 from recurva.llm.tokens import slices
 
-#: Largest set that may count as light; bits of a set's parity bitmap; counters that travel together; members that meet in a block.
+#: Largest set that may count as light; words of a parity bitmap, at least; counters that travel together; members that meet in a block.
 LIGHT_MOST, WORDS, CHUNK, BLOCK = 64, 8, 16_384, 512
 STAR_ROUNDS = 2
 
@@ -41,7 +40,10 @@ def set_id(own: np.ndarray, salt: int) -> int:
 
 
 def parity(own: np.ndarray) -> list[int]:
-    odd = np.bincount((own >> np.uint64(17)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    """A bit for each member or more, flipped by the members that fall on it; words, a power of two. Of two halves
+    the exclusive or is the bitmap of half the size."""
+    bits = max(64 * WORDS, 1 << (len(own) - 1).bit_length()) if len(own) else 64 * WORDS
+    odd = np.bincount((own >> np.uint64(17)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(bool)).view(np.int64).tolist()
 
 
@@ -182,7 +184,13 @@ def _linked(both: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Sizes near enough, and the bitmaps differ in no more places than two linking sets can differ in members."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.bitmap")[i].bitwiseXOR(F.col(f"{b}.bitmap")[i])) for i in range(WORDS)))
+    words = F.least(F.size(f"{a}.bitmap"), F.size(f"{b}.bitmap"))
+
+    def halved(bitmap: Column) -> Column:
+        return F.when(F.size(bitmap) > words, F.zip_with(F.slice(bitmap, 1, words), F.slice(bitmap, words + 1, words), lambda x, y: x.bitwiseXOR(y))).otherwise(bitmap)
+
+    both = F.zip_with(halved(F.col(f"{a}.bitmap")), halved(F.col(f"{b}.bitmap")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(both, F.lit(0), lambda so_far, x: so_far + x)
     sizes = (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
     return sizes & (differ <= n + m - 2 * needed(n + m, percent))
 
@@ -218,7 +226,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     labels = spark.createDataFrame([], "node long, component long")
     for k in range(STAR_ROUNDS + 1):
         named = entries.join(labels, F.col("sid") == F.col("node"), "left").select("key", "sid", label.alias("label")) if k else entries.withColumn("label", F.col("sid"))
-        turn = F.xxhash64("key", F.lit(k))
+        turn = F.xxhash64(F.lit(k))  # the same for all lists, so that lists with the same members pick the same two
         mixed = named.groupBy("key").agg(
             F.min(F.col("sid").bitwiseXOR(turn)).alias("low"), F.max(F.col("sid").bitwiseXOR(turn)).alias("high"), F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("members")
         )
