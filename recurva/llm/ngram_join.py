@@ -31,6 +31,8 @@ from recurva.llm.tokens import slices
 
 #: Largest set that may count as light; words of a parity bitmap, at least; counters that travel together; members that meet in a block.
 LIGHT_MOST, WORDS, CHUNK, BLOCK = 64, 8, 16_384, 512
+#: Words of the brief bitmap that travels with every list entry; it tells sets of up to some 600 members apart.
+BRIEF = 4
 STAR_ROUNDS = 2
 
 
@@ -39,10 +41,10 @@ def set_id(own: np.ndarray, salt: int) -> int:
     return int((mixed.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(mix(mixed), initial=np.uint64(0))).astype(np.int64))
 
 
-def parity(own: np.ndarray) -> list[int]:
-    """A bit for each member or more, flipped by the members that fall on it; words, a power of two. Of two halves
+def parity(own: np.ndarray, words: int = 0) -> list[int]:
+    """Bits, each flipped by the members that fall on it; without `words` as many as members or more. Of two halves
     the exclusive or is the bitmap of half the size."""
-    bits = max(64 * WORDS, 1 << (len(own) - 1).bit_length()) if len(own) else 64 * WORDS
+    bits = 64 * words or (max(64 * WORDS, 1 << (len(own) - 1).bit_length()) if len(own) else 64 * WORDS)
     odd = np.bincount((own >> np.uint64(17)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(bool)).view(np.int64).tolist()
 
@@ -60,8 +62,8 @@ def _summaries(n: int, bits: int):
 
         counts = np.zeros(1 << bits, np.int64)
         mask = np.uint64((1 << bits) - 1)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
-        names = ["doc_id", "sid", "second", "n", "bitmap", "chunk", "task", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
+        names = ["doc_id", "sid", "second", "n", "bitmap", "brief", "chunk", "task", "counts"]
         for batch in batches:
             for some in slices(batch):
                 rows = []
@@ -69,12 +71,12 @@ def _summaries(n: int, bits: int):
                     counts += np.bincount((own & mask).astype(np.int64), minlength=1 << bits) if len(own) > 1 << bits else 0
                     if len(own) <= 1 << bits:
                         np.add.at(counts, (own & mask).astype(np.int64), 1)
-                    rows.append((doc_id, set_id(own, 0), set_id(own, 1), len(own), parity(own), None, None, None))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(8)], names=names)
+                    rows.append((doc_id, set_id(own, 0), set_id(own, 1), len(own), parity(own), parity(own, BRIEF), None, None, None))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(9)], names=names)
         task = TaskContext.get().partitionId()
         for c in range(0, len(counts), CHUNK):
-            row = (None, None, None, None, None, c // CHUNK, task, counts[c : c + CHUNK].astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([row[i]], kinds[i]) for i in range(8)], names=names)
+            row = (None, None, None, None, None, None, c // CHUNK, task, counts[c : c + CHUNK].astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([row[i]], kinds[i]) for i in range(9)], names=names)
 
     return run
 
@@ -201,7 +203,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     spark = docs.sparkSession
     texts = texts_of(docs)
     bits = min(22, max(14, int(docs.count()).bit_length()))
-    kinds = "doc_id long, sid long, second long, n int, bitmap array<long>, chunk int, task int, counts binary"
+    kinds = "doc_id long, sid long, second long, n int, bitmap array<long>, brief array<long>, chunk int, task int, counts binary"
     summary = staged(texts.mapInArrow(_summaries(n, bits), kinds), "join-summary", "zstd")
     members = summary.where("chunk IS NULL").select("doc_id", "sid", "n")
     parts = summary.where("chunk IS NOT NULL").select("chunk", (F.col("task") % 64).alias("part"), "counts")
@@ -210,7 +212,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     rows = parts.groupBy("chunk").applyInArrow(_added, "chunk int, counts binary").collect()
     counts = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sorted(rows)]) if rows else np.zeros(1 << bits, np.int64)
     nodes = summary.where("chunk IS NULL AND n > 0").groupBy("sid").agg(
-        F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min("second").alias("low"), F.max("second").alias("high")
+        F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("brief").alias("brief"), F.min("second").alias("low"), F.max("second").alias("high")
     )
     nodes = staged(nodes, "join-nodes")
     if not nodes.where("low <> high").isEmpty():
@@ -261,7 +263,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 def _across(named: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of a list's members in different components that size and bitmap allow. A list of m members is cut into
     blocks of BLOCK; every block meets every other, so what meets in a task is bounded."""
-    full = named.join(nodes.select("sid", F.struct("n", "bitmap").alias("set")), "sid")
+    full = named.join(nodes.select("sid", F.struct("n", F.col("brief").alias("bitmap")).alias("set")), "sid")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("sid"), blocks).cast("int")
     full = full.withColumn("block", block).withColumn("blocks", blocks)
