@@ -116,7 +116,8 @@ class Coder:
 
 
 def _gathered(tokenizer: str):
-    """Batches of ordered texts to blocks of whole documents, BLOCK_IDS ids or one document long."""
+    """Batches of ordered texts to blocks of whole documents, BLOCK_IDS ids or one document long. At the end a row
+    under block -1 has the ids seen (doc_ids) and their counts (doc_lengths)."""
     kinds = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,15 +127,18 @@ def _gathered(tokenizer: str):
         doc_ids: list = []
         lengths: list[int] = []
         held: list[np.ndarray] = []
-        size = 0
+        size, total = 0, np.zeros(0, np.int64)
 
         def close():
             raw = np.concatenate(held).astype("<u4").tobytes()
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "first": first, "doc_ids": doc_ids, "doc_lengths": lengths, "ids": raw}], kinds)
 
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, 6_000):
                 bounds, ids = encode(some.column("text"), tokenizer)
+                got = np.bincount(ids, minlength=len(total))
+                got[: len(total)] += total
+                total = got
                 for i, doc_id in enumerate(some.column("doc_id").to_pylist()):
                     own = ids[bounds[i] : bounds[i + 1]]
                     doc_ids.append(doc_id)
@@ -146,30 +150,22 @@ def _gathered(tokenizer: str):
                         block, first, doc_ids, lengths, held, size = block + 1, first + size, [], [], [], 0
         if held:
             yield close()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pylist([{"part": part, "block": -1, "first": 0, "doc_ids": at.tolist(), "doc_lengths": total[at].tolist(), "ids": b""}], kinds)
 
     return run
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for raw in batch.column(0):
-            got = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"))
-            if len(got) > len(total):
-                total, got = got, total
-            total[: len(got)] += got
-    at = np.flatnonzero(total)
-    yield pa.record_batch({"id": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
-
-
 def write_ids(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Encode all texts of docs (doc_id, text) in ascending doc_id order into the folder path."""
     ordered = texts_of(docs).repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     blocks = staged(
-        ordered.mapInArrow(_gathered(tokenizer), "part int, block int, first long, doc_ids array<long>, doc_lengths array<long>, ids binary"), "id-blocks", "zstd"
+        ordered.mapInArrow(_gathered(tokenizer), "part int, block int, first long, doc_ids array<long>, doc_lengths array<long>, ids binary"), "id-blocks"
     )
     # At most one row per vocabulary entry reaches the driver.
-    counts = blocks.select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    seen = blocks.where("block = -1").select(F.explode(F.arrays_zip("doc_ids", "doc_lengths")).alias("x"))
+    counts = seen.groupBy(F.col("x.doc_ids").alias("id")).agg(F.sum("x.doc_lengths").alias("n")).collect()
+    blocks = blocks.where("block >= 0")
     ids, freqs = frequency_table({r["id"]: r["n"] for r in counts})
     spark = docs.sparkSession
     table = spark.createDataFrame(list(zip(ids.tolist(), freqs.tolist(), strict=True)), "id long, freq long")
