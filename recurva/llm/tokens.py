@@ -94,18 +94,21 @@ def encode(texts: pa.Array, path: str, end_id: int | None = END_ID) -> tuple[np.
     known = pieces.of(pa.concat_arrays([x.dictionary for x in both]))
     head = known[: len(both[0].dictionary)][both[0].indices.to_numpy(zero_copy_only=False)]
     tail = known[len(both[0].dictionary) :][both[1].indices.to_numpy(zero_copy_only=False)]
-    units = np.empty(2 * len(at), np.int64)
+    units = np.empty(2 * len(at), np.int32)  # a batch has far fewer than 2**31 words and ids
     units[0::2], units[1::2] = head[at], tail[at]
-    begins, sizes, pool = pieces.begins, pieces.sizes, pieces.pool
+    begins, sizes, pool = pieces.begins.astype(np.int32), pieces.sizes.astype(np.int32), pieces.pool
     edges = 2 * (lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py())
     if end_id is not None:
-        begins, sizes, pool = np.append(begins, len(pool)), np.append(sizes, 1), np.append(pool, np.uint32(end_id))
+        begins, sizes = np.append(begins, np.int32(len(pool))), np.append(sizes, np.int32(1))
+        pool = np.append(pool, np.uint32(end_id))
         units = np.insert(units, edges[1:], len(begins) - 1)
         edges = edges + np.arange(len(edges))
     lengths = sizes[units]
-    ends = np.concatenate(([0], np.cumsum(lengths)))
-    ids = pool[np.repeat(begins[units] - ends[:-1], lengths) + np.arange(ends[-1])]
-    return ends[edges], ids
+    ends = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=ends[1:])
+    at = np.repeat(begins[units] - ends[:-1], lengths)
+    at += np.arange(ends[-1], dtype=np.int32)
+    return ends[edges].astype(np.int64), pool[at]
 
 
 def slices(batch: pa.RecordBatch, rows: int = 4_000):
