@@ -134,7 +134,8 @@ def _gathered(tokenizer: str):
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "first": first, "doc_ids": doc_ids, "doc_lengths": lengths, "ids": raw}], kinds)
 
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, 3_000):
+                pa.default_memory_pool().release_unused()
                 bounds, ids = encode(some.column("text"), tokenizer)
                 got = np.bincount(ids, minlength=len(total))
                 got[: len(total)] += total
