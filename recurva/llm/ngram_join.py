@@ -152,7 +152,8 @@ def _survivors(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _exact_sets(texts: DataFrame, firsts: DataFrame, n: int) -> DataFrame:
-    """(sid, members) of the set ids in firsts (sid, doc_id), one document's text each."""
+    """(sid, members) of the set ids in firsts (sid, doc_id), one document's text each; a set whose documents all have
+    null doc_ids is found among the texts without one."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,8 +162,13 @@ def _exact_sets(texts: DataFrame, firsts: DataFrame, n: int) -> DataFrame:
                 sids = [set_id(np.frombuffer(c, "<u8"), 0) for c in cells]
                 yield pa.record_batch({"sid": pa.array(sids, pa.int64()), "want": some.column("sid"), "members": pa.array(cells, pa.binary())})
 
-    sets = texts.join(firsts, "doc_id").select("text", "sid").mapInArrow(exact, "sid long, want long, members binary")
-    return staged(sets.where("sid = want").dropDuplicates(["sid"]).select("sid", "members"), "join-sets")
+    kinds = "sid long, want long, members binary"
+    sets = texts.join(firsts, "doc_id").select("text", "sid").mapInArrow(exact, kinds).where("sid = want")
+    nameless = firsts.where("doc_id IS NULL").select("sid")
+    if not nameless.isEmpty():  # these meet their sets by the set's id, as no doc_id leads to a text
+        loose = texts.where("doc_id IS NULL").select("text", F.lit(0).cast("long").alias("sid")).mapInArrow(exact, kinds)
+        sets = sets.union(loose.join(nameless, "sid", "left_semi"))
+    return staged(sets.dropDuplicates(["sid"]).select("sid", "members"), "join-sets")
 
 
 def _linked(both: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -114,6 +114,17 @@ def test_similar_groups_in_large_lists(spark):
     same(ngram_join.similar_groups(table).collect(), brute.groups(rows))
 
 
+def test_sets_without_ids_link_and_bridge(spark):
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words[k : 100 + k]) for k in (0, 4, 8)]
+    alone = [" ".join(f"{w}x" for w in words[k : 100 + k]) for k in (0, 3)]
+    rows = [(2, texts[0]), (None, texts[1]), (1, texts[2]), (None, alone[0]), (None, alone[1]), (7, alone[1] + " end"), (None, "no copy of these")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.similar_groups(table).collect()
+    same(got, brute.groups(rows))
+    assert sorted(r["component_id"] for r in got if r["component_id"] is not None) == [1, 1, 1, 7, 7, 7]
+
+
 def test_ids_file(docs, spark):
     rows = sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     want, start = [], 0
