@@ -10,6 +10,8 @@ from recurva.llm.common import staged
 from recurva.llm.queries import _vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents are copies from this share of common shingles of so many words; op9's query has limits of its own.
+SIMILAR_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +22,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one that names it; documents without an id stay."""
-    docs = docs.select(COLUMNS)
-    named = docs.where("doc_id IS NOT NULL")
-    first = ngram_join.similar_groups(named).where("doc_id = component_id").select("doc_id").distinct()
-    kept = named.join(staged(first, "pipeline-first"), "doc_id").dropDuplicates(["doc_id"])
-    return kept.select(COLUMNS).unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of similar documents one: the smallest doc_id's, one without an id only if none has one. Rows are
+    told apart by a number of their own, as ids may be null or repeated. Texts without words are no copies of others,
+    but rows that are equal, id and all, stay once."""
+    # Written once, so that every later read of a row has the same number.
+    rows = staged(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows", "zstd")
+    groups = ngram_join.similar_groups(rows.select(F.col("row").alias("doc_id"), "text"), n=SIMILAR_WORDS, percent=SIMILAR_PERCENT)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*COLUMNS), "row")
+    repeated = F.when((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64(*COLUMNS).alias("hash")))
+    own = rows.join(groups.select(F.col("doc_id").alias("row"), "n_shingles", "component_id"), "row")
+    own = own.select("row", order.alias("order"), repeated.alias("repeated"), F.when(repeated.isNull(), F.col("component_id")).alias("component_id"))
+    first = own.groupBy("component_id", "repeated").agg(F.min_by("row", "order").alias("row"))
+    return rows.join(staged(first.select("row"), "pipeline-first"), "row", "left_semi").select(COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
