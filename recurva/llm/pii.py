@@ -211,8 +211,7 @@ def spans(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]], l
 def find_pii(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """doc_id, base and found, arrays of (start, kind, end) in code points by start, then kind (a place in KINDS)."""
     texts = texts_of(docs)
-    telling = F.col("text").rlike("[0-9@]")
-    short = texts.where(telling & F.col("text").rlike(r"[0-9][0-9][0-9.() -]{3}|@")).where(F.length("text") < TRAIN_LENGTH)
+    short = texts.where(F.col("text").rlike(r"[0-9][0-9][0-9.() -]{3}|@")).where(F.length("text") < TRAIN_LENGTH)
     short = short.select(F.xxhash64("doc_id", "text").alias("draw"), "text")
     # At most train_docs rows of one number; only their texts, of bounded length, reach the driver.
     chosen = F.broadcast(staged(short.select("draw").orderBy("draw").limit(train_docs).distinct(), "pii-sample"))
@@ -226,9 +225,8 @@ def find_pii(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
             cells = [pa.array([[dict(zip(("start", "kind", "end"), s, strict=True)) for s in r[k]] for r in rows], kind) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cells], names=["doc_id", "base", "found"])
 
-    asked = texts.select("doc_id", F.when(telling, F.col("text")).alias("text"))
     out = "array<struct<start:long,kind:int,end:long>>"
-    return asked.mapInArrow(run, f"doc_id long, base {out}, found {out}")
+    return texts.mapInArrow(run, f"doc_id long, base {out}, found {out}")
 
 
 def joined(found: Column) -> Column:

@@ -81,6 +81,15 @@ def test_personal_data(docs):
     assert all(set(b) <= f for _, b, f in got)
 
 
+def test_wider_forms_without_digit_or_at(spark):
+    known = [(i, f"write to someone{i}@mail{i}.example.org or call +49 30 12345{i:02d}") for i in range(40)]
+    texts = ["please contact jane.doe (at) example (dot) org soon", "the server fe:ab:cd:ef:aa:bb:cc:dd is down", "nothing (at) all"]
+    table = spark.createDataFrame(known + [(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["base"], [tuple(s) for s in r["found"]]) for r in pii.find_pii(table).where("doc_id >= 100").collect()}
+    assert got[100] == ([], [(15, 0, 46)]) and texts[0][15:46] == "jane.doe (at) example (dot) org"
+    assert got[101][0] == got[102][0] == got[102][1] == []
+
+
 def test_field_against_all_choices():
     import numpy as np
 
