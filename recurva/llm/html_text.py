@@ -1,22 +1,25 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages become sequences of tokens, each a tag or a run of text, told apart by the path of elements around it. Over
-the pages of a host every such place has an occurrence vector: how many tokens it has in each page. Places with
-equal vectors form a class; classes found in enough of the host's pages are valid, and nested by their paths they
-are the host's template, whose slots the places are. Slots whose tags or class names say menu, header, footer,
-sidebar, notice, advert, form, comment and the like are not text; the article slot is the one so tagged, else the
-one with most of the host's other text, with its class and what nests in it. All that lies there is the page's text.
+Pages become sequences of tokens, each a tag or a run of text, told apart by the path of elements around it; runs
+between separating elements make a block. Over the different pages of a host every place, and every block at its
+place, has an occurrence vector: how often it is there in each page. A block that stands in enough of the host's
+pages, equally often in each, is template text and left out, whatever its tags. Places of other text with equal
+vectors form a class; one found in enough pages that holds most of the host's other text outside links is the article.
+What that leaves open (other places, pages of another layout, hosts of fewer than LEAST_PAGES different pages) the
+page's own tags and class names decide: what lies in <article> or <main> where it has one, else what no menu, header,
+footer, sidebar, notice, advert, form, comment and the like holds. Scripts and hidden elements are never text.
 
 Vectors are never gathered: the exclusive or of a hash of each page and its count stands for a vector and is added
 up in the shuffle's partial aggregates, so a host with a third of all pages costs no single task.
 
 Defined results: a null or empty html gives an empty text; a null url counts as a host of its own; null page_ids and
-repeated rows are kept, one result row each; text outside any known slot of its host is judged by its own path; an
-empty table gives an empty result.
+repeated rows are kept, one result row each; pages of equal html count once for their host's template; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -30,6 +33,8 @@ from recurva.llm.tokens import slices
 
 #: A class is valid when it stands in this share of its host's pages.
 SUPPORT = 0.5
+#: Fewer different pages than these tell no template, nor do blocks that stand in fewer.
+LEAST_PAGES = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -39,6 +44,8 @@ _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "nof
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rb", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _ASIDE = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "head", "title", "textarea", "iframe", "select", "button", "input", "dialog", "menu", "svg", "math", "object", "canvas", "audio", "video", "noembed", "noframes", "xmp"}
+#: Those whose content is no text of the page in any place.
+_NEVER = _ASIDE - {"nav", "header", "footer", "aside", "form", "dialog", "menu"}
 _ARTICLE = {"article", "main"}
 _MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|advertising|adbox|adsense|banner|sponsor(?:ed)?|promo|cookie|cookies|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|comment|comments|comment-list|respond|reply|replies|disqus|discussion|related|recommended|share|sharing|social|search|toolbar|pagination|pager|skip|legal|copyright|complementary|contentinfo)(?:$|[\s_-])",
@@ -114,10 +121,6 @@ def _plain(label: str) -> str:
     return label.split(".", 1)[0].rstrip("!")
 
 
-def _within(place: str, article: set[str]) -> bool:
-    return any(place == a or place.startswith(a + "/") for a in article)
-
-
 def set_aside(path: tuple[str, ...]) -> bool:
     """A path through a menu, header, footer, sidebar, notice, advert, form, comment, script or hidden element.
     Words of classes count on containers; html and body may carry any."""
@@ -135,18 +138,47 @@ def slot(path: tuple[str, ...]) -> str:
     return "/".join(p for p in path if _plain(p) not in _INLINE and _plain(p) not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "ul", "ol", "dl", "dt", "dd", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "figure", "figcaption"))
 
 
-def main_text(page: str, article: set[str] | None) -> str:
-    """The text of the article slots; of an <article> or <main> where the host's template names none."""
-    parsed = list(tokens(page))
-    tagged = any(_plain(p) in _ARTICLE for text, path in parsed if text and not set_aside(path) for p in path)
-    out, block = [], []
-    for text, path in parsed:
+def blocks(page: str) -> Iterator[list[tuple[str, str, bool, bool, bool, str]]]:
+    """Block by block its runs: text, slot, set aside or not, in an <article> or <main> or not, in a link or not, place."""
+    known: dict[tuple[str, ...], tuple | None] = {}
+    block: list[tuple] = []
+    for text, path in tokens(page):
         if not text:
-            out.append("".join(block))
+            if block:
+                yield block
             block = []
-        elif not set_aside(path) and (any(_plain(p) in _ARTICLE for p in path) if tagged else not article or _within(slot(path), article)):
-            block.append(entities.unescape(text))
-    out.append("".join(block))
+            continue
+        if path not in known:
+            names = [_plain(p) for p in path]
+            shown = not any(p.endswith("!") or name in _NEVER for p, name in zip(path, names, strict=True))
+            known[path] = (slot(path), set_aside(path), any(x in _ARTICLE for x in names), "a" in names, "/".join(p for p, x in zip(path, names, strict=True) if x not in _INLINE)) if shown else None
+        if known[path]:
+            block.append((entities.unescape(text), *known[path]))
+    if block:
+        yield block
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def _parts(block: list[tuple]) -> dict[tuple[str, int], int]:
+    """(slot, hash of the block's place and text there) of each slot it has, and its length outside links."""
+    runs: dict[str, list[tuple]] = {}
+    for run in block:
+        runs.setdefault(run[1], []).append(run)
+    whole = {at: " ".join("".join(run[0] for run in own).split()) for at, own in runs.items()}
+    return {(at, _hash(f"{runs[at][0][5]}\x00{text}")): sum(len(run[0].strip()) for run in runs[at] if not run[4]) for at, text in whole.items() if text}
+
+
+def main_text(page: str, article: set[str], template: set[int]) -> str:
+    """The page's text: without the host's template text, its article slots, and of other slots what tags allow."""
+    parsed = list(blocks(page))
+    tagged = any(own[3] and not own[2] for block in parsed for own in block)
+    out = []
+    for block in parsed:
+        known = {at for at, text in _parts(block) if text in template} if template else set()
+        out.append("".join(text for text, at, aside, inside, *_ in block if at not in known and (at in article or not aside and (inside or not tagged))))
     return " ".join(x for x in (" ".join(b.split()) for b in out) if x)
 
 
@@ -155,47 +187,41 @@ def _host(url: Column) -> Column:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host of a partition, each slot's and each text run's part of its occurrence vector, and text lengths."""
-    import hashlib
-
+    """Per page, its slots and the blocks there: how often each stands there, and its length outside links."""
     for batch in batches:
         for some in slices(batch, 1_000):
-            found: dict[tuple[str, str, int], list[int]] = {}
-            for page_id, host, url, page in zip(*(some.column(c).to_pylist() for c in ("page_id", "host", "url", "html")), strict=True):
-                page_hash = hashlib.blake2b(f"{page_id} {url}".encode("utf-8", "replace"), digest_size=8).digest()
+            rows: list[tuple] = []
+            for host, page in zip(some.column("host").to_pylist(), some.column("html").to_pylist(), strict=True):
                 own: dict[tuple[str, int], list[int]] = {}
-                for text, path in tokens(page or ""):
-                    if set_aside(path):
-                        continue
-                    entry = own.setdefault((slot(path), int(any(_plain(p) in _ARTICLE for p in path))), [0, 0])
-                    entry[0] += 1
-                    entry[1] += len(text.strip())
-                for (place, tagged), (n, size) in own.items():
-                    entry = found.setdefault((host, place, tagged), [0, 0, 0, 0])
-                    entry[0] ^= int.from_bytes(hashlib.blake2b(b"%d" % n, key=page_hash, digest_size=8).digest(), "little", signed=True)
-                    entry[1] += 1
-                    entry[2] += n
-                    entry[3] += size
-            rows = list(found.items())
-            yield pa.record_batch({
-                "host": pa.array([k[0] for k, _ in rows], pa.string()), "slot": pa.array([k[1] for k, _ in rows], pa.string()), "tagged": pa.array([k[2] for k, _ in rows], pa.int32()),
-                "vector": pa.array([v[0] for _, v in rows], pa.int64()),
-                **{c: pa.array([v[i] for _, v in rows], pa.int64()) for i, c in enumerate(("pages", "times", "size"), 1)},
-            })
+                for block in blocks(page or ""):
+                    for key, size in _parts(block).items():
+                        entry = own.setdefault(key, [0, 0])
+                        entry[0] += 1
+                        entry[1] += size
+                content = _hash(page or "") if own else 0
+                rows += ((host, at, text, content, n, size) for (at, text), (n, size) in own.items())
+            kinds = (pa.string(), pa.string(), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "slot", "block", "content", "n", "size"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and article, the slots of its template that hold its articles' text."""
-    seen = pages.select("page_id", "host", "url", "html").mapInArrow(_occurrences, "host string, slot string, tagged int, vector long, pages long, times long, size long")
-    slots = seen.groupBy("host", "slot", "tagged").agg(
-        F.bit_xor("vector").alias("vector"),
-        *(F.sum(c).alias(c) for c in ("pages", "times", "size")),
-    )
-    total = pages.groupBy("host").agg(F.count("*").alias("total"))
-    valid = slots.join(total, "host").where(F.col("pages") >= SUPPORT * F.col("total"))
-    classes = valid.groupBy("host", "vector", "pages").agg(F.max("tagged").alias("tagged"), F.max("size").alias("size"), F.collect_set(F.when(F.col("size") > 0, F.col("slot"))).alias("slots"))
-    best = classes.groupBy("host").agg(F.max_by("slots", F.struct("tagged", "size", "vector")).alias("article"))
-    return best
+    """host, article (the slots of its template that hold its articles' text) and template (its blocks of template text)."""
+    seen = pages.select("host", "html").mapInArrow(_occurrences, "host string, slot string, block long, content long, n long, size long")
+    seen = staged(seen.distinct(), "html-blocks", "zstd")
+    total = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("total"))
+    total = staged(total.where(F.col("total") >= LEAST_PAGES), "html-totals")
+    enough = F.col("pages") >= SUPPORT * F.col("total")
+    fixed = seen.groupBy("host", "block").agg(F.count("*").alias("pages"), F.min("n").alias("least"), F.max("n").alias("most"))
+    fixed = fixed.where(f"least = most AND pages >= {LEAST_PAGES}").join(total, "host").where(enough)
+    fixed = staged(fixed.select("host", "block"), "html-fixed")
+    other = seen.join(fixed, ["host", "block"], "left_anti").groupBy("host", "slot", "content").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    slots = other.groupBy("host", "slot").agg(F.bit_xor(F.xxhash64("content", "n")).alias("vector"), F.count("*").alias("pages"), F.sum("size").alias("size"))
+    slots = staged(slots, "html-slots")
+    classes = slots.groupBy("host", "vector", "pages").agg(F.sum("size").alias("size"), F.collect_set("slot").alias("article"))
+    whole = slots.groupBy("host").agg(F.sum("size").alias("whole")).join(total, "host")
+    best = classes.join(whole, "host").where(enough).where("size * 2 > whole").select("host", "article")
+    known = fixed.groupBy("host").agg(F.collect_set("block").alias("template"))
+    return best.join(known, "host", "full")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -207,7 +233,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, 1_000):
-                texts = [main_text(p, set(a) if a else None) for p, a in zip(some.column("html").to_pylist(), some.column("article").to_pylist(), strict=True)]
+                texts = [main_text(p, set(a or ()), set(t or ())) for p, a, t in zip(*(some.column(c).to_pylist() for c in ("html", "article", "template")), strict=True)]
                 yield pa.record_batch({"page_id": some.column("page_id"), "url": some.column("url"), "text": pa.array(texts, pa.string())})
 
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "article").mapInArrow(run, "page_id long, url string, text string")
+    return rows.join(known, "host", "left").select("page_id", "url", "html", "article", "template").mapInArrow(run, "page_id long, url string, text string")

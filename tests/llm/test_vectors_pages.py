@@ -102,6 +102,20 @@ def test_equal_pages_on_one_host_are_templates_of_it(spark):
     assert all(f"page {r['page_id']} has its own story" in r["text"] for r in got)
 
 
+def texts(spark, pages):
+    rows = [(i, f"http://h.org/{i}", h) for i, h in enumerate(pages)]
+    return [r["text"] for r in sorted(html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect())]
+
+
+def test_template_decides_over_tags(spark):
+    own = [f"Story {i} tells of number {i * i} at some length and goes on for a while" for i in range(6)]
+    fixed = "<p>Read all our stories for a small monthly fee</p>"
+    got = texts(spark, [f"<body><article>{fixed}<p>{x}</p></article></body>" for x in own])
+    assert got == own  # repeated text is no article, though tagged as one
+    got = texts(spark, [f"<body><main><p>{i}</p></main><div class='widget'><p>{x}</p></div></body>" for i, x in enumerate(own)])
+    assert got == [f"{i} {x}" for i, x in enumerate(own)]  # most of the text is, though named as none
+
+
 def test_real_pages(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html_text.extract(table).collect()}
