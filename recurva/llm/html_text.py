@@ -38,7 +38,9 @@ LEAST_PAGES = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\b(?:hidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true)|style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 # HTML's elements by their part in a page.
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -59,6 +61,17 @@ _CLOSE_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset"
 _BLOCK_LIMITS = {"ul", "ol", "dl", "table", "body", "html", "div", "article", "section", "main"}
 
 
+def hidden(attributes: str) -> bool:
+    """An element so marked by an attribute of its own; the words of its class say nothing."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values).strip().lower()
+        if name == "hidden" and value != "false" or name == "aria-hidden" and value == "true" or name == "style" and _NOT_SHOWN.search(value):
+            return True
+    return False
+
+
 def tokens(page: str) -> Iterator[tuple[str, tuple[str, ...]]]:
     """(text or "", path) in page order. The path names the open elements, with their class, id and role words;
     a "" text marks where an element that separates blocks begins or ends."""
@@ -108,7 +121,7 @@ def tokens(page: str) -> Iterator[tuple[str, tuple[str, ...]]]:
             continue
         words = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
         label = f"{name}.{' '.join(words.lower().split())}" if words else name
-        stack.append((name, label + "!" if _HIDDEN.search(attributes) else label))
+        stack.append((name, label + "!" if hidden(attributes) else label))
         path.append(stack[-1][1])
         if name in _RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)

@@ -116,6 +116,20 @@ def test_template_decides_over_tags(spark):
     assert got == [f"{i} {x}" for i, x in enumerate(own)]  # most of the text is, though named as none
 
 
+def test_other_layouts_and_sections_are_kept(spark):
+    own = [f"Story {i} tells of number {i * i} at some length and goes on for a while" for i in range(9)]
+    pages = [f"<body><div class='x2'><p>{x}</p></div></body>" for x in own[:5]]
+    pages += [f"<body><section class='y'><p>{x}</p></section></body>" for x in own[5:7]]
+    pages += [f"<body><div class='x2'><p>{x}</p></div><div class='x3'><p>More of {x}</p></div></body>" for x in own[7:]]
+    assert texts(spark, pages) == own[:7] + [f"{x} More of {x}" for x in own[7:]]
+
+
+def test_hidden_only_as_an_attribute(spark):
+    shown = "<div class='overflow-hidden'><p>a</p></div><div class=\"is hidden\"><p>b</p></div><div data-x='display:none'><p>c</p></div><div title=\"style='display:none' hidden\"><p>d</p></div>"
+    gone = "<div hidden><p>1</p></div><div HIDDEN=''><p>2</p></div><div class='x' style='color:red; display : none'><p>3</p></div><div aria-hidden=true><p>4</p></div>"
+    assert texts(spark, [f"<body>{shown}{gone}<p>e</p></body>"]) == ["a b c d e"]
+
+
 def test_real_pages(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html_text.extract(table).collect()}
