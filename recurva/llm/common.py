@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, local mode), a temporary one, set from then on."""
+    """The folder in spark.checkpoint.dir. Only a local session may leave it unset: then a temporary one, set from then on."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="recurva-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -23,7 +26,16 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more, because what came from them is a staged table itself."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -43,9 +55,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
         large = staged(large.where("lo < hi").distinct(), name)
+        discard(pairs)
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(least, "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
         small = staged(moved.union(least.select("m", "hi")).where("lo < hi").distinct(), name)
+        discard(large)
         now = small.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if now == before:
             roots = small.select(F.col("lo").alias("node")).distinct()

@@ -6,8 +6,9 @@ doc_lengths, n_ids, crc32 of the ids, and payload. A payload is little-endian: t
 checkpoints (every CHECK_STEPS steps the word position and the LANES lane states from which decoding can start,
 with the crc32 of that stretch), then 32-bit words. Lane i holds the ids i, i + LANES, ...
 
-Defined results: null texts count as empty; null doc_ids come first; rows that repeat are all kept, one result
-row each; an empty table gives an empty result; other columns are left behind.
+Defined results: null texts count as empty; null doc_ids come first; rows of one doc_id stand in order of their
+texts and are all kept, one result row each; a very long text is a block of its own; an empty table gives an empty
+result; other columns are left behind.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recurva.llm.common import shared_dir, staged, texts_of
+from recurva.llm.common import discard, shared_dir, staged, texts_of
 from recurva.llm.tokens import END_ID, encode, slices
 
 SCALE_BITS, LANES, CHECK_STEPS, BLOCK_IDS = 20, 512, 128, 262_144
@@ -134,8 +135,7 @@ def _gathered(tokenizer: str):
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "first": first, "doc_ids": doc_ids, "doc_lengths": lengths, "ids": raw}], kinds)
 
         for batch in batches:
-            for some in slices(batch, 3_000):
-                pa.default_memory_pool().release_unused()
+            for some in slices(batch):
                 bounds, ids = encode(some.column("text"), tokenizer)
                 got = np.bincount(ids, minlength=len(total))
                 got[: len(total)] += total
@@ -159,14 +159,16 @@ def _gathered(tokenizer: str):
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Encode all texts of docs (doc_id, text) in ascending doc_id order into the folder path."""
-    ordered = texts_of(docs).repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    # Rows of one doc_id (or of none) can be many: the beginnings of their texts share them out, in the same order.
+    near = F.substring("text", 1, 32)
+    ordered = texts_of(docs).repartitionByRange("doc_id", near).sortWithinPartitions(F.asc_nulls_first("doc_id"), near, "text")
     blocks = staged(
         ordered.mapInArrow(_gathered(tokenizer), "part int, block int, first long, doc_ids array<long>, doc_lengths array<long>, ids binary"), "id-blocks"
     )
     # At most one row per vocabulary entry reaches the driver.
     seen = blocks.where("block = -1").select(F.explode(F.arrays_zip("doc_ids", "doc_lengths")).alias("x"))
     counts = seen.groupBy(F.col("x.doc_ids").alias("id")).agg(F.sum("x.doc_lengths").alias("n")).collect()
-    blocks = blocks.where("block >= 0")
+    blocks_table, blocks = blocks, blocks.where("block >= 0")
     ids, freqs = frequency_table({r["id"]: r["n"] for r in counts})
     spark = docs.sparkSession
     table = spark.createDataFrame(list(zip(ids.tolist(), freqs.tolist(), strict=True)), "id long, freq long")
@@ -183,6 +185,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str) -> None:
 
     kinds = "part int, block int, first long, doc_ids array<long>, doc_lengths array<long>, n_ids long, crc32 long, payload binary"
     blocks.mapInArrow(coded, kinds).write.option("compression", "none").parquet(f"{path}/blocks")
+    discard(blocks_table)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -1,13 +1,17 @@
 """Retrieval packing: windows filled with a seed document and its nearest unused neighbours by BM25.
 
-Every document is tokenized once. Documents whose most telling id (rarest under a fixed weighted draw) is the same
-come to stand next to each other, in shards of bounded size; a hot id spreads over as many shards as it needs.
-Each shard holds a BM25 inverted index with document frequencies of the whole corpus. A seed's best unused
-neighbours fill its window; what does not fit stays for later windows. What is left at the end of a partition goes
-into windows whose lengths are powers of two, so nothing is padded.
+Every document is tokenized once. Full windows of a long document are sequences of their own; what is left of each
+document, always less than a window, is packed with others. Rests whose documents have the same most telling id
+(rarest under a fixed weighted draw) come to stand next to each other, in shards of bounded size; a hot id spreads
+over as many shards as it needs. Each shard holds a BM25 inverted index with document frequencies of the whole
+corpus. A seed's best unused neighbours fill its window, best first, as long as any shares a query term; only then
+follow others in the shard's order. What does not fit stays for later windows, and what the last window of a shard
+lacks comes from the next shard. What is left at the end of a partition goes into windows whose lengths are powers
+of two, so nothing is padded.
 
 Defined results: a null text is empty and still has its end id; null doc_ids and repeated rows are documents of
-their own; an empty table gives no rows; other columns are left behind.
+their own; very long texts fill windows by themselves, a window at a time; of neighbours with equal scores the one
+earlier in the shard comes first; an empty table gives no rows; other columns are left behind.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ from recurva.llm.tokens import encode, slices
 K1, B = 0.9, 0.4
 #: Ids in a shard: the index of one shard stays within some tens of MB.
 SHARD_IDS = 1_000_000
-#: Terms of a seed that query the index, and neighbours looked at for one window; the next unused documents follow them.
-QUERY_TERMS, NEIGHBOURS = 24, 32
+#: A seed's query: so many of its terms, those that weigh most.
+QUERY_TERMS = 24
+#: Neighbours ranked at first; if all of them leave room, all others that share a query term are ranked as well.
+FIRST = 32
 
 
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -62,38 +68,38 @@ class Shard:
     """A BM25 inverted index over some documents, and the windows made from them."""
 
     def __init__(self, docs: list[tuple], idf: np.ndarray, mean_length: float):
-        self.docs, self.idf = docs, idf
-        lengths = np.array([len(d[2]) for d in docs], np.int64)
+        self.lengths = lengths = np.array([len(d[2]) for d in docs], np.int64)
         flat = np.concatenate([d[2] for d in docs]).astype(np.int64)
         pairs, tf = np.unique(flat * len(docs) + np.repeat(np.arange(len(docs)), lengths), return_counts=True)
-        self.term, self.doc = pairs // len(docs), pairs % len(docs)
+        self.term, self.doc = (pairs // len(docs)).astype(np.int32), (pairs % len(docs)).astype(np.int32)
         norm = K1 * (1 - B + B * lengths / mean_length)
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])
+        self.weight = (idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
         self.begin = np.searchsorted(self.term, np.arange(len(idf) + 1))
         self.by_doc = np.argsort(self.doc, kind="stable")
         self.doc_begin = np.searchsorted(self.doc[self.by_doc], np.arange(len(docs) + 1))
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents by falling score, ties to the earlier one; those sharing no query term are left out."""
         own = self.by_doc[self.doc_begin[seed] : self.doc_begin[seed + 1]]
         terms = self.term[own[np.argsort(-self.weight[own], kind="stable")[:QUERY_TERMS]]]
-        score = np.zeros(len(self.docs))
+        score = np.zeros(len(self.lengths))
         for t in terms.tolist():
             i, j = self.begin[t], self.begin[t + 1]
             score[self.doc[i:j]] += self.weight[i:j]
         score[~unused] = 0
         score[seed] = 0
-        if np.count_nonzero(score) > NEIGHBOURS:
-            least = np.partition(score, -NEIGHBOURS)[-NEIGHBOURS]
-            found = np.flatnonzero(score >= least)
-        else:
-            found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")][:NEIGHBOURS].tolist()
+        found = np.flatnonzero(score)
+        if len(found) > FIRST:
+            least = np.partition(score[found], -FIRST)[-FIRST]
+            some = found[score[found] >= least]
+            yield from some[np.argsort(-score[some], kind="stable")].tolist()
+            found = found[score[found] < least]
+        yield from found[np.argsort(-score[found], kind="stable")].tolist()
 
 
 def pack_shard(docs: list[tuple], idf: np.ndarray, mean_length: float, window: int) -> tuple[list[list[tuple]], list[tuple]]:
     """Windows of exactly `window` ids, each a list of (doc, begin, end), and the pieces that fill none.
-    A doc is (doc_id, begin of its rest, its rest of ids, ids of the whole document)."""
+    A doc is (doc_id, begin of its rest, its rest of ids, ids of the whole document); a rest is below a window."""
     index = Shard(docs, idf, mean_length)
     begin, sizes = [0] * len(docs), [len(d[2]) for d in docs]
     unused = np.array([n > 0 for n in sizes])
@@ -106,19 +112,16 @@ def pack_shard(docs: list[tuple], idf: np.ndarray, mean_length: float, window: i
         unused[i] = begin[i] < sizes[i]
         return space - n
 
-    for i, n in enumerate(sizes):
-        while n - begin[i] >= window:
-            take(i, window, own := [])
-            windows.append(own)
     following = iter(range(len(docs)))
     for seed in range(len(docs)):
         if not unused[seed]:
             continue
         space = take(seed, window, own := [])
-        for i in index.neighbours(seed, unused):
-            if not space:
-                break
-            space = take(i, space, own)
+        if space:
+            for i in index.neighbours(seed, unused):
+                space = take(i, space, own)
+                if not space:
+                    break
         while space:
             i = next((i for i in following if unused[i]), None)
             if i is None:
@@ -133,7 +136,7 @@ def pack_shard(docs: list[tuple], idf: np.ndarray, mean_length: float, window: i
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048) -> DataFrame:
     """A row per piece: doc_id, start (its document's ids before it), length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset (its place there). Every id lies in one piece; a sequence has `window` ids or,
-    at the end of a partition, fewer by a power of two. window must be a power of two."""
+    at the end of a partition, fewer: a power of two. window must be a power of two itself."""
     held = staged(tokenized(docs, tokenizer), "packing-ids", "zstd")
     # At most one row per vocabulary entry reaches the driver.
     counts = {r["id"]: r["n"] for r in held.mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
@@ -146,10 +149,36 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048) -> DataFrame:
     place[np.argsort(-np.log(draw) / np.maximum(idf, 1e-9), kind="stable")] = np.arange(len(df))
     mean_length = n_ids / n_docs or 1.0
 
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The full windows of documents of a window or more."""
+        from pyspark import TaskContext
+
+        sequence = 1 << 62 | TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for some in slices(batch):
+                out = []
+                for doc_id, raw in zip(some.column("doc_id").to_pylist(), some.column("ids"), strict=True):
+                    raw = raw.as_buffer()
+                    for start in range(0, raw.size // 4 - window + 1, window):
+                        out.append((doc_id, start, window, raw[4 * start : 4 * (start + window)].to_pybytes(), raw.size // 4, sequence, 0))
+                        sequence += 1
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(7)], names=names)
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What is left of each document, with its document's most telling id."""
         for batch in batches:
-            keys = [int(place[np.frombuffer(raw.as_buffer(), "<u4")].min()) for raw in batch.column("ids")]
-            yield pa.record_batch({"key": pa.array(keys, pa.int64()), **{c: batch.column(c) for c in batch.schema.names}})
+            for some in slices(batch):
+                out = []
+                for doc_id, raw in zip(some.column("doc_id").to_pylist(), some.column("ids"), strict=True):
+                    raw = raw.as_buffer()
+                    n, start = raw.size // 4, raw.size // 4 // window * window
+                    if start < n:
+                        out.append((int(place[np.frombuffer(raw, "<u4")].min()), doc_id, start, raw[4 * start :].to_pybytes(), n))
+                cells = [pa.array([r[k] for r in out], kind) for k, kind in enumerate([pa.int64()] * 3 + [pa.binary(), pa.int64()])]
+                yield pa.RecordBatch.from_arrays(cells, names=["key", "doc_id", "start", "ids", "doc_tokens"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -164,12 +193,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048) -> DataFrame:
             for own in windows:
                 offset = 0
                 for i, a, b in own:
-                    doc_id, start, ids, whole = docs[i]
-                    out.append((doc_id, start + a, b - a, ids[a:b].tobytes(), whole, sequence, offset))
+                    doc_id, start, ids, n = docs[i]
+                    out.append((doc_id, start + a, b - a, ids[a:b].tobytes(), n, sequence, offset))
                     offset += b - a
                 sequence += 1
-            names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-            kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(7)], names=names)
 
         def close(last: bool) -> pa.RecordBatch:
@@ -180,18 +207,19 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048) -> DataFrame:
             return rows(docs, windows + (powers(own) if last else []))
 
         for batch in batches:
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+            for doc_id, start, raw, n in zip(*(batch.column(c) for c in range(4)), strict=True):
                 ids = np.frombuffer(raw.as_py(), "<u4")
-                rest.append((doc_id, 0, ids, len(ids)))
+                rest.append((doc_id.as_py(), start.as_py(), ids, n.as_py()))
                 size += len(ids)
                 if size >= SHARD_IDS:
                     yield close(False)
         if rest:
             yield close(True)
 
-    keys = held.mapInArrow(keyed, "key long, doc_id long, ids binary").withColumn("salt", F.xxhash64("doc_id", "ids"))
-    near = keys.repartitionByRange("key", "salt").sortWithinPartitions("key", "salt", "doc_id").select("doc_id", "ids")
-    return near.mapInArrow(packed, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    keys = held.mapInArrow(keyed, "key long, doc_id long, start long, ids binary, doc_tokens long").withColumn("salt", F.xxhash64("doc_id", "ids"))
+    near = keys.repartitionByRange("key", "salt").sortWithinPartitions("key", "salt", "doc_id", "doc_tokens").select("doc_id", "start", "ids", "doc_tokens")
+    pieces = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    return held.mapInArrow(whole, pieces).union(near.mapInArrow(packed, pieces))
 
 
 def powers(own: list[tuple]) -> list[list[tuple]]:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 1
 #: Words whose ids a Python worker remembers between batches; at the limit it starts afresh, so memory stays bounded.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
+#: Bytes of text (or other cells) worked on at once; a longer text is worked on alone.
+SLICE = 3_000_000
+#: Letters that stay single letters when lower-cased and in composed form, so that what follows cannot join them.
+_LETTERS = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{148}\x{14A}-\x{17E}\x{410}-\x{44F}]+"
 
 _loaded: dict[str, _Pieces] = {}
 
@@ -70,11 +76,11 @@ class _Pieces:
 
 
 def _split_tail(words: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """Words of letters with , . ; : ! ? | after them, taken apart (the vocabulary does so too); others whole."""
+    """Words of plain letters with , . ; : ! ? | after them, taken apart (the vocabulary does so too); others whole."""
     core = pc.utf8_rtrim(words, ",.;:!?|")
-    plain = pc.match_substring_regex(core, r"^\p{L}+$")
+    plain = pc.match_substring_regex(core, _LETTERS + "$")
     whole = pc.if_else(plain, pc.ascii_lower(core), words)
-    return whole, pc.if_else(plain, pc.replace_substring_regex(words, r"^\p{L}+", ""), "")
+    return whole, pc.if_else(plain, pc.replace_substring_regex(words, _LETTERS, ""), "")
 
 
 def encode(texts: pa.Array, path: str, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +117,15 @@ def encode(texts: pa.Array, path: str, end_id: int | None = END_ID) -> tuple[np.
     return ends[edges].astype(np.int64), pool[at]
 
 
-def slices(batch: pa.RecordBatch, rows: int = 4_000):
-    """Parts of a batch, so that what is made from long texts stays small."""
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many bytes of strings, a longer row alone: what is made from texts stays small."""
+    sizes = np.full(batch.num_rows, 16, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+    pa.default_memory_pool().release_unused()

@@ -280,3 +280,32 @@ def test_query_digests(spark, sf_dir):
         want = {i: (*(sum(s[1] == k for s in spans(t)) for k in range(len(kinds))), brute.digest(spans(t), kinds)[1]) for i, t in texts}
         for r in queries.QUERIES[name](spark, sf_dir).collect():
             assert tuple(r)[1 : len(kinds) + 2] == want[r["doc_id"]]
+
+
+def test_ids_equal_the_library_on_random_texts():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from recurva.llm.tokens import encode
+
+    draw = random.Random(7)
+    parts = ["İ", "i̇", "é", "é", "ñ", "ß", "Σ", "ς", "ŉ", "ſ", "क़", "ড়", "ﬁ", "Å", "ǅ", "한", "각", "́", "̇", "़", *",.!?|;:'_-&",
+             "'s", "’", " ", "  ", "\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", " ", "　", "1", "23", "²", "x", "word", "The", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "😀", "‍", "﻿", "א", "שׁ", "Ö", "Й", "ё", "[UNK]"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(1, 40))) for _ in range(10_000)]
+    bounds, ids = encode(pa.array(texts), VOCABULARY, None)
+    want = [e.ids for e in Tokenizer.from_file(VOCABULARY).encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+
+
+def test_packing_of_long_and_short_documents(spark):
+    rows = [(1, "word " * 20_000), (2, "other " * 2_048), (2, "other " * 2_047), (None, "x"), (None, "x")] + [(i, f"unit{i}") for i in range(10, 300)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), VOCABULARY).collect()
+    of = defaultdict(list)
+    for p in pieces:
+        of[p["sequence_id"]].append(p)
+    assert all(sum(p["length"] for p in own) <= 2048 for own in of.values())
+    assert all(p["length"] == 2048 for p in pieces if p["sequence_id"] >= 1 << 62)
+    assert Counter(len(own) for own in of.values() if own[0]["sequence_id"] >= 1 << 62) == {1: 9 + 1 + 1}
+    assert sum(p["length"] for p in pieces) == sum(len(ids) for ids in brute.ids_of([t for _, t in rows], VOCABULARY))
