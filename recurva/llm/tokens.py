@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 END_ID = 1
 #: Words whose ids a Python worker remembers between batches; at the limit it starts afresh, so memory stays bounded.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 #: Bytes of text (or other cells) worked on at once; a longer text is worked on alone.
 SLICE = 3_000_000
 #: Letters that stay single letters when lower-cased and in composed form, so that what follows cannot join them.
@@ -20,7 +20,7 @@ _loaded: dict[str, _Pieces] = {}
 
 
 class _Pieces:
-    """The ids of the words seen so far, back to back in one pool, found again by Arrow's index_in."""
+    """The ids of the words seen so far, back to back in one pool."""
 
     def __init__(self, path: str):
         import os
@@ -34,41 +34,36 @@ class _Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.sizes, self.pool = pa.array([""], pa.large_string()), np.zeros(1, np.int64), np.zeros(0, "<u4")
-        self.begins = np.zeros(1, np.int64)
-
-    def of(self, words: pa.Array) -> np.ndarray:
-        """Where each word stands in the pool's index; new ones are tokenized and added."""
-        at = pc.index_in(words, value_set=self.words)
-        if at.null_count:
-            new = words.filter(pc.is_null(at))
-            if len(self.words) + len(new) > REMEMBERED and len(self.words) > 1:
-                self.clear()
-                return self.of(words)
+        self.place, self.ends, self.pool = {"": 0}, np.zeros(1, np.int32), np.zeros(0, "<u4")
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Where each word stands in the pool's index; new ones are tokenized and added. The words are distinct."""
+        new = [w for w in words if w not in self.place]
+        if len(self.place) + len(new) > REMEMBERED and len(self.place) > 1:
+            self.clear()
+            new = [w for w in words if w]
+        if new:
             self._add(new)
-            at = pc.index_in(words, value_set=self.words)
-        return at.to_numpy(zero_copy_only=False).astype(np.int64)
-
-    def _add(self, words: pa.Array) -> None:
-        letters = pc.match_substring_regex(words, r"^\p{L}+$")
-        plain, other = words.filter(letters), words.filter(pc.invert(letters))
-        sizes, ids = [self.sizes], [self.pool]
-        listed = plain.to_pylist()
-        for at in range(0, len(listed), 500):
-            some = listed[at : at + 500]
+        return np.fromiter(map(self.place.__getitem__, words), np.int32, len(words))
+
+    def _add(self, words: list[str]) -> None:
+        letters = pc.match_substring_regex(pa.array(words, pa.large_string()), r"^\p{L}+$").to_pylist()
+        plain, other = [w for w, own in zip(words, letters, strict=True) if own], [w for w, own in zip(words, letters, strict=True) if not own]
+        sizes, ids = [np.diff(self.ends, prepend=0)], [self.pool]
+        for at in range(0, len(plain), 500):
+            some = plain[at : at + 500]
             got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.final[got]) + 1
             if len(ends) != len(some) or ends[-1] != len(got):  # not one piece a word after all
                 got, ends = self._each(some)
             sizes.append(np.diff(ends, prepend=0))
             ids.append(got)
-        if len(other):
-            got, ends = self._each(other.to_pylist())
+        if other:
+            got, ends = self._each(other)
             sizes.append(np.diff(ends, prepend=0))
             ids.append(got)
-        self.words = pa.concat_arrays([self.words, plain, other])
-        self.sizes, self.pool = np.concatenate(sizes), np.concatenate(ids)
-        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.place.update(zip(plain + other, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.ends, self.pool = np.cumsum(np.concatenate(sizes), dtype=np.int32), np.concatenate(ids)
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -97,12 +92,14 @@ def encode(texts: pa.Array, path: str, end_id: int | None = END_ID) -> tuple[np.
     words = lists.flatten().dictionary_encode()
     at = words.indices.to_numpy(zero_copy_only=False)
     both = [x.dictionary_encode() for x in _split_tail(words.dictionary)]
-    known = pieces.of(pa.concat_arrays([x.dictionary for x in both]))
+    distinct = pa.concat_arrays([x.dictionary for x in both]).dictionary_encode()
+    known = pieces.of(distinct.dictionary.to_pylist())[distinct.indices.to_numpy(zero_copy_only=False)]
     head = known[: len(both[0].dictionary)][both[0].indices.to_numpy(zero_copy_only=False)]
     tail = known[len(both[0].dictionary) :][both[1].indices.to_numpy(zero_copy_only=False)]
     units = np.empty(2 * len(at), np.int32)  # a batch has far fewer than 2**31 words and ids
     units[0::2], units[1::2] = head[at], tail[at]
-    begins, sizes, pool = pieces.begins.astype(np.int32), pieces.sizes.astype(np.int32), pieces.pool
+    sizes, pool = np.diff(pieces.ends, prepend=np.int32(0)), pieces.pool
+    begins = pieces.ends - sizes
     edges = 2 * (lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py())
     if end_id is not None:
         begins, sizes = np.append(begins, np.int32(len(pool))), np.append(sizes, np.int32(1))
