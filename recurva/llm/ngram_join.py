@@ -1,19 +1,21 @@
 """Similarity groups over word-shingle sets: a size-aware heavy-light join by Jaccard similarity.
 
 Equal sets are one node from the start. All sets share one order of shingles, rare ones first (by a count sketch of
-the whole corpus, whose size is a parameter), so two sets that link share a shingle among the first few of both, and
-even a pair of them among slightly more. A light (small) set enumerates all pairs of its first shingles; a heavy one
-stands in the inverted lists of its first single shingles, where it also meets light sets of nearly its size. The
-boundary is the size at which the measured cost, list entries met against pairs enumerated, is least.
+the whole corpus), so two sets that link share a shingle among the first few of both, and even a pair of them among
+slightly more. A light (small) set enumerates all pairs of its first shingles; a heavy one stands in the inverted
+lists of its first single shingles, where it also meets light sets of nearly its size. The boundary is the size at
+which the expected cost, list entries met against pairs enumerated, is least; it is known before any key is made.
 
-Within lists no pairs are listed wholesale: rounds of stars link every member to two members of its list that a hash
-picks, verified links make components, and lists that lie in one component are done. For what remains, members of
-different components meet in blocks of bounded size, and parity bitmaps of the sets drop pairs that cannot link
-before anything is compared exactly.
+Keys are shuffled once, those of hot shingles by size and a salt. A list falls into runs of sizes that can link; a
+member alone in its run is dropped. No pairs are listed wholesale: first every member of a list meets two others of
+it that a hash picks, then, of what verified links have not joined, one of each other component, and only then all
+of different components, in blocks of bounded size. Sizes and parity bitmaps drop pairs that cannot link before
+anything is compared exactly.
 
 Defined results: a text that is null or has no words has n_shingles 0 and is its own component; null doc_ids never
-name a component unless all its members are null; repeated rows are members like any other; an empty table gives an
-empty result; other columns are left behind.
+name a component unless all its members are null; repeated rows are members like any other; very long texts are
+sets like any other, their bitmaps grow with them; an empty table gives an empty result; other columns are left
+behind.
 """
 
 from __future__ import annotations
@@ -29,11 +31,14 @@ from recurva.llm.common import components, staged, texts_of
 from recurva.llm.shingles import mix, shingle_sets
 from recurva.llm.tokens import slices
 
-#: Largest set that may count as light; words of a parity bitmap, at least; counters that travel together; members that meet in a block.
-LIGHT_MOST, WORDS, CHUNK, BLOCK = 64, 8, 16_384, 512
-#: Words of the brief bitmap that travels with every list entry; it tells sets of up to some 600 members apart.
-BRIEF = 4
-STAR_ROUNDS = 2
+#: Counters of the sketch, as a power of two, and how many travel together.
+SKETCH_BITS, CHUNK = 19, 16_384
+#: Words of a parity bitmap, at least, and of the brief one that meets the members of a list.
+WORDS, BRIEF = 8, 4
+#: Members that meet in a block; list entries beyond the mean from which a shingle is hot and its list is salted.
+BLOCK, HOT = 512, 50_000
+#: Pairs compared at once.
+PAIRS = 500_000
 
 
 def set_id(own: np.ndarray, salt: int) -> int:
@@ -54,101 +59,270 @@ def needed(total: Column, percent: int) -> Column:
     return F.ceil(total * percent / F.lit(100 + percent) - 1e-9).cast("int")
 
 
-def _summaries(n: int, bits: int):
-    """A row per document (its set's id, a second hash, size and bitmap), and at the end of a partition its counts."""
+def _summaries(n: int):
+    """A row per document (its set's id, a second hash, size and bitmaps), and at the end of a partition its counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counts = np.zeros(1 << bits, np.int64)
-        mask = np.uint64((1 << bits) - 1)
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        mask = np.uint64(len(counts) - 1)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
         names = ["doc_id", "sid", "second", "n", "bitmap", "brief", "chunk", "task", "counts"]
         for batch in batches:
             for some in slices(batch):
                 rows = []
                 for doc_id, own in zip(some.column("doc_id").to_pylist(), shingle_sets(some.column("text"), n), strict=True):
-                    counts += np.bincount((own & mask).astype(np.int64), minlength=1 << bits) if len(own) > 1 << bits else 0
-                    if len(own) <= 1 << bits:
-                        np.add.at(counts, (own & mask).astype(np.int64), 1)
+                    np.add.at(counts, (own & mask).astype(np.int64), 1)
                     rows.append((doc_id, set_id(own, 0), set_id(own, 1), len(own), parity(own), parity(own, BRIEF), None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(9)], names=names)
         task = TaskContext.get().partitionId()
         for c in range(0, len(counts), CHUNK):
-            row = (None, None, None, None, None, None, c // CHUNK, task, counts[c : c + CHUNK].astype("<i8").tobytes())
+            row = (None, None, None, None, None, None, c // CHUNK, task, counts[c : c + CHUNK].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([row[i]], kinds[i]) for i in range(9)], names=names)
 
     return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, chunk = 0, None
-    for batch in batches:
-        chunk = batch.column("chunk")[0].as_py()
-        for raw in batch.column("counts"):
-            total = total + np.frombuffer(raw.as_py(), "<i8")
-    yield pa.record_batch({"chunk": pa.array([chunk], pa.int32()), "counts": pa.array([np.asarray(total, "<i8").tobytes()], pa.binary())})
+def _added(kind: str):
+    """The sums of counters of the type `kind`, as 64-bit ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, chunk = np.zeros(CHUNK, np.int64), None
+        for batch in batches:
+            chunk = batch.column("chunk")[0].as_py()
+            for raw in batch.column("counts"):
+                total += np.frombuffer(raw.as_py(), kind)
+        yield pa.record_batch({"chunk": pa.array([chunk], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+
+    return run
+
 
+class Rarity:
+    """What the count sketch says of shingles: how far each counter stands out from the mean."""
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    """How far each counter stands out from the mean, in doublings; a rough, shared notion of rare."""
-    mean = counts.mean() if len(counts) else 0.0
-    over = np.maximum(0, counts - mean) / (8 * np.sqrt(mean) + 1)
-    return np.ceil(np.log2(1 + over)).astype(np.uint8)
+    def __init__(self, counts: np.ndarray):
+        mean = counts.mean() if len(counts) else 0.0
+        noise = 8 * np.sqrt(mean) + 1
+        self.over = np.maximum(0, counts - mean - noise).astype(np.float32)
+        # In doublings: a rough, shared notion of rare.
+        self.level = np.ceil(np.log2(1 + np.maximum(0, counts - mean) / noise)).astype(np.uint8)
+        self.mask = np.uint64(len(counts) - 1)
 
+    def at(self, own: np.ndarray) -> np.ndarray:
+        return (own & self.mask).astype(np.int64)
 
-def _keys(n: int, percent: int, levels: np.ndarray):
-    """A row per key of a set, each set once a task: single shingles (kind 0) and, of small sets, pairs (kind 1)."""
-    mask = np.uint64(len(levels) - 1)
+    def ordered(self, own: np.ndarray) -> np.ndarray:
+        return own[np.argsort(self.level[self.at(own)], kind="stable")]
+
+    def salts(self, own: np.ndarray) -> np.ndarray:
+        """Into how many parts the lists of shingles are cut, 1 for all but hot ones."""
+        return 1 + (self.over[self.at(own)] / HOT).astype(np.int64)
+
+
+def _heads(own: np.ndarray, percent: int, rarity: Rarity) -> tuple[np.ndarray, np.ndarray]:
+    """A set's first single shingles and its first ones for pairs: a partner shares all but so many of its members."""
+    drop = len(own) - -(-percent * len(own) // 100)
+    order = rarity.ordered(own)[: drop + 2]
+    return order[: drop + 1], order
+
+
+def _costs(n: int, percent: int, rarity: Rarity):
+    """By size of set, what its single keys and what its pairs are expected to cost, added up for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        cost: dict[int, list[float]] = {}
         for batch in batches:
             for some in slices(batch):
-                keys, sids, sizes, kinds = [], [], [], []
                 for own in shingle_sets(some.column("text"), n):
-                    r, sid = len(own), set_id(own, 0)
-                    if not r or sid in seen:
+                    if len(own) < 2:
+                        continue
+                    single, double = _heads(own, percent, rarity)
+                    met = 1 + np.sort(rarity.over[rarity.at(double)])
+                    entry = cost.setdefault(len(own), [0.0, 0.0])
+                    entry[0] += float((1 + rarity.over[rarity.at(single)]).sum())
+                    # A pair's list is as long as its rarer shingle's at most.
+                    entry[1] += float((met * np.arange(len(met) - 1, -1, -1)).sum())
+        rows = [(size, *both) for size, both in cost.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.float64(), pa.float64()))], names=["n", "single", "double"])
+
+    return run
+
+
+def _boundary(costs: DataFrame) -> int:
+    """Sizes below it are light. At most a row per size of set reaches the driver."""
+    gain, best, total = 0.0, 0, 0.0
+    for r in sorted(costs.groupBy("n").agg(F.sum("single").alias("single"), F.sum("double").alias("double")).collect()):
+        total += r["single"] - r["double"]
+        if total > gain:
+            gain, best = total, r["n"] + 1
+    return best
+
+
+def _size_class(r: int, percent: int) -> int:
+    """Sizes that can link are of one class or of neighbouring ones."""
+    return int(np.floor(np.log(r) / np.log(100 / percent) + 1e-9)) if percent < 100 else r
+
+
+def _keys(n: int, percent: int, rarity: Rarity, edge: int):
+    """A row per key of a set, each set once a task: single shingles of heavy sets and of those nearly as large,
+    pairs of light ones. salts > 1 marks the lists of hot shingles, whose keys go by size class as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
+        for batch in batches:
+            for some in slices(batch):
+                keys, sids, sizes, parts = [], [], [], []
+                sets = list(shingle_sets(some.column("text"), n))
+                ids = np.array([set_id(own, 0) for own in sets], np.int64)
+                first = np.zeros(len(ids), bool)
+                first[np.unique(ids, return_index=True)[1]] = True
+                for own, sid in ((sets[i], ids[i]) for i in np.flatnonzero(first & ~np.isin(ids, seen))):
+                    r = len(own)
+                    if not r:
                         continue
-                    seen.add(sid)
-                    drop = r - -(-percent * r // 100)  # a partner shares all but so many of them at least
-                    order = own[np.argsort(levels[(own & mask).astype(np.int64)], kind="stable")]
-                    made = [(0, mix(order[: drop + 1]))]
-                    if 1 < r <= LIGHT_MOST:
-                        head = order[: drop + 2]
-                        i, j = np.triu_indices(len(head), 1)
-                        made.append((1, mix(mix(np.minimum(head[i], head[j])) + np.maximum(head[i], head[j]))))
-                    for kind, got in made:
+                    single, double = _heads(own, percent, rarity)
+                    made = []
+                    if r >= edge or r * 100 >= edge * percent:
+                        made.append((mix(single), rarity.salts(single)))
+                    if 1 < r < edge:
+                        i, j = np.triu_indices(len(double), 1)
+                        salts = rarity.salts(double)
+                        made.append((mix(mix(np.minimum(double[i], double[j])) + np.maximum(double[i], double[j])), np.minimum(salts[i], salts[j])))
+                    for got, salts in made:
+                        if (salts > 1).any():
+                            own_class, hot = _size_class(r, percent), salts > 1
+                            both = [mix(got[hot] + np.uint64(c)) for c in (own_class, own_class + 1)]
+                            got, salts = np.concatenate([got[~hot], *both]), np.concatenate([salts[~hot], salts[hot], salts[hot]])
                         keys.append(got.view(np.int64))
                         sids.append(np.full(len(got), sid))
                         sizes.append(np.full(len(got), r, np.int32))
-                        kinds.append(np.full(len(got), kind, np.int8))
+                        parts.append(salts.astype(np.int32))
+                seen = ids  # copies often stand near one another; what is left of them goes in the lists
                 if keys:
-                    cells = [np.concatenate(x) for x in (keys, sids, sizes, kinds)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["key", "sid", "n", "kind"])
+                    key, sid, size, salts = (np.concatenate(x) for x in (keys, sids, sizes, parts))
+                    yield pa.record_batch({"key": pa.array(key), "sid": pa.array(sid), "n": pa.array(size), "salts": pa.array(salts), "salt": pa.array((sid % salts).astype(np.int32))})
 
     return run
 
 
-def _boundary(entries: DataFrame) -> int:
-    """Sizes below it are light. Cost of a heavy set: the other entries of its lists; of a light one: its pairs and
-    their lists. At most LIGHT_MOST rows reach the driver."""
-    by = entries.where(F.col("n") <= LIGHT_MOST).groupBy("n", "kind").agg(F.sum("members").alias("cost"))
-    cost = {(r["n"], r["kind"]): r["cost"] for r in by.collect()}
-    gain, best, total = 0, 0, 0
-    for n in range(1, LIGHT_MOST + 1):
-        total += cost.get((n, 0), 0) - cost.get((n, 1), 0)
-        if total > gain:
-            gain, best = total, n + 1
-    return best
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of rows that are sorted by the columns `by`, and where the groups begin. A group that
+    goes on in the next batch waits for it."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        starts = np.flatnonzero(_changes(table, by))
+        if len(starts) > 1:
+            yield table.slice(0, int(starts[-1])), starts[:-1]
+        held = table.slice(int(starts[-1])) if len(starts) else None
+    if held is not None and held.num_rows:
+        yield held, np.zeros(1, np.int64)
+
+
+def _changes(table: pa.Table, by: list[str]) -> np.ndarray:
+    out = np.zeros(table.num_rows, bool)
+    out[:1] = True
+    for c in by:
+        x = table.column(c).to_numpy()
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
+def _runs(percent: int):
+    """(list, sid, n, members) from entries sorted by key, salt, size and set: each entry once, lists cut where sizes
+    jump beyond what can link, runs of one member left out. A hot list stays whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _ in _whole_groups(batches, ["key", "salt"]):
+            new = _changes(table, ["key", "salt"])
+            key, sid, n, salts = (table.column(c).to_numpy() for c in ("key", "sid", "n", "salts"))
+            once = new.copy()
+            once[1:] |= sid[1:] != sid[:-1]
+            key, sid, n, salts, new = key[once], sid[once], n[once].astype(np.int64), salts[once], new[once]
+            new[1:] |= (salts[1:] == 1) & (n[:-1] * 100 < n[1:] * percent)
+            starts = np.flatnonzero(new)
+            lengths = np.diff(np.append(starts, len(key)))
+            of = np.repeat(np.arange(len(starts)), lengths)
+            hot = salts > 1
+            keep = hot | (lengths[of] > 1)
+            name = np.where(hot, key, mix(key.view(np.uint64) + mix(n[starts][of].astype(np.uint64))).view(np.int64))
+            members = np.where(hot, salts * HOT, lengths[of])
+            yield pa.record_batch({"list": pa.array(name[keep]), "sid": pa.array(sid[keep]), "n": pa.array(n[keep].astype(np.int32)), "members": pa.array(members[keep].astype(np.int64))})
+
+    return run
+
+
+def _stars(percent: int):
+    """Pairs (a, b): every member of a list with the two of it that a hash puts first and last. The hash is the same
+    for all lists, so that lists with the same members pick the same two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_groups(batches, ["list"]):
+            sid, n = table.column("sid").to_numpy(), table.column("n").to_numpy().astype(np.int64)
+            if not len(sid):
+                continue
+            mixed = mix(sid.view(np.uint64))
+            lengths = np.diff(np.append(starts, len(sid)))
+            out = []
+            for pick in (np.minimum, np.maximum):
+                best = np.flatnonzero(mixed == np.repeat(pick.reduceat(mixed, starts), lengths))
+                hub = best[np.searchsorted(best, starts)].repeat(lengths)
+                small, large = np.minimum(n, n[hub]), np.maximum(n, n[hub])
+                keep = (sid != sid[hub]) & (small * 100 >= large * percent)
+                out.append(np.stack((np.minimum(sid, sid[hub])[keep], np.maximum(sid, sid[hub])[keep])))
+            pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+            yield pa.record_batch({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+
+    return run
+
+
+def _met(percent: int, every: bool):
+    """Pairs (a, b) of members of different components that sizes and brief bitmaps allow, from groups (list, i, j)
+    of two blocks of a list; without `every` only one pair of a member and each other component in a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_groups(batches, ["list", "i", "j"]):
+            sid, label, block = (table.column(c).to_numpy() for c in ("sid", "label", "block"))
+            n = table.column("n").to_numpy().astype(np.int64)
+            i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
+            bits = table.column("brief").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BRIEF)
+            lengths = np.diff(np.append(starts, len(sid)))
+            for size in np.unique(lengths[lengths > 1]).tolist():
+                x, y = np.triu_indices(size, 1)
+                own = starts[lengths == size]
+                step = max(1, PAIRS // len(x))
+                for at in range(0, len(own), step):
+                    a, b = ((own[at : at + step, None] + side).ravel() for side in (x, y))
+                    total = n[a] + n[b]
+                    most = total - 2 * -(-total * percent // (100 + percent))
+                    keep = (label[a] != label[b]) & ((i[a] == j[a]) | (block[a] != block[b]))
+                    keep &= np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent
+                    a, b, most = a[keep], b[keep], most[keep]
+                    differ = np.zeros(len(a), np.int64)
+                    for w in range(BRIEF):
+                        differ += np.bitwise_count(bits[a, w] ^ bits[b, w])
+                    a, b = a[differ <= most], b[differ <= most]
+                    if not every and len(a):
+                        group = np.searchsorted(starts, a, "right")
+                        first = np.unique(np.stack((group, sid[a], label[b])), axis=1, return_index=True)[1]
+                        a, b = a[first], b[first]
+                    if len(a):
+                        pairs = np.unique(np.stack((np.minimum(sid[a], sid[b]), np.maximum(sid[a], sid[b]))), axis=1)
+                        yield pa.record_batch({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+
+    return run
 
 
 def _survivors(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of set ids those that sizes and bitmaps allow to link."""
-    bits = F.struct("n", "bitmap")
-    left, right = (nodes.select(F.col("sid").alias(c), bits.alias(f"{c}_set")) for c in "ab")
-    both = pairs.distinct().join(left, "a").join(right, "b").where(_may_link("a_set", "b_set", percent))
-    return staged(both.select("a", "b"), "join-survivors")
+    """Of pairs (a, b) of set ids those that sizes and bitmaps allow to link: the brief ones first, then the whole."""
+    both = pairs.distinct()
+    for bitmap in ("brief", "bitmap"):
+        left, right = (nodes.select(F.col("sid").alias(c), F.struct("n", F.col(bitmap).alias("bitmap")).alias(f"{c}_set")) for c in "ab")
+        both = both.join(left, "a").join(right, "b").where(_may_link("a_set", "b_set", percent)).select("a", "b")
+        both = staged(both, f"join-{bitmap}")
+    return both
 
 
 def _exact_sets(texts: DataFrame, firsts: DataFrame, n: int) -> DataFrame:
@@ -208,49 +382,33 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     doc_id reachable by links."""
     spark = docs.sparkSession
     texts = texts_of(docs)
-    bits = min(22, max(14, int(docs.count()).bit_length()))
     kinds = "doc_id long, sid long, second long, n int, bitmap array<long>, brief array<long>, chunk int, task int, counts binary"
-    summary = staged(texts.mapInArrow(_summaries(n, bits), kinds), "join-summary", "zstd")
+    summary = staged(texts.mapInArrow(_summaries(n), kinds), "join-summary", "zstd")
     members = summary.where("chunk IS NULL").select("doc_id", "sid", "n")
     parts = summary.where("chunk IS NOT NULL").select("chunk", (F.col("task") % 64).alias("part"), "counts")
-    parts = parts.groupBy("chunk", "part").applyInArrow(_added, "chunk int, counts binary")
-    # 2 ** bits counters in all, a size set above.
-    rows = parts.groupBy("chunk").applyInArrow(_added, "chunk int, counts binary").collect()
-    counts = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sorted(rows)]) if rows else np.zeros(1 << bits, np.int64)
+    parts = parts.groupBy("chunk", "part").applyInArrow(_added("<u4"), "chunk int, counts binary")
+    # 2 ** SKETCH_BITS counters in all.
+    rows = parts.groupBy("chunk").applyInArrow(_added("<i8"), "chunk int, counts binary").collect()
+    rarity = Rarity(np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sorted(rows)]) if rows else np.zeros(1 << SKETCH_BITS, np.int64))
     nodes = summary.where("chunk IS NULL AND n > 0").groupBy("sid").agg(
         F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("brief").alias("brief"), F.min("second").alias("low"), F.max("second").alias("high")
     )
     nodes = staged(nodes, "join-nodes")
     if not nodes.where("low <> high").isEmpty():
         raise ValueError("two different sets have one 64-bit id")
-    entries = staged(texts.select("text").mapInArrow(_keys(n, percent, _levels(counts)), "key long, sid long, n int, kind byte"), "join-keys", "zstd")
-    lists = entries.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("members")).where("low <> high")
-    entries = staged(entries.join(lists.select("key", "members"), "key").dropDuplicates(["key", "sid"]), "join-lists")
-    edge = _boundary(entries)
-    entries = entries.where(F.expr(f"IF(kind = 0, n * 100 >= {edge * percent}, n < {edge})")).select("key", "sid")
-    label = F.coalesce("component", "sid")
-    sets = spark.createDataFrame([], "sid long, members binary")
-    links = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, component long")
-    for k in range(STAR_ROUNDS + 1):
-        named = entries.join(labels, F.col("sid") == F.col("node"), "left").select("key", "sid", label.alias("label")) if k else entries.withColumn("label", F.col("sid"))
-        turn = F.xxhash64(F.lit(k))  # the same for all lists, so that lists with the same members pick the same two
-        mixed = named.groupBy("key").agg(
-            F.min(F.col("sid").bitwiseXOR(turn)).alias("low"), F.max(F.col("sid").bitwiseXOR(turn)).alias("high"), F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("members")
-        )
-        mixed = staged(mixed.where("least <> most").select("key", "members", *(F.col(c).bitwiseXOR(turn).alias(c) for c in ("low", "high"))), "join-mixed")
-        if mixed.isEmpty():
-            break
-        named = named.join(mixed, "key")
-        if k < STAR_ROUNDS:
-            hubs = named.select("sid", "label", F.explode(F.array("low", "high")).alias("hub")).where("sid <> hub").distinct()
-            if k:
-                other = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_label"))
-                hubs = hubs.join(other, "hub", "left").where(F.col("label") != F.coalesce("hub_label", "hub"))
-            pairs = hubs.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
+    edge = _boundary(texts.select("text").mapInArrow(_costs(n, percent, rarity), "n int, single double, double double"))
+    entries = texts.select("text").mapInArrow(_keys(n, percent, rarity, edge), "key long, sid long, n int, salts int, salt int")
+    entries = entries.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "sid")
+    lists = staged(entries.mapInArrow(_runs(percent), "list long, sid long, n int, members long"), "join-lists", "zstd")
+    sets, links, labels = spark.createDataFrame([], "sid long, members binary"), spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, component long")
+    for turn in ("stars", "one", "every"):
+        if turn == "stars":
+            pairs = lists.mapInArrow(_stars(percent), "a long, b long")
         else:
-            pairs = _across(named.select("key", "sid", "label", "members"), nodes, percent)
+            pairs = _across(lists, nodes, labels, percent, turn == "every")
         pairs = _survivors(pairs, nodes, percent)
+        if turn != "stars":
+            pairs = pairs.join(links, ["a", "b"], "left_anti")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid"), "sid", "left_anti")
         firsts = staged(nodes.join(ends, "sid", "left_semi").select(F.col("first").alias("doc_id"), "sid"), "join-firsts")
         sets = sets.union(_exact_sets(texts, firsts, n))
@@ -259,6 +417,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             continue
         links = links.union(got)
         labels = staged(components(links, "join-components"), "join-labels")
+    label = F.coalesce("component", "sid")
     first = nodes.join(labels, F.col("sid") == F.col("node"), "left").select("sid", label.alias("label"), "first")
     least = first.groupBy("label").agg(F.min("first").alias("component_id"))
     named = staged(first.select("sid", "label").join(least, "label").select("sid", "component_id"), "join-named")
@@ -266,14 +425,15 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _across(named: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _across(lists: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
     """Pairs of a list's members in different components that size and bitmap allow. A list of m members is cut into
     blocks of BLOCK; every block meets every other, so what meets in a task is bounded."""
-    full = named.join(nodes.select("sid", F.struct("n", F.col("brief").alias("bitmap")).alias("set")), "sid")
+    known = nodes.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "brief", F.coalesce("component", "sid").alias("label"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("sid"), blocks).cast("int")
-    full = full.withColumn("block", block).withColumn("blocks", blocks)
-    a = full.select("key", F.col("sid").alias("a"), F.col("label").alias("a_label"), F.col("set").alias("a_set"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    b = full.select("key", F.col("sid").alias("b"), F.col("label").alias("b_label"), F.col("set").alias("b_set"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-    met = a.join(b, ["key", "i", "j"]).where(F.col("a") < F.col("b")).where(F.col("a_label") != F.col("b_label"))
-    return met.where(_may_link("a_set", "b_set", percent)).select("a", "b")
+    full = lists.join(known, "sid").withColumn("block", block).withColumn("blocks", blocks)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    full = full.select("list", "sid", "n", "brief", "label", "block", other)
+    full = full.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "n", "brief", "label", "block")
+    full = full.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
+    return full.mapInArrow(_met(percent, every), "a long, b long")
