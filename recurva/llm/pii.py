@@ -3,14 +3,17 @@
 Base spans come from fixed rules and always stay. Wider patterns propose further segments; whole-span features
 (checksum, digits, separators, what stands beside them, words before them) score each as a type, and a dynamic
 programme over a region's segments chooses boundaries and types jointly. Weights are learned by maximum likelihood
-from the base spans of a bounded sample of documents.
+from the base spans of a bounded sample of documents; their regions become features on the executors, so only
+numbers reach the driver.
 
-Defined results: a null text is empty; null doc_ids and repeated rows are kept, one result row each; an empty table
-gives an empty result; other columns are left behind.
+Defined results: a null text is empty; null doc_ids and repeated rows are kept, one result row each; very long texts
+are read whole, in time proportional to their length; of choices with equal scores the one with fewer, earlier
+segments counts; an empty table gives an empty result; other columns are left behind.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -20,15 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recurva.llm.common import staged, texts_of
+from recurva.llm.tokens import slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents whose regions train the field, at most, and their code points, below; shorter ones stand for all.
-TRAIN_DOCS, TRAIN_LENGTH = 2_000, 20_000
+#: Documents whose regions train the field, at most, and those regions, at most.
+TRAIN_DOCS, TRAIN_REGIONS = 2_000, 10_000
 
-# The base rules. Emails are found from their @, so a long run without one costs nothing.
+# The base rules. Emails are found from their @, and no address begins inside a run of digits, so long
+# runs cost no more than their length.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -39,6 +44,10 @@ _WIDER = {
     "card": re.compile(r"(?<![0-9])(?:[0-9]{4}[./_ ]){3}[0-9]{4}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9A-Za-z])(?:00[1-9][0-9]{0,2}|\([0-9]{2,4}\))[\x20.-]?[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,4}(?![0-9])"),
 }
+_AT = re.compile(r"[\[(]at[\])]")
+#: What a wider email spans at most before and after its (at).
+_REACH = (66, 420)
+_NOT_DIGITS = re.compile(r"[^0-9]+")
 _HINTS = {
     "email": re.compile(r"(?i)(e-?mail|contact|write|@)"),
     "ip": re.compile(r"(?i)\b(ip|host|server|addr)"),
@@ -48,15 +57,13 @@ _HINTS = {
 
 
 def luhn(digits: str) -> bool:
-    total = 0
-    for i, d in enumerate(reversed(digits)):
-        x = ord(d) - 48
-        total += x if i % 2 == 0 else (2 * x if x < 5 else 2 * x - 9)
-    return total % 10 == 0
+    each = np.frombuffer(digits.encode(), np.uint8)[::-1].astype(np.int64) - 48
+    twice = 2 * each[1::2]
+    return (each[::2].sum() + (twice - 9 * (twice > 9)).sum()) % 10 == 0
 
 
 def _digits(s: str) -> str:
-    return "".join(c for c in s if "0" <= c <= "9")
+    return _NOT_DIGITS.sub("", s)
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -90,13 +97,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _wider(text: str) -> Iterator[tuple[int, int, int]]:
+    at = _AT.search(text)
+    while at:  # emails are sought around each (at) alone
+        for m in _WIDER["email"].finditer(text, max(0, at.start() - _REACH[0]), min(len(text), at.end() + _REACH[1])):
+            yield m.start(), 0, m.end()
+        at = _AT.search(text, at.end())
+    for kind, name in enumerate(KINDS[1:], 1):
+        if name != "ip" or ":" in text:
+            yield from ((m.start(), kind, m.end()) for m in _WIDER[name].finditer(text))
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Segments (start, kind, end) that might be personal data: base spans, failing matches, and wider forms."""
     found = set(base)
     for kind, pattern in ((1, _IP), (2, _CARD), (3, _PHONE)):
         found.update((m.start(), kind, m.end()) for m in pattern.finditer(text) if m.end() - m.start() >= 7)
-    for kind, name in enumerate(KINDS):
-        found.update((m.start(), kind, m.end()) for m in _WIDER[name].finditer(text))
+    found.update(_wider(text))
     return sorted(found)
 
 
@@ -178,20 +195,28 @@ def marginals(segments: list[tuple[int, int, int]], scores: np.ndarray) -> tuple
     return chosen, float(forward[n])
 
 
-def fit(texts: list[str], rounds: int = 60, rate: float = 0.5, shrink: float = 1e-3) -> np.ndarray:
-    """Weights by gradient ascent on the likelihood of the base spans among the candidates."""
-    data = []
-    for text in texts:
-        base = base_spans(text)
-        for own in regions(candidates(text, base)):
-            gold = set(best_choice(own, np.array([1.0 if s in base else -1.0 for s in own])))
-            data.append((own, np.array([features(text, *s) for s in own]), np.array([i in gold for i in range(len(own))], float)))
+def training(text: str) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]]:
+    """A text's regions: segments, their features, and which of them the base rules choose."""
+    base = base_spans(text)
+    known = set(base)
+    for own in regions(candidates(text, base)):
+        gold = set(best_choice(own, np.array([1.0 if s in known else -1.0 for s in own])))
+        yield own, np.array([features(text, *s) for s in own]), np.array([i in gold for i in range(len(own))], float)
+
+
+def fit(data: list[tuple], rounds: int = 60, rate: float = 0.5, shrink: float = 1e-3) -> np.ndarray:
+    """Weights by gradient ascent on the likelihood of the base spans among the candidates of regions. A region of one
+    segment is a matter of that segment alone; those are done together."""
     weights = np.zeros(N_FEATURES * len(KINDS))
     squares = np.full_like(weights, 1e-6)
+    alone = [(x[0], gold[0]) for own, x, gold in data if len(own) == 1]
+    single, wanted = np.array([x for x, _ in alone]).reshape(len(alone), len(weights)), np.array([gold for _, gold in alone])
     for _ in range(rounds):
         slope = -shrink * weights
+        slope += (wanted - 1 / (1 + np.exp(-np.clip(single @ weights, -500, 500)))) @ single / max(1, len(data))
         for own, x, gold in data:
-            slope += (gold - marginals(own, x @ weights)[0]) @ x / len(data)
+            if len(own) > 1:
+                slope += (gold - marginals(own, x @ weights)[0]) @ x / len(data)
         squares += slope**2
         weights += rate * slope / np.sqrt(squares)
     return weights
@@ -200,7 +225,11 @@ def fit(texts: list[str], rounds: int = 60, rate: float = 0.5, shrink: float = 1
 def spans(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans): base spans stay; the field chooses among the segments clear of them."""
     base = base_spans(text)
-    free = [s for s in candidates(text, base) if not any(s[0] < b[2] and b[0] < s[2] for b in base)]
+    starts, ends = np.array([s[0] for s in base], np.int64), np.maximum.accumulate(np.array([s[2] for s in base], np.int64))
+    found = candidates(text, base)
+    # Of the base spans that begin before a segment's end, the one that ends last must end before the segment.
+    before = np.searchsorted(starts, [s[2] for s in found], "left")
+    free = [s for s, n in zip(found, before.tolist(), strict=True) if not n or ends[n - 1] <= s[0]]
     added = []
     for own in regions(free):
         scores = np.array([features(text, *s) @ weights for s in own])
@@ -208,22 +237,38 @@ def spans(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]], l
     return base, sorted(base + added)
 
 
-def find_pii(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            rows = [(hash_of(text, k), np.array(own, "<i8").tobytes(), x.astype("<f4").tobytes(), gold.astype("<f4").tobytes()) for k, (own, x, gold) in enumerate(training(text))]
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["draw", "segments", "x", "gold"])
+
+
+def hash_of(text: str, k: int) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{k}:{text}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def find_pii(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_regions: int = TRAIN_REGIONS) -> DataFrame:
     """doc_id, base and found, arrays of (start, kind, end) in code points by start, then kind (a place in KINDS)."""
     texts = texts_of(docs)
-    short = texts.where(F.col("text").rlike(r"[0-9][0-9][0-9.() -]{3}|@")).where(F.length("text") < TRAIN_LENGTH)
-    short = short.select(F.xxhash64("doc_id", "text").alias("draw"), "text")
-    # At most train_docs rows of one number; only their texts, of bounded length, reach the driver.
-    chosen = F.broadcast(staged(short.select("draw").orderBy("draw").limit(train_docs).distinct(), "pii-sample"))
-    sample = short.join(chosen, "draw").groupBy("draw").agg(F.min("text").alias("text")).collect()
-    weights = fit([r["text"] for r in sorted(sample)])
+    telling = texts.where(F.col("text").rlike(r"[0-9][0-9][0-9.() -]{3}|@")).select(F.xxhash64("doc_id", "text").alias("draw"), "text")
+    # At most train_docs numbers; the regions of their texts, at most train_regions, reach the driver as features.
+    chosen = F.broadcast(staged(telling.select("draw").orderBy("draw").limit(train_docs).distinct(), "pii-sample"))
+    sample = telling.join(chosen, "draw").select("text").mapInArrow(_trained, "draw long, segments binary, x binary, gold binary")
+    data = []
+    for r in sorted(sample.orderBy("draw", "segments").limit(train_regions).collect()):
+        own = [tuple(s) for s in np.frombuffer(r["segments"], "<i8").reshape(-1, 3).tolist()]
+        data.append((own, np.frombuffer(r["x"], "<f4").reshape(len(own), -1).astype(float), np.frombuffer(r["gold"], "<f4").astype(float)))
+    weights = fit(data)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [spans(t, weights) if t else ([], []) for t in batch.column("text").to_pylist()]
-            cells = [pa.array([[dict(zip(("start", "kind", "end"), s, strict=True)) for s in r[k]] for r in rows], kind) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cells], names=["doc_id", "base", "found"])
+            for some in slices(batch):
+                rows = [spans(t, weights) if t else ([], []) for t in some.column("text").to_pylist()]
+                cells = [pa.array([[dict(zip(("start", "kind", "end"), s, strict=True)) for s in r[k]] for r in rows], kind) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), *cells], names=["doc_id", "base", "found"])
 
     out = "array<struct<start:long,kind:int,end:long>>"
     return texts.mapInArrow(run, f"doc_id long, base {out}, found {out}")

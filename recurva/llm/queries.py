@@ -87,7 +87,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [_of_kind("base", i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

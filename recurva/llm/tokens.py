@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 END_ID = 1
 #: Words whose ids a Python worker remembers between batches; at the limit it starts afresh, so memory stays bounded.
-REMEMBERED = 700_000
+REMEMBERED = 350_000
 #: Bytes of text (or other cells) worked on at once; a longer text is worked on alone.
 SLICE = 3_000_000
 #: Letters that stay single letters when lower-cased and in composed form, so that what follows cannot join them.
