@@ -13,8 +13,9 @@ Vectors are never gathered: the exclusive or of a hash of each page and its coun
 up in the shuffle's partial aggregates, so a host with a third of all pages costs no single task.
 
 Defined results: a null or empty html gives an empty text; a null url counts as a host of its own; null page_ids and
-repeated rows are kept, one result row each; pages of equal html count once for their host's template; an empty
-table gives an empty result.
+repeated rows are kept, one result row each; pages of equal html count once for their host's template; very long
+or deeply nested pages cost time in proportion to their length; an article's own <header> counts as page furniture;
+an empty table gives an empty result; other columns are left behind.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -58,6 +60,7 @@ _ARTICLE_MARKS = re.compile(r"(?:^|[\s_-])(?:article|article-body|post|post-cont
 _ALWAYS = re.compile(r"(?:^|[\s_-])(?:comments?|cookies?|ads?|adv|advert\w*|newsletter|disqus)(?:$|[\s_-])", re.I)
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CLOSE_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+_PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "ul", "ol", "dl", "dt", "dd", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "figure", "figcaption"}
 _BLOCK_LIMITS = {"ul", "ol", "dl", "table", "body", "html", "div", "article", "section", "main"}
 
 
@@ -72,101 +75,112 @@ def hidden(attributes: str) -> bool:
     return False
 
 
-def tokens(page: str) -> Iterator[tuple[str, tuple[str, ...]]]:
-    """(text or "", path) in page order. The path names the open elements, with their class, id and role words;
-    a "" text marks where an element that separates blocks begins or ends."""
-    stack: list[tuple[str, str]] = []
-    path: list[str] = []
+@lru_cache(100_000)
+def _below(parent: int, label: str) -> int:
+    return _hash(f"{parent}/{label}")
+
+
+class Place:
+    """An open element in its page: what its ancestors and it say of the text in it. Elements of one label and parent
+    are one place, so that each is judged once."""
+
+    __slots__ = ("name", "parent", "below", "shown", "aside", "inside", "linked", "slot", "place")
+
+    def __init__(self, label: str = "", parent: Place | None = None):
+        self.name, self.parent = label.split(".", 1)[0].rstrip("!"), parent
+        self.below: dict[str, Place] = {}
+        if parent is None:
+            self.shown, self.aside, self.inside, self.linked, self.slot, self.place = True, False, False, False, 0, 0
+            return
+        self.shown = parent.shown and not label.endswith("!") and self.name not in _NEVER
+        self.aside = parent.aside or set_aside(label)
+        self.inside = parent.inside or self.name in _ARTICLE
+        self.linked = parent.linked or self.name == "a"
+        # A slot is a path without inline elements and the places of single paragraphs: the stretch of template text lies in.
+        self.slot = parent.slot if self.name in _INLINE or self.name in _PARAGRAPHS else _below(parent.slot, label)
+        self.place = parent.place if self.name in _INLINE else _below(parent.place, label)
+
+    def child(self, label: str) -> Place:
+        if label not in self.below:
+            self.below[label] = Place(label, self)
+        return self.below[label]
+
+
+def tokens(page: str) -> Iterator[tuple[str, Place]]:
+    """(text or "", place) in page order. A "" text marks where an element that separates blocks begins or ends."""
+    stack = [Place()]
+    open_: dict[str, int] = {}
     at = 0
 
     def drop(to: int) -> None:
-        del stack[to:], path[to:]
+        for x in stack[to:]:
+            open_[x.name] -= 1
+        del stack[to:]
+
+    def close_up_to(names: set[str], limits: set[str] | None) -> None:
+        """Closes the nearest open element of the names, unless one of the limits (None: any but inline ones) is nearer."""
+        if not any(open_.get(x) for x in names):
+            return
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name in names:
+                return drop(i)
+            if stack[i].name in limits if limits is not None else stack[i].name not in _INLINE:
+                return
 
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None:
-            yield page[at:], tuple(path)
+            yield page[at:], stack[-1]
             return
         if m.start() > at:
-            yield page[at : m.start()], tuple(path)
+            yield page[at : m.start()], stack[-1]
         at = m.end()
         close, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not name:
             continue
         name = name.lower()
         if name not in _INLINE:
-            yield "", tuple(path)
+            yield "", stack[-1]
         if close:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    drop(i)
-                    break
-                if name in _INLINE and stack[i][0] not in _INLINE:
-                    break
+            close_up_to({name}, None if name in _INLINE else set())
             continue
         if name in _CLOSE_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    drop(i)
-                    break
-                if stack[i][0] not in _INLINE:
-                    break
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in _CLOSED_BY.get(name, ()):
-                drop(i)
-                break
-            if stack[i][0] in _BLOCK_LIMITS:
-                break
+            close_up_to({"p"}, None)
+        if name in _CLOSED_BY:
+            close_up_to(_CLOSED_BY[name], _BLOCK_LIMITS)
         if name in _VOID or attributes.endswith("/") and name in {"svg", "path"}:
             continue
         words = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
         label = f"{name}.{' '.join(words.lower().split())}" if words else name
-        stack.append((name, label + "!" if hidden(attributes) else label))
-        path.append(stack[-1][1])
+        stack.append(stack[-1].child(label + "!" if hidden(attributes) else label))
+        open_[name] = open_.get(name, 0) + 1
         if name in _RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            yield (page[at : end.start()] if end else page[at:]), tuple(path)
+            yield (page[at : end.start()] if end else page[at:]), stack[-1]
             at = end.end() if end else len(page)
             drop(len(stack) - 1)
 
 
-def _plain(label: str) -> str:
-    return label.split(".", 1)[0].rstrip("!")
-
-
-def set_aside(path: tuple[str, ...]) -> bool:
-    """A path through a menu, header, footer, sidebar, notice, advert, form, comment, script or hidden element.
+@lru_cache(100_000)
+def set_aside(label: str) -> bool:
+    """An element that is a menu, header, footer, sidebar, notice, advert, form, comment, script or hidden.
     Words of classes count on containers; html and body may carry any."""
-    for label in path:
-        name, _, words = label.partition(".")
-        if name.rstrip("!") in _ASIDE or label.endswith("!"):
-            return True
-        if words and name not in ("html", "body", "main") and (_ALWAYS.search(words) or _MARKS.search(words) and not _ARTICLE_MARKS.search(words)):
-            return True
-    return False
+    name, _, words = label.partition(".")
+    if name.rstrip("!") in _ASIDE or label.endswith("!"):
+        return True
+    return bool(words) and name not in ("html", "body", "main") and bool(_ALWAYS.search(words) or _MARKS.search(words) and not _ARTICLE_MARKS.search(words))
 
 
-def slot(path: tuple[str, ...]) -> str:
-    """A path without inline elements and the places of single paragraphs: the stretch of template text lies in."""
-    return "/".join(p for p in path if _plain(p) not in _INLINE and _plain(p) not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "ul", "ol", "dl", "dt", "dd", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "figure", "figcaption"))
-
-
-def blocks(page: str) -> Iterator[list[tuple[str, str, bool, bool, bool, str]]]:
-    """Block by block its runs: text, slot, set aside or not, in an <article> or <main> or not, in a link or not, place."""
-    known: dict[tuple[str, ...], tuple | None] = {}
-    block: list[tuple] = []
-    for text, path in tokens(page):
+def blocks(page: str) -> Iterator[list[tuple[str, Place]]]:
+    """Block by block its runs of text."""
+    block: list[tuple[str, Place]] = []
+    for text, place in tokens(page):
         if not text:
             if block:
                 yield block
             block = []
-            continue
-        if path not in known:
-            names = [_plain(p) for p in path]
-            shown = not any(p.endswith("!") or name in _NEVER for p, name in zip(path, names, strict=True))
-            known[path] = (slot(path), set_aside(path), any(x in _ARTICLE for x in names), "a" in names, "/".join(p for p, x in zip(path, names, strict=True) if x not in _INLINE)) if shown else None
-        if known[path]:
-            block.append((entities.unescape(text), *known[path]))
+        elif place.shown:
+            block.append((entities.unescape(text), place))
     if block:
         yield block
 
@@ -175,23 +189,23 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def _parts(block: list[tuple]) -> dict[tuple[str, int], int]:
+def _parts(block: list[tuple[str, Place]]) -> dict[tuple[int, int], int]:
     """(slot, hash of the block's place and text there) of each slot it has, and its length outside links."""
-    runs: dict[str, list[tuple]] = {}
+    runs: dict[int, list[tuple[str, Place]]] = {}
     for run in block:
-        runs.setdefault(run[1], []).append(run)
-    whole = {at: " ".join("".join(run[0] for run in own).split()) for at, own in runs.items()}
-    return {(at, _hash(f"{runs[at][0][5]}\x00{text}")): sum(len(run[0].strip()) for run in runs[at] if not run[4]) for at, text in whole.items() if text}
+        runs.setdefault(run[1].slot, []).append(run)
+    whole = {at: " ".join("".join(text for text, _ in own).split()) for at, own in runs.items()}
+    return {(at, _hash(f"{runs[at][0][1].place}\x00{text}")): sum(len(x.strip()) for x, place in runs[at] if not place.linked) for at, text in whole.items() if text}
 
 
-def main_text(page: str, article: set[str], template: set[int]) -> str:
+def main_text(page: str, article: set[int], template: set[int]) -> str:
     """The page's text: without the host's template text, its article slots, and of other slots what tags allow."""
     parsed = list(blocks(page))
-    tagged = any(own[3] and not own[2] for block in parsed for own in block)
+    tagged = any(at.inside and not at.aside for block in parsed for _, at in block)
     out = []
     for block in parsed:
         known = {at for at, text in _parts(block) if text in template} if template else set()
-        out.append("".join(text for text, at, aside, inside, *_ in block if at not in known and (at in article or not aside and (inside or not tagged))))
+        out.append("".join(text for text, at in block if at.slot not in known and (at.slot in article or not at.aside and (at.inside or not tagged))))
     return " ".join(x for x in (" ".join(b.split()) for b in out) if x)
 
 
@@ -205,7 +219,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batch):
             rows: list[tuple] = []
             for host, page in zip(some.column("host").to_pylist(), some.column("html").to_pylist(), strict=True):
-                own: dict[tuple[str, int], list[int]] = {}
+                own: dict[tuple[int, int], list[int]] = {}
                 for block in blocks(page or ""):
                     for key, size in _parts(block).items():
                         entry = own.setdefault(key, [0, 0])
@@ -213,13 +227,13 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         entry[1] += size
                 content = _hash(page or "") if own else 0
                 rows += ((host, at, text, content, n, size) for (at, text), (n, size) in own.items())
-            kinds = (pa.string(), pa.string(), *[pa.int64()] * 4)
+            kinds = (pa.string(), *[pa.int64()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "slot", "block", "content", "n", "size"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, article (the slots of its template that hold its articles' text) and template (its blocks of template text)."""
-    seen = pages.select("host", "html").mapInArrow(_occurrences, "host string, slot string, block long, content long, n long, size long")
+    seen = pages.select("host", "html").mapInArrow(_occurrences, "host string, slot long, block long, content long, n long, size long")
     seen = staged(seen.distinct(), "html-blocks", "zstd")
     total = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("total"))
     total = staged(total.where(F.col("total") >= LEAST_PAGES), "html-totals")

@@ -54,7 +54,7 @@ def test_tiles_with_long_vectors_and_ties():
     xs[300:] = xs[:300]
     ids = np.arange(600)
     got = {q: [] for q in range(5)}
-    for q, c, s in topk.impact_tile(xs[:5], ids[:5], xs, ids, 20):
+    for q, c, s in topk.impact_tile(xs, ids)(xs[:5], ids[:5], 20):
         for a, b, v in zip(q.tolist(), c.tolist(), s.tolist()):
             got[a].append((-v, b))
     for q in range(5):
@@ -137,3 +137,26 @@ def test_real_pages(spark, sf_dir):
     for r in table.collect():
         text = got[r["page_id"]]
         assert text == " ".join(text.split()) and "<p>" not in text and "track(" not in text and "&amp;" not in text
+
+
+def test_deep_and_broken_pages_take_no_longer_than_their_length():
+    import time
+
+    began = time.time()
+    for unit, want in (("<div class='a b'>", "x"), ("<i>y</b>", "y" * 20_000 + "x"), ("<ul><li>", "x"), ("<table><tr><td>", "x")):
+        assert html_text.main_text(unit * 20_000 + "x", set(), set()) == want
+    assert time.time() - began < 30
+
+
+def test_very_large_components(spark):
+    rows = [(i, [(-1.0) ** i * 10.0 ** (100 + 10 * (i % 12)), 1.0, float(i)]) for i in range(0, 60)] + [(100, [1e200, 2.0, 3.0]), (200, [2.0, 2.0, 3.0]), (300, [2.0, 2.0, 4.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ann.nearest(table).collect()))
+    with np.errstate(over="ignore"):
+        want = brute.nearest(rows, 100, 10)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want])
+    top = topk.impact_top_k(table).collect()
+    assert len(top) == 6 * 20 and all(-(1 << 63) <= r["score"] <= (1 << 63) - 1 for r in top)
+    small = [(i, [float(x) for x in np.random.default_rng(i).normal(0, 1e6, 5)]) for i in range(50)]
+    got = topk.impact_top_k(spark.createDataFrame(small, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == brute.inner_top(small, 20, 20)
