@@ -102,16 +102,12 @@ def normalised(series: DataFrame, m: int, name: str) -> DataFrame:
     return made.where("x IS NOT NULL")
 
 
-def squared(a: str, b: str, m: int) -> Column:
-    """The sum of squared differences of two array columns, written out so that it is compiled."""
-    total = F.lit(0.0)
+def block(d: Distance, x: np.ndarray, y: np.ndarray, m: int) -> np.ndarray:
+    """Distances of normalised windows x (rows) and y (columns), squares summed in the order of the samples."""
+    total = np.zeros((len(x), len(y)))
+    part = np.empty_like(total)
     for k in range(m):
-        d = F.col(a)[k] - F.col(b)[k]
-        total = total + d * d
-    return total
-
-
-def rows_of(x: np.ndarray, i: int) -> np.ndarray:
-    """Squared distances of row i to all rows."""
-    d = x - x[i]
-    return (d * d).sum(axis=1)
+        np.subtract(x[:, k, None], y[None, :, k], out=part)
+        part *= part
+        total += part
+    return d.finish(total, m, np)

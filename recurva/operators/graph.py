@@ -1,7 +1,8 @@
 """Neighbour graphs of windows and their degree-0 persistent homology.
 
-Greedy neighbour selection and the union-find scan depend on order, so they run as small kernels, one series a group;
-a group holds at most (k + 1) edges a window. Everything between them is DataFrame operations.
+Greedy neighbour selection runs row by row on the tiles of a series. The union-find scan depends on the order of all
+edges, so it is a kernel, one series a group; a group holds at most (k + 1) edges a window. Everything between them is
+DataFrame operations.
 """
 
 from __future__ import annotations
@@ -11,38 +12,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recurva.functions.distance import DISTANCES, normalised, rows_of
+from recurva.operators import profile
 
 
-def choose(dist: np.ndarray, at: np.ndarray, own: int, m: int, k: int, compacted: bool) -> list[int]:
-    """Places of up to k neighbours: the nearest, then its zone goes, and so on. Zones are in time, or, compacted, in
-    places among what the removals before have left."""
-    left = np.flatnonzero((np.abs(at - own) >= m) & ~np.isnan(dist))
-    out: list[int] = []
-    while len(left) and len(out) < k:
-        p = int(dist[left].argmin())
-        out.append(int(left[p]))
-        zone = np.arange(len(left)) if compacted else at[left]
-        left = left[np.abs(zone - zone[p]) >= m]
-    return out
+def outside(m: int, exclusion: str):
+    """What the zones of picked neighbours leave: zones are in time, or, compacted, in places among what the removals
+    before have left."""
 
+    def without(left: np.ndarray, best: np.ndarray) -> np.ndarray:
+        if exclusion == "time":
+            return left & (np.abs(np.arange(left.shape[1]) - best[:, None]) >= m)
+        place = np.cumsum(left, axis=1)  # of what is left beside the neighbour, 1-based up to and including
+        own = place[np.arange(len(best)), best][:, None]
+        return left & ((place >= own + m) | (place <= own - (m - 1)))
 
-def knn_graph(series: DataFrame, m: int, k: int, name: str = "trend", exclusion: str = "compacted", digits: int = 9) -> DataFrame:
-    """(series_id, i, rank, j, dist): k neighbours of every window that overlap neither it nor one another."""
-    d = DISTANCES[name]
+    return without
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("i")
-        at, x = part["i"].to_numpy(), np.array(part["x"].tolist(), float)
-        rows = []
-        for p, i in enumerate(at.tolist()):
-            dist = np.round(d.finish(rows_of(x, p), m, np), digits)
-            rows += [(i, r, int(at[q]), float(dist[q])) for r, q in enumerate(choose(dist, at, i, m, k, exclusion == "compacted"), 1)]
-        out = pd.DataFrame(rows, columns=["i", "rank", "j", "dist"])
-        out.insert(0, "series_id", part["series_id"].iloc[0])
-        return out
 
-    return normalised(series, m, name).groupBy("series_id").applyInPandas(run, "series_id long, i long, rank int, j long, dist double")
+def knn_graph(series: DataFrame, m: int, k: int, name: str = "trend", exclusion: str = "compacted", digits: int = 9, tile: int = profile.TILE) -> DataFrame:
+    """(series_id, i, rank, j, dist): k neighbours of every window that overlap neither it nor one another: the nearest,
+    then the nearest outside its zone, and so on."""
+    without = outside(m, exclusion)
+
+    def work(rows: np.ndarray, at: np.ndarray, dist: np.ndarray) -> dict[str, np.ndarray]:
+        return profile.chosen(rows, at, dist, k, without)
+
+    return profile.scan(series, m, name, work, "i long, rank int, j long, dist double", digits, tile)
 
 
 def similarity_edges(knn: DataFrame) -> DataFrame:

@@ -93,16 +93,26 @@ def event_scores(truth: DataFrame, found: DataFrame, thresholds: list[float]) ->
     with a true one that it overlaps in at least a share of its own length; recall likewise by the true one's length."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["start", "end", "p_start", "p_end"])
-        t = {k: i for i, k in enumerate(sorted(set(zip(part["start"], part["end"], strict=True))))}
-        p = {k: i for i, k in enumerate(sorted(set(zip(part["p_start"], part["p_end"], strict=True))))}
-        gain = np.zeros((len(t), len(p)))
-        for a, b, c, d, n in zip(part["start"], part["end"], part["p_start"], part["p_end"], part["overlap"], strict=True):
-            gain[t[a, b], p[c, d]] = n
-        ts, ps = list(t), list(p)
-        rows = [(part["series_id"].iloc[0], *ts[i], *ps[j], int(gain[i, j])) for i, j in assign(gain) if gain[i, j] > 0]
+        part = part.sort_values(["start", "end", "label", "p_start", "p_end", "p_label"])
+        rows: list[tuple] = []
+        for own in chains(part):
+            ts = list(dict.fromkeys(zip(own["start"], own["end"], own["label"], strict=True)))
+            ps = list(dict.fromkeys(zip(own["p_start"], own["p_end"], own["p_label"], strict=True)))
+            t, p = ({k: i for i, k in enumerate(side)} for side in (ts, ps))
+            gain = np.zeros((len(ts), len(ps)))
+            for a, b, x, c, d, y, n in zip(own["start"], own["end"], own["label"], own["p_start"], own["p_end"], own["p_label"], own["overlap"], strict=True):
+                gain[t[a, b, x], p[c, d, y]] = n
+            rows += [(part["series_id"].iloc[0], *ts[i][:2], *ps[j][:2], int(gain[i, j])) for i, j in assign(gain) if gain[i, j] > 0]
         return pd.DataFrame(rows, columns=["series_id", "start", "end", "p_start", "p_end", "overlap"])
 
+    def chains(part: pd.DataFrame) -> list[pd.DataFrame]:
+        """Overlaps that hang together in time; occurrences of different chains share none, so each is paired alone."""
+        reach = np.maximum.accumulate(np.maximum(part["end"], part["p_end"]).to_numpy())
+        begin = np.minimum(part["start"], part["p_start"]).to_numpy()
+        first = np.minimum.accumulate(begin[::-1])[::-1]
+        at = np.flatnonzero(np.concatenate(([True], first[1:] >= reach[:-1])))
+        return [part.iloc[a:b] for a, b in zip(at, [*at[1:], len(part)], strict=True)]
+
     kinds = "series_id long, start long, end long, p_start long, p_end long, overlap long"
     pairs = overlaps(truth, found).groupBy("series_id").applyInPandas(run, kinds)
     pairs = pairs.select("series_id", (F.col("overlap") / (F.col("end") - F.col("start"))).alias("of_t"), (F.col("overlap") / (F.col("p_end") - F.col("p_start"))).alias("of_p"), F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))

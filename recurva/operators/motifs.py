@@ -1,6 +1,7 @@
 """Motif discovery: the persistence method, stage by stage, and the methods it is compared with.
 
-All return occurrences (series_id, label, start, end), half-open, and what orders them. Kernels hold one series.
+All return occurrences (series_id, label, start, end), half-open, and what orders them. What is quadratic in a series'
+length is done row by row on its tiles; kernels hold the samples of one series and a few numbers for each window.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recurva.functions.distance import DISTANCES, normalised, rows_of
+from recurva.functions.distance import DISTANCES, block, normalised
 from recurva.operators import cuts, graph, occurrences, profile
+from recurva.plans.series import packed
 
 FOUND = "series_id long, label long, start long, end long"
 
@@ -32,19 +34,27 @@ def persistent_motifs(series: DataFrame, m: int, k: int = 3, jump: int = 1, n: i
 def radius_counts(series: DataFrame, m: int, radius: float, name: str = "znorm") -> DataFrame:
     """(series_id, i, neighbours, spread, rank): windows by falling number of neighbours within radius, then by the
     spread of their distances, then by place. Windows without any are left out."""
-    near = profile.both_ways(profile.pairs(series, m, name)).where(F.round("dist", 6) < radius)
-    by = near.groupBy("series_id", "i").agg(F.count("*").alias("neighbours"), F.round(F.stddev_pop("dist"), 6).alias("spread"))
+
+    def work(rows: np.ndarray, at: np.ndarray, dist: np.ndarray) -> dict[str, np.ndarray]:
+        near = np.round(dist, 6) < radius
+        n = near.sum(axis=1)
+        some = np.maximum(n, 1)
+        mean = np.where(near, dist, 0).sum(axis=1) / some
+        spread = np.sqrt((np.where(near, dist - mean[:, None], 0) ** 2).sum(axis=1) / some) if near.any() else np.zeros(len(rows))
+        return {"i": rows[n > 0], "neighbours": n[n > 0], "spread": np.round(spread[n > 0], 6)}
+
+    by = profile.scan(series, m, name, work, "i long, neighbours long, spread double")
     order = Window.partitionBy("series_id").orderBy(F.desc("neighbours"), "spread", "i")
     return by.withColumn("rank", F.row_number().over(order))
 
 
 def _per_series(series: DataFrame, m: int, name: str, find) -> DataFrame:
-    """find(places, squared distances of a row to all) gives lists of members, one a motif."""
+    """find(series_id, places, normalised windows) gives lists of members, one a motif."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("i")
         at, x = part["i"].to_numpy(), np.array(part["x"].tolist(), float)
-        rows = [(part["series_id"].iloc[0], label, int(at[p]), int(at[p]) + m) for label, own in enumerate(find(at, x)) for p in own]
+        rows = [(part["series_id"].iloc[0], label, int(at[p]), int(at[p]) + m) for label, own in enumerate(find(int(part["series_id"].iloc[0]), at, x)) for p in own]
         return pd.DataFrame(rows, columns=["series_id", "label", "start", "end"])
 
     return normalised(series, m, name).groupBy("series_id").applyInPandas(run, FOUND)
@@ -61,21 +71,47 @@ def within(dist: np.ndarray, at: np.ndarray, own: int, m: int, radius: float, fr
     return out
 
 
+def _row(d, windows: np.ndarray, p: int, m: int) -> np.ndarray:
+    """Rounded distances of window p to all, infinite where there are none."""
+    out = np.empty(len(windows))
+    own, step = d.np_normal(windows[p : p + 1]), max(m, profile.HELD // m)
+    for j in range(0, len(windows), step):
+        out[j : j + step] = block(d, own, d.np_normal(windows[j : j + step]), m)[0]
+    return np.where(np.isnan(out), np.inf, np.round(out, 9))
+
+
+def radius_neighbours(series: DataFrame, m: int, radius: float, name: str = "znorm") -> DataFrame:
+    """(series_id, i, rank, j, dist): of every window those nearer than radius, nearest first, none overlapping it or
+    one another."""
+    without = graph.outside(m, "time")
+
+    def work(rows: np.ndarray, at: np.ndarray, dist: np.ndarray) -> dict[str, np.ndarray]:
+        dist = np.where(dist < radius, dist, np.inf)
+        return profile.chosen(rows, at, dist, -(-len(at) // m), without)
+
+    return profile.scan(series, m, name, work, "i long, rank int, j long, dist double", 9)
+
+
 def radius_motifs(series: DataFrame, m: int, radius: float, n: int, name: str = "znorm") -> DataFrame:
     """The n windows with most neighbours within radius that lie more than twice the radius apart, with those."""
     d = DISTANCES[name]
+    near = radius_neighbours(series, m, radius, name)
+    by = near.groupBy("series_id", "i").agg(F.count("*").alias("neighbours"), F.round(F.stddev_pop("dist"), 9).alias("spread"))
 
-    def find(at: np.ndarray, x: np.ndarray) -> list[list[int]]:
-        rows = [np.round(d.finish(rows_of(x, p), m, np), 9) for p in range(len(at))]
-        near = [within(rows[p], at, p, m, radius, np.ones(len(at), bool)) for p in range(len(at))]
-        order = sorted((p for p in range(len(at)) if near[p]), key=lambda p: (-len(near[p]), np.std(rows[p][near[p]]), p))
+    def pick(ranked: pd.DataFrame, samples: pd.DataFrame) -> pd.DataFrame:
         chosen: list[int] = []
-        for p in order:
-            if len(chosen) < n and all(rows[p][q] > 2 * radius for q in chosen):
-                chosen.append(p)
-        return [[p, *near[p]] for p in chosen]
+        if len(ranked):
+            windows = np.lib.stride_tricks.sliding_window_view(np.array(samples["xs"].iloc[0], float), m)
+            rows: list[np.ndarray] = []
+            for p in ranked.sort_values(["neighbours", "spread", "i"], ascending=[False, True, True])["i"].tolist():
+                if len(chosen) < n and all(row[p] > 2 * radius for row in rows):
+                    chosen.append(p)
+                    rows.append(_row(d, windows, p, m))
+        return pd.DataFrame({"series_id": [samples["series_id"].iloc[0]] * len(chosen), "label": range(len(chosen)), "i": chosen}) if chosen else pd.DataFrame(columns=["series_id", "label", "i"])
 
-    return _per_series(series, m, name, find)
+    centres = by.groupBy("series_id").cogroup(packed(series).groupBy("series_id")).applyInPandas(pick, "series_id long, label long, i long")
+    members = centres.join(near, ["series_id", "i"]).select("series_id", "label", F.col("j").alias("start")).union(centres)
+    return members.select("series_id", "label", "start", (F.col("start") + m).alias("end"))
 
 
 def profile_motifs(series: DataFrame, m: int, n: int, ratio: float = 3.0, name: str = "znorm") -> DataFrame:
@@ -83,25 +119,29 @@ def profile_motifs(series: DataFrame, m: int, n: int, ratio: float = 3.0, name:
     masked for what follows."""
     d = DISTANCES[name]
 
-    def find(at: np.ndarray, x: np.ndarray) -> list[list[int]]:
-        rows = [np.round(d.finish(rows_of(x, p), m, np), 9) for p in range(len(at))]
-        far = [np.where(np.abs(at - at[p]) < m, np.inf, rows[p]) for p in range(len(at))]
-        free = np.ones(len(at), bool)
-        least = np.array([r.min() for r in far])
-        out = []
-        while len(out) < n and np.isfinite(open_ := np.where(free, least, np.inf)).any():
-            seed = int(open_.argmin())
-            row = np.where(free, far[seed], np.inf)
-            if not np.isfinite(row.min()):
-                free[seed] = False
-                continue
-            own = [seed, *within(rows[seed], at, seed, m, max(ratio * row.min(), np.nextafter(row.min(), np.inf)), free)]
-            out.append(own)
-            for p in own:
-                free &= np.abs(at - at[p]) >= m
-        return out
+    def pick(nearest: pd.DataFrame, samples: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple] = []
+        if len(nearest):
+            windows = np.lib.stride_tricks.sliding_window_view(np.array(samples["xs"].iloc[0], float), m)
+            at, least, free = np.arange(len(windows)), np.full(len(windows), np.inf), np.ones(len(windows), bool)
+            least[nearest["i"]] = nearest["dist"]
+            label = 0
+            while label < n and np.isfinite(open_ := np.where(free, least, np.inf)).any():
+                seed = int(open_.argmin())
+                own = _row(d, windows, seed, m)
+                row = np.where(free & (np.abs(at - seed) >= m), own, np.inf)
+                if not np.isfinite(row.min()):
+                    free[seed] = False
+                    continue
+                taken = [seed, *within(own, at, seed, m, max(ratio * row.min(), np.nextafter(row.min(), np.inf)), free)]
+                rows += [(samples["series_id"].iloc[0], label, p, p + m) for p in taken]
+                for p in taken:
+                    free &= np.abs(at - p) >= m
+                label += 1
+        return pd.DataFrame(rows, columns=["series_id", "label", "start", "end"])
 
-    return _per_series(series, m, name, find)
+    nearest = profile.profile(series, m, name, 9)
+    return nearest.groupBy("series_id").cogroup(packed(series).groupBy("series_id")).applyInPandas(pick, FOUND)
 
 
 def multi_length_motifs(series: DataFrame, lengths: list[int], n: int, ratio: float = 3.0, name: str = "znorm") -> DataFrame:
@@ -130,25 +170,33 @@ def multi_length_motifs(series: DataFrame, lengths: list[int], n: int, ratio: fl
     return found.groupBy("series_id").applyInPandas(run, FOUND)
 
 
-def latent_motifs(series: DataFrame, m: int, n: int, radius: float, alpha: float = 1.0, rate: float = 0.1, rounds: int = 100, seed: int = 0) -> DataFrame:
+def latent_motifs(series: DataFrame, m: int, n: int, radius: float, alpha: float = 1.0, rate: float = 0.1, rounds: int = 100, seed: int = 0, starts: int = 1) -> DataFrame:
     """n learned shapes, by ascent of soft frequency (the mean of exp(-alpha * d / radius) over windows, d squared
-    distances of unit windows) minus a penalty for shapes nearer than 2 * radius; members lie within radius. Seeded by series."""
+    distances of unit windows) minus a penalty for shapes nearer than 2 * radius, the best of so many starts; members
+    lie within radius. Starts are drawn by seed and series."""
 
-    def find(at: np.ndarray, x: np.ndarray) -> list[list[int]]:
-        draw = np.random.default_rng([seed, len(at)])
+    def learned(x: np.ndarray, draw: np.random.Generator) -> tuple[float, np.ndarray]:
         shapes = x[draw.choice(len(x), min(n, len(x)), replace=False)] + 0.01 * draw.standard_normal((min(n, len(x)), m))
-        squares = np.full_like(shapes, 1e-12)
-        for _ in range(rounds):
-            gap = shapes[:, None, :] - x[None]
-            pull = np.exp(-alpha / radius * (gap**2).sum(axis=2))
-            slope = -(2 * alpha / radius) * (pull[:, :, None] * gap).sum(axis=1) / (len(shapes) * len(x))
+        squares, value = np.full_like(shapes, 1e-12), -np.inf
+        others = len(shapes) * (len(shapes) - 1)
+        for turn in range(rounds + 1):
+            pull = np.stack([np.exp(-alpha / radius * ((s - x) ** 2).sum(axis=1)) for s in shapes])
             between = shapes[:, None, :] - shapes[None]
             apart = (between**2).sum(axis=2)
             push = np.where((apart < 2 * radius) & ~np.eye(len(shapes), dtype=bool), 1 - apart / (2 * radius), 0)
-            if len(shapes) > 1:
-                slope += (4 / (len(shapes) * (len(shapes) - 1) * radius)) * (push[:, :, None] * between).sum(axis=1)
+            value = pull.mean() - (push**2).sum() / max(1, others)
+            if turn == rounds:
+                break
+            slope = -(2 * alpha / radius) * (pull.sum(axis=1)[:, None] * shapes - pull @ x) / (len(shapes) * len(x))
+            if others:
+                slope += (4 / (others * radius)) * (push[:, :, None] * between).sum(axis=1)
             squares += slope**2
             shapes = shapes + rate * slope / np.sqrt(squares)
+        return value, shapes
+
+    def find(series_id: int, at: np.ndarray, x: np.ndarray) -> list[list[int]]:
+        tries = [learned(x, np.random.default_rng([seed, abs(series_id), k])) for k in range(starts)]
+        shapes = max(tries, key=lambda t: t[0])[1]
         free, out = np.ones(len(at), bool), []
         for shape in shapes:
             dist, own = ((x - shape) ** 2).sum(axis=1), []

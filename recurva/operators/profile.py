@@ -1,83 +1,119 @@
-"""Pairs of windows of a series, and profiles: for every window its nearest other one outside its own zone."""
+"""Windows of a series against all its others: pairs, profiles (for every window its nearest outside its own zone) and
+nearest neighbours.
+
+A series is cut into tiles of samples. Every task takes the windows of one tile as rows and meets all tiles of the
+series as columns, a bounded block of the distance matrix at a time, and keeps what each row needs. One pass over the
+samples makes the tiles, rows are never merged again, and a task holds the samples of one series at most, never a
+matrix of them; the work of a long series spreads over as many tasks as it has tiles.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recurva.functions.distance import DISTANCES, normalised, squared
+from recurva.functions.distance import DISTANCES, Distance, block
+
+#: Samples of a tile; entries of the distance matrix held at once.
+TILE, HELD = 1_024, 1 << 21
 
-#: Up to this length a window's arithmetic is written out in the plan; beyond it, NumPy takes tiles of windows.
-UNROLLED = 32
-TILE = 1_024
+#: (places of the rows, places of all windows, their rounded distances, infinite within the own zone) to columns.
+Work = Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]
 
 
-def pairs(series: DataFrame, m: int, name: str) -> DataFrame:
+def scan(series: DataFrame, m: int, name: str, work: Work, columns: str, digits: int | None = None, tile: int = TILE) -> DataFrame:
+    """series_id and the columns that work makes of the rows of the distance matrix. series has no gaps in idx."""
+    d = DISTANCES[name]
+    cut = series.groupBy("series_id", F.floor(F.col("idx") / tile).alias("tile")).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("s"))
+    cut = cut.select("series_id", "tile", F.col("s")[0]["idx"].alias("first"), F.transform("s", lambda x: x["value"]).alias("xs"))
+    cut = cut.withColumn("last", F.max("tile").over(Window.partitionBy("series_id")))
+    cut = cut.select("series_id", "first", "xs", "tile", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("row"))
+    # Short series have one tile and stay where they are; only longer ones are dealt out row by row.
+    met = cut.repartition("series_id", "row").sortWithinPartitions("series_id", "row", "tile")
+    names = [c.split()[0] for c in columns.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for series_id, row, first, xs in _gathered(batches):
+            if len(xs) < m:
+                continue
+            windows = np.lib.stride_tricks.sliding_window_view(xs, m)
+            at = np.arange(len(windows)) + first
+            for own, dist in _rows(d, windows, np.flatnonzero(at // tile == row), at, m, digits):
+                made = work(at[own], at, dist)
+                n = len(made[names[0]])
+                if n:
+                    yield pa.record_batch({"series_id": pa.array(np.full(n, series_id)), **{c: pa.array(made[c]) for c in names}})
+
+    return met.mapInArrow(run, f"series_id long, {columns}")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(series_id, row, first idx, all samples in order) of each series and row tile."""
+    key, first, parts = None, 0, []
+    for batch in batches:
+        ids, rows, firsts = (batch.column(c).to_pylist() for c in ("series_id", "row", "first"))
+        lists = batch.column("xs")
+        for i, now in enumerate(zip(ids, rows, strict=True)):
+            if now != key:
+                if parts:
+                    yield *key, first, np.concatenate(parts)
+                key, first, parts = now, firsts[i], []
+            parts.append(lists[i].values.to_numpy(zero_copy_only=False))
+    if parts:
+        yield *key, first, np.concatenate(parts)
+
+
+def _rows(d: Distance, windows: np.ndarray, own: np.ndarray, at: np.ndarray, m: int, digits: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the distance matrix, so many at once that HELD entries suffice; windows without distances are infinite."""
+    step = max(1, HELD // len(windows))
+    normal = d.np_normal(np.ascontiguousarray(windows)) if windows.size <= HELD else None
+    for begin in range(0, len(own), step):
+        some = own[begin : begin + step]
+        rows = normal[some] if normal is not None else d.np_normal(windows[some])
+        dist = np.empty((len(some), len(windows)))
+        for j in range(0, len(windows), max(m, HELD // m)):
+            columns = slice(j, j + max(m, HELD // m))
+            dist[:, columns] = block(d, rows, normal[columns] if normal is not None else d.np_normal(windows[columns]), m)
+        if digits is not None:
+            dist = np.round(dist, digits)
+        dist[np.isnan(dist)] = np.inf
+        near = np.arange(-m + 1, m) + some[:, None]
+        inside = (near >= 0) & (near < len(windows))
+        dist[np.broadcast_to(np.arange(len(some))[:, None], near.shape)[inside], near[inside]] = np.inf
+        yield some, dist
+
+
+def pairs(series: DataFrame, m: int, name: str, tile: int = TILE) -> DataFrame:
     """(series_id, i, j, dist) with j - i >= m."""
-    x = normalised(series, m, name)
-    a, b = (x.select("series_id", F.col("i").alias(c), F.col("x").alias(f"x{c}")) for c in "ij")
-    both = a.join(b, "series_id").where(F.col("j") - F.col("i") >= m)
-    return both.select("series_id", "i", "j", DISTANCES[name].finish(squared("xi", "xj", m), m, F).alias("dist"))
 
+    def work(rows: np.ndarray, at: np.ndarray, dist: np.ndarray) -> dict[str, np.ndarray]:
+        i, j = np.nonzero(np.isfinite(dist) & (at > rows[:, None]))
+        return {"i": rows[i], "j": at[j], "dist": dist[i, j]}
+
+    return scan(series, m, name, work, "i long, j long, dist double", tile=tile)
 
-def both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.unionByName(pairs.select("series_id", F.col("j").alias("i"), F.col("i").alias("j"), "dist"))
 
+def profile(series: DataFrame, m: int, name: str = "znorm", digits: int = 6, tile: int = TILE) -> DataFrame:
+    """(series_id, i, j, dist): each window's nearest, distances rounded, ties to the smaller j."""
 
-def profile(series: DataFrame, m: int, name: str = "znorm", digits: int = 6) -> DataFrame:
-    """(series_id, i, j, dist): each window's nearest, distances rounded, ties to the smaller j. The join is made once
-    for i < j; each side keeps its own minimum before anything is shuffled again."""
-    rounded = both_ways(pairs(series, m, name).withColumn("dist", F.round("dist", digits)))
-    best = rounded.groupBy("series_id", "i").agg(F.min(F.struct("dist", "j")).alias("best"))
-    return best.select("series_id", "i", "best.j", "best.dist")
+    def work(rows: np.ndarray, at: np.ndarray, dist: np.ndarray) -> dict[str, np.ndarray]:
+        best = dist.argmin(axis=1)
+        least = dist[np.arange(len(rows)), best]
+        keep = np.isfinite(least)
+        return {"i": rows[keep], "j": at[best][keep], "dist": least[keep]}
+
+    return scan(series, m, name, work, "i long, j long, dist double", digits, tile)
 
 
 def tiled_profile(series: DataFrame, m: int, name: str = "znorm", tile: int = TILE, digits: int = 6) -> DataFrame:
-    """The same for long series or windows: tiles of windows meet in tasks of bounded size, each returning a row per
-    window and tile; their minimum is the profile."""
-    d = DISTANCES[name]
-    # A tile's samples reach m - 1 past its last window, so every sample goes to one or two tiles.
-    reach = F.filter(F.array(F.floor(F.col("idx") / tile), F.floor((F.col("idx") - (m - 1)) / tile)), lambda t: t >= 0)
+    """The profile of long series by tiles of a stated size, which a window must fit."""
     if m > tile:
         raise ValueError("a window must fit a tile")
-    cut = series.select("series_id", F.explode(F.array_distinct(reach)).alias("tile"), "idx", "value")
-    cut = cut.groupBy("series_id", "tile").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("s"))
-    cut = cut.select("series_id", "tile", F.col("s")[0]["idx"].alias("first"), F.transform("s", lambda x: x["value"]).alias("xs"))
-    a, b = (cut.select("series_id", *(F.col(c).alias(f"{side}_{c}") for c in ("tile", "first", "xs"))) for side in "ab")
-    met = a.join(b, "series_id").where("a_tile <= b_tile")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                sides = []
-                for t, first, xs in ((r.a_tile, r.a_first, r.a_xs), (r.b_tile, r.b_first, r.b_xs)):
-                    begin = int(t * tile - first)
-                    xs = np.asarray(xs, float)[max(0, begin) :]
-                    if len(xs) < m:
-                        sides.append((np.zeros(0, np.int64), np.zeros((0, m))))
-                        continue
-                    w = np.lib.stride_tricks.sliding_window_view(xs, m)[:tile]
-                    sides.append((np.arange(len(w)) + max(int(first), int(t * tile)), d.np_normal(w)))
-                (i, x), (j, y) = sides
-                if not len(i) or not len(j):
-                    continue
-                s = np.maximum(0, (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * x @ y.T)
-                dist = np.round(d.finish(s, m, np), digits)
-                dist[np.abs(i[:, None] - j) < m] = np.inf
-                dist[np.isnan(dist)] = np.inf
-                for of, to, ds in ((i, j, dist), (j, i, dist.T))[: 1 if r.a_tile == r.b_tile else 2]:
-                    at = ds.argmin(axis=1)
-                    best = ds[np.arange(len(of)), at]
-                    keep = np.isfinite(best)
-                    yield pd.DataFrame({"series_id": r.series_id, "i": of[keep], "j": to[at][keep], "dist": best[keep]})
-
-    rows = met.repartition("series_id", "a_tile", "b_tile").mapInPandas(run, "series_id long, i long, j long, dist double")
-    best = rows.groupBy("series_id", "i").agg(F.min(F.struct("dist", "j")).alias("best"))
-    return best.select("series_id", "i", "best.j", "best.dist")
+    return profile(series, m, name, digits, tile)
 
 
 def top_pair(profile: DataFrame) -> DataFrame:
@@ -92,11 +128,28 @@ def discords(profile: DataFrame, k: int = 3) -> DataFrame:
     return profile.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest(series: DataFrame, m: int, k: int, name: str = "znorm", digits: int = 6) -> DataFrame:
+def nearest(series: DataFrame, m: int, k: int, name: str = "znorm", digits: int = 6, tile: int = TILE) -> DataFrame:
     """(series_id, i, rank, j, dist): the k nearest of every window, which may overlap one another."""
-    rounded = both_ways(pairs(series, m, name).withColumn("dist", F.round("dist", digits)))
-    order = Window.partitionBy("series_id", "i").orderBy("dist", "j")
-    return rounded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("series_id", "i", "rank", "j", "dist")
+
+    def work(rows: np.ndarray, at: np.ndarray, dist: np.ndarray) -> dict[str, np.ndarray]:
+        return chosen(rows, at, dist, k, lambda left, best: left)
+
+    return scan(series, m, name, work, "i long, rank int, j long, dist double", digits, tile)
+
+
+def chosen(rows: np.ndarray, at: np.ndarray, dist: np.ndarray, k: int, without: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> dict[str, np.ndarray]:
+    """The nearest of each row, then, of what without(what is left, places of the nearest) leaves, the next, k times."""
+    dist, each = dist.copy(), np.arange(len(rows))
+    parts = []
+    for rank in range(1, k + 1):
+        best = dist.argmin(axis=1)
+        least = dist[each, best]
+        keep = np.isfinite(least)
+        parts.append((rows[keep], np.full(keep.sum(), rank, np.int32), at[best][keep], least[keep]))
+        left = np.isfinite(dist)
+        left[each, best] = False
+        dist[~without(left, best)] = np.inf
+    return dict(zip(("i", "rank", "j", "dist"), map(np.concatenate, zip(*parts, strict=True)), strict=True))
 
 
 def multi_length(series: DataFrame, lengths: list[int], name: str = "znorm", per_length: bool = True) -> DataFrame:

@@ -161,7 +161,7 @@ def daily_profile_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     algorithm = F.concat(F.lit("a"), (F.col("user_id") % 3).cast("string")).alias("algorithm")
-    return events.select(F.col("event_type").alias("dataset"), algorithm, (F.col("user_id") % 5).alias("setting"), F.col("value").alias("score")).where("score IS NOT NULL AND user_id % 15 <> 7")
+    return events.select(F.col("event_type").alias("dataset"), algorithm, (F.col("user_id") % 5).alias("setting"), F.col("value").alias("score")).where("score IS NOT NULL")
 
 
 def _means(spark: SparkSession, sf_dir: str) -> DataFrame:

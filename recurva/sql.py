@@ -287,7 +287,7 @@ SELECT series_id, label, idx - start AS "at", round(sum(value) / n, 6) AS mean F
 
 
 def scores(what: str) -> str:
-    raw = "SELECT event_type AS dataset, 'a' || (user_id % 3) AS algorithm, user_id % 5 AS setting, value AS score FROM events WHERE value IS NOT NULL AND user_id % 15 <> 7"
+    raw = "SELECT event_type AS dataset, 'a' || (user_id % 3) AS algorithm, user_id % 5 AS setting, value AS score FROM events WHERE value IS NOT NULL"
     mean = f"SELECT dataset, algorithm, setting, round(avg(score), 6) AS score FROM ({raw}) GROUP BY ALL"
     return {
         "mean": mean,

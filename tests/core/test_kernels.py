@@ -26,13 +26,38 @@ def test_flat_and_short_series_have_no_neighbours(spark):
     assert graph.knn_graph(s, 8, 3).count() == 0
 
 
+def choose(dist, own, m, k, compacted):
+    """One row's neighbours by the definition: the nearest, then its zone goes, and so on."""
+    left = np.flatnonzero((np.abs(np.arange(len(dist)) - own) >= m) & np.isfinite(dist))
+    out = []
+    while len(left) and len(out) < k:
+        p = int(dist[left].argmin())
+        out.append(int(left[p]))
+        zone = np.arange(len(left)) if compacted else left
+        left = left[np.abs(zone - zone[p]) >= m]
+    return out
+
+
 def test_chosen_neighbours():
-    dist, at = DRAW.random(60), np.arange(60)
-    for own, k in itertools.product((0, 20, 59), (1, 3, 9)):
-        timed = graph.choose(dist, at, own, 8, k, False)
-        assert timed[:1] == graph.choose(dist, at, own, 8, k, True)[:1]
-        assert all(abs(a - b) >= 8 for a, b in itertools.combinations([own, *timed], 2))
-        assert [dist[p] for p in timed] == sorted(dist[p] for p in timed)
+    for n, m, k in itertools.product((9, 60), (2, 8), (1, 3, 9)):
+        dist, at = DRAW.random((n, n)), np.arange(n)
+        lost = DRAW.random(n) < 0.05
+        dist[:, lost] = dist[lost] = dist[np.abs(at[:, None] - at) < m] = np.inf
+        for mode in ("time", "compacted"):
+            got = profile.chosen(at, at, dist, k, graph.outside(m, mode))
+            want = [(i, r, j) for i in range(n) for r, j in enumerate(choose(dist[i], i, m, k, mode == "compacted"), 1)]
+            assert sorted(zip(*(got[c].tolist() for c in ("i", "rank", "j")))) == sorted(want)
+
+
+def test_tiles_of_any_size_give_the_same_rows(spark, monkeypatch):
+    s = series(spark, DRAW.normal(size=230).cumsum(), DRAW.normal(size=31), [*DRAW.normal(size=40), *[1.0] * 20, *DRAW.normal(size=40)])
+    for make in (lambda t: graph.knn_graph(s, 8, 3, tile=t), lambda t: profile.nearest(s, 8, 4, tile=t), lambda t: profile.pairs(s, 8, "trend", tile=t)):
+        assert sorted(map(tuple, make(1024).collect())) == sorted(map(tuple, make(16).collect()))
+
+
+def test_repeated_intervals_of_two_labels_count_apart(spark):
+    t = spark.createDataFrame([(0, 0, 3, 9), (0, 1, 3, 9), (0, 1, 20, 31)], "series_id long, label long, start long, end long")
+    assert {tuple(r)[2:] for r in metrics.event_scores(t, t, [0.0, 1.0]).collect()} == {(1.0, 1.0, 1.0)}
 
 
 def test_persistence_is_single_linkage(spark):
