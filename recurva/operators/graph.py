@@ -8,11 +8,11 @@ DataFrame operations.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recurva.operators import profile
+from recurva.plans.kernels import by_series
 
 
 def outside(m: int, exclusion: str):
@@ -99,20 +99,16 @@ def persistence(edges: DataFrame) -> DataFrame:
     """(series_id, seed, birth, death, u, v, w): each component's birth and death, with the edge that merged it; those
     edges are a minimum spanning forest. Components that never merge die at infinity and have no edge."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part, forest, rows = part.sort_values("rank"), Forest(), []
-        for u, v, w in zip(part["u"].tolist(), part["v"].tolist(), part["w"].tolist(), strict=True):
+    def run(_: int, own: dict[str, np.ndarray]) -> list[tuple]:
+        forest, rows = Forest(), []
+        for u, v, w in zip(own["u"].tolist(), own["v"].tolist(), own["w"].tolist(), strict=True):
             a, b = forest.root(u, w), forest.root(v, w)
             if a != b:
                 dies = forest.merge(a, b)
                 rows.append((dies, forest.birth[dies], w, u, v, w))
-        rows += [(n, forest.birth[n], np.inf, None, None, None) for n, p in forest.parent.items() if n == p]
-        out = pd.DataFrame(rows, columns=["seed", "birth", "death", "u", "v", "w"])
-        out = out.astype({"u": "Int64", "v": "Int64", "w": "Float64"})
-        out.insert(0, "series_id", part["series_id"].iloc[0])
-        return out
+        return rows + [(n, forest.birth[n], np.inf, None, None, None) for n, p in forest.parent.items() if n == p]
 
-    return edges.groupBy("series_id").applyInPandas(run, "series_id long, seed long, birth double, death double, u long, v long, w double")
+    return by_series(edges.select("series_id", "rank", "u", "v", "w"), ["rank"], run, "seed long, birth double, death double, u long, v long, w double")
 
 
 def finite(pers: DataFrame) -> DataFrame:
@@ -133,20 +129,22 @@ def thresholded(pers: DataFrame, cuts: DataFrame) -> DataFrame:
     """(series_id, label, node, birth): components of the spanning forest when only merges of persistence below p_cut
     count; of each, named by its oldest node, the members born before its own cut. cuts: (series_id, b_cut, p_cut)."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        b_cut, p_cut = part["b_cut"].iloc[0], part["p_cut"].iloc[0]
-        own_cut = {s: min(d, b_cut) for s, b, d in zip(part["seed"], part["birth"], part["death"], strict=True) if d - b > p_cut and b <= b_cut}
+    def run(_: int, own: dict[str, np.ndarray]) -> list[tuple]:
+        b_cut, p_cut = float(own["b_cut"][0]), float(own["p_cut"][0])
+        own_cut = {s: min(d, b_cut) for s, b, d in zip(own["seed"].tolist(), own["birth"].tolist(), own["death"].tolist(), strict=True) if d - b > p_cut and b <= b_cut}
         forest = Forest()
-        tree = part[part["w"].notna()].sort_values(["w", "u", "v"])
-        for u, v, w in zip(tree["u"].astype(int).tolist(), tree["v"].astype(int).tolist(), tree["w"].tolist(), strict=True):
-            a, b = forest.root(u, w), forest.root(v, w)
+        for u, v, w in zip(own["u"].tolist(), own["v"].tolist(), own["w"].tolist(), strict=True):
+            if w != w:  # never merged
+                continue
+            a, b = forest.root(int(u), w), forest.root(int(v), w)
             if a != b and w - max(forest.birth[a], forest.birth[b]) < p_cut:
                 forest.merge(a, b)
         rows = []
         for node, birth in forest.birth.items():
             seed = forest.root(node, birth)
             if forest.birth[seed] < b_cut and birth < own_cut.get(seed, b_cut):
-                rows.append((part["series_id"].iloc[0], seed, node, birth))
-        return pd.DataFrame(rows, columns=["series_id", "label", "node", "birth"])
+                rows.append((seed, node, birth))
+        return rows
 
-    return pers.join(cuts, "series_id").groupBy("series_id").applyInPandas(run, "series_id long, label long, node long, birth double")
+    table = pers.join(cuts, "series_id").select("series_id", "seed", "birth", "death", "u", "v", "w", "b_cut", "p_cut")
+    return by_series(table, ["w", "u", "v"], run, "label long, node long, birth double")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recurva.operators.occurrences import points
+from recurva.plans.kernels import by_series
 
 
 def _ratio(a: str, b: str):
@@ -77,44 +77,47 @@ def matched_labels(truth: DataFrame, found: DataFrame) -> DataFrame:
     """(series_id, label, p_label): labels paired one to one for the largest number of shared samples. Kernel over the
     label pairs of a series that share any."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = sorted(set(part["label"])), sorted(set(part["p_label"]))
+    def run(_: int, part: dict[str, np.ndarray]) -> list[tuple]:
+        rows, i = np.unique(part["label"], return_inverse=True)
+        cols, j = np.unique(part["p_label"], return_inverse=True)
         gain = np.zeros((len(rows), len(cols)))
-        for a, b, n in zip(part["label"], part["p_label"], part["samples"], strict=True):
-            gain[rows.index(a), cols.index(b)] = n
-        out = [(part["series_id"].iloc[0], rows[i], cols[j]) for i, j in assign(gain) if gain[i, j] > 0]
-        return pd.DataFrame(out, columns=["series_id", "label", "p_label"])
+        gain[i, j] = part["samples"]
+        return [(int(rows[a]), int(cols[b])) for a, b in assign(gain) if gain[a, b] > 0]
 
-    return label_overlaps(truth, found).groupBy("series_id").applyInPandas(run, "series_id long, label long, p_label long")
+    return by_series(label_overlaps(truth, found), ["label", "p_label"], run, "label long, p_label long")
 
 
 def event_scores(truth: DataFrame, found: DataFrame, thresholds: list[float]) -> DataFrame:
     """(series_id, threshold, precision, recall, fscore): a predicted occurrence is right if it is paired one to one
     with a true one that it overlaps in at least a share of its own length; recall likewise by the true one's length."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["start", "end", "label", "p_start", "p_end", "p_label"])
+    def run(_: int, part: dict[str, np.ndarray]) -> list[tuple]:
         rows: list[tuple] = []
-        for own in chains(part):
-            ts = list(dict.fromkeys(zip(own["start"], own["end"], own["label"], strict=True)))
-            ps = list(dict.fromkeys(zip(own["p_start"], own["p_end"], own["p_label"], strict=True)))
+        every = list(zip(*(part[c].tolist() for c in ("start", "end", "label", "p_start", "p_end", "p_label", "overlap")), strict=True))
+        for own in chains(every):
+            ts, ps = list(dict.fromkeys(x[:3] for x in own)), list(dict.fromkeys(x[3:6] for x in own))
             t, p = ({k: i for i, k in enumerate(side)} for side in (ts, ps))
             gain = np.zeros((len(ts), len(ps)))
-            for a, b, x, c, d, y, n in zip(own["start"], own["end"], own["label"], own["p_start"], own["p_end"], own["p_label"], own["overlap"], strict=True):
-                gain[t[a, b, x], p[c, d, y]] = n
-            rows += [(part["series_id"].iloc[0], *ts[i][:2], *ps[j][:2], int(gain[i, j])) for i, j in assign(gain) if gain[i, j] > 0]
-        return pd.DataFrame(rows, columns=["series_id", "start", "end", "p_start", "p_end", "overlap"])
+            for x in own:
+                gain[t[x[:3]], p[x[3:6]]] = x[6]
+            paired = [(0, int(gain[0].argmax()))] if len(ts) == 1 else [(int(gain[:, 0].argmax()), 0)] if len(ps) == 1 else assign(gain)
+            rows += [(*ts[i][:2], *ps[j][:2], int(gain[i, j])) for i, j in paired if gain[i, j] > 0]
+        return rows
 
-    def chains(part: pd.DataFrame) -> list[pd.DataFrame]:
+    def chains(every: list[tuple]) -> Iterator[list[tuple]]:
         """Overlaps that hang together in time; occurrences of different chains share none, so each is paired alone."""
-        reach = np.maximum.accumulate(np.maximum(part["end"], part["p_end"]).to_numpy())
-        begin = np.minimum(part["start"], part["p_start"]).to_numpy()
-        first = np.minimum.accumulate(begin[::-1])[::-1]
-        at = np.flatnonzero(np.concatenate(([True], first[1:] >= reach[:-1])))
-        return [part.iloc[a:b] for a, b in zip(at, [*at[1:], len(part)], strict=True)]
-
-    kinds = "series_id long, start long, end long, p_start long, p_end long, overlap long"
-    pairs = overlaps(truth, found).groupBy("series_id").applyInPandas(run, kinds)
+        own: list[tuple] = []
+        reach = 0
+        for x in sorted(every, key=lambda x: (min(x[0], x[3]), x)):
+            if own and min(x[0], x[3]) >= reach:
+                yield own
+                own = []
+            reach = max(x[1], x[4], reach if own else 0)
+            own.append(x)
+        if own:
+            yield own
+
+    pairs = by_series(overlaps(truth, found), ["start", "end", "label", "p_start", "p_end", "p_label"], run, "start long, end long, p_start long, p_end long, overlap long")
     pairs = pairs.select("series_id", (F.col("overlap") / (F.col("end") - F.col("start"))).alias("of_t"), (F.col("overlap") / (F.col("p_end") - F.col("p_start"))).alias("of_p"), F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
     right = pairs.groupBy("series_id", "threshold").agg(F.sum((F.col("of_p") >= F.col("threshold")).cast("int")).alias("right_p"), F.sum((F.col("of_t") >= F.col("threshold")).cast("int")).alias("right_t"))
     sizes = [t.groupBy("series_id").agg(F.count("*").alias(c)) for t, c in ((truth, "n_t"), (found, "n_p"))]
@@ -139,20 +142,20 @@ def adjusted_information(table: DataFrame) -> DataFrame:
     """(series_id, ami) from contingency counts: mutual information less its expectation, over the mean entropy less
     the same. Kernel over a series' counts."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        n = int(part["n"].sum())
-        rows, cols = part.groupby("a")["n"].sum(), part.groupby("b")["n"].sum()
-        mutual = sum(c / n * math.log(n * c / (rows[a] * cols[b])) for a, b, c in zip(part["a"], part["b"], part["n"], strict=True))
-        entropy = [-sum(c / n * math.log(c / n) for c in side) for side in (rows, cols)]
-        fact = lambda x: math.lgamma(x + 1)
+    def run(_: int, part: dict[str, np.ndarray]) -> list[tuple]:
+        (rows, i), (cols, j) = (np.unique(part[c], return_inverse=True) for c in "ab")
+        x, y, counts = np.bincount(i, part["n"]), np.bincount(j, part["n"]), part["n"].astype(float)
+        n = counts.sum()
+        mutual = float((counts / n * np.log(n * counts / (x[i] * y[j]))).sum())
+        entropy = [-float((c / n * np.log(c / n)).sum()) for c in (x, y)]
+        fact = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, int(n) + 1)))))  # logs of factorials
         chance = 0.0
-        for x in rows.tolist():
-            for y in cols.tolist():
-                for c in range(max(1, x + y - n), min(x, y) + 1):
-                    log_p = fact(x) + fact(y) + fact(n - x) + fact(n - y) - fact(n) - fact(c) - fact(x - c) - fact(y - c) - fact(n - x - y + c)
-                    chance += c / n * math.log(n * c / (x * y)) * math.exp(log_p)
+        for a in x.astype(int).tolist():
+            for b in y.astype(int).tolist():
+                c = np.arange(max(1, a + b - int(n)), min(a, b) + 1)
+                log_p = fact[a] + fact[b] + fact[int(n) - a] + fact[int(n) - b] - fact[int(n)] - fact[c] - fact[a - c] - fact[b - c] - fact[int(n) - a - b + c]
+                chance += float((c / n * np.log(n * c / (a * b)) * np.exp(log_p)).sum())
         under = sum(entropy) / 2 - chance
-        value = 1.0 if len(rows) == len(cols) == 1 else (mutual - chance) / under if abs(under) > 1e-15 else 0.0
-        return pd.DataFrame({"series_id": [part["series_id"].iloc[0]], "ami": [value]})
+        return [(1.0 if len(rows) == len(cols) == 1 else (mutual - chance) / under if abs(under) > 1e-15 else 0.0,)]
 
-    return table.groupBy("series_id").applyInPandas(run, "series_id long, ami double")
+    return by_series(table, ["a", "b"], run, "ami double")

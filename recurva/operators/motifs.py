@@ -7,21 +7,21 @@ length is done row by row on its tiles; kernels hold the samples of one series a
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recurva.functions.distance import DISTANCES, block, normalised
 from recurva.operators import cuts, graph, occurrences, profile
-from recurva.plans.series import packed
+from recurva.plans.kernels import by_series
 
-FOUND = "series_id long, label long, start long, end long"
+FOUND = "label long, start long, end long"
 
 
 def persistent_motifs(series: DataFrame, m: int, k: int = 3, jump: int = 1, n: int | None = None, name: str = "trend", similarity: float | None = 0.25, alpha: float = 10.0) -> DataFrame:
     """Components of the neighbour graph that persist, as occurrences with their births; n fixes their number, else
     the jump-th largest gap of persistence does. Births and deaths are stretched by ktanh before the cuts."""
-    pers = graph.persistence(graph.filtration(graph.knn_graph(series, m, k, name)))
+    # Kept for the cuts and for the components below.
+    pers = graph.persistence(graph.filtration(graph.knn_graph(series, m, k, name))).persist()
     stretched = graph.finite(pers).select("series_id", "seed", *(cuts.ktanh(F.col(c), alpha).alias(c) for c in ("birth", "death")), "u", "v", cuts.ktanh(F.col("w"), alpha).alias("w"))
     ended = stretched.where("w IS NOT NULL")
     limits = cuts.fixed_cuts(stretched, n) if n else cuts.gap_cuts(ended, jump)
@@ -51,13 +51,11 @@ def radius_counts(series: DataFrame, m: int, radius: float, name: str = "znorm")
 def _per_series(series: DataFrame, m: int, name: str, find) -> DataFrame:
     """find(series_id, places, normalised windows) gives lists of members, one a motif."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("i")
-        at, x = part["i"].to_numpy(), np.array(part["x"].tolist(), float)
-        rows = [(part["series_id"].iloc[0], label, int(at[p]), int(at[p]) + m) for label, own in enumerate(find(int(part["series_id"].iloc[0]), at, x)) for p in own]
-        return pd.DataFrame(rows, columns=["series_id", "label", "start", "end"])
+    def run(series_id: int, own: dict[str, np.ndarray]) -> list[tuple]:
+        at, x = own["i"], np.stack(own["x"])
+        return [(label, int(at[p]), int(at[p]) + m) for label, members in enumerate(find(series_id, at, x)) for p in members]
 
-    return normalised(series, m, name).groupBy("series_id").applyInPandas(run, FOUND)
+    return by_series(normalised(series, m, name), ["i"], run, FOUND)
 
 
 def within(dist: np.ndarray, at: np.ndarray, own: int, m: int, radius: float, free: np.ndarray) -> list[int]:
@@ -98,18 +96,20 @@ def radius_motifs(series: DataFrame, m: int, radius: float, n: int, name: str =
     near = radius_neighbours(series, m, radius, name)
     by = near.groupBy("series_id", "i").agg(F.count("*").alias("neighbours"), F.round(F.stddev_pop("dist"), 9).alias("spread"))
 
-    def pick(ranked: pd.DataFrame, samples: pd.DataFrame) -> pd.DataFrame:
+    def pick(_: int, own: dict[str, np.ndarray]) -> list[tuple]:
+        ranked = own["of"] == 1
         chosen: list[int] = []
-        if len(ranked):
-            windows = np.lib.stride_tricks.sliding_window_view(np.array(samples["xs"].iloc[0], float), m)
-            rows: list[np.ndarray] = []
-            for p in ranked.sort_values(["neighbours", "spread", "i"], ascending=[False, True, True])["i"].tolist():
-                if len(chosen) < n and all(row[p] > 2 * radius for row in rows):
-                    chosen.append(p)
-                    rows.append(_row(d, windows, p, m))
-        return pd.DataFrame({"series_id": [samples["series_id"].iloc[0]] * len(chosen), "label": range(len(chosen)), "i": chosen}) if chosen else pd.DataFrame(columns=["series_id", "label", "i"])
-
-    centres = by.groupBy("series_id").cogroup(packed(series).groupBy("series_id")).applyInPandas(pick, "series_id long, label long, i long")
+        rows: list[np.ndarray] = []
+        order = np.lexsort((own["i"][ranked], own["spread"][ranked], -own["x"][ranked]))
+        for p in own["i"][ranked][order].tolist():
+            if len(chosen) < n and all(row[p] > 2 * radius for row in rows):
+                chosen.append(p)
+                rows.append(_row(d, np.lib.stride_tricks.sliding_window_view(own["x"][~ranked], m), p, m))
+        return list(enumerate(chosen))
+
+    ranked = by.select("series_id", F.lit(1).alias("of"), "i", F.col("neighbours").cast("double").alias("x"), "spread")
+    samples = series.select("series_id", F.lit(0).alias("of"), F.col("idx").alias("i"), F.col("value").alias("x"), F.lit(0.0).alias("spread"))
+    centres = by_series(samples.union(ranked), ["of", "i"], pick, "label long, i long")
     members = centres.join(near, ["series_id", "i"]).select("series_id", "label", F.col("j").alias("start")).union(centres)
     return members.select("series_id", "label", "start", (F.col("start") + m).alias("end"))
 
@@ -119,29 +119,32 @@ def profile_motifs(series: DataFrame, m: int, n: int, ratio: float = 3.0, name:
     masked for what follows."""
     d = DISTANCES[name]
 
-    def pick(nearest: pd.DataFrame, samples: pd.DataFrame) -> pd.DataFrame:
+    def pick(_: int, own: dict[str, np.ndarray]) -> list[tuple]:
         rows: list[tuple] = []
-        if len(nearest):
-            windows = np.lib.stride_tricks.sliding_window_view(np.array(samples["xs"].iloc[0], float), m)
-            at, least, free = np.arange(len(windows)), np.full(len(windows), np.inf), np.ones(len(windows), bool)
-            least[nearest["i"]] = nearest["dist"]
-            label = 0
-            while label < n and np.isfinite(open_ := np.where(free, least, np.inf)).any():
-                seed = int(open_.argmin())
-                own = _row(d, windows, seed, m)
-                row = np.where(free & (np.abs(at - seed) >= m), own, np.inf)
-                if not np.isfinite(row.min()):
-                    free[seed] = False
-                    continue
-                taken = [seed, *within(own, at, seed, m, max(ratio * row.min(), np.nextafter(row.min(), np.inf)), free)]
-                rows += [(samples["series_id"].iloc[0], label, p, p + m) for p in taken]
-                for p in taken:
-                    free &= np.abs(at - p) >= m
-                label += 1
-        return pd.DataFrame(rows, columns=["series_id", "label", "start", "end"])
-
-    nearest = profile.profile(series, m, name, 9)
-    return nearest.groupBy("series_id").cogroup(packed(series).groupBy("series_id")).applyInPandas(pick, FOUND)
+        near, xs = own["of"] == 1, own["x"][own["of"] == 0]
+        if not near.any():
+            return rows
+        windows = np.lib.stride_tricks.sliding_window_view(xs, m)
+        at, least, free = np.arange(len(windows)), np.full(len(windows), np.inf), np.ones(len(windows), bool)
+        least[own["i"][near]] = own["x"][near]
+        label = 0
+        while label < n and np.isfinite(open_ := np.where(free, least, np.inf)).any():
+            seed = int(open_.argmin())
+            dist = _row(d, windows, seed, m)
+            row = np.where(free & (np.abs(at - seed) >= m), dist, np.inf)
+            if not np.isfinite(row.min()):
+                free[seed] = False
+                continue
+            taken = [seed, *within(dist, at, seed, m, max(ratio * row.min(), np.nextafter(row.min(), np.inf)), free)]
+            rows += [(label, p, p + m) for p in taken]
+            for p in taken:
+                free &= np.abs(at - p) >= m
+            label += 1
+        return rows
+
+    nearest = profile.profile(series, m, name, 9).select("series_id", F.lit(1).alias("of"), "i", F.col("dist").alias("x"))
+    samples = series.select("series_id", F.lit(0).alias("of"), F.col("idx").alias("i"), F.col("value").alias("x"))
+    return by_series(samples.union(nearest), ["of", "i"], pick, FOUND)
 
 
 def multi_length_motifs(series: DataFrame, lengths: list[int], n: int, ratio: float = 3.0, name: str = "znorm") -> DataFrame:
@@ -154,20 +157,22 @@ def multi_length_motifs(series: DataFrame, lengths: list[int], n: int, ratio: fl
         one = one.join(best, ["series_id", "start"])
         found = one if found is None else found.unionByName(one)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        sets = [(own["cost"].min(), -m, label, own.sort_values("start")) for (m, label), own in part.groupby(["m", "label"])]
+    def run(_: int, own: dict[str, np.ndarray]) -> list[tuple]:
+        sets: dict[tuple, list] = {}
+        for length, label, start, end, cost in zip(*(own[c].tolist() for c in ("m", "label", "start", "end", "cost")), strict=True):
+            sets.setdefault((length, label), []).append((start, end, cost))
         taken: set[int] = set()
         rows: list[tuple] = []
         kept = 0
-        for *_, own in sorted(sets, key=lambda s: s[:3]):
-            cells = {c for a, b in zip(own["start"], own["end"], strict=True) for c in range(a, b)}
+        for (length, label), members in sorted(sets.items(), key=lambda s: (min(x[2] for x in s[1]), -s[0][0], s[0][1])):
+            cells = {c for a, b, _ in members for c in range(a, b)}
             if kept < n and not cells & taken:
                 taken |= cells
-                rows += [(part["series_id"].iloc[0], kept, a, b) for a, b in zip(own["start"], own["end"], strict=True)]
+                rows += [(kept, a, b) for a, b, _ in members]
                 kept += 1
-        return pd.DataFrame(rows, columns=["series_id", "label", "start", "end"])
+        return rows
 
-    return found.groupBy("series_id").applyInPandas(run, FOUND)
+    return by_series(found.select("series_id", "m", "label", "start", "end", "cost"), ["m", "label", "start"], run, FOUND)
 
 
 def latent_motifs(series: DataFrame, m: int, n: int, radius: float, alpha: float = 1.0, rate: float = 0.1, rounds: int = 100, seed: int = 0, starts: int = 1) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recurva.plans.kernels import by_series
+
 
 def islands(points: DataFrame) -> DataFrame:
     """(series_id, label, start, end) of runs of consecutive idx in (series_id, label, idx)."""
@@ -19,13 +21,13 @@ def paint(nodes: DataFrame, m: int) -> DataFrame:
     of birth unless another run of windows has one of them; runs are windows of one label without a gap. What a run
     has claimed is an occurrence. Kernel: the order decides."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["label", "node"])
-        new = (part["label"] != part["label"].shift()) | (part["node"] != part["node"].shift() + 1)
-        part = part.assign(run=new.cumsum()).sort_values(["birth", "node", "label"])
+    def run(_: int, part: dict[str, np.ndarray]) -> list[tuple]:
+        labels, nodes_, births = (part[c] for c in ("label", "node", "birth"))
+        runs = np.cumsum(np.concatenate(([True], (labels[1:] != labels[:-1]) | (nodes_[1:] != nodes_[:-1] + 1))))
+        order = np.lexsort((labels, nodes_, births))
         owner: dict[int, int] = {}
         ends: dict[int, list] = {}
-        for label, node, birth, own in zip(part["label"].tolist(), part["node"].tolist(), part["birth"].tolist(), part["run"].tolist(), strict=True):
+        for label, node, birth, own in zip(labels[order].tolist(), nodes_[order].tolist(), births[order].tolist(), runs[order].tolist(), strict=True):
             cells = range(node, node + m)
             if all(owner.get(c, own) == own for c in cells):
                 owner.update(dict.fromkeys(cells, own))
@@ -35,8 +37,7 @@ def paint(nodes: DataFrame, m: int) -> DataFrame:
                         break
                 else:
                     ends[own].append([label, node, node + m, birth])
-        rows = [(part["series_id"].iloc[0], *s) for own in ends.values() for s in merged(own)]
-        return pd.DataFrame(rows, columns=["series_id", "label", "start", "end", "birth"])
+        return [tuple(s) for own in ends.values() for s in merged(own)]
 
     def merged(stretches: list[list]) -> list[list]:
         out: list[list] = []
@@ -47,7 +48,7 @@ def paint(nodes: DataFrame, m: int) -> DataFrame:
                 out.append(s)
         return out
 
-    return nodes.groupBy("series_id").applyInPandas(run, "series_id long, label long, start long, end long, birth double")
+    return by_series(nodes.select("series_id", "label", "node", "birth"), ["label", "node"], run, "label long, start long, end long, birth double")
 
 
 def without_singletons(found: DataFrame) -> DataFrame:
