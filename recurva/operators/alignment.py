@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def lag_correlation(a: DataFrame, b: DataFrame, least: int) -> DataFrame:
+def lag_correlation(a: DataFrame, b: DataFrame, least: int, which: str = "true") -> DataFrame:
     """(a_id, b_id, lag, corr, n): correlation of a's sample idx + lag with b's sample idx, for lags whose overlap n is
-    at least `least`. a and b: (series_id, idx, value), joined by a key column `pair`."""
+    at least `least`. a and b: (series_id, idx, value), joined by a key column `pair`, for the a_id and b_id that `which` says."""
     x = a.select("pair", F.col("series_id").alias("a_id"), F.col("idx").alias("i"), F.col("value").alias("x"))
     y = b.select("pair", F.col("series_id").alias("b_id"), F.col("idx").alias("j"), F.col("value").alias("y"))
-    both = x.join(y, "pair").groupBy("a_id", "b_id", (F.col("i") - F.col("j")).alias("lag"))
+    both = x.join(y, "pair").where(which).groupBy("a_id", "b_id", (F.col("i") - F.col("j")).alias("lag"))
     out = both.agg(F.count("*").alias("n"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), F.covar_pop("x", "y").alias("c")).where(F.col("n") >= least)
     return out.where("sx > 0 AND sy > 0").select("a_id", "b_id", "lag", "n", F.round(F.col("c") / (F.col("sx") * F.col("sy")), 6).alias("corr"))
 
@@ -22,6 +22,29 @@ def best_lag(correlations: DataFrame) -> DataFrame:
     return best.select("a_id", "b_id", (-F.col("b.col2")).alias("lag"), F.col("b.corr").alias("corr"))
 
 
+def lag_matrix(series: DataFrame, least: int) -> DataFrame:
+    """(pair, a_id, b_id, lag): the best lag of every two series of one `pair`, and its negative the other way round."""
+    best = best_lag(lag_correlation(series, series, least, "a_id < b_id"))
+    both = best.select("a_id", "b_id", "lag").union(best.select("b_id", "a_id", -F.col("lag")))
+    return series.select("pair", F.col("series_id").alias("a_id")).distinct().join(both, "a_id").select("pair", "a_id", "b_id", "lag")
+
+
+def relative_lags(matrix: DataFrame) -> DataFrame:
+    """(pair, series_id, lag): lags to the series of each `pair` whose absolute lags have the least sum, ties to the
+    smallest id, that series itself at 0."""
+    cost = matrix.groupBy("pair", "a_id").agg(F.sum(F.abs("lag")).alias("cost"))
+    centre = cost.groupBy("pair").agg(F.min(F.struct("cost", "a_id"))["a_id"].alias("a_id"))
+    return matrix.join(centre, ["pair", "a_id"]).select("pair", F.col("b_id").alias("series_id"), "lag").union(centre.select("pair", "a_id", F.lit(0).cast("long")))
+
+
+def aligned_mean(series: DataFrame, lags: DataFrame) -> DataFrame:
+    """(pair, at, mean): the series of each `pair` shifted by their lags, averaged over all of them; where one has no
+    sample it counts as 0."""
+    n = lags.groupBy("pair").agg(F.count("*").alias("n"))
+    moved = series.select("series_id", "idx", "value").join(lags, "series_id").groupBy("pair", (F.col("idx") + F.col("lag")).alias("at")).agg(F.sum("value").alias("total"))
+    return moved.join(n, "pair").select("pair", "at", (F.col("total") / F.col("n")).alias("mean"))
+
+
 def medoid(lags: DataFrame) -> DataFrame:
     """(series_id, cost): the series with the least sum of absolute lags, ties to the smallest id."""
     both = lags.select(F.col("a_id").alias("series_id"), "lag").unionByName(lags.select(F.col("b_id").alias("series_id"), "lag"))

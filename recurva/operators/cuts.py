@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recurva.plans.kernels import by_series
+
 BINS = 1024
 
 
@@ -82,3 +85,74 @@ def fixed_cuts(pers: DataFrame, n: int) -> DataFrame:
     births = otsu(pers, "birth").withColumnRenamed("cut", "b_cut")
     kept = pers.join(births, "series_id").where("birth < b_cut").withColumn("pers", F.col("death") - F.col("birth"))
     return births.join(top_n_cut(kept, "pers", n).withColumnRenamed("cut", "p_cut"), "series_id")
+
+
+def _prominent(pers: DataFrame) -> DataFrame:
+    """Finite pairs that live for a while, with how long."""
+    return pers.withColumn("pers", F.col("death") - F.col("birth")).where("pers > 0")
+
+
+def _both(births: DataFrame, lives: DataFrame) -> DataFrame:
+    return births.withColumnRenamed("cut", "b_cut").join(lives.withColumnRenamed("cut", "p_cut"), "series_id")
+
+
+def _tail(table: DataFrame, cuts: DataFrame, condition: str) -> DataFrame:
+    return table.join(cuts, "series_id").where(condition).drop("cut")
+
+
+def split_cuts(pers: DataFrame, kind: str | None = None, bins: int = BINS) -> DataFrame:
+    """(series_id, b_cut, p_cut): histogram splits of births and of persistence, each by itself. Skewed kinds split the
+    births below (birth_skewed), the persistence above (prominence_skewed) or both (skewed) once more."""
+    rows = _prominent(pers)
+    births, lives = otsu(rows, "birth", bins), otsu(rows, "pers", bins)
+    if kind in ("birth_skewed", "skewed"):
+        births = otsu(_tail(rows, births, "birth < cut"), "birth", bins)
+    if kind in ("prominence_skewed", "skewed"):
+        lives = otsu(_tail(rows, lives, "pers > cut"), "pers", bins)
+    return _both(births, lives)
+
+
+def mixed_cuts(pers: DataFrame, bins: int = BINS) -> DataFrame:
+    """(series_id, b_cut, p_cut): births split twice, then the persistence of those born below that, split twice."""
+    rows = _prominent(pers)
+    births = otsu(_tail(rows, otsu(rows, "birth", bins), "birth < cut"), "birth", bins)
+    early = _tail(rows, births, "birth < cut")
+    return _both(births, otsu(_tail(early, otsu(early, "pers", bins), "pers > cut"), "pers", bins))
+
+
+def outlier_cuts(pers: DataFrame, t: float = 0.99, bins: int = BINS) -> DataFrame:
+    """(series_id, b_cut, p_cut): births split, and of the persistence of those born below that the middle between the
+    first normal outlier and the value before it. Series without such an outlier have no row."""
+    births = otsu(pers, "birth", bins)
+    early = _prominent(_tail(pers, births, "birth < cut"))
+    order = Window.partitionBy("series_id").orderBy("pers")
+    early = early.select("series_id", "pers", F.lag("pers").over(order).alias("before"))
+    first = normal_outliers(early, "pers", t).groupBy("series_id").agg(F.min(F.struct("pers", "before")).alias("x"))
+    return _both(births, first.where("x.before IS NOT NULL").select("series_id", ((F.col("x.pers") + F.col("x.before")) / 2).alias("cut")))
+
+
+def plane_cuts(pers: DataFrame, bins: int = BINS) -> DataFrame:
+    """(series_id, p_cut, b_cut): the left edges of the cell of a histogram of persistence by birth that splits both at
+    once with the largest variance between. Kernel over a series' occupied cells: only there do the sums change."""
+    rows = _prominent(pers).select("series_id", "pers", "birth")
+
+    def run(_: int, own: dict[str, np.ndarray]) -> list[tuple]:
+        edges, places = [], []
+        for x in (own["pers"], own["birth"]):
+            lo, hi = (x.min(), x.max()) if x.min() < x.max() else (x.min() - 0.5, x.max() + 0.5)
+            edge = np.linspace(lo, hi, bins + 1)
+            occupied, at = np.unique(np.clip(np.searchsorted(edge, x, "right") - 1, 0, bins - 1), return_inverse=True)
+            edges.append((edge[0], edge[occupied]))
+            places.append(at)
+        share = np.zeros([len(e) for _, e in edges])
+        np.add.at(share, tuple(places), 1 / len(places[0]))
+        sums = [x.cumsum(axis=0).cumsum(axis=1) for x in (share, share * edges[0][1][:, None], share * edges[1][1])]
+        under = sums[0] * (1 - sums[0])
+        apart = sum((s - s[-1, -1] * sums[0]) ** 2 for s in sums[1:])
+        score = np.where(under > 1e-12, apart / np.where(under > 1e-12, under, 1), 0)
+        if not score.max() > 0:
+            return [(float(edges[0][0]), float(edges[1][0]))]
+        i, j = np.unravel_index(score.argmax(), score.shape)
+        return [(float(edges[0][1][i]), float(edges[1][1][j]))]
+
+    return by_series(rows, ["pers", "birth"], run, "p_cut double, b_cut double")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recurva.operators.occurrences import points
+from recurva.operators.occurrences import islands, points
 from recurva.plans.kernels import by_series
 
 
@@ -87,9 +87,74 @@ def matched_labels(truth: DataFrame, found: DataFrame) -> DataFrame:
     return by_series(label_overlaps(truth, found), ["label", "p_label"], run, "label long, p_label long")
 
 
-def event_scores(truth: DataFrame, found: DataFrame, thresholds: list[float]) -> DataFrame:
-    """(series_id, threshold, precision, recall, fscore): a predicted occurrence is right if it is paired one to one
-    with a true one that it overlaps in at least a share of its own length; recall likewise by the true one's length."""
+def matched_samples(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """(series_id, samples): samples that the paired labels share, the largest sum there is."""
+    both = label_overlaps(truth, found).join(matched_labels(truth, found), ["series_id", "label", "p_label"])
+    return both.groupBy("series_id").agg(F.sum("samples").alias("samples"))
+
+
+def united(found: DataFrame) -> DataFrame:
+    """All labels as one, 0; what touches or overlaps is one occurrence."""
+    return islands(points(found).select("series_id", F.lit(0).cast("long").alias("label"), "idx"))
+
+
+def _weights(sizes: DataFrame, weighted: bool) -> DataFrame:
+    """(series_id, label, size, weight): equal weights of a series' true labels, or by their sizes."""
+    own = Window.partitionBy("series_id")
+    return sizes.withColumn("weight", F.col("size") / F.sum("size").over(own) if weighted else 1 / F.count("*").over(own))
+
+
+def _weighted_sums(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of precision, recall and their harmonic mean by weight; a label without a partner counts as 0."""
+    sums = (F.sum(F.coalesce(c, F.lit(0.0)) * F.col("weight")).alias(c) for c in ("precision", "recall", "fscore"))
+    return scored.groupBy(*by).agg(*sums)
+
+
+def label_scores(truth: DataFrame, found: DataFrame, weighted: bool = False) -> DataFrame:
+    """(series_id, precision, recall, fscore) on samples label by label, paired one to one; means over the true labels,
+    or weighted by their samples. Series without true labels have no row."""
+    sizes = points(truth).groupBy("series_id", "label").agg(F.count("*").alias("size"))
+    p_sizes = points(found).groupBy("series_id", F.col("label").alias("p_label")).agg(F.count("*").alias("p_size"))
+    both = label_overlaps(truth, found).join(matched_labels(truth, found), ["series_id", "label", "p_label"]).join(p_sizes, ["series_id", "p_label"])
+    full = _weights(sizes, weighted).join(both.select("series_id", "label", "samples", "p_size"), ["series_id", "label"], "left")
+    return _weighted_sums(_f1(full.withColumns({"precision": _ratio("samples", "p_size"), "recall": _ratio("samples", "size")}).fillna(0.0, ["precision", "recall"])), ["series_id"])
+
+
+def label_event_scores(truth: DataFrame, found: DataFrame, thresholds: list[float], weighted: bool = False) -> DataFrame:
+    """(series_id, threshold, precision, recall, fscore) on occurrences label by label, labels paired by samples; means
+    over the true labels, or weighted by their numbers of occurrences."""
+    named = found.select("series_id", F.col("label").alias("p_label"), "start", "end").join(matched_labels(truth, found), ["series_id", "p_label"]).select("series_id", "label", "start", "end")
+    pairs = paired(overlaps(truth, named).where("label = p_label"))
+    sizes = _weights(truth.groupBy("series_id", "label").agg(F.count("*").alias("size")), weighted)
+    every = sizes.join(named.groupBy("series_id", "label").agg(F.count("*").alias("n_p")), ["series_id", "label"], "left").withColumnRenamed("size", "n_t")
+    return _weighted_sums(_right(pairs, every, thresholds, ["series_id", "label"]), ["series_id", "threshold"])
+
+
+def battery(truth: DataFrame, found: DataFrame, series: DataFrame, thresholds: list[float] | None = None) -> DataFrame:
+    """(series_id, metric, score): samples (united, by label, by label weighted), occurrences likewise at every
+    threshold and their means over thresholds, and adjusted information."""
+    thresholds = [k / 100 for k in range(101)] if thresholds is None else thresholds
+    one = [united(t) for t in (truth, found)]
+    out = adjusted_information(contingency(truth, found, series)).select("series_id", F.lit("amis").alias("metric"), F.col("ami").alias("score"))
+    kinds = ("precision", "recall", "fscore")
+
+    def tall(table: DataFrame, prefix: str, suffix: Column) -> DataFrame:
+        each = F.explode(F.array(*(F.struct(F.concat(F.lit(f"{prefix}-{c}"), suffix).alias("metric"), F.col(c).alias("score")) for c in kinds))).alias("x")
+        return table.select("series_id", each).select("series_id", "x.metric", "x.score")
+
+    for prefix, table in (("sss", sample_scores(truth, found)), ("ss", label_scores(truth, found)), ("w-ss", label_scores(truth, found, True))):
+        out = out.union(tall(table, prefix, F.lit("")))
+    for prefix, table in (("ses", event_scores(*one, thresholds)), ("es", label_event_scores(truth, found, thresholds)), ("w-es", label_event_scores(truth, found, thresholds, True))):
+        out = out.union(tall(table, prefix, F.concat(F.lit("_"), F.round("threshold", 2).cast("string"))))
+        means = threshold_mean(table)
+        each = F.explode(F.array(*(F.struct(F.lit(f"{prefix}-auc-{c}").alias("metric"), F.col(c).alias("score")) for c in kinds))).alias("x")
+        out = out.union(means.select("series_id", each).select("series_id", "x.metric", "x.score"))
+    return out
+
+
+def paired(met: DataFrame) -> DataFrame:
+    """(series_id, label, start, end, p_start, p_end, overlap): of overlaps those that pair true and predicted
+    occurrences one to one for the largest sum."""
 
     def run(_: int, part: dict[str, np.ndarray]) -> list[tuple]:
         rows: list[tuple] = []
@@ -101,7 +166,7 @@ def event_scores(truth: DataFrame, found: DataFrame, thresholds: list[float]) ->
             for x in own:
                 gain[t[x[:3]], p[x[3:6]]] = x[6]
             paired = [(0, int(gain[0].argmax()))] if len(ts) == 1 else [(int(gain[:, 0].argmax()), 0)] if len(ps) == 1 else assign(gain)
-            rows += [(*ts[i][:2], *ps[j][:2], int(gain[i, j])) for i, j in paired if gain[i, j] > 0]
+            rows += [(ts[i][2], *ts[i][:2], *ps[j][:2], int(gain[i, j])) for i, j in paired if gain[i, j] > 0]
         return rows
 
     def chains(every: list[tuple]) -> Iterator[list[tuple]]:
@@ -117,13 +182,24 @@ def event_scores(truth: DataFrame, found: DataFrame, thresholds: list[float]) ->
         if own:
             yield own
 
-    pairs = by_series(overlaps(truth, found), ["start", "end", "label", "p_start", "p_end", "p_label"], run, "start long, end long, p_start long, p_end long, overlap long")
-    pairs = pairs.select("series_id", (F.col("overlap") / (F.col("end") - F.col("start"))).alias("of_t"), (F.col("overlap") / (F.col("p_end") - F.col("p_start"))).alias("of_p"), F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
-    right = pairs.groupBy("series_id", "threshold").agg(F.sum((F.col("of_p") >= F.col("threshold")).cast("int")).alias("right_p"), F.sum((F.col("of_t") >= F.col("threshold")).cast("int")).alias("right_t"))
+    return by_series(met, ["start", "end", "label", "p_start", "p_end", "p_label"], run, "label long, start long, end long, p_start long, p_end long, overlap long")
+
+
+def _right(pairs: DataFrame, sizes: DataFrame, thresholds: list[float], by: list[str]) -> DataFrame:
+    """sizes (by, n_t, n_p) with precision, recall and fscore at every threshold."""
+    levels = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
+    shares = pairs.select(*by, (F.col("overlap") / (F.col("end") - F.col("start"))).alias("of_t"), (F.col("overlap") / (F.col("p_end") - F.col("p_start"))).alias("of_p"), levels)
+    right = shares.groupBy(*by, "threshold").agg(*(F.sum((F.col(f"of_{c}") >= F.col("threshold")).cast("int")).alias(f"right_{c}") for c in "pt"))
+    full = sizes.select("*", levels).join(right, [*by, "threshold"], "left").fillna(0, ["n_t", "n_p", "right_p", "right_t"])
+    return _f1(full.withColumns({"precision": _ratio("right_p", "n_p"), "recall": _ratio("right_t", "n_t")}))
+
+
+def event_scores(truth: DataFrame, found: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(series_id, threshold, precision, recall, fscore): a predicted occurrence is right if it is paired one to one
+    with a true one that it overlaps in at least a share of its own length; recall likewise by the true one's length."""
     sizes = [t.groupBy("series_id").agg(F.count("*").alias(c)) for t, c in ((truth, "n_t"), (found, "n_p"))]
-    every = sizes[0].join(sizes[1], "series_id", "full").select("*", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
-    full = every.join(right, ["series_id", "threshold"], "left").fillna(0, ["n_t", "n_p", "right_p", "right_t"])
-    return _f1(full.select("series_id", "threshold", _ratio("right_p", "n_p").alias("precision"), _ratio("right_t", "n_t").alias("recall")))
+    out = _right(paired(overlaps(truth, found)), sizes[0].join(sizes[1], "series_id", "full"), thresholds, ["series_id"])
+    return out.select("series_id", "threshold", "precision", "recall", "fscore")
 
 
 def threshold_mean(scores: DataFrame) -> DataFrame:

@@ -44,3 +44,21 @@ def mean_ranks(scores: DataFrame, by: list[str], name: str) -> DataFrame:
     same = Window.partitionBy(*by, "score")
     ranked = scores.withColumn("rank", F.rank().over(own) + (F.count("*").over(same) - 1) / 2)
     return ranked.groupBy(name).agg(F.avg("rank").alias("mean_rank"))
+
+
+def count_error(scores: DataFrame, by: list[str]) -> DataFrame:
+    """Mean absolute difference of predicted and true numbers of motifs (n_patterns, predicted_n_patterns)."""
+    return scores.groupBy(*by).agg(F.avg(F.abs(F.col("predicted_n_patterns") - F.col("n_patterns"))).alias("error"))
+
+
+def quadratic_guide(times: DataFrame, length: str, time: str) -> DataFrame:
+    """Each length with the time that quadratic growth from the mean time at the least length would give."""
+    first = times.groupBy(length).agg(F.avg(time).alias("start")).agg(F.min_by("start", length).alias("start"), F.min(length).alias("least"))
+    return times.select(length).distinct().join(F.broadcast(first)).select(length, (F.col("start") * F.pow(F.col(length) / F.col("least"), 2)).alias("guide"))  # one row
+
+
+def renamed(table: DataFrame, column: str, names: dict[str, str], order: list[str] | None = None) -> DataFrame:
+    """Rows whose value has a name, under that name, with its place in an explicit order if one is given."""
+    pairs = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    out = table.withColumn(column, F.element_at(pairs, F.col(column))).where(F.col(column).isNotNull())
+    return out.withColumn(f"{column}_order", F.array_position(F.array(*map(F.lit, order)), F.col(column))) if order else out

@@ -77,6 +77,16 @@ on_events("ktanh_profile", sql.ktanh(), lambda s: _profile(s).select("series_id"
 on_events("otsu_profile", sql.otsu(), lambda s: cuts.otsu(_profile(s), "dist"))
 on_events("gap_cut_profile", sql.gap_cut(), lambda s: cuts.gap_cut(_profile(s), "dist", 2), 7)
 on_events("fixed_n_cut", sql.top_n_cut(), lambda s: cuts.top_n_cut(_profile(s), "dist", 5), 7)
+
+
+def _pers(s: DataFrame) -> DataFrame:
+    return graph.finite(graph.persistence(graph.filtration(graph.knn_graph(s, M, 3)))).select("series_id", "birth", "death")
+
+
+on_events("split_cuts", None, lambda s: cuts.split_cuts(_pers(s)))
+on_events("split_cuts_skewed", None, lambda s: cuts.split_cuts(_pers(s), "skewed"))
+on_events("outlier_cuts", None, lambda s: cuts.outlier_cuts(_pers(s), 0.9))
+on_events("plane_cuts", None, lambda s: cuts.plane_cuts(_pers(s)))
 on_events("mad_outliers", sql.mad_outliers(), lambda s: cuts.mad_outliers(_profile(s), "dist", 2.0).select("series_id", "i", "dist"))
 on_events("normal_outliers", sql.normal_outliers(), lambda s: cuts.normal_outliers(_profile(s), "dist", 0.95).select("series_id", "i", "dist"))
 
@@ -115,6 +125,12 @@ on_events("event_overlap_matrix", sql.overlaps(), lambda s: metrics.overlaps(_tr
 on_events("label_overlaps", sql.label_overlaps(), lambda s: metrics.label_overlaps(_truth(s), _found(s)))
 on_events("contingency", sql.contingency(), lambda s: metrics.contingency(_truth(s), _found(s), s))
 on_events("matched_labels", None, lambda s: metrics.matched_labels(_truth(s), _found(s)))
+on_events("matched_samples", sql.matched_samples(), lambda s: metrics.matched_samples(_truth(s), _found(s)))
+on_events("united_occurrences", sql.united(), lambda s: metrics.united(_truth(s)))
+on_events("label_scores", None, lambda s: metrics.label_scores(_truth(s), _found(s)))
+on_events("label_scores_weighted", None, lambda s: metrics.label_scores(_truth(s), _found(s), weighted=True))
+on_events("label_event_scores", None, lambda s: metrics.label_event_scores(_truth(s), _found(s), THRESHOLDS))
+on_events("metric_battery", None, lambda s: metrics.battery(_truth(s), _found(s), s, THRESHOLDS))
 on_events("event_prf_thresholds", None, lambda s: metrics.event_scores(_truth(s), _found(s), THRESHOLDS))
 on_events("auc_over_thresholds", None, lambda s: metrics.threshold_mean(metrics.event_scores(_truth(s), _found(s), [k / 100 for k in range(101)])))
 on_events("adjusted_information", None, lambda s: metrics.adjusted_information(metrics.contingency(_truth(s), _found(s), s)))
@@ -128,6 +144,16 @@ def _lags(s: DataFrame) -> DataFrame:
 
 on_events("lag_correlation", sql.lags("all"), _lags)
 on_events("optimal_lag", sql.lags("best"), lambda s: alignment.best_lag(_lags(s)))
+
+
+def _fours(s: DataFrame) -> DataFrame:
+    """Series in groups of four."""
+    return s.withColumn("pair", F.floor(F.col("series_id") / 4))
+
+
+on_events("lag_matrix", sql.lag_groups("matrix"), lambda s: alignment.lag_matrix(_fours(s), 30))
+on_events("relative_lags", sql.lag_groups("relative"), lambda s: alignment.relative_lags(alignment.lag_matrix(_fours(s), 30)))
+on_events("aligned_mean", sql.lag_groups("mean"), lambda s: alignment.aligned_mean(s, alignment.relative_lags(alignment.lag_matrix(_fours(s), 30))))
 on_events("lag_medoid", sql.lags("medoid"), lambda s: alignment.medoid(alignment.best_lag(_lags(s))))
 on_events("barycenter", sql.barycenter(), lambda s: alignment.barycenter(_truth(s), s))
 

@@ -281,6 +281,32 @@ SELECT a_id, b_id, lag, n, round(c / (sx * sy), 6) AS corr FROM c WHERE n >= 30
     return f"WITH l AS ({best}), c AS (SELECT series_id, CAST(sum(abs(lag)) AS BIGINT) AS cost FROM (SELECT a_id AS series_id, lag FROM l UNION ALL SELECT b_id, lag FROM l) GROUP BY 1) SELECT series_id, cost FROM c ORDER BY cost, series_id LIMIT 1"
 
 
+def lag_groups(what: str) -> str:
+    matrix = f"""WITH s AS ({EVENTS}),
+c AS (SELECT a.series_id AS a_id, b.series_id AS b_id, a.idx - b.idx AS lag, count(*) AS n, stddev_pop(a.value) AS sx, stddev_pop(b.value) AS sy, covar_pop(a.value, b.value) AS c
+FROM s a JOIN s b ON a.series_id // 4 = b.series_id // 4 AND a.series_id < b.series_id GROUP BY ALL),
+r AS (SELECT a_id, b_id, lag, row_number() OVER (PARTITION BY a_id, b_id ORDER BY round(c / (sx * sy), 6) DESC, lag) AS r FROM c WHERE n >= 30 AND sx > 0 AND sy > 0)
+SELECT a_id // 4 AS pair, a_id, b_id, lag FROM r WHERE r = 1 UNION ALL SELECT a_id // 4, b_id, a_id, -lag FROM r WHERE r = 1"""
+    if what == "matrix":
+        return matrix
+    centre = "SELECT pair, a_id FROM (SELECT pair, a_id, row_number() OVER (PARTITION BY pair ORDER BY sum(abs(lag)), a_id) AS r FROM m GROUP BY pair, a_id) WHERE r = 1"
+    relative = f"WITH m AS ({matrix}), k AS ({centre}) SELECT m.pair, m.b_id AS series_id, m.lag FROM m JOIN k USING (pair, a_id) UNION ALL SELECT pair, a_id, 0 FROM k"
+    if what == "relative":
+        return relative
+    return f"""WITH l AS ({relative}), n AS (SELECT pair, count(*) AS n FROM l GROUP BY 1)
+SELECT l.pair, e.idx + l.lag AS "at", round(sum(e.value) / n.n, 6) AS mean FROM l JOIN ({EVENTS}) e USING (series_id) JOIN n USING (pair) GROUP BY l.pair, e.idx + l.lag, n.n"""
+
+
+def matched_samples() -> str:
+    """The best of all one-to-one pairings of up to three true labels (0, 1, 2) with two predicted ones (0, 1)."""
+    return f"""WITH o AS ({label_overlaps()}), g AS (SELECT series_id, label, p_label, samples FROM o UNION ALL SELECT DISTINCT series_id, -1, 0, 0 FROM o UNION ALL SELECT DISTINCT series_id, -2, 1, 0 FROM o)
+SELECT a.series_id, CAST(max(a.samples + b.samples) AS BIGINT) AS samples FROM g a JOIN g b ON a.series_id = b.series_id AND a.p_label = 0 AND b.p_label = 1 AND a.label <> b.label GROUP BY 1"""
+
+
+def united() -> str:
+    return f"SELECT series_id, CAST(0 AS BIGINT) AS label, start, \"end\" FROM ({_islands(f'SELECT DISTINCT series_id, 0 AS label, idx FROM ({_points(TRUTH)})')})"
+
+
 def barycenter() -> str:
     return f"""WITH t AS (SELECT *, count(*) OVER (PARTITION BY series_id, label) AS n FROM ({TRUTH})), p AS (SELECT series_id, label, n, start, unnest(range(start, "end")) AS idx FROM t)
 SELECT series_id, label, idx - start AS "at", round(sum(value) / n, 6) AS mean FROM p JOIN ({EVENTS}) USING (series_id, idx) GROUP BY series_id, label, idx - start, n"""

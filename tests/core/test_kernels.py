@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recurva.operators import cuts, graph, metrics, motifs, occurrences, profile
+from recurva.operators import cuts, graph, metrics, motifs, occurrences, profile, reports, runner
 from recurva.sources import synth, tables
 
 DRAW = np.random.default_rng(3)
@@ -155,3 +155,51 @@ def test_configs_and_scores(spark, tmp_path):
     tables.append_scores(rows, str(tmp_path / "s"))
     tables.append_scores(rows, str(tmp_path / "s"))
     assert tables.read_scores(spark, str(tmp_path / "s")).count() == 2
+
+
+def test_scores_by_label(spark):
+    t = spark.createDataFrame([(0, 0, 0, 10), (0, 0, 20, 30), (0, 1, 40, 50)], "series_id long, label long, start long, end long")
+    p = spark.createDataFrame([(0, 7, 0, 10), (0, 8, 40, 45)], "series_id long, label long, start long, end long")
+    assert tuple(metrics.label_scores(t, p).first())[1:] == pytest.approx((1.0, 0.5, (2 / 3 + 2 / 3) / 2))
+    assert tuple(metrics.label_scores(t, p, True).first())[1:] == pytest.approx((1.0, 2 / 3 * 0.5 + 1 / 3 * 0.5, 2 / 3))
+    got = {r["threshold"]: tuple(r)[2:] for r in metrics.label_event_scores(t, p, [0.4, 0.6]).collect()}
+    assert got[0.4] == pytest.approx((1.0, 0.75, (2 / 3 + 1) / 2)) and got[0.6][1] == pytest.approx(0.25)
+    weighted = {r["threshold"]: tuple(r)[2:] for r in metrics.label_event_scores(t, p, [0.4], True).collect()}
+    assert weighted[0.4] == pytest.approx((1.0, 2 / 3 * 0.5 + 1 / 3, 2 / 3 * 2 / 3 + 1 / 3))
+    s = series(spark, [0.0] * 60)
+    names = {r["metric"]: r["score"] for r in metrics.battery(t, p, s).collect()}
+    assert len(names) == 928 and names["sss-recall"] == 0.5 and names["ses-precision_0.5"] == 1.0 and "w-es-auc-fscore" in names and "es-recall_1.0" in names
+    assert {r["score"] for r in metrics.battery(t, t, s, [0.5]).collect()} == {1.0}
+
+
+def test_cuts_of_births_and_persistence(spark):
+    births, lives = DRAW.random(80), np.concatenate((0.1 * DRAW.random(70), 3 + DRAW.random(10)))
+    pers = spark.createDataFrame([(0, float(b), float(b + x)) for b, x in zip(births, lives)], "series_id long, birth double, death double")
+    for got in (cuts.split_cuts(pers), cuts.outlier_cuts(pers.union(pers.limit(0)), 0.95)):
+        assert 0.0 < got.first()["p_cut"] < 3.5
+    skewed, mixed = cuts.split_cuts(pers, "skewed").first(), cuts.mixed_cuts(pers).first()
+    assert skewed["b_cut"] <= cuts.split_cuts(pers).first()["b_cut"] and mixed["b_cut"] < 1
+    grid, u, v = np.histogram2d(lives, births, bins=32)
+    share = grid / grid.sum()
+    best, at = -1.0, None
+    for i in range(32):
+        for j in range(32):
+            w = share[: i + 1, : j + 1].sum()
+            if 1e-12 < w * (1 - w):
+                x, y = (u[:-1, None] * share)[: i + 1, : j + 1].sum(), (v[:-1] * share)[: i + 1, : j + 1].sum()
+                score = ((x - w * (u[:-1, None] * share).sum()) ** 2 + (y - w * (v[:-1] * share).sum()) ** 2) / (w * (1 - w))
+                best, at = (score, (u[i], v[j])) if score > best * (1 + 1e-9) else (best, at)
+    assert tuple(cuts.plane_cuts(pers, 32).first())[1:] == pytest.approx(at)
+
+
+def test_runs_are_scored_and_failures_kept(spark, tmp_path):
+    s, truth = synth.planted(spark, 2, n_motifs=1, length=16, repeats=(3, 3), noise=0.02, gap=0.5, seed=2)
+    configs = spark.createDataFrame([("profile", 0, {"m": "12", "n": "1"}), ("profile", 1, {"q": "1"})], "algorithm string, config_idx int, params map<string,string>")
+    failed = runner.run(s, truth, {"profile": motifs.profile_motifs}, configs, str(tmp_path / "scores"), [0.5], int).collect()
+    assert [(r["config_idx"], r["error"][:9]) for r in failed] == [(1, "TypeError")]
+    scores = tables.read_scores(spark, str(tmp_path / "scores"))
+    assert scores.where("config_idx = 0 AND metric = 'es-fscore_0.5'").count() == 2 and scores.where("execution_time > 0 AND n_patterns = 1").count() == scores.count()
+    assert reports.count_error(scores, ["algorithm"]).first()["error"] >= 0
+    guide = spark.createDataFrame([(10, 1.0), (10, 3.0), (20, 5.0)], "length int, time double")
+    assert sorted(map(tuple, reports.quadratic_guide(guide, "length", "time").collect())) == [(10, 2.0), (20, 8.0)]
+    assert [tuple(r) for r in reports.renamed(guide.selectExpr("'a' AS x", "time"), "x", {"a": "A"}, ["B", "A"]).limit(1).collect()] == [("A", 1.0, 2)]
