@@ -38,17 +38,18 @@ class _Pieces:
 
     def of(self, words: list[str]) -> np.ndarray:
         """Where each word stands in the pool's index; new ones are tokenized and added. The words are distinct."""
-        new = [w for w in words if w not in self.place]
-        if len(self.place) + len(new) > REMEMBERED and len(self.place) > 1:
+        at = np.fromiter((self.place.get(w, -1) for w in words), np.int32, len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        if new and len(self.place) + len(new) > REMEMBERED and len(self.place) > 1:
             self.clear()
-            new = [w for w in words if w]
+            return self.of(words)
         if new:
-            self._add(new)
-        return np.fromiter(map(self.place.__getitem__, words), np.int32, len(words))
+            self._add([words[i] for i in new])
+            at[new] = [self.place[words[i]] for i in new]
+        return at
 
     def _add(self, words: list[str]) -> None:
-        letters = pc.match_substring_regex(pa.array(words, pa.large_string()), r"^\p{L}+$").to_pylist()
-        plain, other = [w for w, own in zip(words, letters, strict=True) if own], [w for w, own in zip(words, letters, strict=True) if not own]
+        plain, other = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
         sizes, ids = [np.diff(self.ends, prepend=0)], [self.pool]
         for at in range(0, len(plain), 500):
             some = plain[at : at + 500]
@@ -96,22 +97,28 @@ def encode(texts: pa.Array, path: str, end_id: int | None = END_ID) -> tuple[np.
     known = pieces.of(distinct.dictionary.to_pylist())[distinct.indices.to_numpy(zero_copy_only=False)]
     head = known[: len(both[0].dictionary)][both[0].indices.to_numpy(zero_copy_only=False)]
     tail = known[len(both[0].dictionary) :][both[1].indices.to_numpy(zero_copy_only=False)]
-    units = np.empty(2 * len(at), np.int32)  # a batch has far fewer than 2**31 words and ids
-    units[0::2], units[1::2] = head[at], tail[at]
-    sizes, pool = np.diff(pieces.ends, prepend=np.int32(0)), pieces.pool
-    begins = pieces.ends - sizes
-    edges = 2 * (lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py())
+    # The ids of this batch's distinct words, each with its tail, the end id last of all.
+    lengths = np.diff(pieces.ends, prepend=np.int32(0))
+    pool, sizes = _gathered(pieces.pool, (pieces.ends - lengths)[np.stack((head, tail), axis=1).ravel()], lengths[np.stack((head, tail), axis=1).ravel()])
+    sizes = sizes.reshape(-1, 2).sum(axis=1, dtype=np.int32)
+    edges = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+    units = at
     if end_id is not None:
-        begins, sizes = np.append(begins, np.int32(len(pool))), np.append(sizes, np.int32(1))
-        pool = np.append(pool, np.uint32(end_id))
-        units = np.insert(units, edges[1:], len(begins) - 1)
+        pool, sizes = np.append(pool, np.uint32(end_id)), np.append(sizes, np.int32(1))
+        units = np.insert(at, edges[1:], len(sizes) - 1)
         edges = edges + np.arange(len(edges))
-    lengths = sizes[units]
-    ends = np.zeros(len(lengths) + 1, np.int32)
+    got, lengths = _gathered(pool, (np.cumsum(sizes, dtype=np.int32) - sizes)[units], sizes[units])
+    ends = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=ends[1:])
-    at = np.repeat(begins[units] - ends[:-1], lengths)
-    at += np.arange(ends[-1], dtype=np.int32)
-    return ends[edges].astype(np.int64), pool[at]
+    return ends[edges], got
+
+
+def _gathered(pool: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of the pool one after another, and their lengths; far fewer than 2**31 entries in all."""
+    ends = np.cumsum(lengths, dtype=np.int32)
+    at = np.repeat(begins - (ends - lengths), lengths)
+    at += np.arange(len(at), dtype=np.int32)
+    return pool[at], lengths
 
 
 def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
