@@ -175,6 +175,55 @@ def multi_length_motifs(series: DataFrame, lengths: list[int], n: int, ratio: fl
     return by_series(found.select("series_id", "m", "label", "start", "end", "cost"), ["m", "label", "start"], run, FOUND)
 
 
+def seeded_motifs(series: DataFrame, lengths: list[int], n: int, ratio: float = 3.0, name: str = "znorm", paired: bool = False) -> DataFrame:
+    """Over all lengths at once, again and again the free window nearest to another by distance per root of length,
+    with the windows within ratio times that distance, none overlapping it or one another; longer ones first among
+    equals. paired seeds each motif by both windows of that pair, which must both be free, and takes the lesser
+    distance to either. Taken stretches are masked for windows of every length."""
+    d = DISTANCES[name]
+
+    def pick(_: int, own: dict[str, np.ndarray]) -> list[tuple]:
+        xs = own["x"][own["of"] == 0]
+        windows = {m: np.lib.stride_tricks.sliding_window_view(xs, m) for m in lengths if len(xs) >= m}
+        free = {m: np.ones(len(w), bool) for m, w in windows.items()}
+        at = {m: np.arange(len(w)) for m, w in windows.items()}
+        nearest = sorted(
+            (dist / m**0.5, -m, i, j, dist)
+            for m in windows
+            for i, j, dist in zip(*(own[c][own["of"] == m].tolist() for c in ("i", "j", "x")), strict=True)
+        )
+        rows: list[tuple] = []
+        label = 0
+        for _cost, minus, i, j, least in nearest:
+            m = -minus
+            if label == n:
+                break
+            if not free[m][i] or paired and not free[m][j]:
+                continue
+            seeds = [i, j] if paired else [i]
+            dist = np.minimum.reduce([_row(d, windows[m], p, m) for p in seeds])
+            open_ = free[m].copy()
+            for p in seeds:
+                open_ &= np.abs(at[m] - p) >= m
+            reach = max(ratio * least, np.nextafter(least, np.inf))
+            members = [*seeds, *within(dist, at[m], i, m, reach, open_)]
+            if len(members) < 2:  # its nearest is taken and nothing else is near
+                continue
+            rows += [(label, p, p + m) for p in members]
+            for p in members:
+                for length, mask in free.items():
+                    mask[max(0, p - length + 1) : p + m] = False
+            label += 1
+        return rows
+
+    best = None
+    for m in lengths:
+        one = profile.profile(series, m, name, 9).select("series_id", F.lit(m).alias("of"), "i", "j", F.col("dist").alias("x"))
+        best = one if best is None else best.union(one)
+    samples = series.select("series_id", F.lit(0).alias("of"), F.col("idx").alias("i"), F.lit(-1).cast("long").alias("j"), F.col("value").alias("x"))
+    return by_series(samples.union(best), ["of", "i"], pick, FOUND)
+
+
 def latent_motifs(series: DataFrame, m: int, n: int, radius: float, alpha: float = 1.0, rate: float = 0.1, rounds: int = 100, seed: int = 0, starts: int = 1) -> DataFrame:
     """n learned shapes, by ascent of soft frequency (the mean of exp(-alpha * d / radius) over windows, d squared
     distances of unit windows) minus a penalty for shapes nearer than 2 * radius, the best of so many starts; members

@@ -16,28 +16,26 @@ def islands(points: DataFrame) -> DataFrame:
     return runs.groupBy("series_id", "label", "run").agg(F.min("idx").alias("start"), (F.max("idx") + 1).alias("end")).drop("run")
 
 
-def paint(nodes: DataFrame, m: int) -> DataFrame:
+def paint(nodes: DataFrame, m: int, parity: bool = False) -> DataFrame:
     """(series_id, label, start, end, birth) from (series_id, label, node, birth): windows claim their samples in order
     of birth unless another run of windows has one of them; runs are windows of one label without a gap. What a run
-    has claimed is an occurrence. Kernel: the order decides."""
+    has claimed is an occurrence. parity counts as published code does: a label's first run is one with the last run
+    of the label before, so those two may overlap, and occurrences are what a label has claimed, a sample shorter at
+    either end. Kernel: the order decides."""
 
     def run(_: int, part: dict[str, np.ndarray]) -> list[tuple]:
         labels, nodes_, births = (part[c] for c in ("label", "node", "birth"))
-        runs = np.cumsum(np.concatenate(([True], (labels[1:] != labels[:-1]) | (nodes_[1:] != nodes_[:-1] + 1))))
+        same, broken = labels[1:] == labels[:-1], nodes_[1:] != nodes_[:-1] + 1
+        runs = np.cumsum(np.concatenate(([True], same & broken if parity else ~same | broken)))
         order = np.lexsort((labels, nodes_, births))
         owner: dict[int, int] = {}
-        ends: dict[int, list] = {}
+        ends: dict[tuple, list] = {}
         for label, node, birth, own in zip(labels[order].tolist(), nodes_[order].tolist(), births[order].tolist(), runs[order].tolist(), strict=True):
             cells = range(node, node + m)
             if all(owner.get(c, own) == own for c in cells):
                 owner.update(dict.fromkeys(cells, own))
-                for stretch in ends.setdefault(own, []):
-                    if stretch[1] <= node + m and node <= stretch[2]:
-                        stretch[1:4] = min(stretch[1], node), max(stretch[2], node + m), min(stretch[3], birth)
-                        break
-                else:
-                    ends[own].append([label, node, node + m, birth])
-        return [tuple(s) for own in ends.values() for s in merged(own)]
+                ends.setdefault((label, None if parity else own), []).append([label, node, node + m - parity, birth])
+        return [(s[0], s[1] + parity, *s[2:]) for own in ends.values() for s in merged(own)]
 
     def merged(stretches: list[list]) -> list[list]:
         out: list[list] = []
@@ -51,6 +49,33 @@ def paint(nodes: DataFrame, m: int) -> DataFrame:
     return by_series(nodes.select("series_id", "label", "node", "birth"), ["label", "node"], run, "label long, start long, end long, birth double")
 
 
+def extended(nodes: DataFrame, m: int, least: int | None = None) -> DataFrame:
+    """(series_id, label, start, end, birth): runs of windows of a label, each with the smallest birth of its windows,
+    reaching on by a window but not into the next run. From the latest birth to the earliest a run goes if it, or what
+    lies between the start of the run before and its own, is shorter than least (m if not given). Kernel: the order decides."""
+    order = Window.partitionBy("series_id", "label").orderBy("node")
+    runs = nodes.withColumn("run", F.col("node") - F.row_number().over(order))
+    runs = runs.groupBy("series_id", "label", "run").agg(F.min("node").alias("start"), F.max("node").alias("last"), F.min("birth").alias("birth"))
+    shortest = m if least is None else least
+
+    def run(_: int, part: dict[str, np.ndarray]) -> list[tuple]:
+        starts, lasts, births, labels = (part[c] for c in ("start", "last", "birth", "label"))
+        n = len(starts)
+        # The runs still there as a list linked both ways; place n stands for either end.
+        after, before = [*range(1, n + 1), 0], [n, *range(n)]
+        ends: dict[int, int] = {}
+        for k in np.lexsort((starts, labels, -births)).tolist():
+            left, right = before[k], after[k]
+            end = min(int(lasts[k]) + m, int(starts[right]) if right < n else np.iinfo(np.int64).max)
+            if end - starts[k] >= shortest and (left == n or starts[k] - starts[left] >= shortest):
+                ends[k] = end
+            else:
+                after[left], before[right] = right, left
+        return [(int(labels[k]), int(starts[k]), end, float(births[k])) for k, end in sorted(ends.items())]
+
+    return by_series(runs.select("series_id", "label", "start", "last", "birth"), ["start", "label"], run, "label long, start long, end long, birth double")
+
+
 def without_singletons(found: DataFrame) -> DataFrame:
     """Labels with more than one occurrence."""
     own = Window.partitionBy("series_id", "label")

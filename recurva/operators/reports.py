@@ -46,6 +46,37 @@ def mean_ranks(scores: DataFrame, by: list[str], name: str) -> DataFrame:
     return ranked.groupBy(name).agg(F.avg("rank").alias("mean_rank"))
 
 
+def friedman(scores: DataFrame, by: list[str], name: str) -> DataFrame:
+    """One row: groups (those with a score of every name), names and the chi-square of their mean ranks' spread."""
+    ranks = _complete(scores, by, name)
+    one = ranks.groupBy(name).agg(F.avg("rank").alias("mean_rank"), F.count("*").alias("groups"))
+    k = F.count("*")
+    spread = F.sum(F.pow(F.col("mean_rank"), F.lit(2))) - k * F.pow(k + 1, F.lit(2)) / 4
+    return one.agg(F.max("groups").alias("groups"), k.alias("names"), (12 * F.max("groups") / (k * (k + 1)) * spread).alias("chi_square")).where("names > 1")
+
+
+def rank_differences(scores: DataFrame, by: list[str], name: str) -> DataFrame:
+    """(better, worse, difference, z): for each two names how far their mean ranks are apart, and that in standard errors."""
+    ranks = _complete(scores, by, name)
+    each = ranks.groupBy(name).agg(F.avg("rank").alias("mean_rank"), F.count("*").alias("groups"))
+    # A row per name: a short list.
+    row = each.agg(F.array_sort(F.collect_list(F.struct("mean_rank", name))).alias("all"), F.max("groups").alias("groups"))
+    row = row.select("all", "groups", F.size("all").alias("k"), F.posexplode("all").alias("place", "own"))
+    row = row.select("groups", "k", "own", F.explode(F.slice("all", F.col("place") + 2, F.col("k"))).alias("other"))
+    gap = F.col("other.mean_rank") - F.col("own.mean_rank")
+    error = F.sqrt(F.col("k") * (F.col("k") + 1) / (6 * F.col("groups")))
+    return row.select(F.col(f"own.{name}").alias("better"), F.col(f"other.{name}").alias("worse"), gap.alias("difference"), (gap / error).alias("z"))
+
+
+def _complete(scores: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Scores with their rank, the highest first, ties sharing their mean rank, of groups that have every name."""
+    names = scores.select(F.count_distinct(name).alias("names"))  # one row
+    whole = Window.partitionBy(*by)
+    own, same = whole.orderBy(F.desc("score")), Window.partitionBy(*by, "score")
+    ranked = scores.withColumn("rank", F.rank().over(own) + (F.count("*").over(same) - 1) / 2).withColumn("n", F.count("*").over(whole))
+    return ranked.join(F.broadcast(names)).where("n = names").drop("n", "names")
+
+
 def count_error(scores: DataFrame, by: list[str]) -> DataFrame:
     """Mean absolute difference of predicted and true numbers of motifs (n_patterns, predicted_n_patterns)."""
     return scores.groupBy(*by).agg(F.avg(F.abs(F.col("predicted_n_patterns") - F.col("n_patterns"))).alias("error"))

@@ -105,15 +105,23 @@ def _found(s: DataFrame) -> DataFrame:
     return occurrences.islands(three.join(mean, "series_id").where("value > mean").select("series_id", (F.floor(F.col("idx") / 10) % 2).alias("label"), "idx"))
 
 
+def _grouped(s: DataFrame) -> DataFrame:
+    """Windows of the profile with a distance below 1, labelled by the tens of their place."""
+    return _profile(s).where("dist < 1").select("series_id", (F.floor(F.col("i") / 10) % 3).alias("label"), F.col("i").alias("node"), F.col("dist").alias("birth"))
+
+
 on_events("islands", sql.TRUTH, _truth)
 on_events("similar_length", sql.similar_length(), lambda s: occurrences.similar_length(_truth(s)))
 on_events("drop_singletons", sql.drop_singletons(), lambda s: occurrences.without_singletons(_truth(s)))
 on_events("motif_occurrences", None, lambda s: motifs.persistent_motifs(s, M))
 on_events("motif_occurrences_fixed", None, lambda s: motifs.persistent_motifs(s, M, n=3))
+on_events("extended_runs", sql.extended_runs(), lambda s: occurrences.extended(_grouped(s), M, 1))
 on_events("radius_rank", sql.radius_rank(), lambda s: motifs.radius_counts(s, M, RADIUS))
 on_events("radius_motifs", None, lambda s: motifs.radius_motifs(s, M, RADIUS, 3))
 on_events("mp_motifs", None, lambda s: motifs.profile_motifs(s, M, 3, 1.2))
 on_events("multi_length_motifs", None, lambda s: motifs.multi_length_motifs(s, LENGTHS, 3, 1.2))
+on_events("pan_motifs", None, lambda s: motifs.seeded_motifs(s, LENGTHS, 3, 1.2))
+on_events("pair_motifs", None, lambda s: motifs.seeded_motifs(s, LENGTHS, 3, 1.2, paired=True))
 on_events("latent_motifs", None, lambda s: motifs.latent_motifs(s, M, 3, 0.5))
 on_events("grammar_motifs", None, lambda s: symbolic.grammar_motifs(s, M, 4, 3, 3))
 on_events("paa", sql.paa(), lambda s: symbolic.paa(s, M, 4).select("series_id", "i", *(F.col("means")[k].alias(f"p{k}") for k in range(4))))
@@ -201,6 +209,9 @@ query("relative_error", sql.scores("error"))(lambda spark, d: _rounded(reports.r
 query("quartiles", sql.scores("quartiles"))(lambda spark, d: _rounded(reports.quartiles(_scores(spark, d), ["dataset", "algorithm"])))
 query("mean_ranks", sql.scores("ranks"))(lambda spark, d: _rounded(reports.mean_ranks(_means(spark, d), ["dataset", "setting"], "algorithm")))
 
+query("friedman", sql.scores("friedman"))(lambda spark, d: _rounded(reports.friedman(_means(spark, d), ["dataset", "setting"], "algorithm")))
+query("rank_differences", sql.scores("differences"))(lambda spark, d: _rounded(reports.rank_differences(_means(spark, d), ["dataset", "setting"], "algorithm")))
+
 
 @query("score_zero_fill", sql.scores("zero"))
 def score_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:

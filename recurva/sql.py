@@ -214,6 +214,12 @@ FOUND = _islands(
 )
 
 
+def extended_runs(m: int = 8) -> str:
+    return f"""WITH r AS (SELECT *, i - row_number() OVER (PARTITION BY series_id, label ORDER BY i) AS run FROM (SELECT series_id, (i // 10) % 3 AS label, i, dist FROM ({_PROFILE}) WHERE dist < 1)),
+g AS (SELECT series_id, label, min(i) AS start, max(i) + {m} AS stop, min(dist) AS birth FROM r GROUP BY series_id, label, run)
+SELECT series_id, label, start, least(stop, coalesce(lead(start) OVER (PARTITION BY series_id ORDER BY start), stop)) AS "end", birth FROM g"""
+
+
 def similar_length() -> str:
     return f"WITH t AS ({TRUTH}), m AS (SELECT series_id, label, median(\"end\" - start) AS mid FROM t GROUP BY ALL) SELECT t.* FROM t JOIN m USING (series_id, label) WHERE abs(\"end\" - start - mid) <= 0.25 * mid"
 
@@ -315,6 +321,8 @@ SELECT series_id, label, idx - start AS "at", round(sum(value) / n, 6) AS mean F
 def scores(what: str) -> str:
     raw = "SELECT event_type AS dataset, 'a' || (user_id % 3) AS algorithm, user_id % 5 AS setting, value AS score FROM events WHERE value IS NOT NULL"
     mean = f"SELECT dataset, algorithm, setting, round(avg(score), 6) AS score FROM ({raw}) GROUP BY ALL"
+    ranked = f"""SELECT algorithm, avg(r) AS mean_rank, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY dataset, setting ORDER BY score DESC) + (count(*) OVER (PARTITION BY dataset, setting, score) - 1) / 2 AS r,
+count(*) OVER (PARTITION BY dataset, setting) AS k FROM ({mean})) WHERE k = (SELECT count(DISTINCT algorithm) FROM ({mean})) GROUP BY 1"""
     return {
         "mean": mean,
         "pivot": f"SELECT dataset, setting, {', '.join(f'''round(avg(score) FILTER (algorithm = 'a{k}'), 6) AS a{k}''' for k in range(3))} FROM ({mean}) GROUP BY ALL",
@@ -322,5 +330,7 @@ def scores(what: str) -> str:
         "error": f"SELECT dataset, algorithm, setting, round(abs(score - last) / abs(last), 6) AS error FROM (SELECT *, last_value(score) OVER (PARTITION BY dataset, algorithm ORDER BY setting ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM ({mean})) WHERE last <> 0",
         "quartiles": f"SELECT dataset, algorithm, {', '.join(f'round(quantile_cont(score, {q}), 6) AS {n}' for n, q in (('q1', 0.25), ('q2', 0.5), ('q3', 0.75)))} FROM ({raw}) GROUP BY ALL",
         "ranks": f"SELECT algorithm, round(avg(r), 6) AS mean_rank FROM (SELECT algorithm, rank() OVER (PARTITION BY dataset, setting ORDER BY score DESC) + (count(*) OVER (PARTITION BY dataset, setting, score) - 1) / 2 AS r FROM ({mean})) GROUP BY 1",
+        "friedman": f"SELECT max(n) AS groups, count(*) AS names, round(12 * max(n) / (count(*) * (count(*) + 1)) * (sum(mean_rank * mean_rank) - count(*) * (count(*) + 1) * (count(*) + 1) / 4), 6) AS chi_square FROM ({ranked})",
+        "differences": f"WITH r AS ({ranked}), c AS (SELECT count(*) AS k, max(n) AS n FROM r) SELECT a.algorithm AS better, b.algorithm AS worse, round(b.mean_rank - a.mean_rank, 6) AS difference, round((b.mean_rank - a.mean_rank) / sqrt(k * (k + 1) / (6 * c.n)), 6) AS z FROM r a JOIN r b ON (a.mean_rank, a.algorithm) < (b.mean_rank, b.algorithm) CROSS JOIN c",
         "zero": f"WITH m AS ({mean}) SELECT dataset, setting, algorithm, coalesce(score, 0) AS score FROM (SELECT DISTINCT dataset, setting FROM m) CROSS JOIN (SELECT DISTINCT algorithm FROM m) LEFT JOIN m USING (dataset, setting, algorithm)",
     }[what]

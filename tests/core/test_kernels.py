@@ -203,3 +203,83 @@ def test_runs_are_scored_and_failures_kept(spark, tmp_path):
     guide = spark.createDataFrame([(10, 1.0), (10, 3.0), (20, 5.0)], "length int, time double")
     assert sorted(map(tuple, reports.quadratic_guide(guide, "length", "time").collect())) == [(10, 2.0), (20, 8.0)]
     assert [tuple(r) for r in reports.renamed(guide.selectExpr("'a' AS x", "time"), "x", {"a": "A"}, ["B", "A"]).limit(1).collect()] == [("A", 1.0, 2)]
+
+
+NODES = "series_id long, label long, node long, birth double"
+
+
+def test_painting_as_published(spark):
+    # Label 1's first run is one with label 0's last, so both may claim sample 12.
+    nodes = spark.createDataFrame([(0, 0, 0, 0.1), (0, 0, 9, 0.2), (0, 1, 12, 0.3), (0, 1, 13, 0.4), (0, 1, 30, 0.5)], NODES)
+    assert sorted(tuple(r)[1:] for r in occurrences.paint(nodes, 4, parity=True).collect()) == [(0, 1, 3, 0.1), (0, 10, 12, 0.2), (1, 13, 16, 0.3), (1, 31, 33, 0.5)]
+    assert sorted(tuple(r)[1:4] for r in occurrences.paint(nodes, 4).collect()) == [(0, 0, 4), (0, 9, 13), (1, 13, 17), (1, 30, 34)]
+
+
+def test_runs_reach_on(spark):
+    rows = [(0, int(k), int(n), float(b)) for n, k, b in zip(range(0, 300), DRAW.integers(0, 3, 300), DRAW.permutation(300)) if DRAW.random() < 0.5]
+    for least in (1, 4, 9):
+        runs = {}
+        for label in range(3):
+            for _, k, n, b in [r for r in rows if r[1] == label]:
+                start = next((s for s in runs if runs[s][0] == label and runs[s][1] == n - 1), n)
+                old = runs.get(start, (label, n, np.inf))
+                runs[start] = (label, n, min(b, old[2]))
+        kept, want = set(runs), []
+        for start in sorted(runs, key=lambda s: -runs[s][2]):
+            end = min([runs[start][1] + 9, *(s for s in kept if s > start)])
+            before = max((s for s in kept if s < start), default=-np.inf)
+            if end - start >= least and start - before >= least:
+                want.append((runs[start][0], start, end, runs[start][2]))
+            else:
+                kept.remove(start)
+        assert sorted(tuple(r)[1:] for r in occurrences.extended(spark.createDataFrame(rows, NODES), 9, least).collect()) == sorted(want)
+
+
+def test_motifs_over_all_lengths(spark):
+    xs = DRAW.normal(size=160).cumsum()
+    s = series(spark, xs, [1.0] * 40)
+    lengths, ratio = [6, 9, 14], 1.5
+
+    def distance(m, i, j):
+        a, b = (xs[k : k + m] - xs[k : k + m].mean() for k in (i, j))
+        return round(float(np.linalg.norm(a / a.std() - b / b.std())), 9)
+
+    for paired in (False, True):
+        used, want = set(), []
+        free = lambda i, m: not used & set(range(i, i + m))
+        near = {(m, i): min((distance(m, i, j), j) for j in range(len(xs) - m + 1) if abs(i - j) >= m) for m in lengths for i in range(len(xs) - m + 1)}
+        for (m, i), (d, j) in sorted(near.items(), key=lambda x: (x[1][0] / x[0][0] ** 0.5, -x[0][0], x[0][1])):
+            if len({w[0] for w in want}) == 4 or not free(i, m) or paired and not free(j, m):
+                continue
+            own = [i, j] if paired else [i]
+            close = sorted((min(distance(m, p, q) for p in own[: 1 + paired]), q) for q in range(len(xs) - m + 1) if free(q, m) and all(abs(p - q) >= m for p in own))
+            for c, q in close:
+                if c < ratio * d and all(abs(q - p) >= m for p in own):
+                    own.append(q)
+            if len(own) > 1:
+                label = len({w[0] for w in want})
+                want += [(label, p, p + m) for p in own]
+                used |= {x for p in own for x in range(p, p + m)}
+        got = motifs.seeded_motifs(s, lengths, 4, ratio, "znorm", paired).collect()
+        assert sorted(tuple(r)[1:] for r in got) == sorted(want) and {r["series_id"] for r in got} == {0}
+
+
+def test_planted_patterns(spark):
+    xs, ys = np.linspace(0, 1, 7), DRAW.normal(size=7)
+    assert synth.spline(xs, ys)(xs) == pytest.approx(ys)
+    t = np.linspace(0, 1, 50)
+    assert synth.spline(xs, 2 * xs**3 - xs)(t) == pytest.approx(2 * t**3 - t) and synth.spline(xs[:3], xs[:3] ** 2)(t) == pytest.approx(t**2)
+    s, truth = synth.planted(spark, 5, n_motifs=2, novelties=3, kind="cubic", amplitude=(2.0, 3.0), swell=0.2, stretch=0.3, gap_stretch=0.5, noise=0.0, seed=4)
+    times = {(r["series_id"], r["label"]): r["count"] for r in truth.groupBy("series_id", "label").count().collect()}
+    assert len(times) == 25 and all((n == 1) == (label >= 2) for (_, label), n in times.items())
+    flat = s.join(truth, "series_id").where("idx >= start AND idx < end").groupBy("series_id", "label", "start").agg(F.max(F.abs("value")).alias("most"))
+    assert flat.where("most < 0.01").isEmpty()
+
+
+def test_ranks_of_complete_groups(spark):
+    rows = [("x", "a", 3.0), ("x", "b", 2.0), ("x", "c", 1.0), ("y", "a", 2.0), ("y", "b", 2.0), ("y", "c", 1.0), ("z", "a", 1.0)]
+    t = spark.createDataFrame(rows, "dataset string, algorithm string, score double")
+    assert tuple(reports.friedman(t, ["dataset"], "algorithm").first()) == pytest.approx((2, 3, 12 * 2 / 12 * (1.25**2 + 1.75**2 + 9 - 12)))
+    got = {(r["better"], r["worse"]): (r["difference"], r["z"]) for r in reports.rank_differences(t, ["dataset"], "algorithm").collect()}
+    assert got[("a", "c")] == pytest.approx((1.75, 1.75)) and len(got) == 3
+    assert reports.friedman(t.limit(0), ["dataset"], "algorithm").isEmpty() and reports.rank_differences(t.limit(0), ["dataset"], "algorithm").isEmpty()
