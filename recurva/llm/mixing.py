@@ -6,9 +6,13 @@ counts of documents by exact size: every size takes its share rounded down, sing
 and a bounded-knapsack programme over the counts left meets the last words exactly where some subset does. Which
 documents of a size are taken follows a seeded hash of their ids, so reruns agree.
 
+The programme spans SPAN words. Where rounding leaves more, single documents whose size fits fill it down to that
+first, in order of how much their size was rounded by; another choice of those might meet the target more closely.
+
 Defined results: a null text has size 0; documents of size 0 are never taken; a null source is a source of its
-own, the last; repeated rows count and are taken like any other; an empty table gives an empty result; other
-columns are left behind.
+own, the last; repeated rows count and are taken like any other; very long texts are counted whole, and one larger than
+what remains of its source's target is not taken once more; documents of equal hash are taken by doc_id; an empty
+table gives an empty result; other columns are left behind.
 """
 
 from __future__ import annotations

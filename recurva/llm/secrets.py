@@ -5,8 +5,9 @@ only pairs of blob and rule version that it lacks are scanned, and findings are
 that text. All of it is DataFrame functions. When few blobs are new, their ids are few, so Spark ships them to the
 scan by its own size check and old texts do not move.
 
-Defined results: a null text is empty; null doc_ids and repeated rows are kept, one result row each; an empty table
-gives an empty result; other columns are left behind.
+Defined results: a null text is empty; null doc_ids and repeated rows are kept, one result row each; very long texts
+are read whole, by one pass per rule; spans that start alike come in the order of the rules; an empty table gives an
+empty result; other columns are left behind.
 """
 
 from __future__ import annotations

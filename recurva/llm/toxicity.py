@@ -6,7 +6,11 @@ vector serves all ordered thresholds t_1 < t_2 < ..., and the expected severity
 The labels say toxic or not; among the toxic, the values of its telling features together set the grade, in thirds.
 The model is fitted on a bounded sample of labelled documents (SAMPLE of each class) and scores every whole text.
 
-Defined results: a null or empty text scores by the thresholds alone; null doc_ids and repeated rows are kept, one
+The model keeps of the sample's features those that tell most (KEPT, LEAST_TELLING, and five toxic documents at
+least), equally telling ones by their hash; all other words count in a text's length alone.
+
+Defined results: a null or empty text scores by the thresholds alone; very long texts are read whole, a piece at a
+time; null doc_ids and repeated rows are kept, one
 result row each; without labels of both classes nothing is toxic; labels that are null, or that contradict each
 other for one doc_id, are left out; an empty table gives an empty result.
 """
