@@ -4,8 +4,8 @@ Every document is tokenized once. Full windows of a long document are sequences
 document, always less than a window, is packed with others. Rests whose documents have the same most telling id
 (rarest under a fixed weighted draw) come to stand next to each other, in shards of bounded size; a hot id spreads
 over as many shards as it needs. Each shard holds a BM25 inverted index with document frequencies of the whole
-corpus. A seed's best unused neighbours fill its window, best first, as long as any shares a query term; only then
-follow others in the shard's order. What does not fit stays for later windows, and what the last window of a shard
+corpus. All terms of a seed but the end id are its query. Its best unused neighbours fill its window, best first, as long as
+any shares a term; only then follow others in the shard's order. What does not fit stays for later windows, and what the last window of a shard
 lacks comes from the next shard. What is left at the end of a partition goes into windows whose lengths are powers
 of two, so nothing is padded.
 
@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recurva.llm.common import staged, texts_of
-from recurva.llm.tokens import encode, slices
+from recurva.llm.tokens import END_ID, encode, slices
 
 K1, B = 0.9, 0.4
 #: Ids in a shard: the index of one shard stays within some tens of MB.
 SHARD_IDS = 1_000_000
-#: A seed's query: so many of its terms, those that weigh most.
-QUERY_TERMS = 24
+#: Cells of a shard's dense lists: the commonest terms' postings are kept as one row of all documents each.
+DENSE = 1 << 21
 #: Neighbours ranked at first; if all of them leave room, all others that share a query term are ranked as well.
 FIRST = 32
 
@@ -75,17 +75,28 @@ class Shard:
         norm = K1 * (1 - B + B * lengths / mean_length)
         self.weight = (idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
         self.begin = np.searchsorted(self.term, np.arange(len(idf) + 1))
-        self.by_doc = np.argsort(self.doc, kind="stable")
-        self.doc_begin = np.searchsorted(self.doc[self.by_doc], np.arange(len(docs) + 1))
+        # Short lists are read entry by entry; the longest ones, most of all entries, are added up row by row.
+        lists = np.diff(self.begin)
+        self.row = np.full(len(lists), -1)
+        common = np.argsort(-lists, kind="stable")[: DENSE // len(docs)]
+        common = common[lists[common] > 0]
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(docs)), np.float32)
+        entries = self.row[self.term] >= 0
+        self.dense[self.row[self.term[entries]], self.doc[entries]] = self.weight[entries]
+        self.ids = [d[2] for d in docs]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents by falling score, ties to the earlier one; those sharing no query term are left out."""
-        own = self.by_doc[self.doc_begin[seed] : self.doc_begin[seed + 1]]
-        terms = self.term[own[np.argsort(-self.weight[own], kind="stable")[:QUERY_TERMS]]]
-        score = np.zeros(len(self.lengths))
-        for t in terms.tolist():
-            i, j = self.begin[t], self.begin[t + 1]
-            score[self.doc[i:j]] += self.weight[i:j]
+        terms = np.unique(self.ids[seed])
+        terms = terms[terms != END_ID]
+        rows = self.row[terms]
+        score = self.dense[rows[rows >= 0]].sum(axis=0, dtype=np.float32)
+        rare = terms[rows < 0]
+        if len(rare):
+            begins, sizes = self.begin[rare], self.begin[rare + 1] - self.begin[rare]
+            at = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            score = score + np.bincount(self.doc[at], self.weight[at], minlength=len(score))
         score[~unused] = 0
         score[seed] = 0
         found = np.flatnonzero(score)

@@ -198,6 +198,35 @@ def test_retrieval_prefers_related_documents():
     assert np.mean([len({i % 4 for i, _, _ in w}) for w in windows]) < 1.6
 
 
+def test_neighbours_against_brute_force(monkeypatch):
+    """Whole queries: every unused document that shares an id other than the end id, by falling BM25 score."""
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    ids = [np.append(draw.zipf(1.3, draw.integers(1, 120)) % 300 + 2, 1).astype("<u4") for _ in range(90)]
+    ids += [ids[3], ids[3], np.array([1], "<u4"), np.full(50, 7, "<u4")]
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=302)
+    idf, mean = np.log1p((len(ids) - df + 0.5) / (df + 0.5)), np.mean([len(x) for x in ids])
+    counts = [Counter(x.tolist()) for x in ids]
+
+    def score(seed, other):
+        norm = packing.K1 * (1 - packing.B + packing.B * len(ids[other]) / mean)
+        shared = (set(counts[seed]) & set(counts[other])) - {1}
+        return sum(idf[t] * counts[other][t] * (packing.K1 + 1) / (counts[other][t] + norm) for t in shared)
+
+    unused = draw.random(len(ids)) < 0.8
+    for cells in (0, 40 * len(ids), 1 << 21):  # every list entry by entry, some row by row, all of them
+        monkeypatch.setattr(packing, "DENSE", cells)
+        index = packing.Shard([(i, 0, x, len(x)) for i, x in enumerate(ids)], idf, mean)
+        for seed in range(len(ids)):
+            want = {i: s for i in range(len(ids)) if unused[i] and i != seed and (s := score(seed, i)) > 0}
+            got = list(index.neighbours(seed, unused))
+            assert sorted(got) == sorted(want)
+            scores = np.array([want[i] for i in got])
+            assert (np.diff(scores) <= 1e-4).all()
+            assert all(a < b for a, b in zip(got, got[1:]) if ids[a].tobytes() == ids[b].tobytes() and abs(want[a] - want[b]) == 0)
+
+
 def test_mixing(docs):
     out = mixing.mix(docs).collect()
     texts = [(r["doc_id"], r["source"], len(brute.WORD.findall(r["text"] or ""))) for r in docs.select("doc_id", "source", "text").collect()]
