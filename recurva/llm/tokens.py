@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ class _Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(0)  # every word comes once
         self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.final[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
         self.clear()
@@ -51,8 +53,8 @@ class _Pieces:
     def _add(self, words: list[str]) -> None:
         plain, other = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
         sizes, ids = [np.diff(self.ends, prepend=0)], [self.pool]
-        for at in range(0, len(plain), 500):
-            some = plain[at : at + 500]
+        for at in range(0, len(plain), 100):
+            some = plain[at : at + 100]
             got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.final[got]) + 1
             if len(ends) != len(some) or ends[-1] != len(got):  # not one piece a word after all
@@ -72,8 +74,8 @@ class _Pieces:
 
 
 def _split_tail(words: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """Words of plain letters with , . ; : ! ? | after them, taken apart (the vocabulary does so too); others whole."""
-    core = pc.utf8_rtrim(words, ",.;:!?|")
+    """Words of plain letters with ASCII punctuation after them, taken apart (the vocabulary does so too); others whole."""
+    core = pc.ascii_rtrim(words, string.punctuation)
     plain = pc.match_substring_regex(core, _LETTERS + "$")
     whole = pc.if_else(plain, pc.ascii_lower(core), words)
     return whole, pc.if_else(plain, pc.replace_substring_regex(words, _LETTERS, ""), "")

@@ -320,7 +320,7 @@ def test_ids_equal_the_library_on_random_texts():
     from recurva.llm.tokens import encode
 
     draw = random.Random(7)
-    parts = ["İ", "i̇", "é", "é", "ñ", "ß", "Σ", "ς", "ŉ", "ſ", "क़", "ড়", "ﬁ", "Å", "ǅ", "한", "각", "́", "̇", "़", *",.!?|;:'_-&",
+    parts = ["İ", "i̇", "é", "é", "ñ", "ß", "Σ", "ς", "ŉ", "ſ", "क़", "ড়", "ﬁ", "Å", "ǅ", "한", "각", "́", "̇", "़", *",.!?|;:'_-&*%$#@(){}[]<>/\\^~`+=\"",
              "'s", "’", " ", "  ", "\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", " ", "　", "1", "23", "²", "x", "word", "The", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "😀", "‍", "﻿", "א", "שׁ", "Ö", "Й", "ё", "[UNK]"]
     texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(1, 40))) for _ in range(10_000)]
     bounds, ids = encode(pa.array(texts), VOCABULARY, None)
