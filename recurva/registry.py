@@ -53,7 +53,7 @@ on_events("top_motif_pair", sql.top_pair(), lambda s: profile.top_pair(profile.p
 on_events("top_discords", sql.discords(), lambda s: profile.discords(profile.profile(s, M)))
 on_events("knn_k1", sql.knn_k1(), lambda s: graph.knn_graph(s, M, 1, "trend", digits=6))
 on_events("knn_k2_time", sql.knn_k2(), lambda s: graph.knn_graph(s, M, 2, "trend", "time", digits=6))
-on_events("knn_k3", None, lambda s: graph.knn_graph(s, M, 3, "trend"))
+on_events("knn_k3", sql.knn_k3(), lambda s: graph.knn_graph(s, M, 3, "trend"))
 
 
 def _knn1(s: DataFrame) -> DataFrame:
@@ -65,8 +65,8 @@ on_events("edges_temporal", sql.edges("temporal"), lambda s: graph.temporal_edge
 on_events("filtration_order", sql.filtration(), lambda s: graph.filtration(_knn1(s)))
 on_events("node_births", sql.births(), lambda s: graph.node_births(graph.filtration(_knn1(s))))
 on_events("components_at_t", sql.components(0.6), lambda s: graph.components_at(graph.persistence(graph.filtration(_knn1(s))), 0.6))
-on_events("h0_pairs", None, lambda s: graph.finite(graph.persistence(graph.filtration(graph.knn_graph(s, M, 3)))).select("series_id", "seed", "birth", "death"))
-on_events("mst_edges", None, lambda s: graph.persistence(graph.filtration(graph.knn_graph(s, M, 3))).where("w IS NOT NULL").select("series_id", "u", "v", "w"))
+on_events("h0_pairs", sql.h0_pairs(), lambda s: graph.finite(graph.persistence(graph.filtration(graph.knn_graph(s, M, 3)))).select("series_id", "seed", "birth", "death"))
+on_events("mst_edges", sql.mst_edges(), lambda s: graph.persistence(graph.filtration(graph.knn_graph(s, M, 3))).where("w IS NOT NULL").select("series_id", "u", "v", "w"))
 
 
 def _profile(s: DataFrame) -> DataFrame:
@@ -83,8 +83,8 @@ def _pers(s: DataFrame) -> DataFrame:
     return graph.finite(graph.persistence(graph.filtration(graph.knn_graph(s, M, 3)))).select("series_id", "birth", "death")
 
 
-on_events("split_cuts", None, lambda s: cuts.split_cuts(_pers(s)))
-on_events("split_cuts_skewed", None, lambda s: cuts.split_cuts(_pers(s), "skewed"))
+on_events("split_cuts", sql.split_cuts(), lambda s: cuts.split_cuts(_pers(s)))
+on_events("split_cuts_skewed", sql.split_cuts(skewed=True), lambda s: cuts.split_cuts(_pers(s), "skewed"))
 on_events("outlier_cuts", None, lambda s: cuts.outlier_cuts(_pers(s), 0.9))
 on_events("plane_cuts", None, lambda s: cuts.plane_cuts(_pers(s)))
 on_events("mad_outliers", sql.mad_outliers(), lambda s: cuts.mad_outliers(_profile(s), "dist", 2.0).select("series_id", "i", "dist"))
@@ -141,7 +141,7 @@ on_events("label_event_scores", None, lambda s: metrics.label_event_scores(_trut
 on_events("metric_battery", None, lambda s: metrics.battery(_truth(s), _found(s), s, THRESHOLDS))
 on_events("event_prf_thresholds", None, lambda s: metrics.event_scores(_truth(s), _found(s), THRESHOLDS))
 on_events("auc_over_thresholds", None, lambda s: metrics.threshold_mean(metrics.event_scores(_truth(s), _found(s), [k / 100 for k in range(101)])))
-on_events("adjusted_information", None, lambda s: metrics.adjusted_information(metrics.contingency(_truth(s), _found(s), s)))
+on_events("adjusted_information", sql.adjusted_information(), lambda s: metrics.adjusted_information(metrics.contingency(_truth(s), _found(s), s)))
 
 
 def _lags(s: DataFrame) -> DataFrame:

@@ -135,12 +135,29 @@ two AS (SELECT series_id, i, j, dist FROM (SELECT b.*, row_number() OVER (PARTIT
 SELECT series_id, i, CAST(1 AS INTEGER) AS "rank", j, dist FROM one UNION ALL SELECT series_id, i, CAST(2 AS INTEGER), j, dist FROM two"""
 
 
-_EDGES = f"""n AS ({profile("trend")}),
+def _knn_k3(m: int = 8) -> str:
+    """Each pick takes the m - 1 windows that are left next to it on either side."""
+    steps = [f"b0 AS ({_both('trend', digits=9)})"]
+    for k in range(3):
+        steps.append(f"p{k} AS (SELECT series_id, i, j, dist FROM (SELECT *, row_number() OVER (PARTITION BY series_id, i ORDER BY dist, j) AS r FROM b{k}) WHERE r = 1)")
+        steps.append(f"b{k + 1} AS (SELECT series_id, i, j, dist FROM (SELECT b.*, row_number() OVER (PARTITION BY b.series_id, b.i, b.j < p.j ORDER BY abs(b.j - p.j)) AS far FROM b{k} b JOIN p{k} p USING (series_id, i) WHERE b.j <> p.j) WHERE far >= {m})")
+    return f"WITH {', '.join(steps[:-1])} {' UNION ALL '.join(f'SELECT series_id, i, CAST({k + 1} AS INTEGER) AS rank, j, dist FROM p{k}' for k in range(3))}"
+
+
+def knn_k3() -> str:
+    return f"SELECT series_id, i, \"rank\", j, round(dist, 6) AS dist FROM ({_knn_k3()})"
+
+
+def _edges_of(neighbours: str) -> str:
+    return f"""n AS ({neighbours}), nn AS (SELECT series_id, i, min(dist) AS dist FROM n GROUP BY ALL),
 alike AS (SELECT DISTINCT series_id, least(i, j) AS u, greatest(i, j) AS v, dist AS w FROM n),
-temporal AS (SELECT series_id, u, v, w FROM (SELECT series_id, i AS u, lead(i) OVER o AS v, greatest(dist, lead(dist) OVER o) AS w FROM n WINDOW o AS (PARTITION BY series_id ORDER BY i)) WHERE v IS NOT NULL),
+temporal AS (SELECT series_id, u, v, w FROM (SELECT series_id, i AS u, lead(i) OVER o AS v, greatest(dist, lead(dist) OVER o) AS w FROM nn WINDOW o AS (PARTITION BY series_id ORDER BY i)) WHERE v IS NOT NULL),
 e AS (SELECT *, 'similar' AS kind FROM alike UNION ALL SELECT *, 'temporal' FROM temporal)"""
 
 
+_EDGES = _edges_of(profile("trend"))
+
+
 def edges(kind: str) -> str:
     return f"WITH {_EDGES} SELECT series_id, u, v, w FROM {kind}"
 
@@ -164,6 +181,37 @@ c AS (SELECT series_id, node, min(seen) AS root FROM r GROUP BY ALL)
 SELECT series_id, CAST({t} AS DOUBLE) AS t, count(*) AS nodes, count(DISTINCT root) AS components FROM c GROUP BY series_id"""
 
 
+#: An edge is in the minimum spanning forest if no earlier edges join its ends. A seed dies of the edge that first joins
+#: it with an older node, the largest on its path there; of nodes of equal birth the later one counts as older.
+_FOREST = f"""WITH RECURSIVE {_edges_of(_knn_k3())},
+f AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY w, kind, u, v) AS r FROM e),
+l AS (SELECT series_id, r, u, v FROM f UNION ALL SELECT series_id, r, v, u FROM f),
+reach(series_id, r, goal, node) AS (SELECT series_id, r, v, u FROM f UNION SELECT x.series_id, x.r, x.goal, l.v FROM reach x JOIN l ON l.series_id = x.series_id AND l.u = x.node AND l.r < x.r),
+tree AS (SELECT f.* FROM f ANTI JOIN (SELECT series_id, r FROM reach WHERE node = goal) USING (series_id, r))"""
+_PAIRS = f"""{_FOREST}, b AS ({_BIRTHS}),
+ways AS (SELECT series_id, r, u, v FROM tree UNION ALL SELECT series_id, r, v, u FROM tree),
+path(series_id, seed, node, before, top) AS (SELECT series_id, node, node, CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM b UNION ALL
+SELECT p.series_id, p.seed, t.v, t.u, greatest(p.top, t.r) FROM path p JOIN ways t ON t.series_id = p.series_id AND t.u = p.node AND t.v <> p.before),
+death AS (SELECT p.series_id, p.seed, min(p.top) AS r FROM path p JOIN b s ON s.series_id = p.series_id AND s.node = p.seed JOIN b o ON o.series_id = p.series_id AND o.node = p.node WHERE (o.birth, -o.node) < (s.birth, -s.node) GROUP BY ALL),
+pairs AS (SELECT b.series_id, b.node AS seed, b.birth, coalesce(tree.w, greatest(max(b.birth) OVER y, max(tree.w) OVER y)) AS death FROM b
+LEFT JOIN death ON death.series_id = b.series_id AND death.seed = b.node LEFT JOIN tree ON tree.series_id = b.series_id AND tree.r = death.r WINDOW y AS (PARTITION BY b.series_id))"""
+
+
+def mst_edges() -> str:
+    return f"{_FOREST} SELECT series_id, u, v, round(w, 6) AS w FROM tree"
+
+
+def h0_pairs() -> str:
+    return f"{_PAIRS} SELECT series_id, seed, round(birth, 6) AS birth, round(death, 6) AS death FROM pairs"
+
+
+def split_cuts(skewed: bool = False) -> str:
+    births, lives = _otsu("q", "birth"), _otsu("q", "pers")
+    if skewed:
+        births, lives = (_otsu(f"(SELECT q.* FROM q JOIN ({cuts}) USING (series_id) WHERE {keep})", c) for cuts, keep, c in ((births, "birth < cut", "birth"), (lives, "pers > cut", "pers")))
+    return f"{_PAIRS}, q AS (SELECT *, death - birth AS pers FROM pairs WHERE death - birth > 0) SELECT series_id, round(x.cut, 6) AS b_cut, round(y.cut, 6) AS p_cut FROM ({births}) x JOIN ({lives}) y USING (series_id)"
+
+
 _PROFILE = profile("trend")
 
 
@@ -171,14 +219,18 @@ def ktanh() -> str:
     return f"SELECT series_id, i, round(2 * sqrt(tanh(10.0 * dist * dist) / tanh(40.0)), 6) AS stretched FROM ({_PROFILE})"
 
 
-def otsu(bins: int = 1024) -> str:
-    return f"""WITH p AS ({_PROFILE}),
-a AS (SELECT series_id, CASE WHEN min(dist) = max(dist) THEN min(dist) - 0.5 ELSE min(dist) END AS lo, CASE WHEN min(dist) = max(dist) THEN max(dist) + 0.5 ELSE max(dist) END AS hi, avg(dist) AS mean, count(*) AS n FROM p GROUP BY 1),
-h AS (SELECT series_id, lo, hi, mean, n, least(floor((dist - lo) / ((hi - lo) / {bins})), {bins - 1}) AS bin, count(*) AS c FROM p JOIN a USING (series_id) GROUP BY ALL),
-q AS (SELECT *, lo + bin * ((hi - lo) / {bins}) AS edge, c / n AS share FROM h WHERE bin < {bins - 1}),
-s AS (SELECT *, sum(share) OVER o AS low, sum(share * edge) OVER o AS mass FROM q WINDOW o AS (PARTITION BY series_id ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+def _otsu(table: str, column: str, bins: int = 1024) -> str:
+    return f"""WITH p AS (SELECT series_id, {column} AS x FROM {table}),
+a AS (SELECT series_id, CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo, CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi, avg(x) AS mean, count(*) AS n FROM p GROUP BY 1),
+h AS (SELECT series_id, lo, hi, mean, n, least(floor((x - lo) / ((hi - lo) / {bins})), {bins - 1}) AS bin, count(*) AS c FROM p JOIN a USING (series_id) GROUP BY ALL),
+z AS (SELECT *, lo + bin * ((hi - lo) / {bins}) AS edge, c / n AS share FROM h WHERE bin < {bins - 1}),
+s AS (SELECT *, sum(share) OVER o AS low, sum(share * edge) OVER o AS mass FROM z WINDOW o AS (PARTITION BY series_id ORDER BY bin ROWS UNBOUNDED PRECEDING)),
 g AS (SELECT *, round(CASE WHEN 1 - low > 1e-12 THEN low * (1 - low) * (mass / low - (mean - mass) / (1 - low)) ** 2 ELSE 0 END, 12) AS score FROM s)
-SELECT series_id, round(edge, 6) AS cut FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY score DESC, bin) AS r FROM g) WHERE r = 1"""
+SELECT series_id, edge AS cut FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY score DESC, bin) AS r FROM g) WHERE r = 1"""
+
+
+def otsu() -> str:
+    return f"SELECT series_id, round(cut, 6) AS cut FROM ({_otsu(f'({_PROFILE})', 'dist')})"
 
 
 def gap_cut() -> str:
@@ -274,6 +326,16 @@ def contingency() -> str:
     return f"SELECT series_id, CAST(coalesce(a, 0) AS BIGINT) AS a, CAST(coalesce(b, 0) AS BIGINT) AS b, count(*) AS n FROM ({EVENTS}) LEFT JOIN ({sums.format('a', _points(TRUTH))}) USING (series_id, idx) LEFT JOIN ({sums.format('b', _points(FOUND))}) USING (series_id, idx) GROUP BY ALL"
 
 
+def adjusted_information() -> str:
+    """Chance is the mean over all tables with the same sums: over each pair of sums, all counts it can have."""
+    return f"""WITH c AS ({contingency()}), x AS (SELECT series_id, a, sum(n) AS x FROM c GROUP BY ALL), y AS (SELECT series_id, b, sum(n) AS y FROM c GROUP BY ALL), t AS (SELECT series_id, sum(n) AS t FROM c GROUP BY 1),
+m AS (SELECT series_id, sum(n / t * ln(t * n / (x * y))) AS mutual FROM c JOIN x USING (series_id, a) JOIN y USING (series_id, b) JOIN t USING (series_id) GROUP BY 1),
+h AS (SELECT series_id, sum(-s / t * ln(s / t)) / 2 AS half, count(*) AS sides FROM (SELECT series_id, x AS s FROM x UNION ALL SELECT series_id, y FROM y) JOIN t USING (series_id) GROUP BY 1),
+k AS (SELECT series_id, x, y, t, unnest(range(CAST(greatest(1, x + y - t) AS BIGINT), CAST(least(x, y) + 1 AS BIGINT))) AS k FROM x JOIN y USING (series_id) JOIN t USING (series_id)),
+e AS (SELECT series_id, sum(k / t * ln(t * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(t - x - y + k + 1))) AS chance FROM k GROUP BY 1)
+SELECT series_id, round(CASE WHEN sides = 2 THEN 1 WHEN abs(half - chance) > 1e-15 THEN (mutual - chance) / (half - chance) ELSE 0 END, 6) AS ami FROM m JOIN h USING (series_id) JOIN e USING (series_id)"""
+
+
 def lags(what: str) -> str:
     every = f"""WITH s AS ({EVENTS}),
 c AS (SELECT a.series_id AS a_id, b.series_id AS b_id, a.idx - b.idx AS lag, count(*) AS n, stddev_pop(a.value) AS sx, stddev_pop(b.value) AS sy, covar_pop(a.value, b.value) AS c
