@@ -212,6 +212,13 @@ def split_cuts(skewed: bool = False) -> str:
     return f"{_PAIRS}, q AS (SELECT *, death - birth AS pers FROM pairs WHERE death - birth > 0) SELECT series_id, round(x.cut, 6) AS b_cut, round(y.cut, 6) AS p_cut FROM ({births}) x JOIN ({lives}) y USING (series_id)"
 
 
+def outlier_cuts(t: float = 0.9) -> str:
+    return f"""{_PAIRS}, q AS (SELECT q.series_id, death - birth AS pers, cut AS b_cut FROM pairs q JOIN ({_otsu("pairs", "birth")}) USING (series_id) WHERE birth < cut AND death - birth > 0),
+m AS (SELECT *, lag(pers) OVER (PARTITION BY series_id ORDER BY pers) AS before, avg(pers) OVER (PARTITION BY series_id) AS mean, stddev_pop(pers) OVER (PARTITION BY series_id) AS std FROM q),
+o AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY pers, before NULLS FIRST) AS r FROM m WHERE pers - mean > {NormalDist().inv_cdf(t)!r} * std)
+SELECT series_id, round(b_cut, 6) AS b_cut, round((pers + before) / 2, 6) AS p_cut FROM o WHERE r = 1 AND before IS NOT NULL"""
+
+
 _PROFILE = profile("trend")
 
 
