@@ -57,3 +57,40 @@ r(node, seen) AS (SELECT a, b FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r
 c AS (SELECT node, min(seen) AS least FROM r GROUP BY node)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(c.least, w.doc_id)) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = w.doc_id"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t"
+
+SEARCH = f"""
+WITH q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, {_TERMS} FROM benchmark) GROUP BY ALL),
+d AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, {_TERMS} FROM documents) GROUP BY ALL),
+s AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM d GROUP BY doc_id),
+a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM s),
+m AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // total AS m FROM s, a),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * max(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM d, a GROUP BY t),
+r AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM q JOIN d USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS o FROM r WHERE score > 0)
+SELECT item_id, CAST(o AS INTEGER) AS "rank", doc_id, score FROM o WHERE o <= 20"""
+
+# crc32 by a table made from its polynomial; a letter from U+00C0 on has the bytes 195 and its number less 64.
+SPELLING = rf"""
+WITH RECURSIVE step(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) x(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+u AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS u FROM documents),
+c AS (SELECT doc_id, u, count(*) AS n FROM u WHERE length(u) >= 6 GROUP BY ALL),
+b AS (SELECT doc_id, u, n, flatten(list_transform(string_split(doc_id || ':' || u, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END)) AS b FROM c),
+h AS (SELECT u, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295::BIGINT) AS h FROM b, crc),
+r AS (SELECT CASE WHEN h % 199 = 0 THEN u[1:h % length(u)] || u[h % length(u) + 2:] ELSE u END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM r WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+v AS (SELECT word, n, p, word[1:p - 1] || word[p + 1:] AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w)),
+p AS (SELECT DISTINCT x.word, x.n, y.word AS near, y.n AS near_n FROM v x JOIN v y ON x.v = y.v AND x.p = y.p AND x.word <> y.word
+      UNION SELECT x.word, x.n, y.word, y.n FROM v x JOIN w y ON x.v = y.word
+      UNION SELECT y.word, y.n, x.word, x.n FROM v x JOIN w y ON x.v = y.word),
+f AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM p GROUP BY word),
+l AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n FROM w LEFT JOIN f USING (word)),
+up(word, root) AS (SELECT word, coalesce(form, word) FROM l UNION ALL SELECT up.word, l.form FROM up JOIN l ON up.root = l.word WHERE l.form IS NOT NULL),
+g AS (SELECT up.word, up.root FROM up JOIN l ON up.root = l.word WHERE l.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM l JOIN g USING (word)"""

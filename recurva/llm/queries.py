@@ -90,6 +90,25 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recurva.llm.best_fit import best_fit
+
+    pieces = best_fit(_table(spark, sf_dir, "documents"), _vocabulary())
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recurva.llm.lexical_search import lexical_search
+
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recurva.llm import spelling
+
+    return spelling.variants(spelling.words_of(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_secret_scan": op2_secret_scan,
@@ -101,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_ngram_join": op9_ngram_join,
     "op10_personal_data": op10_personal_data,
+    "op11_best_fit": op11_best_fit,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,4 +130,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_impact_top_k": oracles.TOP_K,
     "op4_int8_neighbours": oracles.NEAREST,
     "op9_ngram_join": oracles.GROUPS,
+    "op12_lexical_search": oracles.SEARCH,
+    "op13_spelling": oracles.SPELLING,
 }
