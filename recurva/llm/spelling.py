@@ -130,7 +130,7 @@ def near_in(words: list[str], rest: np.ndarray, side: np.ndarray, band: int) ->
             i, j = i + at, j + own.start
             if same:
                 i, j = i[i < j], j[i < j]
-            most = max(1, HELD // a.shape[1])
+            most = max(1, HELD // max(1, a.shape[1]))
             for k in range(0, len(i), most):
                 p, q = i[k : k + most], j[k : k + most]
                 right = (_replaced if a.shape[1] == b.shape[1] else _inserted)(a[p], b[q])

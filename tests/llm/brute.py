@@ -96,3 +96,74 @@ def nearest(rows, every, k):
         scored = sorted((float(np.sqrt(((xs[q] - x) ** 2).sum())), i) for i, x in xs.items() if i != q)[:k]
         out += [(q, r, i, s) for r, (s, i) in enumerate(scored, 1)]
     return out
+
+
+def best_fit_decreasing(lengths, window):
+    """The fills of the windows, one by one: the longest first, each into the tightest window that holds it."""
+    rooms = []
+    for length in sorted(lengths, reverse=True):
+        fits = [k for k, room in enumerate(rooms) if room >= length]
+        if fits:
+            rooms[min(fits, key=lambda k: rooms[k])] -= length
+        else:
+            rooms.append(window - length)
+    return sorted(window - r for r in rooms)
+
+
+def ranked_search(docs, items, k=20):
+    import math
+    from collections import Counter
+
+    def terms(text):
+        return Counter(re.findall("[0-9A-Za-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")))
+
+    known = [(i, c) for i, t in docs if (c := terms(t))]
+    total = sum(c.total() for _, c in known)
+    df = Counter(t for _, c in known for t in c)
+    out = []
+    for item_id, text in items:
+        scored = []
+        for doc_id, c in known:
+            m = 100 - 25 + (25 * c.total() * len(known)) // total
+            score = sum(n * math.floor(1000 * math.log((2 * len(known) + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 12 * m)) for t, n in terms(text).items() if t in c)
+            if score > 0:
+                scored.append((-score, doc_id is None, doc_id))
+        out += [(item_id, r, doc_id, -s) for r, (s, _, doc_id) in enumerate(sorted(scored, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return out
+
+
+def spelled_words(docs):
+    from collections import Counter
+
+    found = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            found[run] += 1
+    return {w: n for w, n in found.items() if len(w) >= 6 and n >= 5}
+
+
+def variants(n):
+    """(word, form, root, n, n_near, form_n) for words with counts, by trying all pairs."""
+
+    def one_apart(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(a) + 1 == len(b) and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    near = {w: [v for v in n if v != w and abs(len(v) - len(w)) < 2 and one_apart(v, w)] for w in n}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= 5 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] is not None else None))
+    return out
