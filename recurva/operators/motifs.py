@@ -78,22 +78,23 @@ def _row(d, windows: np.ndarray, p: int, m: int) -> np.ndarray:
     return np.where(np.isnan(out), np.inf, np.round(out, 9))
 
 
-def radius_neighbours(series: DataFrame, m: int, radius: float, name: str = "znorm") -> DataFrame:
+def radius_neighbours(series: DataFrame, m: int, radius: float, name: str = "znorm", relative: bool = False, overshoot: bool = False) -> DataFrame:
     """(series_id, i, rank, j, dist): of every window those nearer than radius, nearest first, none overlapping it or
-    one another."""
-    without = graph.outside(m, "time")
+    one another. relative: nearer than radius times its nearest's distance (a window at distance 0 has none then).
+    overshoot: and the next one after them."""
 
     def work(rows: np.ndarray, at: np.ndarray, dist: np.ndarray) -> dict[str, np.ndarray]:
-        dist = np.where(dist < radius, dist, np.inf)
-        return profile.chosen(rows, at, dist, -(-len(at) // m), without)
+        least = dist.min(axis=1) if relative else 1.0
+        return profile.within(rows, at, dist, radius * np.where(np.isfinite(least), least, 0), m, overshoot)
 
     return profile.scan(series, m, name, work, "i long, rank int, j long, dist double", 9)
 
 
-def radius_motifs(series: DataFrame, m: int, radius: float, n: int, name: str = "znorm") -> DataFrame:
-    """The n windows with most neighbours within radius that lie more than twice the radius apart, with those."""
+def radius_motifs(series: DataFrame, m: int, radius: float, n: int, name: str = "znorm", overshoot: bool = False) -> DataFrame:
+    """The n windows with most neighbours within radius (overshoot: and one more) that lie more than twice the radius
+    apart, with those."""
     d = DISTANCES[name]
-    near = radius_neighbours(series, m, radius, name)
+    near = radius_neighbours(series, m, radius, name, overshoot=overshoot)
     by = near.groupBy("series_id", "i").agg(F.count("*").alias("neighbours"), F.round(F.stddev_pop("dist"), 9).alias("spread"))
 
     def pick(_: int, own: dict[str, np.ndarray]) -> list[tuple]:

@@ -1,10 +1,11 @@
 """Windows of a series against all its others: pairs, profiles (for every window its nearest outside its own zone) and
 nearest neighbours.
 
-A series is cut into tiles of samples. Every task takes the windows of one tile as rows and meets all tiles of the
-series as columns, a bounded block of the distance matrix at a time, and keeps what each row needs. One pass over the
-samples makes the tiles, rows are never merged again, and a task holds the samples of one series at most, never a
-matrix of them; the work of a long series spreads over as many tasks as it has tiles.
+A series is cut into tiles of samples. Every task takes the windows of one tile as rows (of several, in series of more
+than ROW_TILES) and meets all tiles of the series as columns, a bounded block of the distance matrix at a time, one step
+an entry whatever the length of a window, and keeps what each row needs. One pass over the samples makes the tiles,
+rows are never merged again, and a task holds the samples of one whole series, never a matrix of them; the work of
+a long series spreads over as many tasks as it has tiles.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recurva.functions.distance import DISTANCES, Distance, block
+from recurva.functions.distance import DISTANCES, HELD, Crossing
 
-#: Samples of a tile; entries of the distance matrix held at once.
-TILE, HELD = 1_024, 1 << 21
+#: Samples of a tile; tasks that a series is dealt out to at most, so that its samples are sent no more often.
+TILE, ROW_TILES = 1_024, 1_000
 
 #: (places of the rows, places of all windows, their rounded distances, infinite within the own zone) to columns.
 Work = Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]
@@ -31,33 +32,34 @@ def scan(series: DataFrame, m: int, name: str, work: Work, columns: str, digits:
     cut = series.groupBy("series_id", F.floor(F.col("idx") / tile).alias("tile")).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("s"))
     cut = cut.select("series_id", "tile", F.col("s")[0]["idx"].alias("first"), F.transform("s", lambda x: x["value"]).alias("xs"))
     cut = cut.withColumn("last", F.max("tile").over(Window.partitionBy("series_id")))
-    cut = cut.select("series_id", "first", "xs", "tile", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("row"))
+    cut = cut.withColumn("each", F.ceil((F.col("last") + 1) / ROW_TILES))  # tiles a task
+    cut = cut.select("series_id", "first", "xs", "tile", "each", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / F.col("each")))).alias("row"))
     # Short series have one tile and stay where they are; only longer ones are dealt out row by row.
     met = cut.repartition("series_id", "row").sortWithinPartitions("series_id", "row", "tile")
     names = [c.split()[0] for c in columns.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for series_id, row, first, xs in _gathered(batches):
-            if len(xs) < m:
+        for series_id, row, each, first, xs in _gathered(batches):
+            n = len(xs) - m + 1
+            begin, end = (min(n, max(0, k * each * tile - first)) for k in (row, row + 1))
+            if begin >= end:
                 continue
-            windows = np.lib.stride_tricks.sliding_window_view(xs, m)
-            at = np.arange(len(windows)) + first
-            for own, dist in _rows(d, windows, np.flatnonzero(at // tile == row), at, m, digits):
-                made = work(at[own], at, dist)
-                n = len(made[names[0]])
-                if n:
-                    yield pa.record_batch({"series_id": pa.array(np.full(n, series_id)), **{c: pa.array(made[c]) for c in names}})
+            at = np.arange(n) + first
+            for own, dist in Crossing(d, xs, m).rows(begin, end):
+                made = work(at[own], at, dist if digits is None else np.round(dist, digits))
+                if len(made[names[0]]):
+                    yield pa.record_batch({"series_id": pa.array(np.full(len(made[names[0]]), series_id)), **{c: pa.array(made[c]) for c in names}})
 
     return met.mapInArrow(run, f"series_id long, {columns}")
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(series_id, row, first idx, all samples in order) of each series and row tile."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """(series_id, row, tiles a task, first idx, all samples in order) of each series and row."""
     key, first, parts = None, 0, []
     for batch in batches:
-        ids, rows, firsts = (batch.column(c).to_pylist() for c in ("series_id", "row", "first"))
+        ids, rows, each, firsts = (batch.column(c).to_pylist() for c in ("series_id", "row", "each", "first"))
         lists = batch.column("xs")
-        for i, now in enumerate(zip(ids, rows, strict=True)):
+        for i, now in enumerate(zip(ids, rows, each, strict=True)):
             if now != key:
                 if parts:
                     yield *key, first, np.concatenate(parts)
@@ -67,26 +69,6 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int
         yield *key, first, np.concatenate(parts)
 
 
-def _rows(d: Distance, windows: np.ndarray, own: np.ndarray, at: np.ndarray, m: int, digits: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of the distance matrix, so many at once that HELD entries suffice; windows without distances are infinite."""
-    step = max(1, HELD // len(windows))
-    normal = d.np_normal(np.ascontiguousarray(windows)) if windows.size <= HELD else None
-    for begin in range(0, len(own), step):
-        some = own[begin : begin + step]
-        rows = normal[some] if normal is not None else d.np_normal(windows[some])
-        dist = np.empty((len(some), len(windows)))
-        for j in range(0, len(windows), max(m, HELD // m)):
-            columns = slice(j, j + max(m, HELD // m))
-            dist[:, columns] = block(d, rows, normal[columns] if normal is not None else d.np_normal(windows[columns]), m)
-        if digits is not None:
-            dist = np.round(dist, digits)
-        dist[np.isnan(dist)] = np.inf
-        near = np.arange(-m + 1, m) + some[:, None]
-        inside = (near >= 0) & (near < len(windows))
-        dist[np.broadcast_to(np.arange(len(some))[:, None], near.shape)[inside], near[inside]] = np.inf
-        yield some, dist
-
-
 def pairs(series: DataFrame, m: int, name: str, tile: int = TILE) -> DataFrame:
     """(series_id, i, j, dist) with j - i >= m."""
 
@@ -145,6 +127,8 @@ def chosen(rows: np.ndarray, at: np.ndarray, dist: np.ndarray, k: int, without:
         best = dist.argmin(axis=1)
         least = dist[each, best]
         keep = np.isfinite(least)
+        if rank > 1 and not keep.any():
+            break
         parts.append((rows[keep], np.full(keep.sum(), rank, np.int32), at[best][keep], least[keep]))
         left = np.isfinite(dist)
         left[each, best] = False
@@ -152,6 +136,31 @@ def chosen(rows: np.ndarray, at: np.ndarray, dist: np.ndarray, k: int, without:
     return dict(zip(("i", "rank", "j", "dist"), map(np.concatenate, zip(*parts, strict=True)), strict=True))
 
 
+def within(rows: np.ndarray, at: np.ndarray, dist: np.ndarray, radius: float | np.ndarray, m: int, overshoot: bool = False) -> dict[str, np.ndarray]:
+    """Of each row all that are nearer than its radius and overlap neither one another nor those picked before, nearest
+    first. overshoot: after them the nearest of what is left, as published code does, which stops one pick too late.
+    Only what lies within the radius is sorted, and a pick blocks its zone at once."""
+    reach, zone = np.broadcast_to(radius, len(rows)), b"\x01" * (2 * m - 1)
+    parts = []
+    for k in range(len(rows)):
+        near = np.flatnonzero(dist[k] < reach[k])
+        if not len(near):
+            continue
+        blocked, own = bytearray(len(at) + 2 * m), []
+        for p in near[np.argsort(dist[k, near], kind="stable")].tolist():
+            if not blocked[p + m]:
+                own.append(p)
+                blocked[p + 1 : p + 2 * m] = zone
+        if overshoot:
+            left = np.where(np.frombuffer(blocked, np.uint8)[m : m + len(at)] == 0, dist[k], np.inf)
+            if np.isfinite(left.min()):
+                own.append(int(left.argmin()))
+        parts.append((np.full(len(own), rows[k]), np.arange(1, len(own) + 1, dtype=np.int32), at[own], dist[k, own]))
+    if not parts:
+        parts = [(rows[:0], np.zeros(0, np.int32), at[:0], dist[0, :0])]
+    return dict(zip(("i", "rank", "j", "dist"), map(np.concatenate, zip(*parts, strict=True)), strict=True))
+
+
 def multi_length(series: DataFrame, lengths: list[int], name: str = "znorm", per_length: bool = True) -> DataFrame:
     """(series_id, m, i, j, dist) for several lengths; per_length divides by the root of m, which makes them comparable."""
     out = None
