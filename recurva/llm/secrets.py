@@ -6,7 +6,7 @@ that text. All of it is DataFrame functions. When few blobs are new, their ids a
 scan by its own size check and old texts do not move.
 
 Defined results: a null text is empty; null doc_ids and repeated rows are kept, one result row each; very long texts
-are read whole, by one pass per rule; spans that start alike come in the order of the rules; an empty table gives an
+are read whole, in time proportional to their length and matches; spans that start alike come in the order of the rules; an empty table gives an
 empty result; other columns are left behind.
 """
 
@@ -16,7 +16,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recurva.llm.common import shared_dir, staged, texts_of
@@ -44,30 +44,24 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{12,}", 0, 16),
     Rule("hex", 1, r"[0-9a-f]{32,}", 0, 32),
 )
-SPAN = "struct<start:long,kind:int,end:long>"
+SPAN, STRETCH = "struct<start:long,kind:int,end:long>", "struct<start:long,end:long>"
+#: Code points of a chunk that masked texts are put together from.
+CHUNK = 4_096
 
 
-def spans_of(text: Column, rule: Rule, place: int) -> Column:
-    """The rule's spans in code points: the texts between the matches and the matches, laid end to end, give their places."""
+def steps_of(text: Column, rule: Rule) -> Column:
+    """The rule's matches in turn: code points between the one before and it, its own, and whether it stays."""
     pattern = F.lit(rule.pattern)
     between, matches, kept = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(rule.group))
     steps = F.zip_with(matches, F.slice(between, 1, F.size(matches)), lambda m, b: F.struct(F.length(b).cast("long").alias("gap"), F.length(m).cast("long").alias("own")))
-    steps = F.zip_with(steps, kept, lambda s, k: F.struct(s["gap"].alias("gap"), s["own"].alias("own"), (F.length(k) >= rule.least).alias("stays")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-
-    def step(so_far: Column, x: Column) -> Column:
-        begin = so_far["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), F.lit(place).alias("kind"), (begin + x["own"]).alias("end"))
-        return F.struct((begin + x["own"]).alias("at"), F.when(x["stays"], F.array_append(so_far["spans"], span)).otherwise(so_far["spans"]).alias("spans"))
-
-    found = F.aggregate(steps, start, step, lambda s: s["spans"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.zip_with(steps, kept, lambda s, k: F.struct(s["gap"].alias("gap"), s["own"].alias("own"), (F.length(k) >= rule.least).alias("stays")))
 
 
 def findings(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(paths, found): paths has doc_id and sha of every document's text; found has sha and its spans (start, kind,
-    end) by start, then kind, for texts with any. ledger is a folder; without one, a new one is made in the shared
-    folder. kind is the rule's place in rules."""
+    """(paths, found): paths has doc_id and sha of every document's text; found has sha, its spans (start, kind, end)
+    by start, then kind, and cover, the stretches (start, end) that they cover, overlapping spans as one, for texts
+    with any. ledger is a folder; without one, a new one is made in the shared folder. kind is the rule's place in
+    rules. Places are running sums over a text's matches, in a window; nothing grows with the square of their number."""
     spark = docs.sparkSession
     ledger = ledger or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
     texts = texts_of(docs).withColumn("sha", F.unhex(F.sha2("text", 256))).withColumn("row", F.coalesce("doc_id", F.lit(-(2**63))))
@@ -84,22 +78,31 @@ def findings(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...]
         due = due.where(F.size("rules") > 0).drop("seen")
     due = staged(due, "secret-due")
     todo = texts.select("row", "sha", "text").join(due, ["row", "sha"])
-    parts = [F.when(F.array_contains("rules", r.name), spans_of(F.col("text"), r, i)) for i, r in enumerate(rules)]
-    each = F.array(*(F.struct(F.lit(r.name).alias("rule"), p.alias("spans")) for r, p in zip(rules, parts, strict=True)))
-    found = todo.select("sha", F.explode(F.filter(each, lambda x: F.size(x["spans"]) > 0)).alias("x")).select("sha", "x.rule", "x.spans")
-    found.write.mode("append").parquet(f"{ledger}/found")
+    met = [F.when(F.array_contains("rules", r.name) & F.col("text").rlike(r.pattern), steps_of(F.col("text"), r)) for r in rules]
+    each = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(i).alias("kind"), m.alias("steps")) for i, (r, m) in enumerate(zip(rules, met, strict=True))))
+    steps = todo.select("sha", F.explode(F.filter(each, lambda x: F.size(x["steps"]) > 0)).alias("x")).select("sha", "x.rule", "x.kind", F.posexplode("x.steps").alias("at", "step"))
+    # A text that stands in several rows of one id comes several times. Rows of a text and rule stay together from here on.
+    steps = steps.dropDuplicates(["sha", "rule", "at"]).repartition("sha", "rule")
+    end = F.sum(F.col("step.gap") + F.col("step.own")).over(Window.partitionBy("sha", "rule").orderBy("at"))
+    spans = steps.withColumn("end", end).where("step.stays").select("sha", "rule", F.struct((F.col("end") - F.col("step.own")).alias("start"), "kind", "end").alias("span"))
+    spans.groupBy("sha", "rule").agg(F.collect_list("span").alias("spans")).write.mode("append").parquet(f"{ledger}/found")
     due.select("sha", F.explode("rules").alias("rule")).write.mode("append").parquet(f"{ledger}/scanned")
-    found = spark.read.schema(found.schema).parquet(f"{ledger}/found").where(F.col("rule").isin([r.name for r in rules]))
-    # A rule's row may have been written twice if a text stands in several rows of one id.
-    found = found.dropDuplicates(["sha", "rule"]).groupBy("sha").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"))
+    found = spark.read.schema(f"sha binary, rule string, spans array<{SPAN}>").parquet(f"{ledger}/found").where(F.col("rule").isin([r.name for r in rules]))
+    each = found.dropDuplicates(["sha", "rule"]).select("sha", F.explode("spans").alias("span")).select("sha", "span.*")
+    own = Window.partitionBy("sha").orderBy("start", "kind")
+    reached = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("apart", F.when(reached.isNull() | (F.col("start") >= reached), 1).otherwise(0))
+    each = each.withColumn("stretch", F.sum("apart").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    cover = each.groupBy("sha", "stretch").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"), F.struct(F.min("start").alias("start"), F.max("end").alias("end")).alias("cover"))
+    found = cover.groupBy("sha").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"), F.array_sort(F.collect_list("cover")).alias("cover"))
     return paths.select("doc_id", "sha"), staged(found, "secret-found")
 
 
 def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """A row per document: doc_id, sha (of its text) and found, its spans."""
+    """A row per document: doc_id, sha (of its text), found, its spans, and cover, what they cover."""
     paths, found = findings(docs, ledger, rules)
     out = paths.join(found, "sha", "left")
-    return out.select("doc_id", F.lower(F.hex("sha")).alias("sha"), F.coalesce("found", F.array().cast(f"array<{SPAN}>")).alias("found"))
+    return out.select("doc_id", F.lower(F.hex("sha")).alias("sha"), F.coalesce("found", F.array().cast(f"array<{SPAN}>")).alias("found"), F.coalesce("cover", F.array().cast(f"array<{STRETCH}>")).alias("cover"))
 
 
 def _known(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
@@ -117,13 +120,22 @@ def joined(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def masked(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span replaced by the mark; overlapping spans become one."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+def masked(text: Column, cover: Column, mark: str = "[SECRET]") -> Column:
+    """The text with every stretch of cover replaced by the mark. What is between is put together from chunks of the
+    text, so that no place is sought from the text's beginning."""
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(cover, lambda c: c["end"]))
+    stops = F.concat(F.transform(cover, lambda c: c["start"]), F.array(F.length(text).cast("long")))
+
+    def between(chunks: Column, a: Column, b: Column) -> Column:
+        def part(k: Column) -> Column:
+            begin = F.greatest(a, k * CHUNK)
+            return F.substr(F.get(chunks, k.cast("int")), (begin - k * CHUNK + 1).cast("int"), (F.least(b, (k + 1) * CHUNK) - begin).cast("int"))
 
-    def step(so_far: Column, s: Column) -> Column:
-        gap = F.substr(text, (so_far["at"] + 1).cast("int"), (s["start"] - so_far["at"]).cast("int"))
-        out = F.when(s["start"] < so_far["at"], so_far["out"]).otherwise(F.concat(so_far["out"], gap, F.lit(mark)))
-        return F.struct(out.alias("out"), F.greatest(so_far["at"], s["end"]).alias("at"))
+        whole = F.transform(F.sequence(F.floor(a / CHUNK), F.floor((b - 1) / CHUNK)), part)
+        return F.when(b > a, F.array_join(whole, "")).otherwise("")
 
-    return F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"))))
+    # As an element the chunks are made once for a text, not once for each piece.
+    once = F.array(F.struct(chunks.alias("chunks"), starts.alias("starts"), stops.alias("stops")))
+    made = F.transform(once, lambda x: F.array_join(F.zip_with(x["starts"], x["stops"], lambda a, b: between(x["chunks"], a, b)), mark))
+    return F.get(made, F.lit(0))

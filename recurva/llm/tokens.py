@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 1
-#: Words whose ids a Python worker remembers between batches; at the limit it starts afresh, so memory stays bounded.
-REMEMBERED = 350_000
+#: Words whose ids a Python worker remembers between batches, and their letters; at a limit it starts afresh, so that
+#: memory stays bounded whatever the words are.
+REMEMBERED, LETTERS = 350_000, 8_000_000
+#: Letters of words without a usual form that are tokenized at once; a longer word alone.
+AT_ONCE = 200_000
 #: Bytes of text (or other cells) worked on at once; a longer text is worked on alone.
 SLICE = 3_000_000
 #: Letters that stay single letters when lower-cased and in composed form, so that what follows cannot join them.
@@ -36,18 +40,22 @@ class _Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.place, self.ends, self.pool = {"": 0}, np.zeros(1, np.int32), np.zeros(0, "<u4")
+        self.place, self.ends, self.pool, self.letters = {"": 0}, np.zeros(1, np.int32), np.zeros(0, "<u4"), 0
 
     def of(self, words: list[str]) -> np.ndarray:
         """Where each word stands in the pool's index; new ones are tokenized and added. The words are distinct."""
-        at = np.fromiter((self.place.get(w, -1) for w in words), np.int32, len(words))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
         new = np.flatnonzero(at < 0).tolist()
-        if new and len(self.place) + len(new) > REMEMBERED and len(self.place) > 1:
+        if not new:
+            return at
+        added = [words[i] for i in new]
+        letters = sum(map(len, added))
+        if len(self.place) > 1 and (len(self.place) + len(new) > REMEMBERED or self.letters + letters > LETTERS):
             self.clear()
             return self.of(words)
-        if new:
-            self._add([words[i] for i in new])
-            at[new] = [self.place[words[i]] for i in new]
+        self.letters += letters
+        self._add(added)
+        at[new] = np.fromiter(map(self.place.get, added), np.int32, len(added))
         return at
 
     def _add(self, words: list[str]) -> None:
@@ -69,8 +77,13 @@ class _Pieces:
         self.ends, self.pool = np.cumsum(np.concatenate(sizes), dtype=np.int32), np.concatenate(ids)
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return np.array([i for ids in got for i in ids], "<u4"), np.cumsum([len(ids) for ids in got])
+        got: list[np.ndarray] = []
+        at, ends = 0, np.cumsum([len(w) for w in words])
+        while at < len(words):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - len(words[at]) + AT_ONCE, "right")))
+            got += (np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(words[at:to], add_special_tokens=False))
+            at = to
+        return np.concatenate(got), np.cumsum([len(ids) for ids in got])
 
 
 def _split_tail(words: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -96,7 +109,7 @@ def encode(texts: pa.Array, path: str, end_id: int | None = END_ID) -> tuple[np.
     at = words.indices.to_numpy(zero_copy_only=False)
     both = [x.dictionary_encode() for x in _split_tail(words.dictionary)]
     distinct = pa.concat_arrays([x.dictionary for x in both]).dictionary_encode()
-    known = pieces.of(distinct.dictionary.to_pylist())[distinct.indices.to_numpy(zero_copy_only=False)]
+    known = pieces.of(distinct.dictionary.to_numpy(zero_copy_only=False).tolist())[distinct.indices.to_numpy(zero_copy_only=False)]
     head = known[: len(both[0].dictionary)][both[0].indices.to_numpy(zero_copy_only=False)]
     tail = known[len(both[0].dictionary) :][both[1].indices.to_numpy(zero_copy_only=False)]
     # The ids of this batch's distinct words, each with its tail, the end id last of all.
