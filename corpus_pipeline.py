@@ -42,7 +42,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     _, found = secrets.findings(docs)
     sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     out = docs.withColumn("sha", sha).join(found, "sha", "left")
-    text = F.when(F.col("found").isNull(), F.col("text")).otherwise(secrets.masked(F.col("text"), F.col("found")))
+    text = F.when(F.col("found").isNull(), F.col("text")).otherwise(secrets.masked(F.col("text"), F.col("cover")))
     n_chars = F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
     return out.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
