@@ -35,33 +35,45 @@ DENSE = 1 << 21
 FIRST = 32
 
 
-def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit, the end id last)."""
+def id_kind(tokenizer: str) -> str:
+    """Little-endian unsigned integers just wide enough for the vocabulary: what is written and shuffled is half as much."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def tokenized(docs: DataFrame, tokenizer: str, kind: str) -> DataFrame:
+    """doc_id and ids (of that kind, the end id last)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch):
                 bounds, ids = encode(some.column("text"), tokenizer)
-                raw = ids.tobytes()
-                cells = [raw[4 * i : 4 * j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                raw, width = ids.astype(kind).tobytes(), int(kind[-1])
+                cells = [raw[width * i : width * j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.record_batch({"doc_id": some.column("doc_id"), "ids": pa.array(cells, pa.binary())})
 
     return texts_of(docs).mapInArrow(run, "doc_id long, ids binary")
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequencies(kind: str):
     """In how many documents each id stands; under id -1 the documents, under -2 all ids."""
-    total, docs, n = np.zeros(1, np.int64), 0, 0
-    for batch in batches:
-        for raw in batch.column("ids"):
-            ids = np.unique(np.frombuffer(raw.as_buffer(), "<u4"))
-            if ids[-1] >= len(total):
-                total = np.append(total, np.zeros(int(ids[-1]) + 1 - len(total), np.int64))
-            total[ids] += 1
-            docs += 1
-            n += raw.as_buffer().size // 4
-    at = np.flatnonzero(total)
-    yield pa.record_batch({"id": pa.array(np.append(at, [-1, -2]), pa.int64()), "n": pa.array(np.append(total[at], [docs, n]), pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, docs, n = np.zeros(1, np.int64), 0, 0
+        for batch in batches:
+            for raw in batch.column("ids"):
+                own = np.sort(np.frombuffer(raw.as_buffer(), kind))
+                ids = own[np.append(True, own[1:] != own[:-1])]
+                if ids[-1] >= len(total):
+                    total = np.append(total, np.zeros(int(ids[-1]) + 1 - len(total), np.int64))
+                total[ids] += 1
+                docs += 1
+                n += len(own)
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"id": pa.array(np.append(at, [-1, -2]), pa.int64()), "n": pa.array(np.append(total[at], [docs, n]), pa.int64())})
+
+    return run
 
 
 class Shard:
@@ -148,9 +160,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048) -> DataFrame:
     """A row per piece: doc_id, start (its document's ids before it), length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset (its place there). Every id lies in one piece; a sequence has `window` ids or,
     at the end of a partition, fewer: a power of two. window must be a power of two itself."""
-    held = staged(tokenized(docs, tokenizer), "packing-ids", "zstd")
+    kind = id_kind(tokenizer)
+    width = int(kind[-1])
+    held = staged(tokenized(docs, tokenizer, kind), "packing-ids", "zstd")
     # At most one row per vocabulary entry reaches the driver.
-    counts = {r["id"]: r["n"] for r in held.mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["id"]: r["n"] for r in held.mapInArrow(_frequencies(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
     n_docs, n_ids = max(1, counts.pop(-1, 1)), counts.pop(-2, 0)
     df = np.zeros(max(counts, default=0) + 1)
     df[list(counts)] = list(counts.values())
@@ -173,8 +187,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048) -> DataFrame:
                 out = []
                 for doc_id, raw in zip(some.column("doc_id").to_pylist(), some.column("ids"), strict=True):
                     raw = raw.as_buffer()
-                    for start in range(0, raw.size // 4 - window + 1, window):
-                        out.append((doc_id, start, window, raw[4 * start : 4 * (start + window)].to_pybytes(), raw.size // 4, sequence, 0))
+                    own = np.frombuffer(raw, kind)
+                    for start in range(0, len(own) - window + 1, window):
+                        out.append((doc_id, start, window, own[start : start + window].astype("<u4").tobytes(), len(own), sequence, 0))
                         sequence += 1
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(7)], names=names)
 
@@ -185,9 +200,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048) -> DataFrame:
                 out = []
                 for doc_id, raw in zip(some.column("doc_id").to_pylist(), some.column("ids"), strict=True):
                     raw = raw.as_buffer()
-                    n, start = raw.size // 4, raw.size // 4 // window * window
+                    n, start = raw.size // width, raw.size // width // window * window
                     if start < n:
-                        out.append((int(place[np.frombuffer(raw, "<u4")].min()), doc_id, start, raw[4 * start :].to_pybytes(), n))
+                        out.append((int(place[np.frombuffer(raw, kind)].min()), doc_id, start, raw[width * start :].to_pybytes(), n))
                 cells = [pa.array([r[k] for r in out], kind) for k, kind in enumerate([pa.int64()] * 3 + [pa.binary(), pa.int64()])]
                 yield pa.RecordBatch.from_arrays(cells, names=["key", "doc_id", "start", "ids", "doc_tokens"])
 
@@ -219,7 +234,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048) -> DataFrame:
 
         for batch in batches:
             for doc_id, start, raw, n in zip(*(batch.column(c) for c in range(4)), strict=True):
-                ids = np.frombuffer(raw.as_py(), "<u4")
+                ids = np.frombuffer(raw.as_py(), kind).astype("<u4")
                 rest.append((doc_id.as_py(), start.as_py(), ids, n.as_py()))
                 size += len(ids)
                 if size >= SHARD_IDS:
