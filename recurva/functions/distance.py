@@ -215,8 +215,9 @@ class Crossing:
             before = out[-1].copy() if (at + rows - begin) % AFRESH else None
             yield at, out
 
-    def rows(self, begin: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(places of rows, their distances): infinite to windows that overlap and to those without distances."""
+    def rows(self, begin: int, end: int, exact: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places of rows, their distances): infinite to windows that overlap and to those without distances. exact
+        compares all windows sample by sample, so that every bit is the same whatever the rows are taken with."""
         n, m = len(self.windows), self.m
         step = 1 << max(0, min(AFRESH, BLOCK // n).bit_length() - 1)
         column, same = -2 / self.size, bool((self.power == 1).all())
@@ -235,7 +236,7 @@ class Crossing:
                 kept = (inside >= 0) & (inside < n)
                 zone = np.broadcast_to(np.arange(len(own))[:, None], inside.shape)[kept], inside[kept]
                 s[zone] = np.inf
-                i, j = np.nonzero(s < np.multiply.outer(self.trust[own] ** 2, trust))
+                i, j = np.nonzero(np.isfinite(s) if exact else s < np.multiply.outer(self.trust[own] ** 2, trust))
                 s[i, j] = self.squares(own[i], j)
                 dist = self.d.finish(s, m, np)
                 dist[np.isnan(dist)] = np.inf

@@ -2,18 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def correlations(x: np.ndarray, y: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lags, overlaps, correlations) of x[i + lag] with y[i] for all lags with so much overlap and spread on both sides:
+    products of all lags by one transform, means and deviations of what overlaps by running sums."""
+    least = max(least, 1)
+    lags = np.arange(-(len(y) - 1), len(x))
+    n = np.minimum(len(x), lags + len(y)) - np.maximum(0, lags)
+    keep = n >= least
+    if not keep.any():
+        return lags[:0], n[:0], np.zeros(0)
+    x, y = x - x.mean(), y - y.mean()
+    size = 1 << (len(x) + len(y) - 1).bit_length()
+    products = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(y[::-1], size), size)[: len(x) + len(y) - 1]
+    lags, n, products = lags[keep], n[keep], products[keep]
+    sums = []
+    for own, begin in ((x, np.maximum(0, lags)), (y, np.maximum(0, -lags))):
+        first, second = (np.concatenate(([0.0], np.cumsum(own**k))) for k in (1, 2))
+        total, squares = first[begin + n] - first[begin], second[begin + n] - second[begin]
+        sums.append((total, squares - total**2 / n, second[-1]))
+    (sx, vx, all_x), (sy, vy, all_y) = sums
+    spread = (vx > 1e-12 * all_x) & (vy > 1e-12 * all_y)
+    corr = (products - sx * sy / n)[spread] / np.sqrt(vx[spread] * vy[spread])
+    return lags[spread], n[spread], corr
+
+
 def lag_correlation(a: DataFrame, b: DataFrame, least: int, which: str = "true") -> DataFrame:
     """(a_id, b_id, lag, corr, n): correlation of a's sample idx + lag with b's sample idx, for lags whose overlap n is
-    at least `least`. a and b: (series_id, idx, value), joined by a key column `pair`, for the a_id and b_id that `which` says."""
-    x = a.select("pair", F.col("series_id").alias("a_id"), F.col("idx").alias("i"), F.col("value").alias("x"))
-    y = b.select("pair", F.col("series_id").alias("b_id"), F.col("idx").alias("j"), F.col("value").alias("y"))
-    both = x.join(y, "pair").where(which).groupBy("a_id", "b_id", (F.col("i") - F.col("j")).alias("lag"))
-    out = both.agg(F.count("*").alias("n"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), F.covar_pop("x", "y").alias("c")).where(F.col("n") >= least)
-    return out.where("sx > 0 AND sy > 0").select("a_id", "b_id", "lag", "n", F.round(F.col("c") / (F.col("sx") * F.col("sy")), 6).alias("corr"))
+    at least `least`. a and b: (series_id, idx, value), joined by a key column `pair`, for the a_id and b_id that `which`
+    says. A task holds the two series of a pair; its time grows with their length and its logarithm."""
+    sides = [t.groupBy("pair", F.col("series_id").alias(name)).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda s: s["value"]).alias(xs)) for t, name, xs in ((a, "a_id", "xs"), (b, "b_id", "ys"))]
+    both = sides[0].join(sides[1], "pair").where(which).select("a_id", "b_id", "xs", "ys")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                lags, n, corr = correlations(*(batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("xs", "ys")), least)
+                ids = {c: pa.array(np.full(len(lags), batch.column(c)[k].as_py(), np.int64)) for c in ("a_id", "b_id")}
+                yield pa.record_batch(ids | {"lag": pa.array(lags.astype(np.int64)), "n": pa.array(n.astype(np.int64)), "corr": pa.array(np.round(corr, 6))})
+
+    return both.mapInArrow(run, "a_id long, b_id long, lag long, n long, corr double")
 
 
 def best_lag(correlations: DataFrame) -> DataFrame:

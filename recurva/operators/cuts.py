@@ -131,9 +131,18 @@ def outlier_cuts(pers: DataFrame, t: float = 0.99, bins: int = BINS) -> DataFram
     return _both(births, first.where("x.before IS NOT NULL").select("series_id", ((F.col("x.pers") + F.col("x.before")) / 2).alias("cut")))
 
 
-def plane_cuts(pers: DataFrame, bins: int = BINS) -> DataFrame:
+def plane_cuts(pers: DataFrame, bins: int = BINS, kind: str | None = None) -> DataFrame:
     """(series_id, p_cut, b_cut): the left edges of the cell of a histogram of persistence by birth that splits both at
-    once with the largest variance between. Kernel over a series' occupied cells: only there do the sums change."""
+    once with the largest variance between. kind skewed splits what lies below both cuts once more; published does so
+    as published code does, which holds the persistence against the cut of births too. A series with nothing there
+    keeps its first cuts. Kernel over a series' occupied cells: only there do the sums change."""
+    if kind is not None:
+        first = plane_cuts(pers, bins)
+        other = {"skewed": "birth", "published": "death - birth"}[kind]
+        below = pers.join(first, "series_id").where(f"death - birth < p_cut AND {other} < b_cut").select(*pers.columns)
+        again = plane_cuts(below, bins).withColumnsRenamed({"p_cut": "p_again", "b_cut": "b_again"})
+        both = first.join(again, "series_id", "left")
+        return both.select("series_id", F.coalesce("p_again", "p_cut").alias("p_cut"), F.coalesce("b_again", "b_cut").alias("b_cut"))
     rows = _prominent(pers).select("series_id", "pers", "birth")
 
     def run(_: int, own: dict[str, np.ndarray]) -> list[tuple]:

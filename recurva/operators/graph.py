@@ -1,8 +1,8 @@
 """Neighbour graphs of windows and their degree-0 persistent homology.
 
 Greedy neighbour selection runs row by row on the tiles of a series. The union-find scan depends on the order of all
-edges, so it is a kernel, one series a group; a group holds at most (k + 1) edges a window. Everything between them is
-DataFrame operations.
+edges, so it is a kernel, one series a group, with at most (k + 1) edges a window; persistence_by_rounds gives the same
+rows by joins and minima, whatever the length of a series. Everything between them is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from recurva.operators import profile
 from recurva.plans.kernels import by_series
+from recurva.plans.store import stored
 
 
 def outside(m: int, exclusion: str):
@@ -111,6 +112,52 @@ def persistence(edges: DataFrame) -> DataFrame:
     return by_series(edges.select("series_id", "rank", "u", "v", "w"), ["rank"], run, "seed long, birth double, death double, u long, v long, w double")
 
 
+def persistence_by_rounds(edges: DataFrame) -> DataFrame:
+    """The rows of persistence by rounds of joins and minima, none of which holds a series in one task.
+
+    A component goes by its oldest node, of nodes born alike the later one. In a round every component looks at its
+    first edge to another. If that one's node is older, its own node dies there: nothing can join the component sooner,
+    and whatever the other has become by then has a node as old. The dying join what they met (met ones may die in
+    the same round, of ever older ones), and edges inside a component go. Of two components that have each other's
+    first edge one dies, so there are always fewer, and no more rounds than their number; in practice a few."""
+    births = stored(node_births(edges))
+
+    def end(side: str) -> DataFrame:
+        return births.select("series_id", F.col("node").alias(side), F.col("birth").alias(f"{side}_birth"))
+
+    edge = F.struct("rank", "u", "v", "w").alias("edge")
+    links = edges.where("u <> v").withColumns({"a": F.col("u"), "b": F.col("v")}).join(end("a"), ["series_id", "a"]).join(end("b"), ["series_id", "b"])
+    links = stored(links.select("series_id", "a", "a_birth", "b", "b_birth", edge))
+    dead = None
+    while not links.isEmpty():
+        other = links.select("series_id", F.col("b").alias("a"), F.col("b_birth").alias("a_birth"), F.col("a").alias("b"), F.col("a_birth").alias("b_birth"), "edge")
+        first = links.unionByName(other).groupBy("series_id", "a").agg(F.min(F.struct("edge", "a_birth", "b", "b_birth")).alias("x")).select("series_id", "a", "x.*")
+        dying = stored(first.where("b_birth < a_birth OR (b_birth = a_birth AND b > a)"))
+        ended = dying.select("series_id", F.col("a").alias("seed"), F.col("a_birth").alias("birth"), F.col("edge.w").alias("death"), "edge.u", "edge.v", "edge.w")
+        dead = ended if dead is None else dead.union(ended)
+        # Each of the dying with the living one at the end of its way, twice as far a step.
+        ways = dying.select("series_id", "a", F.col("b").alias("to"), F.col("b_birth").alias("to_birth"))
+        while True:
+            ahead = ways.select("series_id", F.col("a").alias("to"), F.col("to").alias("next"), F.col("to_birth").alias("next_birth"))
+            farther = ways.join(ahead, ["series_id", "to"], "left").select("series_id", "a", F.coalesce("next", "to").alias("to"), F.coalesce("next_birth", "to_birth").alias("to_birth"), F.col("next").isNotNull().alias("moved"))
+            farther = stored(farther)
+            ways = farther.drop("moved")
+            if farther.where("moved").isEmpty():
+                break
+        for side in ("a", "b"):
+            to = ways.select("series_id", F.col("a").alias(side), "to", "to_birth")
+            links = links.join(to, ["series_id", side], "left").withColumns({side: F.coalesce("to", side), f"{side}_birth": F.coalesce("to_birth", f"{side}_birth")}).drop("to", "to_birth")
+        flip = F.col("a") > F.col("b")
+        ends = {c: F.when(flip, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in (("a", "b"), ("a_birth", "b_birth"), ("b", "a"), ("b_birth", "a_birth"))}
+        links = links.where("a <> b").select("series_id", *ends.values(), "edge").groupBy("series_id", *ends).agg(F.min("edge").alias("edge"))
+        links = stored(links)
+    alive = births.withColumnRenamed("node", "seed")
+    if dead is not None:
+        alive = alive.join(dead.select("series_id", "seed"), ["series_id", "seed"], "left_anti")
+    alive = alive.select("series_id", "seed", "birth", F.lit(float("inf")).alias("death"), *(F.lit(None).cast(k).alias(c) for c, k in (("u", "long"), ("v", "long"), ("w", "double"))))
+    return alive if dead is None else dead.union(alive)
+
+
 def finite(pers: DataFrame) -> DataFrame:
     """Infinite deaths become the series' largest finite birth or death."""
     own = Window.partitionBy("series_id")
@@ -125,13 +172,14 @@ def components_at(pers: DataFrame, t: float) -> DataFrame:
     return out.select("series_id", F.lit(t).alias("t"), "nodes", "components")
 
 
-def thresholded(pers: DataFrame, cuts: DataFrame) -> DataFrame:
+def thresholded(pers: DataFrame, cuts: DataFrame, own_cuts: bool = True) -> DataFrame:
     """(series_id, label, node, birth): components of the spanning forest when only merges of persistence below p_cut
-    count; of each, named by its oldest node, the members born before its own cut. cuts: (series_id, b_cut, p_cut)."""
+    count; of each, named by its oldest node, the members born before its own cut (own_cuts: its death, if that comes
+    before b_cut; otherwise b_cut for all). cuts: (series_id, b_cut, p_cut)."""
 
     def run(_: int, own: dict[str, np.ndarray]) -> list[tuple]:
         b_cut, p_cut = float(own["b_cut"][0]), float(own["p_cut"][0])
-        own_cut = {s: min(d, b_cut) for s, b, d in zip(own["seed"].tolist(), own["birth"].tolist(), own["death"].tolist(), strict=True) if d - b > p_cut and b <= b_cut}
+        own_cut = {s: min(d, b_cut) for s, b, d in zip(own["seed"].tolist(), own["birth"].tolist(), own["death"].tolist(), strict=True) if own_cuts and d - b > p_cut and b <= b_cut}
         forest = Forest()
         for u, v, w in zip(own["u"].tolist(), own["v"].tolist(), own["w"].tolist(), strict=True):
             if w != w:  # never merged

@@ -30,10 +30,23 @@ def sample_scores(truth: DataFrame, found: DataFrame) -> DataFrame:
     return _f1(by.select("series_id", _ratio("hit", "n_p").alias("precision"), _ratio("hit", "n_t").alias("recall")))
 
 
-def overlaps(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """(series_id, label, start, end, p_label, p_start, p_end, overlap) of occurrences that share samples."""
-    p = found.select("series_id", *(F.col(c).alias(f"p_{c}") for c in ("label", "start", "end")))
-    met = truth.select("series_id", "label", "start", "end").join(p, "series_id").where("start < p_end AND p_start < end")
+def overlaps(truth: DataFrame, found: DataFrame, width: int | None = None) -> DataFrame:
+    """(series_id, label, start, end, p_label, p_start, p_end, overlap) of occurrences that share samples.
+
+    Time is cut into bins of `width` samples (the mean length of an occurrence, if not given), an occurrence stands in
+    every bin it touches, and only those of one bin meet; a pair counts in the bin where its overlap begins."""
+    size = F.lit(width).cast("long").alias("width")
+    if width is None:
+        size = F.greatest(F.lit(1).cast("long"), F.ceil(F.avg(F.col("end") - F.col("start")))).alias("width")
+    one = truth.select("start", "end").union(found.select("start", "end")).agg(size)  # one row
+    sides = []
+    for side, prefix in ((truth, ""), (found, "p_")):
+        own = side.select("series_id", *(F.col(c).alias(f"{prefix}{c}") for c in ("label", "start", "end"))).join(F.broadcast(one))
+        start, end = f"{prefix}start", f"{prefix}end"
+        own = own.where(F.col(end) > F.col(start))
+        sides.append(own.withColumn("bin", F.explode(F.sequence(F.floor(F.col(start) / F.col("width")), F.floor((F.col(end) - 1) / F.col("width"))))))
+    met = sides[0].join(sides[1].drop("width"), ["series_id", "bin"]).where("start < p_end AND p_start < end")
+    met = met.where(F.col("bin") == F.floor(F.greatest("start", "p_start") / F.col("width"))).drop("bin", "width")
     return met.withColumn("overlap", F.least("end", "p_end") - F.greatest("start", "p_start"))
 
 

@@ -13,24 +13,45 @@ from pyspark.sql import functions as F
 from recurva.functions.distance import DISTANCES, block, normalised
 from recurva.operators import cuts, graph, occurrences, profile
 from recurva.plans.kernels import by_series
+from recurva.plans.store import found_at, stored
 
 FOUND = "label long, start long, end long"
-
-
-def persistent_motifs(series: DataFrame, m: int, k: int = 3, jump: int = 1, n: int | None = None, name: str = "trend", similarity: float | None = 0.25, alpha: float = 10.0) -> DataFrame:
-    """Components of the neighbour graph that persist, as occurrences with their births; n fixes their number, else
-    the jump-th largest gap of persistence does. Births and deaths are stretched by ktanh before the cuts."""
-    # Kept for the cuts and for the components below.
-    pers = graph.persistence(graph.filtration(graph.knn_graph(series, m, k, name))).persist()
-    stretched = graph.finite(pers).select("series_id", "seed", *(cuts.ktanh(F.col(c), alpha).alias(c) for c in ("birth", "death")), "u", "v", cuts.ktanh(F.col("w"), alpha).alias("w"))
-    ended = stretched.where("w IS NOT NULL")
-    limits = cuts.fixed_cuts(stretched, n) if n else cuts.gap_cuts(ended, jump)
-    found = occurrences.without_singletons(occurrences.paint(graph.thresholded(stretched, limits), m))
+PERSISTENCE = "series_id long, seed long, birth double, death double, u long, v long, w double"
+
+
+def searched(series: DataFrame, m: int, k: int = 3, name: str = "trend", path: str | None = None) -> DataFrame:
+    """The rows of graph.persistence of the neighbour graph: all that cuts need, whatever they are. They are stored, at
+    path under the search's own parameters if it is given; a search that stands there is read, not made again."""
+    if path is None:
+        return stored(graph.persistence(graph.filtration(graph.knn_graph(series, m, k, name))))
+    at = f"{path}/m={m}/k={k}/name={name}"
+    pers = found_at(series.sparkSession, at, PERSISTENCE)
+    if pers is not None and not pers.isEmpty():  # one that was broken off left nothing
+        return pers
+    return stored(graph.persistence(graph.filtration(graph.knn_graph(series, m, k, name))), at)
+
+
+def cut_motifs(pers: DataFrame, m: int, jump: int = 1, n: int | None = None, similarity: float | None = 0.25, alpha: float = 10.0, beta: float = 0.0, own_cuts: bool = True, cuts_at: tuple[float, float] | None = None) -> DataFrame:
+    """Occurrences with their births from the rows of a search, without another one. Births and deaths are stretched by
+    ktanh (alpha, beta) before the cuts; the cuts are cuts_at (b_cut, p_cut) for all series, or leave n components, or
+    lie at the jump-th largest gap of persistence."""
+    stretched = graph.finite(pers).select("series_id", "seed", *(cuts.ktanh(F.col(c), alpha, beta).alias(c) for c in ("birth", "death")), "u", "v", cuts.ktanh(F.col("w"), alpha, beta).alias("w"))
+    if cuts_at:
+        limits = stretched.select("series_id").distinct().select("series_id", *(F.lit(float(x)).alias(c) for x, c in zip(cuts_at, ("b_cut", "p_cut"), strict=True)))
+    else:
+        limits = cuts.fixed_cuts(stretched, n) if n else cuts.gap_cuts(stretched.where("w IS NOT NULL"), jump)
+    found = occurrences.without_singletons(occurrences.paint(graph.thresholded(stretched, limits, own_cuts), m))
     if similarity is None:
         return found
     return occurrences.without_singletons(occurrences.similar_length(found, similarity))
 
 
+def persistent_motifs(series: DataFrame, m: int, k: int = 3, jump: int = 1, n: int | None = None, name: str = "trend", similarity: float | None = 0.25, alpha: float = 10.0, beta: float = 0.0, own_cuts: bool = True, path: str | None = None) -> DataFrame:
+    """Components of the neighbour graph that persist, as occurrences with their births; n fixes their number, else
+    the jump-th largest gap of persistence does. With a path the search is stored there for other cuts."""
+    return cut_motifs(searched(series, m, k, name, path), m, jump, n, similarity, alpha, beta, own_cuts)
+
+
 def radius_counts(series: DataFrame, m: int, radius: float, name: str = "znorm") -> DataFrame:
     """(series_id, i, neighbours, spread, rank): windows by falling number of neighbours within radius, then by the
     spread of their distances, then by place. Windows without any are left out."""

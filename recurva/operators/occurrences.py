@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,29 @@ def islands(points: DataFrame) -> DataFrame:
     return runs.groupBy("series_id", "label", "run").agg(F.min("idx").alias("start"), (F.max("idx") + 1).alias("end")).drop("run")
 
 
+class Stretches:
+    """Disjoint stretches in order, each with its owner; what touches or overlaps and has one owner is one stretch."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.owners: list[int] = []
+
+    def claim(self, start: int, end: int, owner: int) -> bool:
+        """[start, end) becomes the owner's, unless another has any of it."""
+        low = bisect_left(self.ends, start)  # the first that ends at start or later
+        high = bisect_right(self.starts, end)  # past the last that starts at end or sooner
+        for k in range(low, high):
+            if self.owners[k] != owner and self.starts[k] < end and self.ends[k] > start:
+                return False
+        low += low < high and self.owners[low] != owner and self.ends[low] <= start  # another's that only touches
+        high -= low < high and self.owners[high - 1] != owner and self.starts[high - 1] >= end
+        if low < high:
+            start, end = min(start, self.starts[low]), max(end, self.ends[high - 1])
+        self.starts[low:high], self.ends[low:high], self.owners[low:high] = [start], [end], [owner]
+        return True
+
+
 def paint(nodes: DataFrame, m: int, parity: bool = False) -> DataFrame:
     """(series_id, label, start, end, birth) from (series_id, label, node, birth): windows claim their samples in order
     of birth unless another run of windows has one of them; runs are windows of one label without a gap. What a run
@@ -28,12 +53,10 @@ def paint(nodes: DataFrame, m: int, parity: bool = False) -> DataFrame:
         same, broken = labels[1:] == labels[:-1], nodes_[1:] != nodes_[:-1] + 1
         runs = np.cumsum(np.concatenate(([True], same & broken if parity else ~same | broken)))
         order = np.lexsort((labels, nodes_, births))
-        owner: dict[int, int] = {}
+        taken = Stretches()
         ends: dict[tuple, list] = {}
         for label, node, birth, own in zip(labels[order].tolist(), nodes_[order].tolist(), births[order].tolist(), runs[order].tolist(), strict=True):
-            cells = range(node, node + m)
-            if all(owner.get(c, own) == own for c in cells):
-                owner.update(dict.fromkeys(cells, own))
+            if taken.claim(node, node + m, own):
                 ends.setdefault((label, None if parity else own), []).append([label, node, node + m - parity, birth])
         return [(s[0], s[1] + parity, *s[2:]) for own in ends.values() for s in merged(own)]
 
@@ -89,6 +112,44 @@ def similar_length(found: DataFrame, similarity: float = 0.25) -> DataFrame:
     return found.join(middle, ["series_id", "label"]).where(F.abs(size - F.col("middle")) <= similarity * F.col("middle")).select(*found.columns)
 
 
+def with_births(found: DataFrame, profile: DataFrame, m: int, parity: bool = False) -> DataFrame:
+    """found with birth, the least distance of the windows that lie in each occurrence (null if there is none). parity
+    takes windows as published code does, from start up to, without it, end - m + 3, for its occurrences that are a
+    sample shorter. Kernel: range minima of a series' profile by a table of minima over powers of two."""
+    reach = 3 - m if parity else 1 - m
+
+    def run(_: int, own: dict[str, np.ndarray]) -> list[tuple]:
+        is_node = own["of"] == 0
+        at, dist = own["start"][is_node], own["x"][is_node]
+        table = [dist]
+        while 2 << (len(table) - 1) <= len(dist):
+            half = 1 << (len(table) - 1)
+            table.append(np.minimum(table[-1][:-half], table[-1][half:]))
+        rows = []
+        for label, start, end in zip(*(own[c][~is_node].tolist() for c in ("label", "start", "end")), strict=True):
+            a, b = np.searchsorted(at, (start, end + reach)).tolist()
+            k = (b - a).bit_length() - 1
+            rows.append((label, start, end, float(min(table[k][a], table[k][b - (1 << k)])) if b > a else None))
+        return rows
+
+    nodes = profile.select("series_id", F.lit(0).alias("of"), F.lit(0).cast("long").alias("label"), F.col("i").alias("start"), F.lit(0).cast("long").alias("end"), F.col("dist").alias("x"))
+    asked = found.select("series_id", F.lit(1).alias("of"), "label", "start", "end", F.lit(0.0).alias("x"))
+    return by_series(nodes.union(asked), ["of", "start", "label"], run, "label long, start long, end long, birth double")
+
+
+def masks(found: DataFrame, series: DataFrame) -> DataFrame:
+    """(series_id, label, mask): for every label of a series an array as long as the series, 1 in its occurrences, else 0."""
+    length = series.groupBy("series_id").agg((F.max("idx") + 1).alias("length"))
+    runs = islands(points(found)).groupBy("series_id", "label").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    zero, one = F.lit(0), F.lit(1)
+    starts = F.concat(F.transform("runs", lambda r: r["start"]), F.array("length"))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("runs", lambda r: r["end"]))
+    parts = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    gaps = F.transform(parts, lambda p: F.array_repeat(zero, (p["a"] - p["b"]).cast("int")))
+    whole = F.zip_with(gaps, F.concat(F.transform("runs", lambda r: F.array_repeat(one, (r["end"] - r["start"]).cast("int"))), F.array(F.array().cast("array<int>"))), lambda g, r: F.concat(g, r))
+    return runs.join(length, "series_id").select("series_id", "label", F.flatten(whole).alias("mask"))
+
+
 def points(found: DataFrame) -> DataFrame:
     """(series_id, label, idx): every sample of every occurrence once."""
     return found.select("series_id", "label", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("idx")).distinct()

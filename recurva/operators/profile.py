@@ -26,8 +26,9 @@ TILE, ROW_TILES = 1_024, 1_000
 Work = Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]
 
 
-def scan(series: DataFrame, m: int, name: str, work: Work, columns: str, digits: int | None = None, tile: int = TILE) -> DataFrame:
-    """series_id and the columns that work makes of the rows of the distance matrix. series has no gaps in idx."""
+def scan(series: DataFrame, m: int, name: str, work: Work, columns: str, digits: int | None = None, tile: int = TILE, exact: bool = False) -> DataFrame:
+    """series_id and the columns that work makes of the rows of the distance matrix. series has no gaps in idx. Where
+    all distances are results, exact makes them sample by sample."""
     d = DISTANCES[name]
     cut = series.groupBy("series_id", F.floor(F.col("idx") / tile).alias("tile")).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("s"))
     cut = cut.select("series_id", "tile", F.col("s")[0]["idx"].alias("first"), F.transform("s", lambda x: x["value"]).alias("xs"))
@@ -45,7 +46,7 @@ def scan(series: DataFrame, m: int, name: str, work: Work, columns: str, digits:
             if begin >= end:
                 continue
             at = np.arange(n) + first
-            for own, dist in Crossing(d, xs, m).rows(begin, end):
+            for own, dist in Crossing(d, xs, m).rows(begin, end, exact):
                 made = work(at[own], at, dist if digits is None else np.round(dist, digits))
                 if len(made[names[0]]):
                     yield pa.record_batch({"series_id": pa.array(np.full(len(made[names[0]]), series_id)), **{c: pa.array(made[c]) for c in names}})
@@ -76,7 +77,7 @@ def pairs(series: DataFrame, m: int, name: str, tile: int = TILE) -> DataFrame:
         i, j = np.nonzero(np.isfinite(dist) & (at > rows[:, None]))
         return {"i": rows[i], "j": at[j], "dist": dist[i, j]}
 
-    return scan(series, m, name, work, "i long, j long, dist double", tile=tile)
+    return scan(series, m, name, work, "i long, j long, dist double", tile=tile, exact=True)
 
 
 def profile(series: DataFrame, m: int, name: str = "znorm", digits: int = 6, tile: int = TILE) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -77,9 +79,70 @@ def _complete(scores: DataFrame, by: list[str], name: str) -> DataFrame:
     return ranked.join(F.broadcast(names)).where("n = names").drop("n", "names")
 
 
+# The normal distribution's tail by a polynomial in 1 / (1 + 0.2316419 x), off by less than 1e-7.
+TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
+
+def tail(z: Column) -> Column:
+    """How likely a normal number is farther from 0 than z."""
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    total = F.lit(0.0)
+    for c in reversed(TAIL):
+        total = (total + c) * t
+    return F.least(F.lit(1.0), 2 * F.exp(-z * z / 2) / (2 * math.pi) ** 0.5 * total)
+
+
+def signed_ranks(scores: DataFrame, by: list[str], name: str) -> DataFrame:
+    """(better, worse, groups, z, p, p_adjusted): for each two names, the better one by mean rank first, the signed-rank
+    test of their scores over groups that have every name. Equal scores are left out and tied differences share
+    their mean rank; z and p are those of the normal approximation. p_adjusted steps down: the least p counts times
+    the number of pairs, the next times one less, and so on, never less than the one before. Pairs without different
+    scores have p 1. Names are a short list, of which all pairs are made."""
+    ranks = _complete(scores, by, name)
+    names = ranks.groupBy(name).agg(F.avg("rank").alias("mean_rank"))
+    order = names.select(F.col(name), F.row_number().over(Window.orderBy("mean_rank", name)).alias("place"))
+    own = ranks.select(*by, F.col(name), "score").join(F.broadcast(order), name)
+    a, b = (own.select(*by, F.col(name).alias(side), F.col("score").alias(f"{side}_score"), F.col("place").alias(f"{side}_place")) for side in ("better", "worse"))
+    gaps = a.join(b, by).where("better_place < worse_place").withColumn("gap", F.col("better_score") - F.col("worse_score"))
+    pair = ["better", "worse"]
+    size = Window.partitionBy(*pair).orderBy(F.abs("gap"))
+    same = Window.partitionBy(*pair, F.abs("gap"))
+    ranked = gaps.where("gap <> 0").withColumn("same", F.count("*").over(same)).withColumn("r", F.rank().over(size) + (F.col("same") - 1) / 2)
+    sums = ranked.groupBy(*pair).agg(F.sum(F.when(F.col("gap") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.count("*").alias("groups"), F.sum(F.col("same") * F.col("same") - 1).alias("ties"))
+    n = F.col("groups")
+    z = (F.col("up") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    every = gaps.select(*pair).distinct().join(sums, pair, "left").select(*pair, F.coalesce(n, F.lit(0).cast("long")).alias("groups"), F.coalesce(z, F.lit(0.0)).alias("z"))
+    every = every.withColumn("p", F.when(F.col("groups") > 0, tail(F.col("z"))).otherwise(1.0))
+    down = Window.orderBy("p", *pair)  # a row per pair of names
+    every = every.withColumn("step", F.least(F.lit(1.0), F.col("p") * (F.count("*").over(Window.partitionBy()) - F.row_number().over(down) + 1)))
+    return every.select(*pair, "groups", "z", "p", F.max("step").over(down).alias("p_adjusted"))
+
+
+def cliques(scores: DataFrame, by: list[str], name: str, alpha: float = 0.05) -> DataFrame:
+    """(clique, place, name): longest runs of names, ordered by mean rank, of which no two differ by signed_ranks at level
+    alpha; runs of one name are left out. Cliques are numbered by where they begin."""
+    ranks = _complete(scores, by, name).groupBy(name).agg(F.avg("rank").alias("mean_rank"))
+    every = Window.orderBy("mean_rank", name)  # names are a short list
+    order = ranks.select(F.col(name), F.row_number().over(every).alias("place"), F.count("*").over(Window.partitionBy()).alias("k"))
+    apart = signed_ranks(scores, by, name).where(F.col("p_adjusted") < alpha).select("better", "worse")
+    for side in ("better", "worse"):
+        apart = apart.join(order.select(F.col(name).alias(side), F.col("place").alias(f"{side}_place")), side)
+    # From a name on, up to before the first name that differs from any that comes no earlier.
+    first = apart.groupBy(F.col("better_place").alias("place")).agg(F.min("worse_place").alias("first"))
+    ends = order.join(first, "place", "left")
+    back = Window.orderBy(F.desc("place"))
+    ends = ends.withColumn("end", F.coalesce(F.min("first").over(back), F.col("k") + 1) - 1)
+    new = F.col("end") > F.coalesce(F.lag("end").over(Window.orderBy("place")), F.lit(0))
+    runs = ends.withColumn("new", new).where("new AND end > place").select(F.col("place").alias("begin"), "end")
+    runs = runs.withColumn("clique", F.row_number().over(Window.orderBy("begin")))
+    return runs.join(order.select(F.col(name), "place"), (F.col("place") >= F.col("begin")) & (F.col("place") <= F.col("end"))).select("clique", "place", name)
+
+
 def count_error(scores: DataFrame, by: list[str]) -> DataFrame:
-    """Mean absolute difference of predicted and true numbers of motifs (n_patterns, predicted_n_patterns)."""
-    return scores.groupBy(*by).agg(F.avg(F.abs(F.col("predicted_n_patterns") - F.col("n_patterns"))).alias("error"))
+    """(by, error): predicted less true number of motifs, run by run. scores: (n_patterns, predicted_n_patterns, ...),
+    a row a run and metric; each run counts once."""
+    runs = scores.select(*dict.fromkeys([*by, *(c for c in ("algorithm", "config_idx", "signal_idx") if c in scores.columns), "n_patterns", "predicted_n_patterns"])).distinct()
+    return runs.select(*dict.fromkeys([*by, *(c for c in ("config_idx", "signal_idx") if c in runs.columns)]), (F.col("predicted_n_patterns") - F.col("n_patterns")).alias("error"))
 
 
 def quadratic_guide(times: DataFrame, length: str, time: str) -> DataFrame:
@@ -93,3 +156,12 @@ def renamed(table: DataFrame, column: str, names: dict[str, str], order: list[st
     pairs = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
     out = table.withColumn(column, F.element_at(pairs, F.col(column))).where(F.col(column).isNotNull())
     return out.withColumn(f"{column}_order", F.array_position(F.array(*map(F.lit, order)), F.col(column))) if order else out
+
+
+def together(**tables: DataFrame) -> DataFrame:
+    """Score tables one below the other, each under its name in the column `source`; columns that one lacks are null."""
+    out = None
+    for name, table in tables.items():
+        one = table.withColumn("source", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out

@@ -66,6 +66,7 @@ on_events("filtration_order", sql.filtration(), lambda s: graph.filtration(_knn1
 on_events("node_births", sql.births(), lambda s: graph.node_births(graph.filtration(_knn1(s))))
 on_events("components_at_t", sql.components(0.6), lambda s: graph.components_at(graph.persistence(graph.filtration(_knn1(s))), 0.6))
 on_events("h0_pairs", sql.h0_pairs(), lambda s: graph.finite(graph.persistence(graph.filtration(graph.knn_graph(s, M, 3)))).select("series_id", "seed", "birth", "death"))
+on_events("h0_pairs_by_rounds", sql.h0_pairs(), lambda s: graph.finite(graph.persistence_by_rounds(graph.filtration(graph.knn_graph(s, M, 3)))).select("series_id", "seed", "birth", "death"))
 on_events("mst_edges", sql.mst_edges(), lambda s: graph.persistence(graph.filtration(graph.knn_graph(s, M, 3))).where("w IS NOT NULL").select("series_id", "u", "v", "w"))
 
 
@@ -86,6 +87,7 @@ def _pers(s: DataFrame) -> DataFrame:
 on_events("split_cuts", sql.split_cuts(), lambda s: cuts.split_cuts(_pers(s)))
 on_events("split_cuts_skewed", sql.split_cuts(skewed=True), lambda s: cuts.split_cuts(_pers(s), "skewed"))
 on_events("outlier_cuts", sql.outlier_cuts(), lambda s: cuts.outlier_cuts(_pers(s), 0.9))
+on_events("plane_cuts_skewed", None, lambda s: cuts.plane_cuts(_pers(s), kind="skewed"))
 on_events("plane_cuts", None, lambda s: cuts.plane_cuts(_pers(s)))
 on_events("mad_outliers", sql.mad_outliers(), lambda s: cuts.mad_outliers(_profile(s), "dist", 2.0).select("series_id", "i", "dist"))
 on_events("normal_outliers", sql.normal_outliers(), lambda s: cuts.normal_outliers(_profile(s), "dist", 0.95).select("series_id", "i", "dist"))
@@ -113,6 +115,8 @@ def _grouped(s: DataFrame) -> DataFrame:
 on_events("islands", sql.TRUTH, _truth)
 on_events("similar_length", sql.similar_length(), lambda s: occurrences.similar_length(_truth(s)))
 on_events("drop_singletons", sql.drop_singletons(), lambda s: occurrences.without_singletons(_truth(s)))
+on_events("occurrence_masks", sql.masks(), lambda s: occurrences.masks(_truth(s), s))
+on_events("interval_births", sql.interval_births(4), lambda s: occurrences.with_births(_truth(s), profile.profile(s, 4, "trend"), 4))
 on_events("motif_occurrences", None, lambda s: motifs.persistent_motifs(s, M))
 on_events("motif_occurrences_fixed", None, lambda s: motifs.persistent_motifs(s, M, n=3))
 on_events("extended_runs", sql.extended_runs(), lambda s: occurrences.extended(_grouped(s), M, 1))
@@ -210,6 +214,8 @@ query("quartiles", sql.scores("quartiles"))(lambda spark, d: _rounded(reports.qu
 query("mean_ranks", sql.scores("ranks"))(lambda spark, d: _rounded(reports.mean_ranks(_means(spark, d), ["dataset", "setting"], "algorithm")))
 
 query("friedman", sql.scores("friedman"))(lambda spark, d: _rounded(reports.friedman(_means(spark, d), ["dataset", "setting"], "algorithm")))
+query("signed_ranks", sql.signed_ranks())(lambda spark, d: _rounded(reports.signed_ranks(_means(spark, d), ["dataset", "setting"], "algorithm")))
+query("cliques", sql.cliques(0.05))(lambda spark, d: reports.cliques(_means(spark, d), ["dataset", "setting"], "algorithm"))
 query("rank_differences", sql.scores("differences"))(lambda spark, d: _rounded(reports.rank_differences(_means(spark, d), ["dataset", "setting"], "algorithm")))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,21 @@ def grid(spark: SparkSession, **lists: list) -> DataFrame:
     return out
 
 
+def swept(configs: DataFrame, name: str, values: list) -> DataFrame:
+    """Every configuration once for each value of one parameter, numbered anew: those of one configuration in a row."""
+    each = configs.select("algorithm", "config_idx", "params", F.posexplode(F.array(*(F.lit(json.dumps(v)) for v in values))).alias("at", "value"))
+    params = F.map_concat(F.map_filter("params", lambda k, _: k != name), F.create_map(F.lit(name), F.col("value")))
+    return each.select("algorithm", (F.col("config_idx") * len(values) + F.col("at")).alias("config_idx"), params.alias("params"))
+
+
+def read_results(spark: SparkSession, folder: str, suffix: str = "_0.csv") -> DataFrame:
+    """The score rows of all CSV files of a folder whose names end so, columns by their names in the header, with
+    `source`, the rest of the file's name."""
+    raw = spark.read.option("header", "true").option("pathGlobFilter", f"*{suffix}").csv(folder)
+    source = F.regexp_extract("_metadata.file_name", f"^(.*){re.escape(suffix)}$", 1).alias("source")
+    return raw.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in SCORES.split(", ")), source)
+
+
 def append_scores(scores: DataFrame, path: str) -> None:
     """Add rows to a score table, a folder per algorithm; nothing written before is written again."""
     scores.write.mode("append").partitionBy("algorithm").parquet(path)

@@ -387,6 +387,45 @@ def barycenter() -> str:
 SELECT series_id, label, idx - start AS "at", round(sum(value) / n, 6) AS mean FROM p JOIN ({EVENTS}) USING (series_id, idx) GROUP BY series_id, label, idx - start, n"""
 
 
+def masks() -> str:
+    return f"""WITH p AS ({_points(TRUTH)}), k AS (SELECT DISTINCT series_id, label FROM p)
+SELECT k.series_id, k.label, list(CAST(p.idx IS NOT NULL AS INTEGER) ORDER BY e.idx) AS mask FROM k JOIN ({EVENTS}) e ON e.series_id = k.series_id
+LEFT JOIN p ON p.series_id = k.series_id AND p.label = k.label AND p.idx = e.idx GROUP BY ALL"""
+
+
+def interval_births(m: int = 4) -> str:
+    return f"""SELECT t.series_id, t.label, t.start, t."end", round(min(p.dist), 6) AS birth FROM ({TRUTH}) t
+LEFT JOIN ({profile("trend", m)}) p ON p.series_id = t.series_id AND p.i >= t.start AND p.i <= t."end" - {m} GROUP BY ALL"""
+
+
+def _signed_ranks() -> str:
+    mean = scores("mean")
+    tail = " + ".join(f"({c!r}) * pow(t, {k})" for k, c in enumerate((0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429), 1))
+    return f"""WITH m AS (SELECT *, count(*) OVER (PARTITION BY dataset, setting) AS k, rank() OVER (PARTITION BY dataset, setting ORDER BY score DESC) + (count(*) OVER (PARTITION BY dataset, setting, score) - 1) / 2 AS r FROM ({mean})),
+c AS (SELECT * FROM m WHERE k = (SELECT count(DISTINCT algorithm) FROM m)),
+o AS (SELECT algorithm, row_number() OVER (ORDER BY avg(r), algorithm) AS place, count(*) OVER () AS k FROM c GROUP BY algorithm),
+g AS (SELECT a.algorithm AS better, b.algorithm AS worse, a.score - b.score AS gap FROM c a JOIN c b ON a.dataset = b.dataset AND a.setting = b.setting JOIN o x ON x.algorithm = a.algorithm JOIN o y ON y.algorithm = b.algorithm WHERE x.place < y.place),
+d AS (SELECT *, count(*) OVER (PARTITION BY better, worse, abs(gap)) AS t, rank() OVER (PARTITION BY better, worse ORDER BY abs(gap)) AS first FROM g WHERE gap <> 0),
+w AS (SELECT better, worse, count(*) AS n, coalesce(sum(first + (t - 1) / 2) FILTER (gap > 0), 0) AS up, sum(t * t - 1) AS ties FROM d GROUP BY ALL),
+z AS (SELECT better, worse, coalesce(n, 0) AS groups, coalesce((up - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 0) AS z FROM (SELECT DISTINCT better, worse FROM g) LEFT JOIN w USING (better, worse)),
+p AS (SELECT *, CASE WHEN groups > 0 THEN least(1, 2 * exp(-z * z / 2) / sqrt(2 * pi()) * ({tail})) ELSE 1 END AS p FROM (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z)),
+h AS (SELECT *, least(1, p * (count(*) OVER () - row_number() OVER (ORDER BY p, better, worse) + 1)) AS step FROM p),
+s AS (SELECT better, worse, groups, z, p, max(step) OVER (ORDER BY p, better, worse) AS p_adjusted FROM h)"""
+
+
+def signed_ranks() -> str:
+    return f"{_signed_ranks()} SELECT better, worse, groups, round(z, 6) AS z, round(p, 6) AS p, round(p_adjusted, 6) AS p_adjusted FROM s"
+
+
+def cliques(alpha: float) -> str:
+    """Of all runs of names without two that differ those that no other such run holds."""
+    return f"""{_signed_ranks()},
+r AS (SELECT a.place AS low, b.place AS high FROM o a JOIN o b ON a.place < b.place
+      WHERE NOT EXISTS (SELECT 1 FROM s JOIN o x ON x.algorithm = s.better JOIN o y ON y.algorithm = s.worse WHERE p_adjusted < {alpha} AND x.place >= a.place AND y.place <= b.place)),
+q AS (SELECT *, row_number() OVER (ORDER BY low) AS clique FROM r WHERE NOT EXISTS (SELECT 1 FROM r y WHERE y.low <= r.low AND y.high >= r.high AND (y.low < r.low OR y.high > r.high)))
+SELECT CAST(clique AS INTEGER) AS clique, CAST(place AS INTEGER) AS place, algorithm FROM q JOIN o ON place BETWEEN low AND high"""
+
+
 def scores(what: str) -> str:
     raw = "SELECT event_type AS dataset, 'a' || (user_id % 3) AS algorithm, user_id % 5 AS setting, value AS score FROM events WHERE value IS NOT NULL"
     mean = f"SELECT dataset, algorithm, setting, round(avg(score), 6) AS score FROM ({raw}) GROUP BY ALL"

@@ -193,18 +193,214 @@ def test_cuts_of_births_and_persistence(spark):
 
 
 def test_runs_are_scored_and_failures_kept(spark, tmp_path):
-    s, truth = synth.planted(spark, 2, n_motifs=1, length=16, repeats=(3, 3), noise=0.02, gap=0.5, seed=2)
-    configs = spark.createDataFrame([("profile", 0, {"m": "12", "n": "1"}), ("profile", 1, {"q": "1"})], "algorithm string, config_idx int, params map<string,string>")
-    failed = runner.run(s, truth, {"profile": motifs.profile_motifs}, configs, str(tmp_path / "scores"), [0.5], int).collect()
-    assert [(r["config_idx"], r["error"][:9]) for r in failed] == [(1, "TypeError")]
-    scores = tables.read_scores(spark, str(tmp_path / "scores"))
-    assert scores.where("config_idx = 0 AND metric = 'es-fscore_0.5'").count() == 2 and scores.where("execution_time > 0 AND n_patterns = 1").count() == scores.count()
-    assert reports.count_error(scores, ["algorithm"]).first()["error"] >= 0
+    s, truth = synth.planted(spark, 3, n_motifs=1, length=16, repeats=(3, 3), noise=0.02, gap=0.5, seed=2)
+    configs = spark.createDataFrame([("profile", 0, {"m": "12", "n": "7", "ratio": "1.2"}), ("profile", 1, {"q": "1"}), ("breaks", 0, {"m": "12"})], "algorithm string, config_idx int, params map<string,string>")
+    asked = []
+
+    def search(series, **params):
+        asked.append(params)
+        return motifs.profile_motifs(series, **params)
+
+    def breaks(series, m):
+        own = series.withColumn("value", F.when(F.col("series_id") == 1, F.raise_error("no")).otherwise(F.col("value")))
+        return motifs.profile_motifs(own, m, 1)
+
+    searches, path = {"profile": search, "breaks": breaks}, str(tmp_path / "runs")
+    failed = runner.run(s, truth, searches, configs, path, [0.5], batch=2).collect()
+    assert sorted((r["algorithm"], r["config_idx"], r["signal_idx"]) for r in failed) == [("breaks", 0, 1), ("profile", 1, 0), ("profile", 1, 1), ("profile", 1, 2)]
+    assert all(r["error"].startswith("TypeError") for r in failed if r["algorithm"] == "profile")
+    assert {"m": 12, "n": 1, "ratio": 1.2} in asked  # the true number of labels
+    rows = runner.scores(spark, path)
+    assert rows.columns == [c.split()[0] for c in tables.SCORES.split(", ")]
+    one = rows.where("metric = 'es-fscore_0.5'")
+    assert sorted((r["algorithm"], r["signal_idx"]) for r in one.collect()) == [("breaks", 0), ("breaks", 2), ("profile", 0), ("profile", 1), ("profile", 2)]
+    assert rows.where("execution_time > 0 AND n_patterns = 1").count() == rows.count()
+    before = len(asked)
+    assert len(runner.run(s, truth, searches, configs, path, [0.5]).collect()) == 4 and len(asked) == before
+    more, more_truth = synth.planted(spark, 4, n_motifs=1, length=16, repeats=(3, 3), noise=0.02, gap=0.5, seed=2)
+    runner.run(more, more_truth, searches, configs, path, [0.5])
+    assert one.count() == 5 and runner.scores(spark, path).where("metric = 'es-fscore_0.5' AND signal_idx = 3").count() == 2
+    errors = {(r["algorithm"], r["signal_idx"]): r["error"] for r in reports.count_error(rows, ["algorithm"]).collect()}
+    assert len(errors) == 5 and errors["profile", 0] == rows.where("algorithm = 'profile' AND signal_idx = 0").first()["predicted_n_patterns"] - 1
+    empty = runner.run(s.limit(0), truth.limit(0), searches, configs, str(tmp_path / "none"))
+    assert empty.collect() == [] and runner.scores(spark, str(tmp_path / "none")).collect() == []
     guide = spark.createDataFrame([(10, 1.0), (10, 3.0), (20, 5.0)], "length int, time double")
     assert sorted(map(tuple, reports.quadratic_guide(guide, "length", "time").collect())) == [(10, 2.0), (20, 8.0)]
     assert [tuple(r) for r in reports.renamed(guide.selectExpr("'a' AS x", "time"), "x", {"a": "A"}, ["B", "A"]).limit(1).collect()] == [("A", 1.0, 2)]
 
 
+def test_values_of_parameters():
+    assert [runner.value_of(x) for x in ("12", "1.5", "null", "true", "[1, 2]", '"a"', "trend", None)] == [12, 1.5, None, True, [1, 2], "a", "trend", None]
+
+
+def test_sweeps_and_results(spark, tmp_path):
+    configs = spark.createDataFrame([("a", 0, {"m": "8", "k": "1"}), ("a", 1, {"m": "9"})], "algorithm string, config_idx int, params map<string,string>")
+    got = sorted((r["config_idx"], tuple(sorted(r["params"].items()))) for r in tables.swept(configs, "k", [1, 5, None]).collect())
+    assert got == [(i, (("k", k), ("m", m))) for i, (m, k) in enumerate((m, k) for m in "89" for k in ("1", "5", "null"))]
+    head = "," + ",".join(c.split()[0] for c in tables.SCORES.split(", "))
+    for name, score in (("ecg_A_0", 0.5), ("arm_A_0", 0.25), ("arm_A_1", 0.75)):
+        (tmp_path / f"{name}.csv").write_text(f"{head}\n0,es-fscore_0.5,{score},A,0,1.5,3,2,4\n")
+    got = tables.read_results(spark, str(tmp_path), "_A_0.csv")
+    assert sorted((r["source"], r["score"], r["signal_idx"]) for r in got.collect()) == [("arm", 0.25, 3), ("ecg", 0.5, 3)]
+    both = reports.together(one=got.select("score"), two=got.select("metric", "score"))
+    assert both.count() == 4 and both.where("source = 'one' AND metric IS NULL").count() == 2
+
+
+def test_rounds_give_the_rows_of_the_kernel(spark):
+    draw = np.random.default_rng(12)
+    s = series(spark, draw.normal(size=300).cumsum(), draw.normal(size=60), [1.0] * 30, draw.normal(size=9))
+    edges = graph.filtration(graph.knn_graph(s, 6, 3))
+    columns = ["series_id", "seed", "birth", "death", "u", "v", "w"]
+    rows = [sorted(map(str, f(edges).select(columns).collect())) for f in (graph.persistence, graph.persistence_by_rounds)]
+    assert rows[0] == rows[1] and len(rows[0]) > 300
+    # A path whose edges grow, and one that has the oldest nodes at its ends.
+    path = [(7, r, r, r + 1, float(r)) for r in range(40)] + [(8, r, r, r + 1, float(min(r, 39 - r))) for r in range(40)]
+    order = sorted(path, key=lambda e: (e[0], e[4], e[2]))
+    table = spark.createDataFrame([(s_, i, u, v, w) for i, (s_, _, u, v, w) in enumerate(order)], "series_id long, rank int, u long, v long, w double")
+    rows = [sorted((r["series_id"], r["birth"], r["death"], r["u"], r["v"]) if r["u"] is not None else (r["series_id"], r["birth"]) for r in f(table).collect()) for f in (graph.persistence, graph.persistence_by_rounds)]
+    assert rows[0] == rows[1]
+    assert graph.persistence_by_rounds(table.limit(0)).collect() == []
+
+
+def test_radius_neighbours_one_by_one(spark):
+    draw = np.random.default_rng(13)
+    n, m = 80, 4
+    dist, at = np.round(draw.random((n, n)), 2), np.arange(n)
+    dist[np.abs(at[:, None] - at) < m] = np.inf
+    for overshoot in (False, True):
+        got = profile.within(at, at, dist, 0.3, m, overshoot)
+        want = []
+        for i in range(n):
+            left, rank, last = np.isfinite(dist[i]), 0, dist[i].min()
+            while left.any() and last < 0.3:
+                j = int(np.where(left, dist[i], np.inf).argmin())
+                if not overshoot and dist[i, j] >= 0.3:
+                    break
+                last, rank = dist[i, j], rank + 1
+                want.append((i, rank, j))
+                left &= np.abs(at - j) >= m
+        assert list(zip(*(got[c].tolist() for c in ("i", "rank", "j")))) == want
+    s = series(spark, draw.normal(size=90).cumsum())
+    near = motifs.radius_neighbours(s, 6, 2.0, relative=True).collect()
+    least = {r["i"]: r["dist"] for r in near if r["rank"] == 1}
+    assert len(least) == 85 and all(r["dist"] < 2 * least[r["i"]] for r in near)
+
+
+def test_long_windows_cost_no_more_than_short_ones():
+    from recurva.functions.distance import DISTANCES, Crossing, block
+
+    draw = np.random.default_rng(14)
+    for name, d in DISTANCES.items():
+        xs = np.concatenate((draw.normal(size=700).cumsum() + 1e4, np.ones(60), 1e-3 * draw.normal(size=300), draw.normal(size=400)))
+        xs[1200:1300] = xs[100:200]
+        m = 20
+        windows = np.lib.stride_tricks.sliding_window_view(xs, m)
+        normal = d.np_normal(windows)
+        want = block(d, normal, normal, m)
+        want[np.isnan(want) | (np.abs(np.subtract.outer(np.arange(len(windows)), np.arange(len(windows)))) < m)] = np.inf
+        got = np.concatenate([dist for _, dist in Crossing(d, xs, m).rows(0, len(windows))])
+        both = np.isfinite(want)
+        assert (both == np.isfinite(got)).all() and np.abs(got - want)[both].max() < 2e-8 * max(1, want[both].max()), name
+
+
+def test_grammar_keeps_both_invariants():
+    import random
+    from collections import Counter
+
+    from recurva.operators.symbolic import Grammar
+
+    draw = random.Random(0)
+    for _ in range(300):
+        words = [draw.randrange(draw.choice((1, 2, 4))) for _ in range(draw.randrange(0, 60))]
+        grammar = Grammar(words)
+        rules, todo = [], [grammar.start]
+        while todo:
+            if (rule := todo.pop()) not in rules:
+                rules.append(rule)
+                todo += [x.rule for x in rule.symbols() if x.rule]
+        uses = Counter(x.rule for r in rules for x in r.symbols() if x.rule)
+        assert all(uses[r] >= 2 for r in rules[1:])
+        seen = {}
+        for r in rules:
+            own = [(x.value, x.rule) for x in r.symbols()]
+            for k, pair in enumerate(zip(own, own[1:])):
+                if pair in seen:  # only two that overlap
+                    assert seen[pair] == (r, k - 1) and pair[0] == pair[1]
+                seen.setdefault(pair, (r, k))
+
+        def said(rule):
+            return [w for x in rule.symbols() for w in (said(x.rule) if x.rule else [x.value])]
+
+        assert said(grammar.start) == words
+        assert all(words[a:b] == said(r) for r, places in grammar.spans().items() for a, b in places)
+
+
+def test_repeated_words_are_motifs(spark):
+    from recurva.operators import symbolic
+
+    shape = [np.sin(np.arange(24) / 3), np.sign(np.sin(np.arange(24) / 2)) * np.arange(24) / 10]
+    xs = np.concatenate([np.concatenate((shape[k], 0.3 * DRAW.normal(size=9).cumsum())) for k in (0, 1, 0, 0, 1, 1, 0, 1)])
+    for how in ("close", "equal", "none"):
+        rows = symbolic.grammar_motifs(series(spark, xs), 8, 4, 3, 2, how).collect()
+        assert rows and all(r["start"] < r["end"] <= len(xs) for r in rows)
+        for label in {r["label"] for r in rows}:
+            own = sorted((r["start"], r["end"]) for r in rows if r["label"] == label)
+            assert len(own) >= 2 and all(a[1] <= b[0] for a, b in zip(own, own[1:]))
+    with pytest.raises(ValueError):
+        symbolic.grammar_motifs(series(spark, xs), 8, 4, 3, 2, "other")
+
+
+def test_new_cuts_make_no_new_search(spark, tmp_path, monkeypatch):
+    s, _ = synth.planted(spark, 3, n_motifs=2, length=20, repeats=(3, 4), noise=0.02, gap=0.5, seed=3)
+    columns = ["series_id", "label", "start", "end", "birth"]
+    want = {n: sorted(map(str, motifs.persistent_motifs(s, 12, 3, n=n).select(columns).collect())) for n in (1, 2)}
+    assert sorted(map(str, motifs.persistent_motifs(s, 12, 3, n=1, path=str(tmp_path)).select(columns).collect())) == want[1]
+    monkeypatch.setattr(profile, "scan", None)  # no distance can be computed any more
+    assert sorted(map(str, motifs.persistent_motifs(s, 12, 3, n=2, path=str(tmp_path)).select(columns).collect())) == want[2]
+    pers = motifs.searched(s, 12, 3, path=str(tmp_path))
+    assert motifs.cut_motifs(pers, 12, cuts_at=(1.5, 0.2), beta=0.5, own_cuts=False).count() >= 0
+    with pytest.raises(TypeError):
+        motifs.searched(s, 13, 3, path=str(tmp_path)).count()
+
+
+def test_stretches_by_cells():
+    import random
+
+    draw = random.Random(6)
+    for _ in range(200):
+        stretches, owner = occurrences.Stretches(), {}
+        for _ in range(60):
+            a = draw.randrange(60)
+            b, own = a + draw.randint(1, 9), draw.randrange(3)
+            free = all(owner.get(c, own) == own for c in range(a, b))
+            assert stretches.claim(a, b, own) == free
+            if free:
+                owner.update(dict.fromkeys(range(a, b), own))
+        held = {c: o for s_, e, o in zip(stretches.starts, stretches.ends, stretches.owners) for c in range(s_, e)}
+        assert held == owner and stretches.starts == sorted(stretches.starts)
+        assert all(e < s_ or o != p for e, s_, o, p in zip(stretches.ends, stretches.starts[1:], stretches.owners, stretches.owners[1:]))
+
+
+def test_births_of_occurrences(spark):
+    prof = spark.createDataFrame([(0, i, float(d)) for i, d in enumerate(DRAW.random(60)) if i % 7], "series_id long, i long, dist double")
+    found = spark.createDataFrame([(0, 1, a, a + n) for a in range(0, 50, 3) for n in (2, 6, 17)], "series_id long, label long, start long, end long")
+    dist = {r["i"]: r["dist"] for r in prof.collect()}
+    for parity in (False, True):
+        for r in occurrences.with_births(found, prof, 6, parity).collect():
+            own = [dist[i] for i in range(r["start"], r["end"] - 6 + (3 if parity else 1)) if i in dist]
+            assert r["birth"] == (min(own) if own else None)
+
+
+def test_planes_below_both_cuts(spark):
+    births, lives = DRAW.random(120), np.concatenate((0.1 * DRAW.random(80), 1 + DRAW.random(20), 4 + DRAW.random(20)))
+    pers = spark.createDataFrame([(0, float(b), float(b + x)) for b, x in zip(births, lives)], "series_id long, birth double, death double")
+    once = cuts.plane_cuts(pers, 64).first()
+    below = pers.where(f"death - birth < {once['p_cut']} AND birth < {once['b_cut']}")
+    assert tuple(cuts.plane_cuts(pers, 64, "skewed").first()) == tuple(cuts.plane_cuts(below, 64).first() or once)
+    below = pers.where(f"death - birth < {once['p_cut']} AND death - birth < {once['b_cut']}")
+    assert tuple(cuts.plane_cuts(pers, 64, "published").first()) == tuple(cuts.plane_cuts(below, 64).first() or once)
+
+
 NODES = "series_id long, label long, node long, birth double"
 
 
