@@ -160,3 +160,38 @@ def test_very_large_components(spark):
     small = [(i, [float(x) for x in np.random.default_rng(i).normal(0, 1e6, 5)]) for i in range(50)]
     got = topk.impact_top_k(spark.createDataFrame(small, "vec_id long, embedding array<double>")).collect()
     assert sorted(map(tuple, got)) == brute.inner_top(small, 20, 20)
+
+
+def test_deduction_alone_finds_most_articles(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got, alone = ({r["page_id"]: r["text"] for r in html_text.extract(table, names).collect()} for names in (True, False))
+    assert sum(got[i] == alone[i] for i in got) >= 0.9 * len(got)
+
+
+def test_headings_and_sections_of_an_article_stay(spark):
+    own = [f"Story {i} tells of number {i * i} at some length and goes on for a while" for i in range(4)]
+    body = "<body><div class='ad'>buy {i} now</div><article><h2>Background</h2><p>{x}</p><section class='discussion'><p>talk {i}</p></section><section class='legal history'><p>law {i}</p></section><div class='related-work'><p>work {i}</p></div><div class='comments'><p>me too</p></div></article><div class='x9'>by {i}</div></body>"
+    want = [f"Background {x} talk {i} law {i} work {i}" for i, x in enumerate(own)]
+    assert texts(spark, [body.format(i=i, x=x) for i, x in enumerate(own)]) == want
+    assert texts(spark, [body.format(i=0, x=own[0])]) == want[:1]  # one page is enough for a tree
+
+
+def test_teasers_beside_a_story_are_left_out(spark):
+    story = " ".join(f"sentence {i} of the story" for i in range(30))
+    page_ = f"<body><div class='content'><h1>Title</h1><p>{story}</p></div><div class='x'><article><p>Read this too</p></article></div></body>"
+    assert texts(spark, [page_]) == [f"Title {story}"] and texts(spark, [page_] * 2) == [f"Title {story}"] * 2
+
+
+def test_trees_against_plain_sums():
+    """Slots of a page: blocks and text of everything below each, and the way down by hand."""
+    page_ = "<body><nav><a href=x>menu menu menu</a></nav><div class=a><div class=b><p>one two</p><p>three</p></div><div class=c><p>four</p></div></div><p>direct</p></body>"
+    own, tree = html_text._slots(page_)
+    by_size = {(n, size) for n, size, _, _ in tree.values()}
+    assert by_size == {(5, 22), (1, 0), (3, 16), (2, 12), (1, 4)} and sum(n for n, _ in own.values()) == 5
+    slots = {(n, size): s for s, (n, size, _, _) in tree.items()}
+    parents = {s: p for s, (_, _, p, _) in tree.items()}
+    assert parents[slots[2, 12]] == parents[slots[1, 4]] == slots[3, 16]
+    rows = [(s, p, n, size, said) for s, (n, size, p, said) in tree.items()]
+    # Down into a, then into b, with c, a third of it, as its neighbour.
+    assert html_text.article_slots(sorted(rows)) == [slots[2, 12], slots[1, 4]]
+    assert html_text.article_slots([(0, 0, 1, 9, 8), (1, 0, 1, 4, 0), (2, 0, 2, 5, 1)]) == [1] and html_text.article_slots([(0, 0, 1, 9, 8)]) == []
