@@ -379,7 +379,10 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 
 def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id. Sets link when 100 * shared >= percent * all; a component has the smallest
-    doc_id reachable by links."""
+    doc_id reachable by links. percent is above 50: then different sets that link share two shingles or more, as pair
+    keys need."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
     spark = docs.sparkSession
     texts = texts_of(docs)
     kinds = "doc_id long, sid long, second long, n int, bitmap array<long>, brief array<long>, chunk int, task int, counts binary"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from tests.llm import brute
 
 WORDS = [f"w{i}" for i in range(100)]
 
@@ -29,8 +30,6 @@ def test_stages_of_the_pipeline(spark, sf_dir):
     """Each stage on what the one before kept: which rows stay, and what becomes of them."""
     from collections import Counter
 
-    from tests.llm import brute
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["toxicity", "ngram_join", "secret_scan", "source_mix", "packing"]
@@ -53,3 +52,17 @@ def test_stages_of_the_pipeline(spark, sf_dir):
     assert mixed.columns == corpus_pipeline.COLUMNS and max(times.values()) <= 2
     pieces = corpus_pipeline.pack(spark, mixed, sf_dir)
     assert pieces.selectExpr("sum(length)").first()[0] == mixed.count() + sum(len(ids) - 1 for ids in brute.ids_of([r["text"] for r in mixed.collect()], corpus_pipeline._vocabulary()))
+
+
+def test_odd_rows_through_every_stage(spark, sf_dir):
+    """Null, empty and repeated rows, extra columns and empty tables: what each stage makes of them."""
+    rows = [(1, None, None, None, None, 5), (2, "", "en", "a", 0, 5), (3, "one two three", "en", None, 13, 5), (3, "one two three", "en", None, 13, 5), (None, "four five", "en", "a", 9, 5), (4, "secret=abcdefgh1 x", "en", "a", 18, 5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copies int").repartition(3)
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_similar, corpus_pipeline.mask_secrets, corpus_pipeline.mix_sources):
+        got = stage(spark, table, sf_dir)
+        assert got.columns == corpus_pipeline.COLUMNS and stage(spark, table.limit(0), sf_dir).collect() == []
+        kept = {(r["doc_id"], r["text"]) for r in got.collect()}
+        want = {(r[0], "[SECRET] x" if stage is corpus_pipeline.mask_secrets and r[0] == 4 else r[1]) for r in rows}
+        assert kept <= want if stage is corpus_pipeline.mix_sources else kept == want
+    assert corpus_pipeline.pack(spark, table.limit(0), sf_dir).collect() == []
+    assert corpus_pipeline.pack(spark, table, sf_dir).selectExpr("sum(length)").first()[0] == sum(len(i) for i in brute.ids_of([r[1] for r in rows], corpus_pipeline._vocabulary()))

@@ -173,6 +173,11 @@ def test_sets_without_ids_link_and_bridge(spark):
     assert sorted(r["component_id"] for r in got if r["component_id"] is not None) == [1, 1, 1, 7, 7, 7]
 
 
+def test_percent_that_keys_cannot_serve(odd):
+    with pytest.raises(ValueError):
+        ngram_join.similar_groups(odd, 3, 50)
+
+
 def test_ids_file(docs, spark):
     rows = sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     want, start = [], 0
