@@ -1,4 +1,7 @@
-"""A training-data pipeline over documents. Each stage is one operator; all but the last return documents."""
+"""A training-data pipeline over documents. Each stage is one operator; all but the last return documents.
+
+Every stage takes any documents: null or empty texts and null ids are kept unless a docstring says otherwise, extra columns
+are left behind, an empty table gives an empty one, and very long texts are read whole."""
 
 from __future__ import annotations
 
@@ -15,7 +18,7 @@ SIMILAR_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose severity grade is 0."""
+    """Documents whose severity grade is 0. Rows are judged one by one, equal ones alike; those without text stay."""
     docs = docs.select(COLUMNS)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.graded(docs, model).where("toxic = 0").select(COLUMNS)
@@ -37,7 +40,8 @@ def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark."""
+    """All documents, secrets in their texts replaced by a mark, overlapping ones by one; a null text stays null, repeated
+    rows stay, n_chars follows a changed text."""
     docs = docs.select(COLUMNS)
     _, found = secrets.findings(docs)
     sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
@@ -48,7 +52,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it, none if never; documents without words stay once."""
+    """Every document as many times as the mix takes it, none if never; documents without words stay once. Rows that agree
+    in id, size and source take their copies in the order of a hash of their texts; a null source is one of its own."""
     docs = docs.select(COLUMNS)
     same = ["doc_id", "size", "source"]
     copies = mixing.mix(docs).groupBy(*same).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
@@ -63,7 +68,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of full windows, with their ids."""
+    """The pieces of full windows, with their ids; a null text is empty, repeated rows are documents of their own."""
     return packing.pack(docs, _vocabulary())
 
 

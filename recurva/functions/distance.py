@@ -97,7 +97,7 @@ def _np_trend(w: np.ndarray) -> Parts:
     t = np.arange(w.shape[1]) - (w.shape[1] - 1) / 2
     mean = w.mean(axis=1)
     own = w - mean[:, None]
-    slope = own @ t / (t @ t)
+    slope = (own * t).sum(axis=1) / (t @ t)  # row by row, so that the bits do not depend on the other rows
     return Parts(mean, slope, _size(own - np.outer(slope, t)), np.ones(len(w)))
 
 

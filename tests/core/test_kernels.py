@@ -192,7 +192,11 @@ def test_cuts_of_births_and_persistence(spark):
     assert tuple(cuts.plane_cuts(pers, 32).first())[1:] == pytest.approx(at)
 
 
-def test_runs_are_scored_and_failures_kept(spark, tmp_path):
+def test_runs_are_scored_and_failures_kept(spark, tmp_path, monkeypatch):
+    def few(truth, found, series, thresholds):  # the whole battery is tested by itself
+        return metrics.sample_scores(truth, found).select("series_id", F.lit("es-fscore_0.5").alias("metric"), F.col("fscore").alias("score"))
+
+    monkeypatch.setattr(metrics, "battery", few)
     s, truth = synth.planted(spark, 3, n_motifs=1, length=16, repeats=(3, 3), noise=0.02, gap=0.5, seed=2)
     configs = spark.createDataFrame([("profile", 0, {"m": "12", "n": "7", "ratio": "1.2"}), ("profile", 1, {"q": "1"}), ("breaks", 0, {"m": "12"})], "algorithm string, config_idx int, params map<string,string>")
     asked = []
