@@ -158,7 +158,7 @@ def plane_cuts(pers: DataFrame, bins: int = BINS, kind: str | None = None) -> Da
         sums = [x.cumsum(axis=0).cumsum(axis=1) for x in (share, share * edges[0][1][:, None], share * edges[1][1])]
         under = sums[0] * (1 - sums[0])
         apart = sum((s - s[-1, -1] * sums[0]) ** 2 for s in sums[1:])
-        score = np.where(under > 1e-12, apart / np.where(under > 1e-12, under, 1), 0)
+        score = np.round(np.where(under > 1e-12, apart / np.where(under > 1e-12, under, 1), 0), 12)
         if not score.max() > 0:
             return [(float(edges[0][0]), float(edges[1][0]))]
         i, j = np.unravel_index(score.argmax(), score.shape)

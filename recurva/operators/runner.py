@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recurva.operators import metrics
-from recurva.plans.store import found_at
+from recurva.plans.store import found_at, stored
 from recurva.sources.tables import SCORES
 
 ITEMS = "algorithm string, config_idx int, signal_idx long, unit string, error string"
@@ -46,7 +46,7 @@ def run(series: DataFrame, truth: DataFrame, searches: dict[str, Callable[..., D
     spark = series.sparkSession
     ids = series.select("series_id").distinct()
     counts = truth.groupBy("series_id").agg(F.countDistinct("label").cast("int").alias("true_n"))
-    known = ids.join(counts, "series_id", "left").fillna(0, ["true_n"])
+    known = stored(ids.join(counts, "series_id", "left").fillna(0, ["true_n"]))
     grid = configs.orderBy("algorithm", "config_idx").collect()
 
     def work(c) -> None:
