@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recurva.functions.distance import DISTANCES, block, normalised
-from recurva.operators import cuts, graph, occurrences, profile
+from recurva.operators import cuts, graph, latent, occurrences, profile
 from recurva.plans.kernels import by_series
 from recurva.plans.store import found_at, stored
 
@@ -249,41 +249,20 @@ def seeded_motifs(series: DataFrame, lengths: list[int], n: int, ratio: float =
 def latent_motifs(series: DataFrame, m: int, n: int, radius: float, alpha: float = 1.0, rate: float = 0.1, rounds: int = 100, seed: int = 0, starts: int = 1) -> DataFrame:
     """n learned shapes, by ascent of soft frequency (the mean of exp(-alpha * d / radius) over windows, d squared
     distances of unit windows) minus a penalty for shapes nearer than 2 * radius, the best of so many starts; members
-    lie within radius. Starts are drawn by seed and series."""
-
-    def learned(x: np.ndarray, draw: np.random.Generator) -> tuple[float, np.ndarray]:
-        shapes = x[draw.choice(len(x), min(n, len(x)), replace=False)] + 0.01 * draw.standard_normal((min(n, len(x)), m))
-        squares, value = np.full_like(shapes, 1e-12), -np.inf
-        others = len(shapes) * (len(shapes) - 1)
-        for turn in range(rounds + 1):
-            pull = np.stack([np.exp(-alpha / radius * ((s - x) ** 2).sum(axis=1)) for s in shapes])
-            between = shapes[:, None, :] - shapes[None]
-            apart = (between**2).sum(axis=2)
-            push = np.where((apart < 2 * radius) & ~np.eye(len(shapes), dtype=bool), 1 - apart / (2 * radius), 0)
-            value = pull.mean() - (push**2).sum() / max(1, others)
-            if turn == rounds:
-                break
-            slope = -(2 * alpha / radius) * (pull.sum(axis=1)[:, None] * shapes - pull @ x) / (len(shapes) * len(x))
-            if others:
-                slope += (4 / (others * radius)) * (push[:, :, None] * between).sum(axis=1)
-            squares += slope**2
-            shapes = shapes + rate * slope / np.sqrt(squares)
-        return value, shapes
+    lie within radius. Starts are drawn by seed and series. latent.latent_by_rounds does the same by tiles of windows."""
+
+    def learned(series_id: int, x: np.ndarray, start: int) -> tuple[float, np.ndarray]:
+        places, extra = latent.first_shapes(series_id, start, len(x), n, m, seed)
+        shapes = x[places] + extra
+        squares = np.full_like(shapes, 1e-12)
+        for _ in range(rounds):
+            _, shapes, squares = latent.ascended(shapes, squares, *latent.pulls(x, shapes, alpha, radius), len(x), alpha, radius, rate)
+        return latent.ascended(shapes, squares, *latent.pulls(x, shapes, alpha, radius), len(x), alpha, radius, rate)[0], shapes
 
     def find(series_id: int, at: np.ndarray, x: np.ndarray) -> list[list[int]]:
-        tries = [learned(x, np.random.default_rng([seed, abs(series_id), k])) for k in range(starts)]
-        shapes = max(tries, key=lambda t: t[0])[1]
-        free, out = np.ones(len(at), bool), []
-        for shape in shapes:
-            dist, own = ((x - shape) ** 2).sum(axis=1), []
-            left = np.flatnonzero(free & (dist < radius))
-            while len(left):
-                p = int(left[dist[left].argmin()])
-                own.append(p)
-                left = left[np.abs(at[left] - at[p]) >= m]
-            for p in own:
-                free &= np.abs(at - at[p]) >= m
-            out.append(own)
-        return out
+        shapes = max((learned(series_id, x, k) for k in range(starts)), key=lambda t: t[0])[1]
+        dists = (((x - shape) ** 2).sum(axis=1) for shape in shapes)
+        place = {int(i): p for p, i in enumerate(at)}
+        return [[place[i] for i in own] for own in latent.claimed(((at[d < radius], d[d < radius]) for d in dists), m)]
 
     return _per_series(series, m, "unit", find)

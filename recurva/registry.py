@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recurva import sql
 from recurva.functions.distance import DISTANCES, normalised
-from recurva.operators import alignment, cuts, graph, metrics, motifs, occurrences, profile, reports, symbolic
+from recurva.operators import alignment, cuts, graph, latent, metrics, motifs, occurrences, profile, reports, symbolic
 from recurva.plans import series as S
 
 M, RADIUS, LENGTHS, THRESHOLDS = 8, 1.5, [6, 8, 10], [0.0, 0.25, 0.5, 0.75, 1.0]
@@ -127,6 +127,7 @@ on_events("multi_length_motifs", None, lambda s: motifs.multi_length_motifs(s, L
 on_events("pan_motifs", None, lambda s: motifs.seeded_motifs(s, LENGTHS, 3, 1.2))
 on_events("pair_motifs", None, lambda s: motifs.seeded_motifs(s, LENGTHS, 3, 1.2, paired=True))
 on_events("latent_motifs", None, lambda s: motifs.latent_motifs(s, M, 3, 0.5))
+on_events("latent_motifs_by_rounds", None, lambda s: latent.latent_by_rounds(s, M, 3, 0.5, rounds=5))
 on_events("grammar_motifs", None, lambda s: symbolic.grammar_motifs(s, M, 4, 3, 3))
 on_events("paa", sql.paa(), lambda s: symbolic.paa(s, M, 4).select("series_id", "i", *(F.col("means")[k].alias(f"p{k}") for k in range(4))))
 on_events("sax_words", sql.sax("words"), lambda s: symbolic.words(s, M, 4, 3))

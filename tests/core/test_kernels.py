@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recurva.operators import cuts, graph, metrics, motifs, occurrences, profile, reports, runner
+from recurva.operators import cuts, graph, latent, metrics, motifs, occurrences, profile, reports, runner
 from recurva.sources import synth, tables
 
 DRAW = np.random.default_rng(3)
@@ -483,3 +483,19 @@ def test_ranks_of_complete_groups(spark):
     got = {(r["better"], r["worse"]): (r["difference"], r["z"]) for r in reports.rank_differences(t, ["dataset"], "algorithm").collect()}
     assert got[("a", "c")] == pytest.approx((1.75, 1.75)) and len(got) == 3
     assert reports.friedman(t.limit(0), ["dataset"], "algorithm").isEmpty() and reports.rank_differences(t.limit(0), ["dataset"], "algorithm").isEmpty()
+
+
+def test_shapes_by_rounds_and_by_kernel(spark):
+    """Tiles shorter than a window, flat stretches, a flat series, two starts."""
+    wave = np.sin(np.arange(12) / 2)
+    xs = DRAW.normal(size=200)
+    for p in (10, 60, 120, 170):
+        xs[p : p + 12] = 5 * wave + DRAW.normal(size=12) / 10
+    xs[80:100] = 1.0
+    s = series(spark, xs, [2.0] * 40, DRAW.normal(size=12), DRAW.normal(size=5))
+    for starts, tile in ((1, 7), (2, 50)):
+        kernel = motifs.latent_motifs(s, 12, 2, 0.4, rounds=8, starts=starts)
+        rounds = latent.latent_by_rounds(s, 12, 2, 0.4, rounds=8, starts=starts, tile=tile)
+        want = sorted(map(tuple, kernel.collect()))
+        assert want and sorted(map(tuple, rounds.collect())) == want
+    assert latent.latent_by_rounds(s.where("idx < 0"), 12, 2, 0.4, rounds=1).count() == 0
