@@ -56,10 +56,8 @@ def label_overlaps(truth: DataFrame, found: DataFrame) -> DataFrame:
     return points(truth).join(p, ["series_id", "idx"]).groupBy("series_id", "label", "p_label").agg(F.count("*").alias("samples"))
 
 
-def assign(gain: np.ndarray) -> list[tuple[int, int]]:
-    """One-to-one pairs of rows and columns with the largest sum of gains, by shortest augmenting paths."""
-    flip = gain.shape[0] > gain.shape[1]
-    cost = -(gain.T if flip else gain)
+def _solved(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Column by column its row (-1: none), and dual values of rows and columns; no more rows than columns."""
     n, m = cost.shape
     u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
     for i in range(1, n + 1):
@@ -82,20 +80,70 @@ def assign(gain: np.ndarray) -> list[tuple[int, int]]:
         while j0:
             match[j0] = match[way[j0]]
             j0 = way[j0]
-    pairs = [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
+    return match[1:] - 1, u[1:], v[1:]
+
+
+def assign(gain: np.ndarray) -> list[tuple[int, int]]:
+    """One-to-one pairs of rows and columns with the largest sum of gains, by shortest augmenting paths."""
+    flip = gain.shape[0] > gain.shape[1]
+    match = _solved(-(gain.T if flip else gain))[0]
+    pairs = [(int(i), j) for j, i in enumerate(match) if i >= 0]
     return sorted((b, a) if flip else (a, b) for a, b in pairs)
 
 
+def assign_first(gain: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairings with the largest sum of whole gains the first one: row after row takes its first column of some
+    gain that still allows that sum, or none. Pairs with the largest sum are those that the dual values hold tight, so
+    a row moves to a column if those it drives out find others along tight pairs."""
+    n, size = len(gain), max(gain.shape)
+    full = np.zeros((size, size))
+    full[:n, : gain.shape[1]] = gain
+    match, u, v = _solved(-full)
+    row_of, col_of = match.copy(), np.argsort(match)
+    free = -full == u[:, None] + v[None]
+
+    def moved(i: int, j: int) -> bool:
+        """Row i takes column j; whoever held it finds a way to the column that i leaves."""
+        goal, start = col_of[i], row_of[j]
+        came: dict[int, int] = {int(start): -1}
+        queue = [int(start)]
+        for r in queue:
+            for c in np.flatnonzero(free[r]).tolist():
+                if c == goal:
+                    while r >= 0:  # back along the way, everyone moves up
+                        left = col_of[r]
+                        col_of[r], row_of[c], c, r = c, r, left, came[r]
+                    col_of[i], row_of[j] = j, i
+                    return True
+                other = int(row_of[c])
+                if c != j and other != i and other not in came:
+                    came[other] = r
+                    queue.append(other)
+        return False
+
+    for i in range(n):
+        some = np.flatnonzero(free[i] & (full[i] > 0))
+        for j in some.tolist():
+            if col_of[i] == j or moved(i, j):
+                free[i], free[:, j] = False, False
+                free[i, j] = True
+                break
+        else:
+            free[i, some] = False
+    return [(i, int(col_of[i])) for i in range(n) if full[i, col_of[i]] > 0]
+
+
 def matched_labels(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """(series_id, label, p_label): labels paired one to one for the largest number of shared samples. Kernel over the
-    label pairs of a series that share any."""
+    """(series_id, label, p_label): labels paired one to one for the largest number of shared samples; of equal numbers,
+    the smallest true label has the smallest partner it can (none comes last), then the next. Kernel over the label
+    pairs of a series that share any."""
 
     def run(_: int, part: dict[str, np.ndarray]) -> list[tuple]:
         rows, i = np.unique(part["label"], return_inverse=True)
         cols, j = np.unique(part["p_label"], return_inverse=True)
         gain = np.zeros((len(rows), len(cols)))
         gain[i, j] = part["samples"]
-        return [(int(rows[a]), int(cols[b])) for a, b in assign(gain) if gain[a, b] > 0]
+        return [(int(rows[a]), int(cols[b])) for a, b in assign_first(gain)]
 
     return by_series(label_overlaps(truth, found), ["label", "p_label"], run, "label long, p_label long")
 
@@ -165,21 +213,49 @@ def battery(truth: DataFrame, found: DataFrame, series: DataFrame, thresholds: l
     return out
 
 
+def apart(side: list[tuple]) -> bool:
+    """Whether sorted intervals share no sample."""
+    return all(x[1] <= y[0] for x, y in zip(side, side[1:]))
+
+
+def in_order(own: list[tuple]) -> list[tuple]:
+    """The overlaps (start, end, label, p_start, p_end, p_label, overlap) of the best pairing of intervals that are apart
+    on both sides, earlier ones taken where sums are equal."""
+    own = sorted(set(own), key=lambda x: max(x[0], x[3]))
+    same = [(x[:3] == y[:3], x[3:6] == y[3:6]) for x, y in zip(own, own[1:])] + [(False, False)]
+    best = [[0, 0, 0, 0]]  # of what follows, if its first true (2) or predicted (1) interval is taken
+    for x, (t, p) in zip(reversed(own), reversed(same), strict=True):
+        rest = [best[-1][2 * (t and a) + (p and b)] for a in (0, 1) for b in (0, 1)]
+        best.append([max(rest[0], x[6] + rest[3]), *rest[1:]])
+    out, taken_t, taken_p = [], False, False
+    for k, (x, (t, p)) in enumerate(zip(own, same, strict=True)):
+        after = best[len(own) - 1 - k]
+        if not taken_t and not taken_p and x[6] + after[2 * t + p] >= after[0]:
+            out.append(x)
+            taken_t = taken_p = True
+        taken_t, taken_p = t and taken_t, p and taken_p
+    return out
+
+
 def paired(met: DataFrame) -> DataFrame:
     """(series_id, label, start, end, p_start, p_end, overlap): of overlaps those that pair true and predicted
-    occurrences one to one for the largest sum."""
+    occurrences one to one for the largest sum. Where no occurrence overlaps another of its side, overlaps in time share
+    occurrences with their neighbours alone: two passes find the best sum, in which earlier overlaps are taken where
+    sums are equal. Elsewhere it is some best pairing."""
 
     def run(_: int, part: dict[str, np.ndarray]) -> list[tuple]:
         rows: list[tuple] = []
         every = list(zip(*(part[c].tolist() for c in ("start", "end", "label", "p_start", "p_end", "p_label", "overlap")), strict=True))
         for own in chains(every):
-            ts, ps = list(dict.fromkeys(x[:3] for x in own)), list(dict.fromkeys(x[3:6] for x in own))
+            ts, ps = sorted({x[:3] for x in own}), sorted({x[3:6] for x in own})
+            if apart(ts) and apart(ps):
+                rows += [(x[2], *x[:2], *x[3:5], x[6]) for x in in_order(own)]
+                continue
             t, p = ({k: i for i, k in enumerate(side)} for side in (ts, ps))
             gain = np.zeros((len(ts), len(ps)))
             for x in own:
                 gain[t[x[:3]], p[x[3:6]]] = x[6]
-            paired = [(0, int(gain[0].argmax()))] if len(ts) == 1 else [(int(gain[:, 0].argmax()), 0)] if len(ps) == 1 else assign(gain)
-            rows += [(ts[i][2], *ts[i][:2], *ps[j][:2], int(gain[i, j])) for i, j in paired if gain[i, j] > 0]
+            rows += [(ts[i][2], *ts[i][:2], *ps[j][:2], int(gain[i, j])) for i, j in assign(gain) if gain[i, j] > 0]
         return rows
 
     def chains(every: list[tuple]) -> Iterator[list[tuple]]:

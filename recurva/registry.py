@@ -137,15 +137,15 @@ on_events("sample_prf", sql.sample_prf(), lambda s: metrics.sample_scores(_truth
 on_events("event_overlap_matrix", sql.overlaps(), lambda s: metrics.overlaps(_truth(s), _found(s)))
 on_events("label_overlaps", sql.label_overlaps(), lambda s: metrics.label_overlaps(_truth(s), _found(s)))
 on_events("contingency", sql.contingency(), lambda s: metrics.contingency(_truth(s), _found(s), s))
-on_events("matched_labels", None, lambda s: metrics.matched_labels(_truth(s), _found(s)))
+on_events("matched_labels", sql.matched_labels(), lambda s: metrics.matched_labels(_truth(s), _found(s)))
 on_events("matched_samples", sql.matched_samples(), lambda s: metrics.matched_samples(_truth(s), _found(s)))
 on_events("united_occurrences", sql.united(), lambda s: metrics.united(_truth(s)))
-on_events("label_scores", None, lambda s: metrics.label_scores(_truth(s), _found(s)))
-on_events("label_scores_weighted", None, lambda s: metrics.label_scores(_truth(s), _found(s), weighted=True))
-on_events("label_event_scores", None, lambda s: metrics.label_event_scores(_truth(s), _found(s), THRESHOLDS))
-on_events("metric_battery", None, lambda s: metrics.battery(_truth(s), _found(s), s, THRESHOLDS))
-on_events("event_prf_thresholds", None, lambda s: metrics.event_scores(_truth(s), _found(s), THRESHOLDS))
-on_events("auc_over_thresholds", None, lambda s: metrics.threshold_mean(metrics.event_scores(_truth(s), _found(s), [k / 100 for k in range(101)])))
+on_events("label_scores", sql.label_scores(), lambda s: metrics.label_scores(_truth(s), _found(s)))
+on_events("label_scores_weighted", sql.label_scores(weighted=True), lambda s: metrics.label_scores(_truth(s), _found(s), weighted=True))
+on_events("label_event_scores", sql.label_event_scores(THRESHOLDS), lambda s: metrics.label_event_scores(_truth(s), _found(s), THRESHOLDS))
+on_events("metric_battery", sql.battery(THRESHOLDS), lambda s: metrics.battery(_truth(s), _found(s), s, THRESHOLDS))
+on_events("event_prf_thresholds", sql.event_scores(THRESHOLDS), lambda s: metrics.event_scores(_truth(s), _found(s), THRESHOLDS))
+on_events("auc_over_thresholds", sql.threshold_mean(sql.event_scores([k / 100 for k in range(101)]).replace(", 6) AS", ", 15) AS")), lambda s: metrics.threshold_mean(metrics.event_scores(_truth(s), _found(s), [k / 100 for k in range(101)])))
 on_events("adjusted_information", sql.adjusted_information(), lambda s: metrics.adjusted_information(metrics.contingency(_truth(s), _found(s), s)))
 
 

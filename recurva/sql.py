@@ -336,9 +336,9 @@ s AS (SELECT series_id, CASE WHEN np > 0 THEN hit / np ELSE 0 END AS pr, CASE WH
 SELECT series_id, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS fscore FROM s"""
 
 
-def overlaps() -> str:
+def overlaps(truth: str = TRUTH, found: str = FOUND) -> str:
     return f"""SELECT t.series_id, t.label, t.start, t."end", p.label AS p_label, p.start AS p_start, p."end" AS p_end, least(t."end", p."end") - greatest(t.start, p.start) AS overlap
-FROM ({TRUTH}) t JOIN ({FOUND}) p ON t.series_id = p.series_id AND t.start < p."end" AND p.start < t."end\""""
+FROM ({truth}) t JOIN ({found}) p ON t.series_id = p.series_id AND t.start < p."end" AND p.start < t."end\""""
 
 
 def label_overlaps() -> str:
@@ -395,6 +395,82 @@ def matched_samples() -> str:
 SELECT a.series_id, CAST(max(a.samples + b.samples) AS BIGINT) AS samples FROM g a JOIN g b ON a.series_id = b.series_id AND a.p_label = 0 AND b.p_label = 1 AND a.label <> b.label GROUP BY 1"""
 
 
+def matched_labels() -> str:
+    """The best of the same pairings; of equal ones the first by the partners of labels 0, 1, 2, none last."""
+    code = " + ".join(f"{3 ** (2 - k)} * CASE {k} WHEN a.label THEN 0 WHEN b.label THEN 1 ELSE 2 END" for k in range(3))
+    return f"""WITH o AS ({label_overlaps()}), g AS (SELECT series_id, label, p_label, samples FROM o UNION ALL SELECT DISTINCT series_id, -1, 0, 0 FROM o UNION ALL SELECT DISTINCT series_id, -2, 1, 0 FROM o),
+c AS (SELECT a.series_id, a.label AS x, b.label AS y, row_number() OVER (PARTITION BY a.series_id ORDER BY a.samples + b.samples DESC, {code}) AS r FROM g a JOIN g b ON a.series_id = b.series_id AND a.p_label = 0 AND b.p_label = 1 AND a.label <> b.label)
+SELECT series_id, x AS label, CAST(0 AS BIGINT) AS p_label FROM c WHERE r = 1 AND x >= 0 UNION ALL SELECT series_id, y, 1 FROM c WHERE r = 1 AND y >= 0"""
+
+
+def _f1(table: str, by: str) -> str:
+    return f"SELECT {by}, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS fscore FROM ({table})"
+
+
+def _weights(weighted: bool) -> str:
+    return "size / sum(size) OVER (PARTITION BY series_id)" if weighted else "1 / count(*) OVER (PARTITION BY series_id)"
+
+
+def _weighted(scored: str, by: str) -> str:
+    return f"SELECT {by}, {', '.join(f'round(sum({c} * weight), 6) AS {c}' for c in ('precision', 'recall', 'fscore'))} FROM ({_f1(scored, f'{by}, weight')}) GROUP BY {by}"
+
+
+def label_scores(weighted: bool = False) -> str:
+    both = f"SELECT series_id, label, samples, p_size FROM ({label_overlaps()}) JOIN ({matched_labels()}) USING (series_id, label, p_label) JOIN (SELECT series_id, label AS p_label, count(*) AS p_size FROM ({_points(FOUND)}) GROUP BY ALL) USING (series_id, p_label)"
+    sizes = f"SELECT series_id, label, size, {_weights(weighted)} AS weight FROM (SELECT series_id, label, count(*) AS size FROM ({_points(TRUTH)}) GROUP BY ALL)"
+    return _weighted(f"SELECT series_id, weight, coalesce(samples / p_size, 0) AS precision, coalesce(samples / size, 0) AS recall FROM ({sizes}) LEFT JOIN ({both}) USING (series_id, label)", "series_id")
+
+
+def _paired(met: str) -> str:
+    """Overlaps in time: best sums of what follows by whether its true or predicted occurrence is taken, from the last one
+    back, then from the first one on, each if it is free and taking it costs nothing."""
+    return f"""WITH RECURSIVE m AS ({met}),
+k AS (SELECT *, row_number() OVER o AS k, count(*) OVER (PARTITION BY series_id) AS n, coalesce(CAST(lead(start) OVER o = start AS INTEGER), 0) AS t, coalesce(CAST(lead(p_start) OVER o = p_start AS INTEGER), 0) AS p FROM m WINDOW o AS (PARTITION BY series_id ORDER BY greatest(start, p_start))),
+back(series_id, k, v, takes) AS (SELECT DISTINCT series_id, n + 1, [CAST(0 AS BIGINT), 0, 0, 0], false FROM k UNION ALL
+SELECT k.series_id, k.k, [greatest(v[1], k.overlap + v[1 + 2 * k.t + k.p]), v[1 + k.p], v[1 + 2 * k.t], v[1 + 2 * k.t + k.p]], k.overlap + v[1 + 2 * k.t + k.p] >= v[1] FROM back b JOIN k ON k.series_id = b.series_id AND k.k = b.k - 1),
+d AS (SELECT k.*, takes FROM k JOIN back USING (series_id, k)),
+onward(series_id, k, a, b, took) AS (SELECT series_id, 1, CAST(takes AND t = 1 AS INTEGER), CAST(takes AND p = 1 AS INTEGER), takes FROM d WHERE k = 1 UNION ALL
+SELECT d.series_id, d.k, CAST(d.t = 1 AND (a = 1 OR a + b = 0 AND takes) AS INTEGER), CAST(d.p = 1 AND (b = 1 OR a + b = 0 AND takes) AS INTEGER), a + b = 0 AND takes FROM onward o JOIN d ON d.series_id = o.series_id AND d.k = o.k + 1)
+SELECT series_id, label, start, "end", p_start, p_end, overlap FROM d JOIN onward USING (series_id, k) WHERE took"""
+
+
+def _right(pairs: str, sizes: str, thresholds: list[float], by: str, keep: str) -> str:
+    """Shares of predicted and true occurrences that are paired and overlap by a threshold at least."""
+    levels = ", ".join(f"CAST({t} AS DOUBLE)" for t in thresholds)
+    right = f"SELECT {by}, threshold, count(*) FILTER (overlap / (p_end - p_start) >= threshold) AS right_p, count(*) FILTER (overlap / (\"end\" - start) >= threshold) AS right_t FROM ({pairs}), (SELECT unnest([{levels}]) AS threshold) GROUP BY ALL"
+    return f"SELECT {keep}, threshold, CASE WHEN n_p > 0 THEN coalesce(right_p, 0) / n_p ELSE 0 END AS precision, CASE WHEN n_t > 0 THEN coalesce(right_t, 0) / n_t ELSE 0 END AS recall FROM (SELECT *, unnest([{levels}]) AS threshold FROM ({sizes})) LEFT JOIN ({right}) USING ({by}, threshold)"
+
+
+def event_scores(thresholds: list[float], one: bool = False) -> str:
+    truth, found = (f"SELECT series_id, CAST(0 AS BIGINT) AS label, start, \"end\" FROM ({_islands(f'SELECT DISTINCT series_id, 0 AS label, idx FROM ({_points(t)})')})" if one else t for t in (TRUTH, FOUND))
+    sizes = f"SELECT series_id, n_t, n_p FROM (SELECT series_id, count(*) AS n_t FROM ({truth}) GROUP BY 1) FULL JOIN (SELECT series_id, count(*) AS n_p FROM ({found}) GROUP BY 1) USING (series_id)"
+    scored = _f1(_right(_paired(overlaps(truth, found)), sizes, thresholds, "series_id", "series_id"), "series_id, threshold")
+    return f"SELECT series_id, threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(fscore, 6) AS fscore FROM ({scored})"
+
+
+def label_event_scores(thresholds: list[float], weighted: bool = False) -> str:
+    named = f"SELECT f.series_id, l.label, f.start, f.\"end\" FROM ({FOUND}) f JOIN ({matched_labels()}) l ON l.series_id = f.series_id AND l.p_label = f.label"
+    pairs = _paired(f"SELECT * FROM ({overlaps(TRUTH, named)}) WHERE label = p_label")
+    sizes = f"SELECT *, size AS n_t, {_weights(weighted)} AS weight FROM (SELECT series_id, label, count(*) AS size FROM ({TRUTH}) GROUP BY ALL) LEFT JOIN (SELECT series_id, label, count(*) AS n_p FROM ({named}) GROUP BY ALL) USING (series_id, label)"
+    return _weighted(_right(pairs, sizes, thresholds, "series_id, label", "series_id, weight"), "series_id, threshold")
+
+
+def threshold_mean(scores: str) -> str:
+    return f"SELECT series_id, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ('precision', 'recall', 'fscore'))} FROM ({scores}) GROUP BY 1"
+
+
+def battery(thresholds: list[float]) -> str:
+    kinds = ("precision", "recall", "fscore")
+    parts = [f"SELECT series_id, 'amis' AS metric, ami AS score FROM ({adjusted_information()})"]
+    for prefix, scores in (("sss", sample_prf()), ("ss", label_scores()), ("w-ss", label_scores(True))):
+        parts += [f"SELECT series_id, '{prefix}-{c}', {c} FROM ({scores})" for c in kinds]
+    for prefix, scores in (("ses", event_scores(thresholds, one=True)), ("es", label_event_scores(thresholds)), ("w-es", label_event_scores(thresholds, True))):
+        scores = scores.replace(", 6) AS", ", 15) AS")  # means are rounded once
+        parts += [f"SELECT series_id, '{prefix}-{c}_' || CAST(threshold AS VARCHAR), round({c}, 6) FROM ({scores})" for c in kinds]
+        parts += [f"SELECT series_id, '{prefix}-auc-{c}', {c} FROM ({threshold_mean(scores)})" for c in kinds]
+    return " UNION ALL ".join(parts)
+
+
 def united() -> str:
     return f"SELECT series_id, CAST(0 AS BIGINT) AS label, start, \"end\" FROM ({_islands(f'SELECT DISTINCT series_id, 0 AS label, idx FROM ({_points(TRUTH)})')})"
 

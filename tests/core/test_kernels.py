@@ -499,3 +499,31 @@ def test_shapes_by_rounds_and_by_kernel(spark):
         want = sorted(map(tuple, kernel.collect()))
         assert want and sorted(map(tuple, rounds.collect())) == want
     assert latent.latent_by_rounds(s.where("idx < 0"), 12, 2, 0.4, rounds=1).count() == 0
+
+
+def test_first_of_equal_pairings():
+    for _ in range(300):
+        n, m = DRAW.integers(1, 5, 2)
+        gain = DRAW.integers(0, 4, (n, m)).astype(float)
+        every = [[j if j is not None and gain[i, j] > 0 else None for i, j in enumerate(c)] for c in itertools.product([*range(m), None], repeat=n) if len(x := [j for j in c if j is not None]) == len(set(x))]
+        most = max(sum(gain[i, j] for i, j in enumerate(c) if j is not None) for c in every)
+        best = [c for c in every if sum(gain[i, j] for i, j in enumerate(c) if j is not None) == most]
+        want = min(best, key=lambda c: [m if j is None else j for j in c])
+        assert metrics.assign_first(gain) == [(i, j) for i, j in enumerate(want) if j is not None]
+
+
+def test_overlaps_paired_in_order():
+    for _ in range(300):
+        sides = []
+        for _ in "tp":
+            cuts_at = sorted(DRAW.choice(25, 2 * int(DRAW.integers(1, 5)), replace=False).tolist())
+            sides.append([(a, b, 0) for a, b in zip(cuts_at[::2], cuts_at[1::2])])
+        met = [(*t, *p, min(t[1], p[1]) - max(t[0], p[0])) for t in sides[0] for p in sides[1] if t[0] < p[1] and p[0] < t[1]]
+        met.sort(key=lambda x: max(x[0], x[3]))
+        best = max(
+            (sum(x[6] for x in own), [x in own for x in met])
+            for r in range(len(met) + 1)
+            for own in itertools.combinations(met, r)
+            if len({x[:3] for x in own}) == len({x[3:6] for x in own}) == r
+        )
+        assert [x in metrics.in_order(met) for x in met] == best[1]
