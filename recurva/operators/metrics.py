@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recurva.operators.occurrences import islands, points
 from recurva.plans.kernels import by_series
+from recurva.plans.store import stored
 
 
 def _ratio(a: str, b: str):
@@ -171,20 +172,22 @@ def _weighted_sums(scored: DataFrame, by: list[str]) -> DataFrame:
     return scored.groupBy(*by).agg(*sums)
 
 
-def label_scores(truth: DataFrame, found: DataFrame, weighted: bool = False) -> DataFrame:
+def label_scores(truth: DataFrame, found: DataFrame, weighted: bool = False, matched: DataFrame | None = None) -> DataFrame:
     """(series_id, precision, recall, fscore) on samples label by label, paired one to one; means over the true labels,
-    or weighted by their samples. Series without true labels have no row."""
+    or weighted by their samples. Series without true labels have no row. matched: matched_labels, if already made."""
+    matched = matched_labels(truth, found) if matched is None else matched
     sizes = points(truth).groupBy("series_id", "label").agg(F.count("*").alias("size"))
     p_sizes = points(found).groupBy("series_id", F.col("label").alias("p_label")).agg(F.count("*").alias("p_size"))
-    both = label_overlaps(truth, found).join(matched_labels(truth, found), ["series_id", "label", "p_label"]).join(p_sizes, ["series_id", "p_label"])
+    both = label_overlaps(truth, found).join(matched, ["series_id", "label", "p_label"]).join(p_sizes, ["series_id", "p_label"])
     full = _weights(sizes, weighted).join(both.select("series_id", "label", "samples", "p_size"), ["series_id", "label"], "left")
     return _weighted_sums(_f1(full.withColumns({"precision": _ratio("samples", "p_size"), "recall": _ratio("samples", "size")}).fillna(0.0, ["precision", "recall"])), ["series_id"])
 
 
-def label_event_scores(truth: DataFrame, found: DataFrame, thresholds: list[float], weighted: bool = False) -> DataFrame:
+def label_event_scores(truth: DataFrame, found: DataFrame, thresholds: list[float], weighted: bool = False, matched: DataFrame | None = None) -> DataFrame:
     """(series_id, threshold, precision, recall, fscore) on occurrences label by label, labels paired by samples; means
-    over the true labels, or weighted by their numbers of occurrences."""
-    named = found.select("series_id", F.col("label").alias("p_label"), "start", "end").join(matched_labels(truth, found), ["series_id", "p_label"]).select("series_id", "label", "start", "end")
+    over the true labels, or weighted by their numbers of occurrences. matched: matched_labels, if already made."""
+    matched = matched_labels(truth, found) if matched is None else matched
+    named = found.select("series_id", F.col("label").alias("p_label"), "start", "end").join(matched, ["series_id", "p_label"]).select("series_id", "label", "start", "end")
     pairs = paired(overlaps(truth, named).where("label = p_label"))
     sizes = _weights(truth.groupBy("series_id", "label").agg(F.count("*").alias("size")), weighted)
     every = sizes.join(named.groupBy("series_id", "label").agg(F.count("*").alias("n_p")), ["series_id", "label"], "left").withColumnRenamed("size", "n_t")
@@ -195,7 +198,8 @@ def battery(truth: DataFrame, found: DataFrame, series: DataFrame, thresholds: l
     """(series_id, metric, score): samples (united, by label, by label weighted), occurrences likewise at every
     threshold and their means over thresholds, and adjusted information."""
     thresholds = [k / 100 for k in range(101)] if thresholds is None else thresholds
-    one = [united(t) for t in (truth, found)]
+    truth, found = stored(truth), stored(found)
+    matched, one = stored(matched_labels(truth, found)), [stored(united(t)) for t in (truth, found)]
     out = adjusted_information(contingency(truth, found, series)).select("series_id", F.lit("amis").alias("metric"), F.col("ami").alias("score"))
     kinds = ("precision", "recall", "fscore")
 
@@ -203,9 +207,10 @@ def battery(truth: DataFrame, found: DataFrame, series: DataFrame, thresholds: l
         each = F.explode(F.array(*(F.struct(F.concat(F.lit(f"{prefix}-{c}"), suffix).alias("metric"), F.col(c).alias("score")) for c in kinds))).alias("x")
         return table.select("series_id", each).select("series_id", "x.metric", "x.score")
 
-    for prefix, table in (("sss", sample_scores(truth, found)), ("ss", label_scores(truth, found)), ("w-ss", label_scores(truth, found, True))):
+    for prefix, table in (("sss", sample_scores(truth, found)), ("ss", label_scores(truth, found, False, matched)), ("w-ss", label_scores(truth, found, True, matched))):
         out = out.union(tall(table, prefix, F.lit("")))
-    for prefix, table in (("ses", event_scores(*one, thresholds)), ("es", label_event_scores(truth, found, thresholds)), ("w-es", label_event_scores(truth, found, thresholds, True))):
+    for prefix, table in (("ses", event_scores(*one, thresholds)), ("es", label_event_scores(truth, found, thresholds, False, matched)), ("w-es", label_event_scores(truth, found, thresholds, True, matched))):
+        table = stored(table)  # it serves twice
         out = out.union(tall(table, prefix, F.concat(F.lit("_"), F.round("threshold", 2).cast("string"))))
         means = threshold_mean(table)
         each = F.explode(F.array(*(F.struct(F.lit(f"{prefix}-auc-{c}").alias("metric"), F.col(c).alias("score")) for c in kinds))).alias("x")
