@@ -121,9 +121,9 @@ on_events("motif_occurrences", None, lambda s: motifs.persistent_motifs(s, M))
 on_events("motif_occurrences_fixed", None, lambda s: motifs.persistent_motifs(s, M, n=3))
 on_events("extended_runs", sql.extended_runs(), lambda s: occurrences.extended(_grouped(s), M, 1))
 on_events("radius_rank", sql.radius_rank(), lambda s: motifs.radius_counts(s, M, RADIUS))
-on_events("radius_motifs", None, lambda s: motifs.radius_motifs(s, M, RADIUS, 3))
-on_events("mp_motifs", None, lambda s: motifs.profile_motifs(s, M, 3, 1.2))
-on_events("multi_length_motifs", None, lambda s: motifs.multi_length_motifs(s, LENGTHS, 3, 1.2))
+on_events("radius_motifs", sql.radius_motifs(), lambda s: motifs.radius_motifs(s, M, RADIUS, 3))
+on_events("mp_motifs", sql.profile_motifs(), lambda s: motifs.profile_motifs(s, M, 3, 1.2))
+on_events("multi_length_motifs", sql.multi_length_motifs(LENGTHS), lambda s: motifs.multi_length_motifs(s, LENGTHS, 3, 1.2))
 on_events("pan_motifs", None, lambda s: motifs.seeded_motifs(s, LENGTHS, 3, 1.2))
 on_events("pair_motifs", None, lambda s: motifs.seeded_motifs(s, LENGTHS, 3, 1.2, paired=True))
 on_events("latent_motifs", None, lambda s: motifs.latent_motifs(s, M, 3, 0.5))

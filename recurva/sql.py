@@ -309,6 +309,52 @@ def radius_rank() -> str:
 FROM (SELECT series_id, i, count(*) AS neighbours, round(stddev_pop(dist), 6) AS spread FROM ({_both("znorm", digits=15)}) WHERE round(dist, 6) < 1.5 GROUP BY ALL)"""
 
 
+def _apart(near: str, m: int) -> str:
+    """Of a list of (d, j), nearest first, the j of those that overlap none picked before."""
+    return f"list_reduce(list_transform({near}, lambda x: [x.j]), lambda own, x: CASE WHEN list_bool_and(list_transform(own, lambda y: abs(y - x[1]) >= {m})) THEN list_concat(own, x) ELSE own END)"
+
+
+def radius_motifs(m: int = 8, radius: float = 1.5, n: int = 3) -> str:
+    """Windows by rank; each motif's centre is the first whose distances to all centres before are above 2 * radius."""
+    x = "list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    picks = ["c0 AS (SELECT series_id, i FROM r WHERE r = 1)"]
+    for k in range(1, n):
+        far = " AND ".join(f"EXISTS (SELECT 1 FROM far JOIN c{j} ON c{j}.series_id = far.series_id AND c{j}.i = far.i WHERE far.series_id = r.series_id AND far.j = r.i)" for j in range(k))
+        picks.append(f"c{k} AS (SELECT series_id, arg_min(i, r) AS i FROM r WHERE {far} GROUP BY 1)")
+    centres = " UNION ALL ".join(f"SELECT series_id, CAST({k} AS BIGINT) AS label, i FROM c{k}" for k in range(n))
+    return f"""WITH b AS ({_both("znorm", m, digits=9)}), l AS (SELECT series_id, i, list({{'d': dist, 'j': j}} ORDER BY dist, j) AS near FROM b WHERE dist < {radius} GROUP BY ALL),
+k AS (SELECT series_id, i, unnest({_apart("near", m)}) AS j FROM l), g AS (SELECT series_id, i, count(*) AS n, round(stddev_pop(dist), 9) AS spread FROM k JOIN b USING (series_id, i, j) GROUP BY ALL),
+r AS (SELECT series_id, i, row_number() OVER (PARTITION BY series_id ORDER BY n DESC, spread, i) AS r FROM g), x AS ({_normalised("znorm", m, EVENTS)}),
+far AS (SELECT a.series_id, a.i, b.i AS j FROM x a JOIN x b ON a.series_id = b.series_id WHERE round(sqrt({x} * {m}), 9) > {2 * radius}),
+{', '.join(picks)}, c AS ({centres})
+SELECT series_id, label, start, start + {m} AS "end" FROM (SELECT series_id, label, j AS start FROM c JOIN k USING (series_id, i) UNION ALL SELECT series_id, label, i FROM c)"""
+
+
+def profile_motifs(m: int = 8, n: int = 3, ratio: float = 1.2) -> str:
+    """A step a seed: the free window nearest to another takes the free ones within ratio times its nearest free one; a
+    seed without a free one is dropped."""
+    reach = f"greatest({ratio} * open[1].d, nextafter(open[1].d, 'infinity'::DOUBLE))"
+    return f"""WITH RECURSIVE b AS ({_both("znorm", m, digits=9)}), w AS (SELECT series_id, i, min(dist) AS least, list({{'d': dist, 'j': j}} ORDER BY dist, j) AS every FROM b GROUP BY ALL),
+go(series_id, label, free, own) AS (SELECT series_id, CAST(0 AS BIGINT), list(i), CAST([] AS BIGINT[]) FROM w GROUP BY 1 UNION ALL
+SELECT series_id, label + CAST(len(own) > 0 AS BIGINT), list_filter(free, lambda f: f <> seed AND coalesce(list_bool_and(list_transform(own, lambda y: abs(y - f) >= {m})), true)), own FROM (
+SELECT series_id, label, free, seed, CASE WHEN len(open) > 0 THEN list_prepend(seed, {_apart(f"list_filter(open, lambda x: x.d < {reach})", m)}) ELSE [] END AS own FROM (
+SELECT g.series_id, g.label, g.free, w.i AS seed, list_filter(w.every, lambda x: list_contains(g.free, x.j)) AS open FROM go g JOIN w ON w.series_id = g.series_id AND list_contains(g.free, w.i) WHERE g.label < {n}
+QUALIFY row_number() OVER (PARTITION BY g.series_id ORDER BY w.least, w.i) = 1)))
+SELECT series_id, label - 1 AS label, start, start + {m} AS "end" FROM (SELECT series_id, label, unnest(own) AS start FROM go)"""
+
+
+def multi_length_motifs(lengths: list[int], n: int = 3, ratio: float = 1.2) -> str:
+    """The motifs of all lengths in order of their least cost, each kept if it shares no sample with those kept."""
+    every = " UNION ALL ".join(
+        f"SELECT series_id, {m} AS m, f.label, f.start, f.\"end\", p.dist / sqrt({m}) AS cost FROM ({profile_motifs(m, n, ratio)}) f JOIN (SELECT series_id, i AS start, dist FROM ({profile('znorm', m)})) p USING (series_id, start)"
+        for m in lengths
+    )
+    return f"""WITH RECURSIVE f AS ({every}), q AS (SELECT series_id, m, label, row_number() OVER (PARTITION BY series_id ORDER BY min(cost), m DESC, label) AS r, list({{'start': start, 'end': "end"}}) AS own, flatten(list(range(start, "end"))) AS cells FROM f GROUP BY series_id, m, label),
+go(series_id, r, taken, kept, own) AS (SELECT DISTINCT series_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS BIGINT), CAST([] AS STRUCT("start" BIGINT, "end" BIGINT)[]) FROM q UNION ALL
+SELECT g.series_id, q.r, CASE WHEN ok THEN list_concat(taken, cells) ELSE taken END, kept + CAST(ok AS BIGINT), CASE WHEN ok THEN q.own ELSE [] END FROM go g JOIN q ON q.series_id = g.series_id AND q.r = g.r + 1, LATERAL (SELECT kept < {n} AND NOT list_has_any(taken, q.cells) AS ok))
+SELECT series_id, kept - 1 AS label, x.start AS start, x."end" AS "end" FROM (SELECT series_id, kept, unnest(own) AS x FROM go)"""
+
+
 def paa() -> str:
     parts = ", ".join(f"round((x[{2 * k + 1}] + x[{2 * k + 2}]) / 2 * {8**0.5}, 6) AS p{k}" for k in range(4))
     return f"SELECT series_id, i, {parts} FROM ({_normalised('unit', 8, EVENTS)})"
