@@ -124,8 +124,8 @@ on_events("radius_rank", sql.radius_rank(), lambda s: motifs.radius_counts(s, M,
 on_events("radius_motifs", sql.radius_motifs(), lambda s: motifs.radius_motifs(s, M, RADIUS, 3))
 on_events("mp_motifs", sql.profile_motifs(), lambda s: motifs.profile_motifs(s, M, 3, 1.2))
 on_events("multi_length_motifs", sql.multi_length_motifs(LENGTHS), lambda s: motifs.multi_length_motifs(s, LENGTHS, 3, 1.2))
-on_events("pan_motifs", None, lambda s: motifs.seeded_motifs(s, LENGTHS, 3, 1.2))
-on_events("pair_motifs", None, lambda s: motifs.seeded_motifs(s, LENGTHS, 3, 1.2, paired=True))
+on_events("pan_motifs", sql.seeded_motifs(LENGTHS), lambda s: motifs.seeded_motifs(s, LENGTHS, 3, 1.2))
+on_events("pair_motifs", sql.seeded_motifs(LENGTHS, paired=True), lambda s: motifs.seeded_motifs(s, LENGTHS, 3, 1.2, paired=True))
 on_events("latent_motifs", None, lambda s: motifs.latent_motifs(s, M, 3, 0.5))
 on_events("latent_motifs_by_rounds", None, lambda s: latent.latent_by_rounds(s, M, 3, 0.5, rounds=5))
 on_events("grammar_motifs", None, lambda s: symbolic.grammar_motifs(s, M, 4, 3, 3))

@@ -355,6 +355,29 @@ SELECT g.series_id, q.r, CASE WHEN ok THEN list_concat(taken, cells) ELSE taken
 SELECT series_id, kept - 1 AS label, x.start AS start, x."end" AS "end" FROM (SELECT series_id, kept, unnest(own) AS x FROM go)"""
 
 
+def seeded_motifs(lengths: list[int], paired: bool = False, n: int = 3, ratio: float = 1.2) -> str:
+    """Entries of all lengths by cost; a step takes the next one that is free, with what is free and within its reach."""
+    every = []
+    for m in lengths:
+        near = f"SELECT series_id, i, arg_min({{'j': j, 'd': dist}}, (dist, j)) AS x FROM b{m} GROUP BY ALL"
+        reach = f"greatest({ratio} * x.d, nextafter(x.d, 'infinity'::DOUBLE))"
+        both = f"LEFT JOIN b{m} o ON o.series_id = e.series_id AND o.i = x.j AND o.j = b.j" if paired else ""
+        dist = "least(b.dist, o.dist)" if paired else "b.dist"
+        kept = f"FILTER ({dist} < {reach}{' AND o.j IS NOT NULL' if paired else ''})"
+        every.append(f"SELECT e.series_id, CAST({m} AS BIGINT) AS m, e.i, x.j AS j, x.d / sqrt({m}) AS cost, coalesce(list({{'d': {dist}, 'j': b.j}} ORDER BY {dist}, b.j) {kept}, []) AS every FROM ({near}) e JOIN b{m} b ON b.series_id = e.series_id AND b.i = e.i {both} GROUP BY e.series_id, e.i, x")
+    bases = ", ".join(f"b{m} AS MATERIALIZED ({_both('znorm', m, digits=9)})" for m in lengths)
+    free = "coalesce(list_bool_and(list_transform(g.taken, lambda t: t.s >= {0} + e.m OR {0} >= t.e)), true)"
+    seeds = "[e.i, e.j]" if paired else "[e.i]"
+    picked = "list_reduce(list_transform(open, lambda x: [x.j]), lambda own, x: CASE WHEN list_bool_and(list_transform(own, lambda y: abs(y - x[1]) >= m)) THEN list_concat(own, x) ELSE own END)"
+    return f"""WITH RECURSIVE {bases}, e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY cost, m DESC, i, j) AS r FROM ({" UNION ALL ".join(every)})),
+go(series_id, r, label, taken, own, m) AS (SELECT DISTINCT series_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS STRUCT(s BIGINT, e BIGINT)[]), CAST([] AS BIGINT[]), CAST(0 AS BIGINT) FROM e UNION ALL
+SELECT series_id, r, label + CAST(len(own) > 1 AS BIGINT), CASE WHEN len(own) > 1 THEN list_concat(taken, list_transform(own, lambda p: {{'s': p, 'e': p + m}})) ELSE taken END, CASE WHEN len(own) > 1 THEN own ELSE [] END, m FROM (
+SELECT series_id, r, label, taken, m, CASE WHEN len(open) > 0 THEN list_concat(seeds, {picked}) ELSE seeds END AS own FROM (
+SELECT g.series_id, e.r, g.label, g.taken, e.m, {seeds} AS seeds, list_filter(e.every, lambda x: {free.format("x.j")}) AS open FROM go g JOIN e ON e.series_id = g.series_id AND e.r > g.r
+WHERE g.label < {n} AND {free.format("e.i")}{f" AND {free.format('e.j')}" if paired else ""} QUALIFY row_number() OVER (PARTITION BY g.series_id ORDER BY e.r) = 1)))
+SELECT series_id, label - 1 AS label, start, start + m AS "end" FROM (SELECT series_id, label, m, unnest(own) AS start FROM go)"""
+
+
 def paa() -> str:
     parts = ", ".join(f"round((x[{2 * k + 1}] + x[{2 * k + 2}]) / 2 * {8**0.5}, 6) AS p{k}" for k in range(4))
     return f"SELECT series_id, i, {parts} FROM ({_normalised('unit', 8, EVENTS)})"
