@@ -117,8 +117,8 @@ on_events("similar_length", sql.similar_length(), lambda s: occurrences.similar_
 on_events("drop_singletons", sql.drop_singletons(), lambda s: occurrences.without_singletons(_truth(s)))
 on_events("occurrence_masks", sql.masks(), lambda s: occurrences.masks(_truth(s), s))
 on_events("interval_births", sql.interval_births(4), lambda s: occurrences.with_births(_truth(s), profile.profile(s, 4, "trend"), 4))
-on_events("motif_occurrences", None, lambda s: motifs.persistent_motifs(s, M))
-on_events("motif_occurrences_fixed", None, lambda s: motifs.persistent_motifs(s, M, n=3))
+on_events("motif_occurrences", sql.persistent_motifs(), lambda s: motifs.persistent_motifs(s, M))
+on_events("motif_occurrences_fixed", sql.persistent_motifs(n=3), lambda s: motifs.persistent_motifs(s, M, n=3))
 on_events("extended_runs", sql.extended_runs(), lambda s: occurrences.extended(_grouped(s), M, 1))
 on_events("radius_rank", sql.radius_rank(), lambda s: motifs.radius_counts(s, M, RADIUS))
 on_events("radius_motifs", sql.radius_motifs(), lambda s: motifs.radius_motifs(s, M, RADIUS, 3))

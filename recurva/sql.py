@@ -265,6 +265,41 @@ two AS (SELECT * FROM (SELECT g.*, row_number() OVER (PARTITION BY g.series_id O
 SELECT f.series_id, round(coalesce(two.mid, f.mid), 7) AS cut FROM g f LEFT JOIN two USING (series_id) WHERE f.t = 1"""
 
 
+def persistent_motifs(m: int = 8, n: int | None = None) -> str:
+    """Cuts of stretched births and persistence; a step an edge joins trees that may, a step a window claims its samples;
+    then runs of one label, without those of unusual length and without labels that stand alone."""
+
+    def stretched(x: str) -> str:
+        return f"2 * sqrt(tanh(10.0 * ({x} * {x})) / tanh(40.0))"
+
+    few = "SELECT series_id, label, start, \"end\", birth FROM (SELECT *, count(*) OVER (PARTITION BY series_id, label) AS n FROM {}) WHERE n > 1"
+    rows = "all_" if n else "met"
+    q = f"SELECT t.series_id, death - birth AS q FROM {rows} t JOIN bc USING (series_id) WHERE birth < b_cut"
+    if n:
+        lives = f"SELECT series_id, avg(q) AS p_cut FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY q DESC) AS r FROM ({q})) WHERE r IN ({n}, {n + 1}) GROUP BY 1"
+    else:
+        gaps = f"SELECT series_id, q, lead(q) OVER o AS next, row_number() OVER o AS t, count(*) OVER (PARTITION BY series_id) AS n FROM ({q}) WHERE q > 0 WINDOW o AS (PARTITION BY series_id ORDER BY q DESC)"
+        lives = f"SELECT series_id, arg_max((q + coalesce(next, 0)) / 2, (q - coalesce(next, 0), -t)) AS p_cut FROM ({gaps}) WHERE next IS NOT NULL OR n = 1 GROUP BY 1"
+    return f"""{_PAIRS}, all_ AS MATERIALIZED (SELECT p.series_id, p.seed, {stretched("birth")} AS birth, {stretched("death")} AS death, d.r AS r FROM pairs p LEFT JOIN death d ON d.series_id = p.series_id AND d.seed = p.seed),
+met AS (SELECT * FROM all_ WHERE r IS NOT NULL), bc AS (SELECT series_id, cut AS b_cut FROM ({_otsu(rows, "birth")})), cut AS MATERIALIZED (SELECT * FROM bc JOIN ({lives}) USING (series_id)),
+te AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY w, u, v) AS k, max(greatest(u, v) + 1) OVER (PARTITION BY series_id) AS n FROM (SELECT series_id, u, v, {stretched("w")} AS w FROM tree) JOIN cut USING (series_id)),
+uf(series_id, k, root, born) AS (SELECT DISTINCT series_id, CAST(0 AS BIGINT), range(0, n), list_resize(CAST([] AS DOUBLE[]), n) FROM te UNION ALL
+SELECT series_id, k, CASE WHEN a <> b AND w - greatest(born[a + 1], born[b + 1]) < p_cut THEN CASE WHEN born[a + 1] >= born[b + 1] THEN list_transform(root, lambda x: CASE WHEN x = a THEN b ELSE x END) ELSE list_transform(root, lambda x: CASE WHEN x = b THEN a ELSE x END) END ELSE root END, born FROM (
+SELECT x.series_id, t.k, x.root, x.root[t.u + 1] AS a, x.root[t.v + 1] AS b, t.w, t.p_cut, list_transform(x.born, lambda y, i: CASE WHEN i = t.u + 1 OR i = t.v + 1 THEN coalesce(y, t.w) ELSE y END) AS born FROM uf x JOIN te t ON t.series_id = x.series_id AND t.k = x.k + 1)),
+last AS (SELECT series_id, root, born FROM uf QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY k DESC) = 1),
+nodes AS (SELECT series_id, root[i + 1] AS label, i AS node, born[i + 1] AS birth, born[root[i + 1] + 1] AS first FROM (SELECT *, unnest(range(0, len(root))) AS i FROM last)),
+own AS (SELECT series_id, seed AS label, least(death, b_cut) AS own_cut FROM all_ JOIN cut USING (series_id) WHERE death - birth > p_cut AND birth <= b_cut),
+z AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY series_id ORDER BY label, gap) AS run, row_number() OVER (PARTITION BY series_id ORDER BY birth, node, label) AS k, max(node) OVER (PARTITION BY series_id) AS most FROM (
+SELECT series_id, label, node, birth, node - row_number() OVER (PARTITION BY series_id, label ORDER BY node) AS gap FROM nodes JOIN cut USING (series_id) LEFT JOIN own USING (series_id, label) WHERE birth IS NOT NULL AND first < b_cut AND birth < coalesce(own_cut, b_cut))),
+paint(series_id, k, owner, took) AS (SELECT DISTINCT series_id, CAST(0 AS BIGINT), list_resize(CAST([] AS BIGINT[]), most + {m}), false FROM z UNION ALL
+SELECT series_id, k, CASE WHEN took THEN list_transform(owner, lambda x, i: CASE WHEN i > node AND i <= node + {m} THEN run ELSE x END) ELSE owner END, took FROM (
+SELECT p.series_id, z.k, p.owner, z.node, z.run, len(list_filter(p.owner[z.node + 1 : z.node + {m}], lambda x: x IS NOT NULL AND x <> z.run)) = 0 AS took FROM paint p JOIN z ON z.series_id = p.series_id AND z.k = p.k + 1)),
+c AS (SELECT *, coalesce(node - lag(node) OVER (PARTITION BY series_id, run ORDER BY node) > {m}, true) AS new FROM z JOIN paint USING (series_id, k) WHERE took),
+f0 AS (SELECT series_id, label, min(node) AS start, max(node) + {m} AS "end", min(birth) AS birth FROM (SELECT *, count(*) FILTER (new) OVER (PARTITION BY series_id, run ORDER BY node) AS part FROM c) GROUP BY series_id, label, run, part),
+f1 AS ({few.format("f0")}), f2 AS (SELECT f1.* FROM f1 JOIN (SELECT series_id, label, median("end" - start) AS mid FROM f1 GROUP BY ALL) USING (series_id, label) WHERE abs("end" - start - mid) <= 0.25 * mid)
+SELECT series_id, label, start, "end", round(birth, 6) AS birth FROM ({few.format("f2")})"""
+
+
 def top_n_cut() -> str:
     return f"SELECT series_id, round(avg(dist), 7) AS cut FROM (SELECT series_id, dist, row_number() OVER (PARTITION BY series_id ORDER BY dist DESC) AS r FROM ({_PROFILE})) WHERE r IN (5, 6) GROUP BY 1"
 
