@@ -68,7 +68,7 @@ def run(series: DataFrame, truth: DataFrame, searches: dict[str, Callable[..., D
     def unit(c, params: dict[str, object], due: DataFrame, ways: int, rest: int) -> None:
         """The series of due whose hash leaves this rest."""
         own = due.where(F.pmod(F.xxhash64("series_id"), F.lit(ways)) == rest)
-        name = uuid.uuid4().hex
+        name = f"u{uuid.uuid4().hex}"
         found = None
         try:
             began = time.time()
@@ -79,7 +79,7 @@ def run(series: DataFrame, truth: DataFrame, searches: dict[str, Callable[..., D
             found.count()
             took = (time.time() - began) / own.count()
             rows = scored(mine, truth.join(own, "series_id", "left_semi"), found, c["algorithm"], c["config_idx"], took, thresholds)
-            rows.withColumn("unit", F.lit(name)).write.mode("append").parquet(f"{path}/scores")
+            rows.write.mode("overwrite").parquet(f"{path}/scores/unit={name}")  # units beside one another share no folder
             finished(c, own, name, None)
         except Exception as e:  # one bad item must not end the others
             halves = isinstance(e, (PySparkException, Py4JError)) and not isinstance(e, AnalysisException) and len(own.take(2)) == 2
@@ -93,8 +93,8 @@ def run(series: DataFrame, truth: DataFrame, searches: dict[str, Callable[..., D
                 found.unpersist()
 
     def finished(c, own: DataFrame, name: str, error: str | None) -> None:
-        rows = own.select(F.lit(c["algorithm"]).alias("algorithm"), F.lit(c["config_idx"]).alias("config_idx"), F.col("series_id").alias("signal_idx"), F.lit(name).alias("unit"), F.lit(error).cast("string").alias("error"))
-        rows.write.mode("append").parquet(f"{path}/items")
+        rows = own.select(F.lit(c["algorithm"]).alias("algorithm"), F.lit(c["config_idx"]).alias("config_idx"), F.col("series_id").alias("signal_idx"), F.lit(error).cast("string").alias("error"))
+        rows.write.mode("overwrite").parquet(f"{path}/items/unit={name}")
 
     with ThreadPoolExecutor(beside) as pool:
         for ended in [pool.submit(work, c) for c in grid]:
