@@ -87,7 +87,7 @@ def _pers(s: DataFrame) -> DataFrame:
 on_events("split_cuts", sql.split_cuts(), lambda s: cuts.split_cuts(_pers(s)))
 on_events("split_cuts_skewed", sql.split_cuts(skewed=True), lambda s: cuts.split_cuts(_pers(s), "skewed"))
 on_events("outlier_cuts", sql.outlier_cuts(), lambda s: cuts.outlier_cuts(_pers(s), 0.9))
-on_events("plane_cuts_skewed", None, lambda s: cuts.plane_cuts(_pers(s), kind="skewed"))
+on_events("plane_cuts_skewed", sql.plane_cuts(skewed=True), lambda s: cuts.plane_cuts(_pers(s), kind="skewed"))
 on_events("plane_cuts", sql.plane_cuts(), lambda s: cuts.plane_cuts(_pers(s)))
 on_events("mad_outliers", sql.mad_outliers(), lambda s: cuts.mad_outliers(_profile(s), "dist", 2.0).select("series_id", "i", "dist"))
 on_events("normal_outliers", sql.normal_outliers(), lambda s: cuts.normal_outliers(_profile(s), "dist", 0.95).select("series_id", "i", "dist"))

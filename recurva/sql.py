@@ -219,11 +219,11 @@ o AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY pers, before
 SELECT series_id, round(b_cut, 6) AS b_cut, round((pers + before) / 2, 6) AS p_cut FROM o WHERE r = 1 AND before IS NOT NULL"""
 
 
-def plane_cuts(bins: int = 1024) -> str:
+def _plane(table: str, bins: int = 1024) -> str:
     """Sums over all cells below and left of each of those that occupied rows and columns make."""
     ends = ", ".join(f"CASE WHEN min({c}) = max({c}) THEN min({c}) - 0.5 ELSE min({c}) END AS {c}_lo, CASE WHEN min({c}) = max({c}) THEN max({c}) + 0.5 ELSE max({c}) END AS {c}_hi" for c in ("pers", "birth"))
     places = ", ".join(f"least(floor(({c} - {c}_lo) / (({c}_hi - {c}_lo) / {bins})), {bins - 1}) AS {k}" for c, k in (("pers", "i"), ("birth", "j")))
-    return f"""{_PAIRS}, q AS (SELECT series_id, death - birth AS pers, birth FROM pairs WHERE death - birth > 0),
+    return f"""WITH q AS (SELECT series_id, death - birth AS pers, birth FROM {table} WHERE death - birth > 0),
 a AS (SELECT series_id, count(*) AS n, {ends} FROM q GROUP BY 1),
 c AS (SELECT series_id, i, j, count(*) / max(n) AS share FROM (SELECT series_id, n, {places} FROM q JOIN a USING (series_id)) GROUP BY ALL),
 x AS (SELECT DISTINCT series_id, i, pers_lo + i * ((pers_hi - pers_lo) / {bins}) AS x FROM c JOIN a USING (series_id)),
@@ -233,7 +233,14 @@ d AS (SELECT *, sum(share) OVER o AS w, sum(share * x) OVER o AS u, sum(share *
 s AS (SELECT series_id, i, j, x, y, sum(w) OVER o AS w, sum(u) OVER o AS u, sum(v) OVER o AS v FROM d WINDOW o AS (PARTITION BY series_id, i ORDER BY j ROWS UNBOUNDED PRECEDING)),
 t AS (SELECT series_id, sum(share * x) AS mx, sum(share * y) AS my FROM g GROUP BY 1),
 r AS (SELECT s.*, round(CASE WHEN w * (1 - w) > 1e-12 THEN ((u - mx * w) ** 2 + (v - my * w) ** 2) / (w * (1 - w)) ELSE 0 END, 12) AS score FROM s JOIN t USING (series_id))
-SELECT series_id, round(x, 6) AS p_cut, round(y, 6) AS b_cut FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY score DESC, i, j) AS k FROM r) WHERE k = 1"""
+SELECT series_id, CASE WHEN score > 0 THEN x ELSE pers_lo END AS p_cut, CASE WHEN score > 0 THEN y ELSE birth_lo END AS b_cut FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY score DESC, i, j) AS k FROM r) JOIN a USING (series_id) WHERE k = 1"""
+
+
+def plane_cuts(skewed: bool = False) -> str:
+    if not skewed:
+        return f"{_PAIRS} SELECT series_id, round(p_cut, 6) AS p_cut, round(b_cut, 6) AS b_cut FROM ({_plane('pairs')})"
+    return f"""{_PAIRS}, one AS MATERIALIZED ({_plane('pairs')}), below AS (SELECT pairs.* FROM pairs JOIN one USING (series_id) WHERE death - birth < p_cut AND birth < b_cut), two AS ({_plane('below')})
+SELECT one.series_id, round(coalesce(two.p_cut, one.p_cut), 6) AS p_cut, round(coalesce(two.b_cut, one.b_cut), 6) AS b_cut FROM one LEFT JOIN two USING (series_id)"""
 
 
 _PROFILE = profile("trend")
