@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recurva import sql
@@ -93,18 +93,23 @@ on_events("mad_outliers", sql.mad_outliers(), lambda s: cuts.mad_outliers(_profi
 on_events("normal_outliers", sql.normal_outliers(), lambda s: cuts.normal_outliers(_profile(s), "dist", 0.95).select("series_id", "i", "dist"))
 
 
+def _mean() -> Column:
+    """The mean of a series, summed in the order of idx: where a value equals it, any other order of the sum may decide
+    otherwise whether it lies above."""
+    whole = Window.partitionBy("series_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.avg("value").over(whole)
+
+
 def _truth(s: DataFrame) -> DataFrame:
     """Runs of values above their series' mean, labelled by tens of samples."""
-    mean = s.groupBy("series_id").agg(F.avg("value").alias("mean"))
-    above = s.join(mean, "series_id").where("value > mean")
+    above = s.withColumn("mean", _mean()).where("value > mean")
     return occurrences.islands(above.select("series_id", (F.floor(F.col("idx") / 10) % 3).alias("label"), "idx"))
 
 
 def _found(s: DataFrame) -> DataFrame:
     """The same of means of three samples, labelled otherwise."""
-    mean = s.groupBy("series_id").agg(F.avg("value").alias("mean"))
-    three = s.select("series_id", "idx", F.avg("value").over(S.frame(3).rowsBetween(-1, 1)).alias("value"))
-    return occurrences.islands(three.join(mean, "series_id").where("value > mean").select("series_id", (F.floor(F.col("idx") / 10) % 2).alias("label"), "idx"))
+    three = s.select("series_id", "idx", F.avg("value").over(S.frame(3).rowsBetween(-1, 1)).alias("value"), _mean().alias("mean"))
+    return occurrences.islands(three.where("value > mean").select("series_id", (F.floor(F.col("idx") / 10) % 2).alias("label"), "idx"))
 
 
 def _grouped(s: DataFrame) -> DataFrame:
