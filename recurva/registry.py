@@ -36,6 +36,11 @@ def on_events(name: str, oracle: str | None, f: Callable[[DataFrame], DataFrame]
     query(name, oracle)(lambda spark, sf_dir: _rounded(f(S.events(spark, sf_dir)), digits))
 
 
+def _round(x: Column, digits: int = 6) -> Column:
+    """Rounded as SQL and numpy do it: what is negative and rounds to nothing stays -0.0, which tells arrays apart."""
+    return F.when(x < 0, -F.round(-x, digits)).otherwise(F.round(x, digits))
+
+
 on_events("series_index", sql.series_index(), lambda s: s)
 on_events("window_mean_std", sql.rolling("mean", "std"), lambda s: S.rolling(s, M).select("series_id", "i", "mean", "std"))
 on_events("window_energy", sql.rolling("energy"), lambda s: S.rolling(s, M).select("series_id", "i", "energy"))
@@ -43,7 +48,7 @@ on_events("window_slope", sql.rolling("slope"), lambda s: S.rolling(s, M).select
 on_events("window_detrended_norm", sql.rolling("detrended_norm"), lambda s: S.rolling(s, M).select("series_id", "i", "detrended_norm"))
 on_events("window_median", sql.robust("median"), lambda s: S.robust(s, M).select("series_id", "i", "median"))
 on_events("window_mad", sql.robust("mad"), lambda s: S.robust(s, M).select("series_id", "i", "mad"))
-on_events("window_znorm", sql.window_znorm(), lambda s: normalised(s, M, "unit").select("series_id", "i", F.transform("x", lambda v: F.round(v * M**0.5, 6)).alias("z")))
+on_events("window_znorm", sql.window_znorm(), lambda s: normalised(s, M, "unit").select("series_id", "i", F.transform("x", lambda v: _round(v * M**0.5)).alias("z")))
 for _name in DISTANCES:
     on_events(f"dist_{_name}", sql.pairs(_name), partial(lambda s, n: profile.pairs(s, M, n), n=_name), 5)
     on_events(f"profile_{_name}", sql.profile(_name), partial(lambda s, n: profile.profile(s, M, n), n=_name))

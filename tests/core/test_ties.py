@@ -34,3 +34,9 @@ def checked(spark, folder, values, name):
 def test_values_equal_to_the_mean(spark, tmp_path, name):
     got, want = checked(spark, tmp_path, EQUAL_TO_MEAN, name)
     assert got == want
+
+
+def test_negative_zero(spark, tmp_path):
+    # The last value is the mean but for the last bit of the sum, which leaves it below.
+    got, want = checked(spark, tmp_path, [[45.3, 38.34, 51.44, 60.07, 51.37, 8.81, 38.53, 41.98]], "window_znorm")
+    assert got == want and "-0.0]" in want[0]
