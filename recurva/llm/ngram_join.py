@@ -33,7 +33,8 @@ from recurva.llm.tokens import slices
 
 #: Counters of the sketch, as a power of two, and how many travel together.
 SKETCH_BITS, CHUNK = 19, 16_384
-#: Words of a parity bitmap, at least, and of the brief one that meets the members of a list.
+#: Words of a parity bitmap, at least, and of the brief one that meets the members of a list; that has a bit for every
+#: four members at least, so that sets of any size that have little in common differ in more bits than linking ones.
 WORDS, BRIEF = 8, 4
 #: Members that meet in a block; list entries beyond the mean from which a shingle is hot and its list is salted.
 BLOCK, HOT = 512, 50_000
@@ -54,6 +55,22 @@ def parity(own: np.ndarray, words: int = 0) -> list[int]:
     return np.packbits(odd.astype(bool)).view(np.int64).tolist()
 
 
+def brief(own: np.ndarray) -> list[int]:
+    return parity(own, max(BRIEF, 1 << (-(-len(own) // 256) - 1).bit_length()) if len(own) else BRIEF)
+
+
+def folded(bitmaps: pa.ListArray, words: int) -> np.ndarray:
+    """The bitmaps of a column halved down to so many words, a row each; shorter ones give rows without meaning."""
+    flat, starts = bitmaps.values.to_numpy().view(np.uint64), bitmaps.offsets.to_numpy()
+    out = np.zeros((len(bitmaps), words), np.uint64)
+    sizes = np.diff(starts)
+    for size in np.unique(sizes[sizes >= words]).tolist():
+        rows = np.flatnonzero(sizes == size)
+        own = flat[starts[rows, None] + np.arange(size)].reshape(len(rows), -1, words)
+        out[rows] = np.bitwise_xor.reduce(own, axis=1)
+    return out
+
+
 def needed(total: Column, percent: int) -> Column:
     """Shingles that two sets with `total` between them must share at least."""
     return F.ceil(total * percent / F.lit(100 + percent) - 1e-9).cast("int")
@@ -74,7 +91,7 @@ def _summaries(n: int):
                 rows = []
                 for doc_id, own in zip(some.column("doc_id").to_pylist(), shingle_sets(some.column("text"), n), strict=True):
                     np.add.at(counts, (own & mask).astype(np.int64), 1)
-                    rows.append((doc_id, set_id(own, 0), set_id(own, 1), len(own), parity(own), parity(own, BRIEF), None, None, None))
+                    rows.append((doc_id, set_id(own, 0), set_id(own, 1), len(own), parity(own), brief(own), None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(9)], names=names)
         task = TaskContext.get().partitionId()
         for c in range(0, len(counts), CHUNK):
@@ -232,7 +249,8 @@ def _changes(table: pa.Table, by: list[str]) -> np.ndarray:
 
 def _runs(percent: int):
     """(list, sid, n, members) from entries sorted by key, salt, size and set: each entry once, lists cut where sizes
-    jump beyond what can link, runs of one member left out. A hot list stays whole."""
+    jump beyond what can link, runs of one member left out. A hot list stays whole. Others go by their members, so that
+    those with the same members, of which near copies have many, are one list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in _whole_groups(batches, ["key", "salt"]):
@@ -247,7 +265,8 @@ def _runs(percent: int):
             of = np.repeat(np.arange(len(starts)), lengths)
             hot = salts > 1
             keep = hot | (lengths[of] > 1)
-            name = np.where(hot, key, mix(key.view(np.uint64) + mix(n[starts][of].astype(np.uint64))).view(np.int64))
+            same = mix(np.add.reduceat(mix(sid.view(np.uint64)), starts)) if len(starts) else np.zeros(0, np.uint64)
+            name = np.where(hot, key, same[of].view(np.int64))
             members = np.where(hot, salts * HOT, lengths[of])
             yield pa.record_batch({"list": pa.array(name[keep]), "sid": pa.array(sid[keep]), "n": pa.array(n[keep].astype(np.int32)), "members": pa.array(members[keep].astype(np.int64))})
 
@@ -287,7 +306,9 @@ def _met(percent: int, every: bool):
             sid, label, block = (table.column(c).to_numpy() for c in ("sid", "label", "block"))
             n = table.column("n").to_numpy().astype(np.int64)
             i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
-            bits = table.column("brief").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BRIEF)
+            column = table.column("brief").combine_chunks()
+            words = column.value_lengths().to_numpy()
+            bits = {w: folded(column, w) for w in np.unique(words).tolist()}
             lengths = np.diff(np.append(starts, len(sid)))
             for size in np.unique(lengths[lengths > 1]).tolist():
                 x, y = np.triu_indices(size, 1)
@@ -300,10 +321,14 @@ def _met(percent: int, every: bool):
                     keep = (label[a] != label[b]) & ((i[a] == j[a]) | (block[a] != block[b]))
                     keep &= np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent
                     a, b, most = a[keep], b[keep], most[keep]
-                    differ = np.zeros(len(a), np.int64)
-                    for w in range(BRIEF):
-                        differ += np.bitwise_count(bits[a, w] ^ bits[b, w])
-                    a, b = a[differ <= most], b[differ <= most]
+                    shared = np.minimum(words[a], words[b])
+                    near = np.zeros(len(a), bool)
+                    for w in np.unique(shared).tolist():
+                        here = np.flatnonzero(shared == w)
+                        for few in np.array_split(here, -(-len(here) * w // (PAIRS * BRIEF))):
+                            differ = np.bitwise_count(bits[w][a[few]] ^ bits[w][b[few]]).sum(axis=1, dtype=np.int64)
+                            near[few] = differ <= most[few]
+                    a, b = a[near], b[near]
                     if not every and len(a):
                         group = np.searchsorted(starts, a, "right")
                         first = np.unique(np.stack((group, sid[a], label[b])), axis=1, return_index=True)[1]
@@ -402,7 +427,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     edge = _boundary(texts.select("text").mapInArrow(_costs(n, percent, rarity), "n int, single double, double double"))
     entries = texts.select("text").mapInArrow(_keys(n, percent, rarity, edge), "key long, sid long, n int, salts int, salt int")
     entries = entries.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "sid")
-    lists = staged(entries.mapInArrow(_runs(percent), "list long, sid long, n int, members long"), "join-lists", "zstd")
+    lists = staged(entries.mapInArrow(_runs(percent), "list long, sid long, n int, members long").distinct(), "join-lists", "zstd")
     sets, links, labels = spark.createDataFrame([], "sid long, members binary"), spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, component long")
     for turn in ("stars", "one", "every"):
         if turn == "stars":
