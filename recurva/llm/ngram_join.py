@@ -33,11 +33,14 @@ from recurva.llm.tokens import slices
 
 #: Counters of the sketch, as a power of two, and how many travel together.
 SKETCH_BITS, CHUNK = 19, 16_384
-#: Words of a parity bitmap, at least, and of the brief one that meets the members of a list; that has a bit for every
-#: four members at least, so that sets of any size that have little in common differ in more bits than linking ones.
+#: Words of a parity bitmap, at least, and of the brief one that meets the members of a list; that has four bits or more
+#: for every member in which two linking sets of a size may differ, so that sets of any size that differ in twice as many
+#: members or more differ in more bits than linking ones.
 WORDS, BRIEF = 8, 4
 #: Members that meet in a block; list entries beyond the mean from which a shingle is hot and its list is salted.
 BLOCK, HOT = 512, 50_000
+#: Pairs that a task remembers so as not to make them again; tasks among which the lists of one hub are dealt for stars.
+SEEN, DEALT = 200_000, 16
 #: Pairs compared at once.
 PAIRS = 500_000
 
@@ -55,8 +58,9 @@ def parity(own: np.ndarray, words: int = 0) -> list[int]:
     return np.packbits(odd.astype(bool)).view(np.int64).tolist()
 
 
-def brief(own: np.ndarray) -> list[int]:
-    return parity(own, max(BRIEF, 1 << (-(-len(own) // 256) - 1).bit_length()) if len(own) else BRIEF)
+def brief(own: np.ndarray, percent: int = 90) -> list[int]:
+    words = len(own) * (100 - percent) // (8 * (100 + percent)) + 1
+    return parity(own, max(BRIEF, 1 << (words - 1).bit_length()))
 
 
 def folded(bitmaps: pa.ListArray, words: int) -> np.ndarray:
@@ -76,7 +80,7 @@ def needed(total: Column, percent: int) -> Column:
     return F.ceil(total * percent / F.lit(100 + percent) - 1e-9).cast("int")
 
 
-def _summaries(n: int):
+def _summaries(n: int, percent: int):
     """A row per document (its set's id, a second hash, size and bitmaps), and at the end of a partition its counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +95,7 @@ def _summaries(n: int):
                 rows = []
                 for doc_id, own in zip(some.column("doc_id").to_pylist(), shingle_sets(some.column("text"), n), strict=True):
                     np.add.at(counts, (own & mask).astype(np.int64), 1)
-                    rows.append((doc_id, set_id(own, 0), set_id(own, 1), len(own), parity(own), brief(own), None, None, None))
+                    rows.append((doc_id, set_id(own, 0), set_id(own, 1), len(own), parity(own), brief(own, percent), None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(9)], names=names)
         task = TaskContext.get().partitionId()
         for c in range(0, len(counts), CHUNK):
@@ -248,9 +252,10 @@ def _changes(table: pa.Table, by: list[str]) -> np.ndarray:
 
 
 def _runs(percent: int):
-    """(list, sid, n, members) from entries sorted by key, salt, size and set: each entry once, lists cut where sizes
+    """(list, hub, sid, n, members) from entries sorted by key, salt, size and set: each entry once, lists cut where sizes
     jump beyond what can link, runs of one member left out. A hot list stays whole. Others go by their members, so that
-    those with the same members, of which near copies have many, are one list."""
+    those with the same members, of which near copies have many, are one list. The hub is the least hash of a member:
+    lists with most members in common, of which near copies have many as well, mostly have the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in _whole_groups(batches, ["key", "salt"]):
@@ -265,19 +270,37 @@ def _runs(percent: int):
             of = np.repeat(np.arange(len(starts)), lengths)
             hot = salts > 1
             keep = hot | (lengths[of] > 1)
-            same = mix(np.add.reduceat(mix(sid.view(np.uint64)), starts)) if len(starts) else np.zeros(0, np.uint64)
-            name = np.where(hot, key, same[of].view(np.int64))
+            mixed = mix(sid.view(np.uint64))
+            same, least = (mix(np.add.reduceat(mixed, starts)), np.minimum.reduceat(mixed, starts)) if len(starts) else (mixed, mixed)
+            name, hub = (np.where(hot, key, x[of].view(np.int64)) for x in (same, least))
             members = np.where(hot, salts * HOT, lengths[of])
-            yield pa.record_batch({"list": pa.array(name[keep]), "sid": pa.array(sid[keep]), "n": pa.array(n[keep].astype(np.int32)), "members": pa.array(members[keep].astype(np.int64))})
+            yield pa.record_batch({"list": pa.array(name[keep]), "hub": pa.array(hub[keep]), "sid": pa.array(sid[keep]), "n": pa.array(n[keep].astype(np.int32)), "members": pa.array(members[keep].astype(np.int64))})
 
     return run
 
 
+class _Seen:
+    """The pairs that a task has made lately. Lists with the same hub follow one another, and near copies meet in many."""
+
+    def __init__(self):
+        self.pairs: set[tuple[int, int]] = set()
+
+    def fresh(self, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        """Of pairs in any order those that are new, smaller ids first."""
+        new = {*zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)} - self.pairs
+        if len(self.pairs) + len(new) > SEEN:
+            self.pairs = set()
+        self.pairs |= new
+        cells = list(zip(*sorted(new), strict=True)) or [(), ()]
+        return pa.record_batch({"a": pa.array(cells[0], pa.int64()), "b": pa.array(cells[1], pa.int64())})
+
+
 def _stars(percent: int):
     """Pairs (a, b): every member of a list with the two of it that a hash puts first and last. The hash is the same
     for all lists, so that lists with the same members pick the same two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for table, starts in _whole_groups(batches, ["list"]):
             sid, n = table.column("sid").to_numpy(), table.column("n").to_numpy().astype(np.int64)
             if not len(sid):
@@ -290,9 +313,8 @@ def _stars(percent: int):
                 hub = best[np.searchsorted(best, starts)].repeat(lengths)
                 small, large = np.minimum(n, n[hub]), np.maximum(n, n[hub])
                 keep = (sid != sid[hub]) & (small * 100 >= large * percent)
-                out.append(np.stack((np.minimum(sid, sid[hub])[keep], np.maximum(sid, sid[hub])[keep])))
-            pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-            yield pa.record_batch({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+                out.append((sid[keep], sid[hub][keep]))
+            yield seen.fresh(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
     return run
 
@@ -302,6 +324,7 @@ def _met(percent: int, every: bool):
     of two blocks of a list; without `every` only one pair of a member and each other component in a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for table, starts in _whole_groups(batches, ["list", "i", "j"]):
             sid, label, block = (table.column(c).to_numpy() for c in ("sid", "label", "block"))
             n = table.column("n").to_numpy().astype(np.int64)
@@ -334,8 +357,7 @@ def _met(percent: int, every: bool):
                         first = np.unique(np.stack((group, sid[a], label[b])), axis=1, return_index=True)[1]
                         a, b = a[first], b[first]
                     if len(a):
-                        pairs = np.unique(np.stack((np.minimum(sid[a], sid[b]), np.maximum(sid[a], sid[b]))), axis=1)
-                        yield pa.record_batch({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+                        yield seen.fresh(sid[a], sid[b])
 
     return run
 
@@ -411,7 +433,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     spark = docs.sparkSession
     texts = texts_of(docs)
     kinds = "doc_id long, sid long, second long, n int, bitmap array<long>, brief array<long>, chunk int, task int, counts binary"
-    summary = staged(texts.mapInArrow(_summaries(n), kinds), "join-summary", "zstd")
+    summary = staged(texts.mapInArrow(_summaries(n, percent), kinds), "join-summary", "zstd")
     members = summary.where("chunk IS NULL").select("doc_id", "sid", "n")
     parts = summary.where("chunk IS NOT NULL").select("chunk", (F.col("task") % 64).alias("part"), "counts")
     parts = parts.groupBy("chunk", "part").applyInArrow(_added("<u4"), "chunk int, counts binary")
@@ -427,11 +449,12 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     edge = _boundary(texts.select("text").mapInArrow(_costs(n, percent, rarity), "n int, single double, double double"))
     entries = texts.select("text").mapInArrow(_keys(n, percent, rarity, edge), "key long, sid long, n int, salts int, salt int")
     entries = entries.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "sid")
-    lists = staged(entries.mapInArrow(_runs(percent), "list long, sid long, n int, members long").distinct(), "join-lists", "zstd")
+    lists = staged(entries.mapInArrow(_runs(percent), "list long, hub long, sid long, n int, members long").distinct(), "join-lists", "zstd")
     sets, links, labels = spark.createDataFrame([], "sid long, members binary"), spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, component long")
     for turn in ("stars", "one", "every"):
         if turn == "stars":
-            pairs = lists.mapInArrow(_stars(percent), "a long, b long")
+            whole = lists.repartition("hub", F.pmod("list", F.lit(DEALT))).sortWithinPartitions("hub", "list")
+            pairs = whole.select("list", "sid", "n").mapInArrow(_stars(percent), "a long, b long")
         else:
             pairs = _across(lists, nodes, labels, percent, turn == "every")
         pairs = _survivors(pairs, nodes, percent)
@@ -455,13 +478,14 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
 def _across(lists: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
     """Pairs of a list's members in different components that size and bitmap allow. A list of m members is cut into
-    blocks of BLOCK; every block meets every other, so what meets in a task is bounded."""
+    blocks of BLOCK; every block meets every other, so what meets in a group is bounded. Lists of one hub meet in one task,
+    which makes a pair once however many of them hold it."""
     known = nodes.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "brief", F.coalesce("component", "sid").alias("label"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("sid"), blocks).cast("int")
     full = lists.join(known, "sid").withColumn("block", block).withColumn("blocks", blocks)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    full = full.select("list", "sid", "n", "brief", "label", "block", other)
-    full = full.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "n", "brief", "label", "block")
-    full = full.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j")
+    full = full.select("list", "hub", "sid", "n", "brief", "label", "block", other)
+    full = full.select("list", "hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "n", "brief", "label", "block")
+    full = full.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "list").drop("hub")
     return full.mapInArrow(_met(percent, every), "a long, b long")
