@@ -61,13 +61,15 @@ def _frequencies(kind: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs, n = np.zeros(1, np.int64), 0, 0
+        last = np.zeros(1, np.int64)  # where each id stood last
         for batch in batches:
             for raw in batch.column("ids"):
-                own = np.sort(np.frombuffer(raw.as_buffer(), kind))
-                ids = own[np.append(True, own[1:] != own[:-1])]
-                if ids[-1] >= len(total):
-                    total = np.append(total, np.zeros(int(ids[-1]) + 1 - len(total), np.int64))
-                total[ids] += 1
+                own = np.frombuffer(raw.as_buffer(), kind)
+                if (most := int(own.max())) >= len(total):
+                    total, last = (np.append(x, np.zeros(most + 1 - len(x), np.int64)) for x in (total, last))
+                at = np.arange(len(own))
+                last[own] = at
+                total[own[last[own] == at]] += 1  # each id once
                 docs += 1
                 n += len(own)
         at = np.flatnonzero(total)

@@ -11,8 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 1
-#: Words whose ids a Python worker remembers between batches, and their letters; at a limit it starts afresh, so that
-#: memory stays bounded whatever the words are.
+#: Words whose ids a Python worker remembers between batches, and their letters; at a limit it keeps those that came again,
+#: or none if they are more than half of it, so that memory stays bounded whatever the words are.
 REMEMBERED, LETTERS = 350_000, 8_000_000
 #: Letters of words without a usual form that are tokenized at once; a longer word alone.
 AT_ONCE = 200_000
@@ -41,20 +41,39 @@ class _Pieces:
 
     def clear(self) -> None:
         self.place, self.ends, self.pool, self.letters = {"": 0}, np.zeros(1, np.int32), np.zeros(0, "<u4"), 0
+        self.again = np.ones(1, bool)  # whether a word has come again
+
+    def forget(self) -> None:
+        """Only the words that came again stay, if they are few enough to leave room."""
+        words = [w for w, again in zip(self.place, self.again.tolist(), strict=True) if again]
+        letters = sum(map(len, words))
+        if 2 * len(words) > REMEMBERED or 2 * letters > LETTERS:
+            return self.clear()
+        lengths = np.diff(self.ends, prepend=np.int32(0))
+        self.pool, lengths = _gathered(self.pool, (self.ends - lengths)[self.again], lengths[self.again])
+        self.place, self.ends, self.letters = dict(zip(words, range(len(words)), strict=True)), np.cumsum(lengths, dtype=np.int32), letters
+        self.again = np.zeros(len(words), bool)
+        self.again[0] = True  # the empty one
 
     def of(self, words: list[str]) -> np.ndarray:
         """Where each word stands in the pool's index; new ones are tokenized and added. The words are distinct."""
         at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
         new = np.flatnonzero(at < 0).tolist()
         if not new:
+            self.again[at] = True
             return at
         added = [words[i] for i in new]
         letters = sum(map(len, added))
+        self.again[at[at >= 0]] = True
         if len(self.place) > 1 and (len(self.place) + len(new) > REMEMBERED or self.letters + letters > LETTERS):
-            self.clear()
+            before = len(self.place)
+            self.forget()
+            if 2 * len(self.place) > before:
+                self.clear()
             return self.of(words)
         self.letters += letters
         self._add(added)
+        self.again = np.append(self.again, np.zeros(len(added), bool))
         at[new] = np.fromiter(map(self.place.get, added), np.int32, len(added))
         return at
 

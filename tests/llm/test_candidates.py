@@ -61,3 +61,20 @@ def test_lists_with_nearly_the_same_members_have_one_hub():
     rows = {"key": keys, "sid": sids, "n": pa.array([20] * 240, pa.int32()), "salts": pa.array([1] * 240, pa.int32()), "salt": pa.array([0] * 240, pa.int32())}
     got = [dict(zip(batch.schema.names, row)) for batch in ngram_join._runs(90)([pa.record_batch(rows)]) for row in zip(*batch.to_pydict().values())]
     assert len({r["list"] for r in got}) == 9 and len({r["hub"] for r in got}) == 2
+
+
+def test_words_that_come_again_are_tokenized_once(monkeypatch):
+    from recurva.llm import tokens
+    from recurva.llm.queries import _vocabulary
+
+    draw = np.random.default_rng(9)
+    often = ["".join(draw.choice(list("abcdefghij"), 9)) for _ in range(40)]
+    texts = [" ".join(often + ["".join(draw.choice(list("klmnopqrst"), 9)) for _ in range(60)]) for _ in range(30)]
+    whole = tokens.encode(pa.array(texts), _vocabulary())
+    monkeypatch.setattr(tokens, "REMEMBERED", 200)
+    monkeypatch.setattr(tokens, "_loaded", {_vocabulary(): (pieces := tokens._Pieces(_vocabulary()))})
+    added: list[str] = []
+    monkeypatch.setattr(pieces, "_add", lambda words, add=pieces._add: (added.extend(words), add(words)))
+    parts = [tokens.encode(pa.array([text]), _vocabulary()) for text in texts]
+    assert np.array_equal(np.concatenate([ids for _, ids in parts]), whole[1])
+    assert len(pieces.place) == len(pieces.again) == len(pieces.ends) <= 200 and all(added.count(w) == 1 for w in often)
