@@ -22,6 +22,8 @@ from recurva.plans.store import shared_dir, stored
 
 #: Windows of a tile; tiles that meet one copy of their series' shapes.
 TILE, PART = 4_096, 64
+#: Windows of series that are learned together: what a step holds of them stays in a core's cache.
+TOGETHER = 4_096
 STATE = "series_id long, start int, windows long, parts long, value double, shapes array<double>, squares array<double>"
 
 
@@ -33,23 +35,46 @@ def first_shapes(series_id: int, start: int, windows: int, n: int, m: int, seed:
 
 
 def pulls(x: np.ndarray, shapes: np.ndarray, alpha: float, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sums a shape over windows x: of their pulls, and of pull times window."""
-    pull = np.stack([np.exp(-alpha / radius * ((s - x) ** 2).sum(axis=1)) for s in shapes])
-    return pull.sum(axis=1), pull @ x
+    """Sums a shape over windows x: of their pulls, and of pull times window. Axes before the last two are series."""
+    pull = np.stack([np.exp(-alpha / radius * ((shapes[..., k, None, :] - x) ** 2).sum(axis=-1)) for k in range(shapes.shape[-2])], axis=-2)
+    return pull.sum(axis=-1), pull @ x
 
 
-def ascended(shapes: np.ndarray, squares: np.ndarray, pull: np.ndarray, drawn: np.ndarray, windows: int, alpha: float, radius: float, rate: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """The value of shapes, and shapes and sums of squared slopes one step on."""
-    n = len(shapes)
-    between = shapes[:, None, :] - shapes[None]
-    apart, others = (between**2).sum(axis=2), n * (n - 1)
+def ascended(shapes: np.ndarray, squares: np.ndarray, pull: np.ndarray, drawn: np.ndarray, windows: int, alpha: float, radius: float, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The value of shapes, and shapes and sums of squared slopes one step on; axes before the last two are series."""
+    n = shapes.shape[-2]
+    between = shapes[..., :, None, :] - shapes[..., None, :, :]
+    apart, others = (between**2).sum(axis=-1), n * (n - 1)
     push = np.where((apart < 2 * radius) & ~np.eye(n, dtype=bool), 1 - apart / (2 * radius), 0)
-    value = pull.sum() / (n * windows) - (push**2).sum() / max(1, others)
-    slope = -(2 * alpha / radius) * (pull[:, None] * shapes - drawn) / (n * windows)
+    value = pull.sum(axis=-1) / (n * windows) - (push**2).reshape(*push.shape[:-2], n * n).sum(axis=-1) / max(1, others)
+    slope = -(2 * alpha / radius) * (pull[..., None] * shapes - drawn) / (n * windows)
     if others:
-        slope += (4 / (others * radius)) * (push[:, :, None] * between).sum(axis=1)
+        slope += (4 / (others * radius)) * (push[..., None] * between).sum(axis=-2)
     squares = squares + slope**2
-    return float(value), shapes + rate * slope / np.sqrt(squares), squares
+    return value, shapes + rate * slope / np.sqrt(squares), squares
+
+
+def learned(ids: list[int], xs: list[np.ndarray], n: int, m: int, radius: float, alpha: float, rate: float, rounds: int, seed: int, starts: int) -> list[np.ndarray]:
+    """The best shapes of every series' windows. Series of as many windows go together, step by step;
+    each has the shapes, to the last bit, that it has alone."""
+    out: list[np.ndarray] = [np.zeros(0)] * len(xs)
+    alike: dict[int, list[int]] = {}
+    for i, windows in enumerate(map(len, xs)):
+        alike.setdefault(windows, []).append(i)
+    parts = ((windows, own[k : k + max(1, TOGETHER // windows)]) for windows, own in alike.items() for k in range(0, len(own), max(1, TOGETHER // windows)))
+    for windows, own in parts:
+        x = np.stack([xs[i] for i in own])
+        best = np.full(len(own), -np.inf)
+        for start in range(starts):
+            drawn = (first_shapes(ids[i], start, windows, n, m, seed) for i in own)
+            shapes = np.stack([xs[i][places] + extra for i, (places, extra) in zip(own, drawn, strict=True)])
+            squares = np.full_like(shapes, 1e-12)
+            for _ in range(rounds):
+                _, shapes, squares = ascended(shapes, squares, *pulls(x, shapes, alpha, radius), windows, alpha, radius, rate)
+            value = ascended(shapes, squares, *pulls(x, shapes, alpha, radius), windows, alpha, radius, rate)[0]
+            for k in np.flatnonzero((value > best) | (start == 0)).tolist():
+                best[k], out[own[k]] = value[k], shapes[k]
+    return out
 
 
 def claimed(near: Iterable[tuple[np.ndarray, np.ndarray]], m: int) -> list[list[int]]:
@@ -156,7 +181,7 @@ def latent_by_rounds(series: DataFrame, m: int, n: int, radius: float, alpha: fl
             for row in _rows(batch):
                 sums = row["sums"].reshape(-1, m + 1)
                 value, *after = ascended(row["shapes"].reshape(-1, m), row["squares"].reshape(-1, m), sums[:, 0], sums[:, 1:], row["windows"], alpha, radius, rate)
-                values.append(value)
+                values.append(float(value))
                 for to, x in zip((shapes, squares), after, strict=True):
                     to.append(x.ravel().tolist())
             kept = {c: batch.column(c) for c in ("series_id", "start", "windows", "parts")}

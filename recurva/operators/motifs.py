@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from recurva.functions.distance import DISTANCES, block, normalised
 from recurva.operators import cuts, graph, latent, occurrences, profile
-from recurva.plans.kernels import by_series
+from recurva.plans.kernels import by_many, by_series
 from recurva.plans.store import found_at, stored
 
 FOUND = "label long, start long, end long"
@@ -69,16 +69,6 @@ def radius_counts(series: DataFrame, m: int, radius: float, name: str = "znorm")
     return by.withColumn("rank", F.row_number().over(order))
 
 
-def _per_series(series: DataFrame, m: int, name: str, find) -> DataFrame:
-    """find(series_id, places, normalised windows) gives lists of members, one a motif."""
-
-    def run(series_id: int, own: dict[str, np.ndarray]) -> list[tuple]:
-        at, x = own["i"], np.stack(own["x"])
-        return [(label, int(at[p]), int(at[p]) + m) for label, members in enumerate(find(series_id, at, x)) for p in members]
-
-    return by_series(normalised(series, m, name), ["i"], run, FOUND)
-
-
 def within(dist: np.ndarray, at: np.ndarray, own: int, m: int, radius: float, free: np.ndarray) -> list[int]:
     """Places nearer than radius to the window at place own, nearest first, none overlapping it or one another."""
     left = np.flatnonzero((np.abs(at - at[own]) >= m) & free & (dist < radius))
@@ -251,18 +241,14 @@ def latent_motifs(series: DataFrame, m: int, n: int, radius: float, alpha: float
     distances of unit windows) minus a penalty for shapes nearer than 2 * radius, the best of so many starts; members
     lie within radius. Starts are drawn by seed and series. latent.latent_by_rounds does the same by tiles of windows."""
 
-    def learned(series_id: int, x: np.ndarray, start: int) -> tuple[float, np.ndarray]:
-        places, extra = latent.first_shapes(series_id, start, len(x), n, m, seed)
-        shapes = x[places] + extra
-        squares = np.full_like(shapes, 1e-12)
-        for _ in range(rounds):
-            _, shapes, squares = latent.ascended(shapes, squares, *latent.pulls(x, shapes, alpha, radius), len(x), alpha, radius, rate)
-        return latent.ascended(shapes, squares, *latent.pulls(x, shapes, alpha, radius), len(x), alpha, radius, rate)[0], shapes
+    def find(some: list[tuple[int, dict[str, np.ndarray]]]) -> list[list[tuple]]:
+        xs = [np.stack(own["x"]) for _, own in some]
+        shapes = latent.learned([series_id for series_id, _ in some], xs, n, m, radius, alpha, rate, rounds, seed, starts)
+        return [taken(own["i"], x, best) for (_, own), x, best in zip(some, xs, shapes, strict=True)]
 
-    def find(series_id: int, at: np.ndarray, x: np.ndarray) -> list[list[int]]:
-        shapes = max((learned(series_id, x, k) for k in range(starts)), key=lambda t: t[0])[1]
+    def taken(at: np.ndarray, x: np.ndarray, shapes: np.ndarray) -> list[tuple]:
         dists = (((x - shape) ** 2).sum(axis=1) for shape in shapes)
-        place = {int(i): p for p, i in enumerate(at)}
-        return [[place[i] for i in own] for own in latent.claimed(((at[d < radius], d[d < radius]) for d in dists), m)]
+        near = ((at[d < radius], d[d < radius]) for d in dists)
+        return [(label, p, p + m) for label, own in enumerate(latent.claimed(near, m)) for p in own]
 
-    return _per_series(series, m, "unit", find)
+    return by_many(normalised(series, m, "unit"), ["i"], find, FOUND, 32 * latent.TOGETHER)

@@ -18,14 +18,20 @@ Kernel = Callable[[int, dict[str, np.ndarray]], Iterable[tuple]]
 def by_series(table: DataFrame, order: list[str], kernel: Kernel, columns: str) -> DataFrame:
     """series_id and the columns of the rows that kernel makes of each series' rows, sorted by `order`. Null numbers
     are NaN there, and None or NaN stands for null in rows of type long."""
+    return by_many(table, order, lambda some: (kernel(*one) for one in some), columns, 1)
+
+
+def by_many(table: DataFrame, order: list[str], kernel: Callable[[list[tuple[int, dict[str, np.ndarray]]]], Iterable[Iterable[tuple]]], columns: str, least: int) -> DataFrame:
+    """by_series with a kernel that takes series together, as many as have `least` rows, and gives the rows of each."""
     met = table.repartition("series_id").sortWithinPartitions("series_id", *order)
     names, kinds = zip(*(c.split() for c in columns.split(",")), strict=True)
     types = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[k] for k in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for series_id, own in _series(batches):
-            rows += ((series_id, *row) for row in kernel(series_id, own))
+        for some in _together(_series(batches), order[0], least):
+            for (series_id, _), made_of in zip(some, kernel(some), strict=True):
+                rows += ((series_id, *row) for row in made_of)
             if len(rows) >= ROWS:
                 yield made(rows)
                 rows = []
@@ -38,6 +44,18 @@ def by_series(table: DataFrame, order: list[str], kernel: Kernel, columns: str)
     return met.mapInArrow(run, f"series_id long, {columns}")
 
 
+def _together(each: Iterator[tuple[int, dict[str, np.ndarray]]], column: str, least: int) -> Iterator[list[tuple[int, dict[str, np.ndarray]]]]:
+    held, size = [], 0
+    for series_id, own in each:
+        held.append((series_id, own))
+        size += len(own[column])
+        if size >= least:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _series(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     held: list[pa.RecordBatch] = []
     for batch in batches:

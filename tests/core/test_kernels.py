@@ -527,3 +527,15 @@ def test_overlaps_paired_in_order():
             if len({x[:3] for x in own}) == len({x[3:6] for x in own}) == r
         )
         assert [x in metrics.in_order(met) for x in met] == best[1]
+
+
+def test_shapes_of_many_series_are_learned_together(monkeypatch):
+    """To the last bit as alone, in far fewer steps."""
+    draw, calls = np.random.default_rng(11), []
+    xs = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (draw.normal(size=(k % 3 + 2, 8)) if k % 2 else draw.normal(size=(40, 8)) for k in range(30))]
+    given = dict(n=3, m=8, radius=0.5, alpha=1.0, rate=0.1, rounds=6, seed=0, starts=2)
+    monkeypatch.setattr(latent, "pulls", lambda *x, f=latent.pulls: (calls.append(1), f(*x))[1])
+    some = latent.learned(list(range(30)), xs, **given)
+    assert len(calls) == 4 * 2 * 7  # four numbers of windows, two starts, six rounds and the last value
+    for i, x in enumerate(xs):
+        assert np.array_equal(some[i], latent.learned([i], [x], **given)[0])
