@@ -7,7 +7,10 @@ rows by joins and minima, whatever the length of a series. Everything between th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,9 @@ from recurva.operators import profile
 from recurva.plans.kernels import by_series
 from recurva.plans.store import stored
 
+#: Edges that are thinned together; a task holds no more of them at once.
+THINNED = 1 << 18
+
 
 def outside(m: int, exclusion: str):
     """What the zones of picked neighbours leave: zones are in time, or, compacted, in places among what the removals
@@ -112,14 +118,71 @@ def persistence(edges: DataFrame) -> DataFrame:
     return by_series(edges.select("series_id", "rank", "u", "v", "w"), ["rank"], run, "seed long, birth double, death double, u long, v long, w double")
 
 
+def joining(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which edges, taken in turn, join nodes that the ones before leave apart; nodes are numbered from 0. All parts
+    choose their first edge out at once and become one with what it leads to, until no edge leads out."""
+    keep, part, left = np.zeros(len(u), bool), np.arange(max(u.max(), v.max()) + 1 if len(u) else 0), np.arange(len(u))
+    while True:
+        a, b = part[u[left]], part[v[left]]
+        left, a, b = (x[a != b] for x in (left, a, b))
+        if not len(left):
+            return keep
+        first = np.full(len(part), -1)
+        first[np.stack((a, b), axis=1).ravel()[::-1]] = np.repeat(np.arange(len(left)), 2)[::-1]  # the last one written stays
+        own = np.flatnonzero(first >= 0)
+        chosen = first[own]
+        keep[left[chosen]] = True
+        to = np.arange(len(part))
+        to[own] = a[chosen] + b[chosen] - own
+        ends = own[(to[to[own]] == own) & (own < to[own])]  # of two that chose each other one stays
+        to[ends] = ends
+        while not np.array_equal(to, farther := to[to]):
+            to = farther
+        part = to[part]
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """(series_id, rank, u, v, w): edges without those whose ends earlier ones already join, as far as a task meets them
+    together. Such an edge merges nothing and is no node's first, so the rest have the same persistence; of a series
+    whose edges lie together there is one edge fewer than nodes in a component, whatever the number of neighbours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= THINNED:
+                yield from kept(held)
+                held = []
+        yield from kept(held)
+
+    def kept(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        if not held:
+            return []
+        table = pa.Table.from_batches(held)
+        series, rank, u, v = (table.column(c).to_numpy() for c in ("series_id", "rank", "u", "v"))
+        order = np.argsort(rank, kind="stable")
+        nodes = np.unique(np.concatenate((u, v)), return_inverse=True)[1]
+        nodes = nodes + np.tile(np.unique(series, return_inverse=True)[1], 2) * (int(nodes.max(initial=0)) + 1)
+        nodes = np.unique(nodes, return_inverse=True)[1]
+        u, v = nodes[: len(u)], nodes[len(u) :]
+        keep = u == v  # a loop merges nothing, but its node may be born by it
+        keep[order[joining(u[order], v[order])]] = True
+        return table.filter(pa.array(keep)).to_batches()
+
+    some = edges.select("series_id", "rank", "u", "v", "w")
+    return some.mapInArrow(run, some.schema)
+
+
 def persistence_by_rounds(edges: DataFrame) -> DataFrame:
-    """The rows of persistence by rounds of joins and minima, none of which holds a series in one task.
+    """The rows of persistence by rounds of joins and minima, none of which holds a series in one task. Edges are made
+    once and go into the rounds thinned.
 
     A component goes by its oldest node, of nodes born alike the later one. In a round every component looks at its
     first edge to another. If that one's node is older, its own node dies there: nothing can join the component sooner,
     and whatever the other has become by then has a node as old. The dying join what they met (met ones may die in
     the same round, of ever older ones), and edges inside a component go. Of two components that have each other's
     first edge one dies, so there are always fewer, and no more rounds than their number; in practice a few."""
+    edges = stored(thinned(edges))
     births = stored(node_births(edges))
 
     def end(side: str) -> DataFrame:

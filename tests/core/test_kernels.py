@@ -266,6 +266,27 @@ def test_rounds_give_the_rows_of_the_kernel(spark):
     assert graph.persistence_by_rounds(table.limit(0)).collect() == []
 
 
+def test_edges_that_join_nothing_stay_out_of_the_rounds(spark, monkeypatch):
+    draw = np.random.default_rng(14)
+    for _ in range(200):  # against a union-find, edge by edge
+        n, k = draw.integers(1, 12), draw.integers(0, 30)
+        u, v = draw.integers(0, n, (2, k))
+        forest = graph.Forest()
+        want = [(a := forest.root(x, 0)) != (b := forest.root(y, 0)) and forest.merge(a, b) >= 0 for x, y in zip(u.tolist(), v.tolist())]
+        assert graph.joining(u, v).tolist() == want
+    table = [(s, r, int(a), int(b), float(r // 3)) for s in range(40) for r, (a, b) in enumerate(draw.integers(0, 30, (120, 2)))]  # loops too
+    table = spark.createDataFrame([table[i] for i in draw.permutation(len(table))], "series_id long, rank int, u long, v long, w double")
+    want = sorted(map(str, graph.persistence(table).select("series_id", "birth", "death", "w").collect()))
+    sizes = []
+    monkeypatch.setattr(graph, "stored", lambda df, f=graph.stored: (sizes.append((made := f(df)).count()), made)[1])
+    for most, rows in ((1 << 18, 40 * 50), (100, None)):  # few together: less is left out, with the same result
+        monkeypatch.setattr(graph, "THINNED", most)
+        sizes.clear()
+        got = graph.persistence_by_rounds(table.repartition(1, "series_id"))
+        assert sorted(map(str, got.select("series_id", "birth", "death", "w").collect())) == want
+        assert rows is None or max(sizes) < rows  # of 4,800
+
+
 def test_radius_neighbours_one_by_one(spark):
     draw = np.random.default_rng(13)
     n, m = 80, 4
