@@ -42,40 +42,55 @@ def id_kind(tokenizer: str) -> str:
     return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
 
 
+class Frequencies:
+    """In how many documents each id stands, after the numbers of documents and of all their ids."""
+
+    def __init__(self):
+        self.docs = self.ids = 0
+        self.total = np.zeros(0, np.int64)
+        self.last = np.zeros(0, np.int64)  # where each id stood last
+
+    def add(self, bounds: np.ndarray, ids: np.ndarray) -> None:
+        """Documents, document i from bounds[i] to bounds[i + 1]."""
+        if len(ids) and (more := int(ids.max()) + 1 - len(self.total)) > 0:
+            self.total, self.last = (np.append(x, np.zeros(more, np.int64)) for x in (self.total, self.last))
+        at = np.arange(len(ids))
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = ids[i:j]
+            self.last[own] = at[i:j]
+            self.total[own[self.last[own] == at[i:j]]] += 1  # each id once
+        self.docs += len(bounds) - 1
+        self.ids += len(ids)
+
+    def bytes(self) -> bytes:
+        return np.concatenate(([self.docs, self.ids], self.total)).astype("<i8").tobytes()
+
+
 def tokenized(docs: DataFrame, tokenizer: str, kind: str) -> DataFrame:
-    """doc_id and ids (of that kind, the end id last)."""
+    """doc_id, ids (of that kind, the end id last) and n (their number); beside them a row a task that has only
+    `counts`, the frequencies of its ids, so that nothing reads the ids again to count them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Frequencies()
         for batch in batches:
             for some in slices(batch):
                 bounds, ids = encode(some.column("text"), tokenizer)
+                counts.add(bounds, ids)
                 raw, width = ids.astype(kind).tobytes(), int(kind[-1])
                 cells = [raw[width * i : width * j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.record_batch({"doc_id": some.column("doc_id"), "ids": pa.array(cells, pa.binary())})
-
-    return texts_of(docs).mapInArrow(run, "doc_id long, ids binary")
+                yield pa.record_batch({"doc_id": some.column("doc_id"), "ids": pa.array(cells, pa.binary()), "n": pa.array(np.diff(bounds)), "counts": pa.nulls(len(cells), pa.binary())})
+        yield pa.record_batch({"doc_id": pa.nulls(1, pa.int64()), "ids": pa.nulls(1, pa.binary()), "n": pa.nulls(1, pa.int64()), "counts": pa.array([counts.bytes()], pa.binary())})
 
+    return texts_of(docs).mapInArrow(run, "doc_id long, ids binary, n long, counts binary")
 
-def _frequencies(kind: str):
-    """In how many documents each id stands; under id -1 the documents, under -2 all ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, docs, n = np.zeros(1, np.int64), 0, 0
-        last = np.zeros(1, np.int64)  # where each id stood last
-        for batch in batches:
-            for raw in batch.column("ids"):
-                own = np.frombuffer(raw.as_buffer(), kind)
-                if (most := int(own.max())) >= len(total):
-                    total, last = (np.append(x, np.zeros(most + 1 - len(x), np.int64)) for x in (total, last))
-                at = np.arange(len(own))
-                last[own] = at
-                total[own[last[own] == at]] += 1  # each id once
-                docs += 1
-                n += len(own)
-        at = np.flatnonzero(total)
-        yield pa.record_batch({"id": pa.array(np.append(at, [-1, -2]), pa.int64()), "n": pa.array(np.append(total[at], [docs, n]), pa.int64())})
 
-    return run
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Frequencies as (id, n); under id -2 the documents, under -1 all ids."""
+    for batch in batches:
+        for raw in batch.column("counts"):
+            n = np.frombuffer(raw.as_buffer(), "<i8")
+            at = np.flatnonzero(n)
+            yield pa.record_batch({"id": pa.array(at - 2), "n": pa.array(n[at])})
 
 
 class Shard:
@@ -166,8 +181,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048) -> DataFrame:
     width = int(kind[-1])
     held = staged(tokenized(docs, tokenizer, kind), "packing-ids", "zstd")
     # At most one row per vocabulary entry reaches the driver.
-    counts = {r["id"]: r["n"] for r in held.mapInArrow(_frequencies(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    n_docs, n_ids = max(1, counts.pop(-1, 1)), counts.pop(-2, 0)
+    found = held.where("counts IS NOT NULL").select("counts").mapInArrow(_unpacked, "id long, n long")
+    counts = {r["id"]: r["n"] for r in found.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    n_docs, n_ids = max(1, counts.pop(-2, 1)), counts.pop(-1, 0)
+    held = held.where("n IS NOT NULL").select("doc_id", "ids", "n")
     df = np.zeros(max(counts, default=0) + 1)
     df[list(counts)] = list(counts.values())
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
@@ -247,7 +264,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048) -> DataFrame:
     keys = held.mapInArrow(keyed, "key long, doc_id long, start long, ids binary, doc_tokens long").withColumn("salt", F.xxhash64("doc_id", "ids"))
     near = keys.repartitionByRange("key", "salt").sortWithinPartitions("key", "salt", "doc_id", "doc_tokens").select("doc_id", "start", "ids", "doc_tokens")
     pieces = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return held.mapInArrow(whole, pieces).union(near.mapInArrow(packed, pieces))
+    return held.where(F.col("n") >= window).mapInArrow(whole, pieces).union(near.mapInArrow(packed, pieces))
 
 
 def powers(own: list[tuple]) -> list[list[tuple]]:

@@ -16,6 +16,8 @@ END_ID = 1
 REMEMBERED, LETTERS = 350_000, 8_000_000
 #: Letters of words without a usual form that are tokenized at once; a longer word alone.
 AT_ONCE = 200_000
+#: Words of plain letters that go through the tokenizer in one text.
+TOGETHER = 300
 #: Bytes of text (or other cells) worked on at once; a longer text is worked on alone.
 SLICE = 3_000_000
 #: Letters that stay single letters when lower-cased and in composed form, so that what follows cannot join them.
@@ -72,28 +74,33 @@ class _Pieces:
                 self.clear()
             return self.of(words)
         self.letters += letters
-        self._add(added)
+        at[new] = self._add(added)
         self.again = np.append(self.again, np.zeros(len(added), bool))
-        at[new] = np.fromiter(map(self.place.get, added), np.int32, len(added))
         return at
 
-    def _add(self, words: list[str]) -> None:
-        plain, other = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
-        sizes, ids = [np.diff(self.ends, prepend=0)], [self.pool]
-        for at in range(0, len(plain), 100):
-            some = plain[at : at + 100]
+    def _add(self, words: list[str]) -> np.ndarray:
+        """Tokenizes new words, and says where each stands."""
+        alpha = np.fromiter(map(str.isalpha, words), bool, len(words))
+        order = np.argsort(~alpha, kind="stable")
+        at = np.empty(len(words), np.int32)
+        at[order] = np.arange(len(self.place), len(self.place) + len(words))
+        words = [words[i] for i in order.tolist()]
+        plain, sizes, ids = int(alpha.sum()), [np.diff(self.ends, prepend=np.int32(0))], [self.pool]
+        for begin in range(0, plain, TOGETHER):
+            some = words[begin : min(plain, begin + TOGETHER)]
             got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.final[got]) + 1
             if len(ends) != len(some) or ends[-1] != len(got):  # not one piece a word after all
                 got, ends = self._each(some)
             sizes.append(np.diff(ends, prepend=0))
             ids.append(got)
-        if other:
-            got, ends = self._each(other)
+        if plain < len(words):
+            got, ends = self._each(words[plain:])
             sizes.append(np.diff(ends, prepend=0))
             ids.append(got)
-        self.place.update(zip(plain + other, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
         self.ends, self.pool = np.cumsum(np.concatenate(sizes), dtype=np.int32), np.concatenate(ids)
+        return at
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got: list[np.ndarray] = []

@@ -382,3 +382,18 @@ def test_packing_of_long_and_short_documents(spark):
     assert all(p["length"] == 2048 for p in pieces if p["sequence_id"] >= 1 << 62)
     assert Counter(len(own) for own in of.values() if own[0]["sequence_id"] >= 1 << 62) == {1: 9 + 1 + 1}
     assert sum(p["length"] for p in pieces) == sum(len(ids) for ids in brute.ids_of([t for _, t in rows], VOCABULARY))
+
+
+def test_ids_are_counted_while_they_are_made(spark):
+    import numpy as np
+
+    rows = [(i, t) for i, t in enumerate(["a b a b", "b", "", None, "c c é", "a " * 3_000, "zyx " * 50])]
+    table = packing.tokenized(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), VOCABULARY, "<u2").collect()
+    ids = [np.frombuffer(r["ids"], "<u2").tolist() for r in table if r["counts"] is None]
+    assert sorted(map(len, ids)) == sorted(r["n"] for r in table if r["counts"] is None) and len(ids) == len(rows)
+    want, got = Counter(i for own in ids for i in set(own)), Counter()
+    for r in table:
+        if r["counts"] is not None:
+            assert r["ids"] is None and r["n"] is None
+            got.update(dict(enumerate(np.frombuffer(r["counts"], "<i8").tolist(), -2)))
+    assert +got == want + Counter({-2: len(rows), -1: sum(map(len, ids))})
