@@ -134,10 +134,11 @@ def assign_first(gain: np.ndarray) -> list[tuple[int, int]]:
     return [(i, int(col_of[i])) for i in range(n) if full[i, col_of[i]] > 0]
 
 
-def matched_labels(truth: DataFrame, found: DataFrame) -> DataFrame:
+def matched_labels(truth: DataFrame, found: DataFrame, shared: DataFrame | None = None) -> DataFrame:
     """(series_id, label, p_label): labels paired one to one for the largest number of shared samples; of equal numbers,
     the smallest true label has the smallest partner it can (none comes last), then the next. Kernel over the label
-    pairs of a series that share any."""
+    pairs of a series that share any. shared: label_overlaps, if already made."""
+    shared = label_overlaps(truth, found) if shared is None else shared
 
     def run(_: int, part: dict[str, np.ndarray]) -> list[tuple]:
         rows, i = np.unique(part["label"], return_inverse=True)
@@ -146,7 +147,7 @@ def matched_labels(truth: DataFrame, found: DataFrame) -> DataFrame:
         gain[i, j] = part["samples"]
         return [(int(rows[a]), int(cols[b])) for a, b in assign_first(gain)]
 
-    return by_series(label_overlaps(truth, found), ["label", "p_label"], run, "label long, p_label long")
+    return by_series(shared, ["label", "p_label"], run, "label long, p_label long")
 
 
 def matched_samples(truth: DataFrame, found: DataFrame) -> DataFrame:
@@ -172,23 +173,36 @@ def _weighted_sums(scored: DataFrame, by: list[str]) -> DataFrame:
     return scored.groupBy(*by).agg(*sums)
 
 
-def label_scores(truth: DataFrame, found: DataFrame, weighted: bool = False, matched: DataFrame | None = None) -> DataFrame:
+def label_scores(truth: DataFrame, found: DataFrame, weighted: bool = False, matched: DataFrame | None = None, shared: DataFrame | None = None) -> DataFrame:
     """(series_id, precision, recall, fscore) on samples label by label, paired one to one; means over the true labels,
-    or weighted by their samples. Series without true labels have no row. matched: matched_labels, if already made."""
-    matched = matched_labels(truth, found) if matched is None else matched
+    or weighted by their samples. Series without true labels have no row. matched: matched_labels, shared:
+    label_overlaps, if already made."""
+    shared = label_overlaps(truth, found) if shared is None else shared
+    matched = matched_labels(truth, found, shared) if matched is None else matched
     sizes = points(truth).groupBy("series_id", "label").agg(F.count("*").alias("size"))
     p_sizes = points(found).groupBy("series_id", F.col("label").alias("p_label")).agg(F.count("*").alias("p_size"))
-    both = label_overlaps(truth, found).join(matched, ["series_id", "label", "p_label"]).join(p_sizes, ["series_id", "p_label"])
+    both = shared.join(matched, ["series_id", "label", "p_label"]).join(p_sizes, ["series_id", "p_label"])
     full = _weights(sizes, weighted).join(both.select("series_id", "label", "samples", "p_size"), ["series_id", "label"], "left")
     return _weighted_sums(_f1(full.withColumns({"precision": _ratio("samples", "p_size"), "recall": _ratio("samples", "size")}).fillna(0.0, ["precision", "recall"])), ["series_id"])
 
 
-def label_event_scores(truth: DataFrame, found: DataFrame, thresholds: list[float], weighted: bool = False, matched: DataFrame | None = None) -> DataFrame:
+def _named(found: DataFrame, matched: DataFrame) -> DataFrame:
+    """Predicted occurrences under the true label that theirs is paired with."""
+    return found.select("series_id", F.col("label").alias("p_label"), "start", "end").join(matched, ["series_id", "p_label"]).select("series_id", "label", "start", "end")
+
+
+def label_pairs(truth: DataFrame, named: DataFrame) -> DataFrame:
+    """True and predicted occurrences of paired labels, paired one to one label by label."""
+    return paired(overlaps(truth, named).where("label = p_label"))
+
+
+def label_event_scores(truth: DataFrame, found: DataFrame, thresholds: list[float], weighted: bool = False, matched: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(series_id, threshold, precision, recall, fscore) on occurrences label by label, labels paired by samples; means
-    over the true labels, or weighted by their numbers of occurrences. matched: matched_labels, if already made."""
+    over the true labels, or weighted by their numbers of occurrences. matched: matched_labels, pairs: label_pairs, if
+    already made."""
     matched = matched_labels(truth, found) if matched is None else matched
-    named = found.select("series_id", F.col("label").alias("p_label"), "start", "end").join(matched, ["series_id", "p_label"]).select("series_id", "label", "start", "end")
-    pairs = paired(overlaps(truth, named).where("label = p_label"))
+    named = _named(found, matched)
+    pairs = label_pairs(truth, named) if pairs is None else pairs
     sizes = _weights(truth.groupBy("series_id", "label").agg(F.count("*").alias("size")), weighted)
     every = sizes.join(named.groupBy("series_id", "label").agg(F.count("*").alias("n_p")), ["series_id", "label"], "left").withColumnRenamed("size", "n_t")
     return _weighted_sums(_right(pairs, every, thresholds, ["series_id", "label"]), ["series_id", "threshold"])
@@ -199,7 +213,9 @@ def battery(truth: DataFrame, found: DataFrame, series: DataFrame, thresholds: l
     threshold and their means over thresholds, and adjusted information."""
     thresholds = [k / 100 for k in range(101)] if thresholds is None else thresholds
     truth, found = stored(truth), stored(found)
-    matched, one = stored(matched_labels(truth, found)), [stored(united(t)) for t in (truth, found)]
+    shared, one = stored(label_overlaps(truth, found)), [stored(united(t)) for t in (truth, found)]
+    matched = stored(matched_labels(truth, found, shared))
+    pairs = stored(label_pairs(truth, _named(found, matched)))
     out = adjusted_information(contingency(truth, found, series)).select("series_id", F.lit("amis").alias("metric"), F.col("ami").alias("score"))
     kinds = ("precision", "recall", "fscore")
 
@@ -207,9 +223,9 @@ def battery(truth: DataFrame, found: DataFrame, series: DataFrame, thresholds: l
         each = F.explode(F.array(*(F.struct(F.concat(F.lit(f"{prefix}-{c}"), suffix).alias("metric"), F.col(c).alias("score")) for c in kinds))).alias("x")
         return table.select("series_id", each).select("series_id", "x.metric", "x.score")
 
-    for prefix, table in (("sss", sample_scores(truth, found)), ("ss", label_scores(truth, found, False, matched)), ("w-ss", label_scores(truth, found, True, matched))):
+    for prefix, table in (("sss", sample_scores(truth, found)), ("ss", label_scores(truth, found, False, matched, shared)), ("w-ss", label_scores(truth, found, True, matched, shared))):
         out = out.union(tall(table, prefix, F.lit("")))
-    for prefix, table in (("ses", event_scores(*one, thresholds)), ("es", label_event_scores(truth, found, thresholds, False, matched)), ("w-es", label_event_scores(truth, found, thresholds, True, matched))):
+    for prefix, table in (("ses", event_scores(*one, thresholds)), ("es", label_event_scores(truth, found, thresholds, False, matched, pairs)), ("w-es", label_event_scores(truth, found, thresholds, True, matched, pairs))):
         table = stored(table)  # it serves twice
         out = out.union(tall(table, prefix, F.concat(F.lit("_"), F.round("threshold", 2).cast("string"))))
         means = threshold_mean(table)

@@ -172,6 +172,19 @@ def test_scores_by_label(spark):
     assert {r["score"] for r in metrics.battery(t, t, s, [0.5]).collect()} == {1.0}
 
 
+def test_the_battery_makes_each_pairing_once(spark, monkeypatch):
+    t = spark.createDataFrame([(0, 0, 0, 10), (0, 0, 20, 30), (0, 1, 40, 50)], "series_id long, label long, start long, end long")
+    p = spark.createDataFrame([(0, 7, 0, 10), (0, 8, 40, 45)], "series_id long, label long, start long, end long")
+    made = []
+    for name in ("paired", "label_overlaps", "matched_labels"):
+        monkeypatch.setattr(metrics, name, lambda *x, n=name, f=getattr(metrics, name): (made.append(n), f(*x))[1])
+    got = {r["metric"]: r["score"] for r in metrics.battery(t, p, series(spark, [0.0] * 60), [0.4, 0.6]).collect()}
+    assert sorted(made) == ["label_overlaps", "matched_labels", "paired", "paired"]  # occurrences united, and by label
+    for prefix, weighted in (("", False), ("w-", True)):
+        assert got[f"{prefix}ss-recall"] == metrics.label_scores(t, p, weighted).first()["recall"]
+        assert {got[f"{prefix}es-fscore_{x}"] for x in (0.4, 0.6)} == {r["fscore"] for r in metrics.label_event_scores(t, p, [0.4, 0.6], weighted).collect()}
+
+
 def test_cuts_of_births_and_persistence(spark):
     births, lives = DRAW.random(80), np.concatenate((0.1 * DRAW.random(70), 3 + DRAW.random(10)))
     pers = spark.createDataFrame([(0, float(b), float(b + x)) for b, x in zip(births, lives)], "series_id long, birth double, death double")
